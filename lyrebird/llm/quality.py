@@ -16,10 +16,10 @@ the log probabilities of the symbols it is responsible for: no text is shuffled,
 time is bounded however large the corpus. A document's perplexity is exp of minus the mean log probability,
 where ``PRIOR`` symbols of the language's mean are added so that very short texts are not judged by chance.
 
-Decision. Thresholds are quantiles of the held-out perplexities of the language, low and high: text that
-repeats itself is more predictable than any trusted text. Perplexities are summed up in steps of a
-thousandth of their logarithm, so quantiles are exact to that and need no list of documents. A document is
-kept within the thresholds, widened by ``slack`` in the logarithm.
+Decision. The threshold is a quantile of the held-out perplexities of the language, raised by ``slack`` in the
+logarithm; a document above it is rejected. Perplexities are summed up in steps of a thousandth of their
+logarithm, so quantiles are exact to that and need no list of documents. There is no lower threshold: the
+texts that the model was trained on are more predictable than any others, and are trusted.
 
 Defined cases: a null language is a language of its own; null and empty texts have no perplexity and are
 kept, as are documents of a language without held-out trusted texts (nothing speaks against them); texts
@@ -31,7 +31,6 @@ kept as they are; names of the added columns are given extra underscores where t
 from __future__ import annotations
 
 import math
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -51,7 +50,7 @@ ABREAST = 4
 #: Trusted ids (8 bytes each) up to which they are broadcast instead of joined by shuffle.
 IDS = 4_000_000
 PRIOR = 64
-LOW, HIGH, SLACK = 0.002, 0.998, 0.02
+QUANTILE, SLACK = 0.995, 0.05
 FLUSH = 1_500_000
 
 
@@ -327,8 +326,8 @@ def _log_perplexity(total: str, count: str, mean: Column) -> Column:
     return (-F.col(total) + PRIOR * mean) / (F.col(count) + PRIOR)
 
 
-def thresholds(model: DataFrame, held: DataFrame, low: float, high: float, slack: float) -> DataFrame:
-    """(lang, mean, low, high) in log perplexity, from held-out trusted texts (lang, text)."""
+def thresholds(model: DataFrame, held: DataFrame, quantile: float, slack: float) -> DataFrame:
+    """(lang, mean, high) in log perplexity, from held-out trusted texts (lang, text)."""
     scored = settle(score(held, model, "lang", "text", "total", "count").where("total is not null and count > 0").select("lang", "total", "count"))
     means = scored.groupBy("lang").agg((-F.sum("total") / F.sum("count")).alias("mean"))
     binned = scored.join(means, scored["lang"].eqNullSafe(means["lang"])).drop(means["lang"]).select("lang", "mean", F.floor(_log_perplexity("total", "count", F.col("mean")) * 1000).alias("bin"))
@@ -336,11 +335,8 @@ def thresholds(model: DataFrame, held: DataFrame, low: float, high: float, slack
     # At most some ten thousand bins for each language, whatever the number of documents.
     upto = F.sum("n").over(Window.partitionBy("lang").orderBy("bin"))
     every = F.sum("n").over(Window.partitionBy("lang"))
-    ranked = counts.select("lang", "mean", "bin", (upto / every).alias("share"), ((upto - F.col("n")) / every).alias("under"))
-    return ranked.groupBy("lang", "mean").agg(
-        (F.max(F.when(F.col("under") <= low, F.col("bin"))) / 1000 - slack).alias("low"),
-        ((F.min(F.when(F.col("share") >= high, F.col("bin"))) + 1) / 1000 + slack).alias("high"),
-    )
+    ranked = counts.select("lang", "mean", "bin", (upto / every).alias("share"))
+    return ranked.groupBy("lang", "mean").agg(((F.min(F.when(F.col("share") >= quantile, F.col("bin"))) + 1) / 1000 + slack).alias("high"))
 
 
 def fresh(docs: DataFrame, name: str) -> str:
@@ -350,22 +346,22 @@ def fresh(docs: DataFrame, name: str) -> str:
 
 
 def classify(
-    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", lang_col: str = "lang", text_col: str = "text", low: float = LOW, high: float = HIGH, slack: float = SLACK
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", lang_col: str = "lang", text_col: str = "text", quantile: float = QUANTILE, slack: float = SLACK
 ) -> tuple[DataFrame, str, str]:
     """docs with the columns perplexity and keep, and these columns' names (longer where they clash)."""
     texts = settle(trusted_texts(docs, labels, id_col, lang_col, text_col))
     model = train(texts.where("not held").select("lang", "text"))
-    limits = thresholds(model, texts.where("held").select("lang", "text"), low, high, slack)
+    limits = thresholds(model, texts.where("held").select("lang", "text"), quantile, slack)
     spark = docs.sparkSession
     # One row for each language that has trusted text.
-    known = {r["lang"]: (r["mean"], r["low"], r["high"]) for r in limits.collect()}
+    known = {r["lang"]: (r["mean"], r["high"]) for r in limits.collect()}
     total, count = fresh(docs, "__total"), fresh(docs, "__count")
     scored = score(docs, model, lang_col, text_col, total, count)
     perplexity, keep = fresh(docs, "perplexity"), fresh(docs, "keep")
     lang = F.col(lang_col).cast("string")
     pick = lambda i: _case(lang, {k: v[i] for k, v in known.items()})
     log_p = F.when(F.col(count) > 0, _log_perplexity(total, count, pick(0)))
-    within = F.coalesce(log_p.between(pick(1), pick(2)), F.lit(True))
+    within = F.coalesce(log_p <= pick(1), F.lit(True))
     kept = [F.col(f"`{c}`") for c in docs.columns]
     return scored.select(*kept, F.exp(log_p).alias(perplexity), within.alias(keep)), perplexity, keep
 
@@ -375,8 +371,3 @@ def _case(lang: Column, values: dict) -> Column:
     for k, v in values.items():
         out = F.when(lang.eqNullSafe(F.lit(k)), float(v)).otherwise(out)
     return out
-
-
-def checksum(text: str) -> int:
-    """The checksum that holds texts out, as in Spark."""
-    return zlib.crc32(text.encode())

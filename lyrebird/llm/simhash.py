@@ -101,19 +101,19 @@ def _many(texts: list[bytes | None], width: int) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4) -> DataFrame:
-    """(id, fp): fp is the fingerprint as a signed 64-bit integer."""
+    """(id, h, fp): fp is the fingerprint as a signed 64-bit integer, h is Spark's xxhash64 of the text."""
     ship(docs.sparkSession)
-    kept = docs.select(F.col(id_col).alias("id"), F.encode(F.col(text_col), "UTF-8").alias("raw"))
+    kept = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h"), F.encode(F.col(text_col), "UTF-8").alias("raw"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                fp = _many(part.column(1).to_pylist(), width).view(np.int64)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fp)], names=["id", "fp"])
+                fp = _many(part.column(2).to_pylist(), width).view(np.int64)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(fp)], names=["id", "h", "fp"])
 
     kind = kept.schema["id"].dataType.simpleString()
-    return kept.mapInArrow(run, f"id {kind}, fp long")
+    return kept.mapInArrow(run, f"id {kind}, h long, fp long")
 
 
 def _segments(distance: int) -> list[tuple[int, int]]:
@@ -159,17 +159,47 @@ def linked(fps: DataFrame, distance: int = 4) -> DataFrame:
     return probe.alias("p").join(own.alias("q"), (F.col("p.key") == F.col("q.key")) & (x < y) & full & (first == start)).select(x.alias("a"), y.alias("b"))
 
 
+def _rooted(marked: DataFrame, distance: int) -> DataFrame:
+    """(fp, root) for every fingerprint."""
+    distinct = marked.select("fp").distinct()
+    roots = settle(components(linked(distinct, distance)))
+    return distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, distance: int = 4) -> DataFrame:
     """(id_col, fp, component_id): component_id is the least id whose text is reachable over links."""
     marked = settle(fingerprints(docs, id_col, text_col, width))
-    groups = marked.groupBy("fp").agg(F.min("id").alias("least"))
-    roots = settle(components(linked(groups, distance)))
-    tied = groups.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    tied = marked.groupBy("fp").agg(F.min("id").alias("least")).join(_rooted(marked, distance), "fp")
     best = tied.groupBy("root").agg(F.min("least").alias("component_id"))
     lookup = settle(tied.join(best, "root").select("fp", "component_id"))
     return marked.join(lookup, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
 
 
+#: Kept rows (three numbers each) up to which their keys are broadcast instead of joined by shuffle.
+KEYS = 2_000_000
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, distance: int = 4) -> DataFrame:
+    """The rows of ``docs``, all columns, of which each stands for its group: that of the least id that is not null, then of the least hash of the text.
+
+    Only ids, hashes and fingerprints are grouped. The texts are read once more, past the keys of the rows that
+    stay, and are shuffled only where those keys are too many to broadcast. Of repeated rows one stays.
+    """
+    marked = settle(fingerprints(docs, id_col, text_col, width))
+    counted = marked.groupBy("fp", "id", "h").agg(F.count("*").alias("n"))
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col("h"), F.col("n"))).alias("x")
+    keys = settle(counted.join(_rooted(marked, distance), "fp").groupBy("root").agg(first).select("x.id", "x.h", "x.n"))
+    names = {c.lower() for c in docs.columns}
+    i, h, n, own = (next(x for x in (f"__{c}{'_' * k}" for k in range(len(names) + 1)) if x not in names) for c in ("i", "h", "n", "own"))
+    keys = keys.toDF(i, h, n)
+    side = F.broadcast(keys) if keys.count() <= KEYS else keys
+    hit = docs.withColumn(own, F.xxhash64(text_col)).join(side, F.col(id_col).eqNullSafe(F.col(i)) & (F.col(own) == F.col(h)))
+    out = hit.where(F.col(n) == 1)
+    if not keys.where(F.col(n) > 1).isEmpty():
+        out = out.union(hit.where(F.col(n) > 1).dropDuplicates([i, h]))
+    return out.drop(i, h, n, own)
+
+
 def as_hex(fp: F.Column) -> F.Column:
     """16 lowercase hexadecimal digits of a signed 64-bit fingerprint."""
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
