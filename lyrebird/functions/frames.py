@@ -85,7 +85,7 @@ def format_bytes(n: Column) -> Column:
     """1536 -> 1.50 KiB."""
     out = F.format_string("%d B", n.cast("long"))
     for k, unit in enumerate(("KiB", "MiB", "GiB", "TiB"), 1):
-        out = F.when(n >= 1024**k, F.format_string(f"%.2f {unit}", n / float(1024**k))).otherwise(out)
+        out = F.when(n >= 1024**k, F.format_string(f"%.2f {unit}", F.bround(n / float(1024**k), 2))).otherwise(out)
     return out
 
 

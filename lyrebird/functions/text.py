@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column
@@ -48,18 +48,22 @@ def _chinese(s: str | None) -> str | None:
     return "".join(c for c in "".join(unicodedata.normalize("NFKC", s).split()) if not unicodedata.category(c).startswith("P"))
 
 
-@F.pandas_udf("string")
-def normalize_english(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+def _mapped(f: Callable[[str | None], str | None]) -> Callable[[Column], Column]:
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for s in batches:
+            yield s.map(f)
+
+    return F.pandas_udf(run, "string")
+
+
+def normalize_english() -> Callable[[Column], Column]:
     """NFKC, case folding, no punctuation, single spaces. Spark has no NFKC, so Arrow batches go to Python."""
-    for s in batches:
-        yield s.map(_english)
+    return _mapped(_english)
 
 
-@F.pandas_udf("string")
-def normalize_chinese(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+def normalize_chinese() -> Callable[[Column], Column]:
     """NFKC, no punctuation, no white space."""
-    for s in batches:
-        yield s.map(_chinese)
+    return _mapped(_chinese)
 
 
 def short_text(text: Column, limit: int) -> Column:
@@ -71,8 +75,8 @@ def hotword(line: Column, default_weight: float) -> Column:
     """struct(text, weight) of a line ``text`` or ``text<TAB>weight``; null for blank lines and comments."""
     s = F.regexp_replace(line, f"^{SPACE}+|{SPACE}+$", "")
     at = F.regexp_extract(s, "(?s)^(.*)\\t([^\\t]*)$", 1)
-    name = F.trim(F.regexp_replace(at, f"^{SPACE}+|{SPACE}+$", ""))
-    weight = F.expr("CAST(NULL AS DOUBLE)") if False else F.regexp_extract(s, "(?s)^(.*)\\t([^\\t]*)$", 2).try_cast("double")
+    name = F.regexp_replace(at, f"^{SPACE}+|{SPACE}+$", "")
+    weight = F.regexp_extract(s, "(?s)^(.*)\\t([^\\t]*)$", 2).try_cast("double")
     plain = F.struct(s.alias("text"), F.lit(float(default_weight)).alias("weight"))
     parsed = F.when(weight.isNull(), plain).otherwise(F.struct(name.alias("text"), weight.alias("weight")))
     return F.when((s == "") | s.startswith("#"), None).when(~s.contains("\t"), plain).when(name == "", None).otherwise(parsed)
