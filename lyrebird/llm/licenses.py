@@ -5,26 +5,33 @@ sets of word bigrams by Dice = 2 |A and B| / (|A| + |B|). Segments of a document
 (between blank lines) and the whole text, where the latter differ from the former; so a notice on a line of
 its own, a licence in a paragraph and a file that is a licence are all found.
 
-Size bounds. Dice >= t needs n words with t / (2 - t) <= |A| / |B| <= (2 - t) / t; |A| is at most n - 1 and,
-since a set may be smaller than its text, only the number of bigrams in the set can prune from below. A
-segment with fewer words than any template could match, or a text with fewer words than that, is dropped
-before its bigrams are made; and a template outside the bounds of a segment's set is not compared.
+Size bounds. Dice >= t needs t / (2 - t) <= |A| / |B| <= (2 - t) / t. A segment with fewer words than any template
+could match goes before its bigrams are made, and a template outside the bounds of a segment is not compared.
+Anchors. Within the bounds at least t / (2 - t) of a template's bigrams are shared, so the segment has one of any
+set that holds more than the rest of them. The words of such a set are the template's anchors; a text or a
+segment without an anchor of any template matches none, and goes without being cut into words.
 
-One projection: templates are a literal of some hundreds of bigrams, so there is no join, no shuffle and
-no group. Only column functions are used.
+One pass of Arrow batches over (id, text): no join, no shuffle and no group; templates travel with the code.
 
 Defined cases: null and empty texts hold no licence; of two templates with equal scores on a segment the
-first by name is given; repeated rows give their findings each; whole texts are scanned; empty tables give
+first listed is given; repeated rows give their findings each; whole texts are scanned; empty tables give
 empty results. Only the id and text columns are read.
 """
 
 from __future__ import annotations
 
+import math
 import re
+from collections import Counter
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .bpe import parts
+from .common import ship
+
 THRESHOLD = 0.8
 
 _WARRANTY = (
@@ -86,40 +93,80 @@ def bigrams_of(text: str) -> list[str]:
     return sorted({f"{a} {b}" for a, b in zip(w, w[1:])})
 
 
-def _words(text: Column) -> Column:
-    return F.filter(F.split(text, " "), lambda w: w != "")
-
-
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
+class Templates:
+    def __init__(self, templates: Sequence[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD):
+        self.threshold, self.ratio = threshold, threshold / (2 - threshold)
+        self.names = [name for name, _ in templates]
+        self.sets = [frozenset(bigrams_of(text)) for _, text in templates]
+        self.least = math.ceil(min(len(b) for b in self.sets) * self.ratio)
+        self.most = math.floor(max(len(b) for b in self.sets) / self.ratio)
+        self.anchors: set[str] = set()
+        for b in self.sets:
+            # Cover more bigrams than a match may lack by as few and as long words as a greedy choice finds.
+            open_ = set(b)
+            while len(open_) > len(b) - (math.floor(len(b) * (1 - self.ratio)) + 1):
+                words = Counter(w for pair in open_ for w in set(pair.split()))
+                best = max(words, key=lambda w: (w in self.anchors, min(words[w], 3) * len(w), w))
+                self.anchors.add(best)
+                open_ = {pair for pair in open_ if best not in pair.split()}
+        self.anchored = re.compile("|".join(sorted(map(re.escape, self.anchors)))).search
+
+    def best(self, segment: str) -> tuple[int, float] | None:
+        """The template that a normalised segment matches best, and its score."""
+        words = segment.split()
+        if len(words) <= self.least or self.anchors.isdisjoint(words):
+            return None
+        mine = {f"{a} {b}" for a, b in zip(words, words[1:])}
+        n, found = len(mine), None
+        if n > self.most:
+            return None
+        for k, b in enumerate(self.sets):
+            if n >= len(b) * self.ratio and len(b) >= n * self.ratio:
+                dice = round(2 * len(mine & b) / (n + len(b)), 6)
+                if dice >= self.threshold and (found is None or dice > found[1]):
+                    found = (k, dice)
+        return found
+
+    def findings(self, text: str | None) -> Iterator[tuple[str, int, int, float]]:
+        """(kind, place, template, dice) of a text's segments."""
+        if not text or not self.anchored(text.lower()):
+            return
+        clean = re.sub(r"[^a-z0-9\n]+", " ", text.translate(_LOWER))
+        lines, paragraphs = clean.split("\n"), re.split(r"\n *\n[ \n]*", clean)
+        segments = [("line", lines)]
+        if len(paragraphs) < len(lines):
+            segments.append(("paragraph", paragraphs))
+        if len(paragraphs) > 1:
+            segments.append(("document", [clean]))
+        for kind, parts in segments:
+            for place, part in enumerate(parts):
+                if self.anchored(part) and (hit := self.best(part)):
+                    yield kind, place, *hit
+
+
+_LOWER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
+
+
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: Sequence[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """(id_col, kind, place, license, template, dice): for each segment that matches, its best template. place counts the segments of a kind from 0."""
-    ratio = threshold / (2 - threshold)
-    sets = [(name, number, bigrams_of(text)) for number, (name, text) in enumerate(templates)]
-    least = min(len(b) for _, _, b in sets) * ratio + 1
-    clean = F.regexp_replace(F.translate(F.col(text_col), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), r"[^a-z0-9\n]+", " ")
-
-    def pieces(kind: str, text: Column) -> Column:
-        return F.transform(text, lambda s, i: F.struct(F.lit(kind).alias("kind"), i.alias("place"), s.alias("text")))
-
-    # A word has a letter and a space behind it at least, so short pieces go before they are cut into words.
-    long_enough = lambda x: F.length(x["text"]) >= int(2 * least - 1)
-    paragraphs = F.split("clean", r"\n *\n[ \n]*")
-    lines = F.split("clean", "\n")
-    segments = F.concat(
-        pieces("line", lines),
-        F.when(F.size(paragraphs) < F.size(lines), pieces("paragraph", paragraphs)).otherwise(F.filter(pieces("line", lines), lambda x: F.lit(False))),
-        F.when(F.size(paragraphs) > 1, pieces("document", F.array("clean"))).otherwise(F.filter(pieces("line", lines), lambda x: F.lit(False))),
-    )
-    most = max(len(b) for _, _, b in sets) / ratio
-    each = docs.select(F.col(id_col).alias("id"), clean.alias("clean")).select("id", F.explode(F.filter(segments, long_enough)).alias("s")).select("id", "s.kind", "s.place", F.translate("s.text", "\n", " ").alias("text"))
-    worded = each.select("id", "kind", "place", _words(F.col("text")).alias("w")).where(F.size("w") >= least)
-    pairs = F.array_distinct(F.transform(F.slice("w", 1, F.size("w") - 1), lambda x, i: F.concat(x, F.lit(" "), F.col("w")[i + 1])))
-    sized = worded.select("id", "kind", "place", pairs.alias("b")).where(F.size("b") <= most)
-    literal = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(k).alias("k"), F.array(*[F.lit(x) for x in b]).alias("b")) for n, k, b in sets])
-    size, other = F.size("b"), lambda t: F.size(t["b"])
-    near = F.filter(literal, lambda t: (size >= other(t) * ratio) & (other(t) >= size * ratio))
-    scored = F.transform(near, lambda t: F.struct((F.round(2 * F.size(F.array_intersect(F.col("b"), t["b"])) / (size + other(t)), 6)).alias("dice"), (-t["k"]).alias("k"), t["name"].alias("name")))
-    best = sized.select("id", "kind", "place", F.array_max(scored).alias("x")).where(F.col("x.dice") >= threshold)
-    return best.select(F.col("id").alias(id_col), "kind", "place", F.col("x.name").alias("license"), (-F.col("x.k")).alias("template"), F.col("x.dice").alias("dice"))
+    ship(docs.sparkSession)
+    kept = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    kind = kept.schema["id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Templates(templates, threshold)
+        for batch in batches:
+            rows = [(i, *hit) for a, b in parts(batch.column(1)) for i, text in enumerate(batch.column(1).slice(a, b - a).to_pylist(), a) for hit in known.findings(text)]
+            columns = list(zip(*rows)) or [()] * 5
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column(0).take(pa.array(columns[0], pa.int64())), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.int32()),
+                    pa.array([known.names[k] for k in columns[3]], pa.string()), pa.array(columns[3], pa.int32()), pa.array(columns[4], pa.float64()),
+                ],
+                names=["id", "kind", "place", "license", "template", "dice"],
+            )
+
+    return kept.mapInArrow(run, f"id {kind}, kind string, place int, license string, template int, dice double").withColumnRenamed("id", id_col)
 
 
 def sql(templates=TEMPLATES, threshold: float = THRESHOLD) -> str:
