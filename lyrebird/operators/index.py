@@ -32,15 +32,14 @@ def pair_in_order(members: DataFrame, shard: str, key: str, kind: str, order: st
     before it unless that one was itself taken.
     """
     w = Window.partitionBy(shard, key).orderBy(order)
-    marked = members.select(shard, key, kind, order, F.lag(kind).over(w).alias("last"), F.lag(order).over(w).alias("at"))
-    changes = marked.withColumn("change", (F.col("last").isNotNull() & (F.col("last") != F.col(kind))).cast("int"))
+    marked = members.select(shard, key, kind, order, F.lag(kind).over(w).alias("__last"), F.lag(order).over(w).alias("__prev"))
+    changes = marked.withColumn("__change", (F.col("__last").isNotNull() & (F.col("__last") != F.col(kind))).cast("int"))
     # The length of the unbroken row of changes up to a member: odd places close a pair, even ones wait.
-    broken = F.sum(1 - F.col("change")).over(w)
-    rows = changes.withColumn("block", broken)
-    streak = F.sum("change").over(Window.partitionBy(shard, key, "block").orderBy(order))
-    closed = rows.withColumn("streak", streak).where((F.col("change") == 1) & (F.col("streak") % 2 == 1))
-    audio = F.when(F.col(kind) == "audio", F.col(order)).otherwise(F.col("at"))
-    meta = F.when(F.col(kind) == "json", F.col(order)).otherwise(F.col("at"))
+    rows = changes.withColumn("__block", F.sum(1 - F.col("__change")).over(w))
+    streak = F.sum("__change").over(Window.partitionBy(shard, key, "__block").orderBy(order))
+    closed = rows.withColumn("__streak", streak).where((F.col("__change") == 1) & (F.col("__streak") % 2 == 1))
+    audio = F.when(F.col(kind) == "audio", F.col(order)).otherwise(F.col("__prev"))
+    meta = F.when(F.col(kind) == "json", F.col(order)).otherwise(F.col("__prev"))
     return closed.select(shard, key, F.row_number().over(w).alias("pair"), audio.alias("audio_at"), meta.alias("json_at"))
 
 
