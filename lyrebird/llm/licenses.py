@@ -33,6 +33,8 @@ from .bpe import parts
 from .common import ship
 
 THRESHOLD = 0.8
+#: Bounds are products of doubles; a whole number must not fall below itself.
+_EPS = 1e-9
 
 _WARRANTY = (
     "THE SOFTWARE IS PROVIDED AS IS AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT "
@@ -98,13 +100,13 @@ class Templates:
         self.threshold, self.ratio = threshold, threshold / (2 - threshold)
         self.names = [name for name, _ in templates]
         self.sets = [frozenset(bigrams_of(text)) for _, text in templates]
-        self.least = math.ceil(min(len(b) for b in self.sets) * self.ratio)
-        self.most = math.floor(max(len(b) for b in self.sets) / self.ratio)
+        self.least = math.ceil(min(len(b) for b in self.sets) * self.ratio - _EPS)
+        self.most = math.floor(max(len(b) for b in self.sets) / self.ratio + _EPS)
         self.anchors: set[str] = set()
         for b in self.sets:
             # Cover more bigrams than a match may lack by as few and as long words as a greedy choice finds.
             open_ = set(b)
-            while len(open_) > len(b) - (math.floor(len(b) * (1 - self.ratio)) + 1):
+            while len(open_) > len(b) - (math.floor(len(b) * (1 - self.ratio) + _EPS) + 1):
                 words = Counter(w for pair in open_ for w in set(pair.split()))
                 best = max(words, key=lambda w: (w in self.anchors, min(words[w], 3) * len(w), w))
                 self.anchors.add(best)
@@ -121,7 +123,7 @@ class Templates:
         if n > self.most:
             return None
         for k, b in enumerate(self.sets):
-            if n >= len(b) * self.ratio and len(b) >= n * self.ratio:
+            if n >= len(b) * self.ratio - _EPS and len(b) >= n * self.ratio - _EPS:
                 dice = round(2 * len(mine & b) / (n + len(b)), 6)
                 if dice >= self.threshold and (found is None or dice > found[1]):
                     found = (k, dice)

@@ -126,10 +126,10 @@ def _segments(distance: int) -> list[tuple[int, int]]:
 def linked(fps: DataFrame, distance: int = 4) -> DataFrame:
     """(a, b), a < b: the pairs of distinct fingerprints of column ``fp`` at ``distance`` bits or fewer.
 
-    For distances from 1 to 15, so that a segment keeps 4 bits or more.
+    For distances from 2 to 15, so that two segments fit into a key and a segment keeps 4 bits or more.
     """
-    if not 1 <= distance <= 15:
-        raise ValueError("distance must be from 1 to 15")
+    if not 2 <= distance <= 15:
+        raise ValueError("distance must be from 2 to 15")
     ring = _segments(distance)
     parts = len(ring)
     budget = [k * distance // parts for k in range(1, parts + 1)]
@@ -140,13 +140,13 @@ def linked(fps: DataFrame, distance: int = 4) -> DataFrame:
     def keys(i: int, change: int) -> F.Column:
         first, second = seg(F.col("fp"), i), seg(F.col("fp"), i + 1)
         wide = ring[(i + 1) % parts][1]
-        return F.shiftleft(first, wide).bitwiseOR(second.bitwiseXOR(F.lit(change))) + F.lit(i << 40)
+        return F.shiftleft(first, wide).bitwiseOR(second.bitwiseXOR(F.lit(change))) + F.lit(i << 48)
 
     own = base.select("fp", F.explode(F.array(*[keys(i, 0) for i in range(parts)])).alias("key"))
     near = [keys(i, e) for i in range(parts) for e in (0, *(1 << j for j in range(ring[(i + 1) % parts][1] if budget[1] else 0)))]
     probe = base.select("fp", F.explode(F.array(*near)).alias("key"))
     x, y = F.col("p.fp"), F.col("q.fp")
-    start = F.shiftrightunsigned(F.col("p.key"), 40)
+    start = F.shiftrightunsigned(F.col("p.key"), 48)
     first = F.lit(None).cast("int")
     for i in reversed(range(parts)):
         sums, ok = F.lit(0), F.lit(True)
