@@ -35,7 +35,7 @@ def duration_bucket(seconds: Column, bounds: tuple[float, ...] = DURATION_BOUNDS
         label = f"{low:g}-{b:g}s"
         out = F.when(seconds < b, label) if out is None else out.when(seconds < b, label)
         low = b
-    return out.otherwise(f">={low:g}s")
+    return out.otherwise(f"{low:g}+s")
 
 
 def subsampled_length(n: Column) -> Column:
@@ -82,16 +82,27 @@ def memory_token_budget(tokens: Column, peak_bytes: Column, target_gib: float) -
 
 
 def format_bytes(n: Column) -> Column:
-    """1536 -> 1.50 KiB."""
-    out = F.format_string("%d B", n.cast("long"))
+    """1536 -> 1.5KiB."""
+    fixed = lambda k, unit: F.format_string(f"%.1f{unit}", F.bround(n / float(1024**k), 1))
+    out = fixed(0, "B")
     for k, unit in enumerate(("KiB", "MiB", "GiB", "TiB"), 1):
-        out = F.when(n >= 1024**k, F.format_string(f"%.2f {unit}", F.bround(n / float(1024**k), 2))).otherwise(out)
+        out = F.when(n >= 1024**k, fixed(k, unit)).otherwise(out)
     return out
 
 
-def format_eta(seconds: Column) -> Column:
-    s = F.greatest(F.lit(0).cast("long"), F.rint(seconds).cast("long"))
-    return F.format_string("%02d:%02d:%02d", F.floor(s / 3600), F.floor(s / 60) % 60, s % 60)
+def format_eta(elapsed: Column, completed: Column, total: Column) -> Column:
+    """Time left at the rate so far: 42s, 3.5m, 1.2h; n/a where nothing or everything is done."""
+    per_second = completed / F.greatest(elapsed, F.lit(1e-6))
+    left = (total - completed) / F.greatest(per_second, F.lit(1e-6))
+    shown = (
+        F.when(left < 60, F.format_string("%.0fs", F.rint(left))).when(left < 3600, F.format_string("%.1fm", F.bround(left / 60, 1)))
+        .otherwise(F.format_string("%.1fh", F.bround(left / 3600, 1)))
+    )
+    return F.when(total.isNull() | (completed <= 0) | (completed >= total), "n/a").otherwise(shown)
+
+
+def format_number(x: Column, digits: int = 4) -> Column:
+    return F.coalesce(F.format_string(f"%.{digits}f", F.bround(x, digits)), F.lit("n/a")) if digits else F.coalesce(F.rint(x).cast("long").cast("string"), F.lit("n/a"))
 
 
 def ramp(step: Column, start: int, end: int, low: float, high: float) -> Column:

@@ -68,7 +68,7 @@ def normalize_chinese() -> Callable[[Column], Column]:
 
 def short_text(text: Column, limit: int) -> Column:
     flat = collapse(text)
-    return F.when(F.length(flat) > limit, F.concat(F.rtrim(F.substring(flat, 1, max(0, limit - 1))), F.lit("…"))).otherwise(flat)
+    return F.when(F.length(flat) > limit, F.concat(F.substring(flat, 1, max(0, limit - 1)), F.lit("…"))).otherwise(flat)
 
 
 def hotword(line: Column, default_weight: float) -> Column:
@@ -96,6 +96,6 @@ def language_code(name: Column) -> Column:
 
 
 def step_number(path: Column) -> Column:
-    """N of a file stem step-N, -1 if there is none."""
+    """The last number of a file stem step-...-N, -1 if there is none."""
     stem = F.regexp_replace(F.regexp_replace(path, "^.*/", ""), "\\.[^.]*$", "")
-    return F.coalesce(F.nullif(F.regexp_extract(stem, "^(?:.*-)?step-([0-9]+)$", 1), F.lit("")).cast("long"), F.lit(-1).cast("long"))
+    return F.coalesce(F.nullif(F.regexp_extract(stem, "^step-(?:.*-)?([0-9]+)$", 1), F.lit("")).cast("long"), F.lit(-1).cast("long"))

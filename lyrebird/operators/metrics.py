@@ -42,15 +42,23 @@ def last_by_key(rows: DataFrame, key: str, order: str) -> DataFrame:
     return rows.withColumn("__n", F.row_number().over(Window.partitionBy(key).orderBy(F.col(order).desc()))).where("__n = 1").drop("__n")
 
 
-def compare(a: DataFrame, b: DataFrame, key: str, error: str, tie: float = 1e-9, margin: float = 0.01) -> DataFrame:
-    """One row on systems a and b: averages over all rows of each, changes over shared keys, and a verdict."""
-    both = a.select(key, F.col(error).alias("__a")).join(b.select(key, F.col(error).alias("__b")), key)
+def compare(a: DataFrame, b: DataFrame, key: str, errors: str, tokens: str, prediction: str | None = None, names: tuple[str, str] = ("a", "b"), tie: float = 1e-9, margin: float = 0.01) -> DataFrame:
+    """One row on a baseline and a candidate with one row for each key: token errors over all rows of each (every row
+    counts one token at least), changes over shared keys, and a verdict."""
+    side = lambda df, x: df.select(key, (F.col(errors) / F.greatest(F.lit(1), F.col(tokens))).alias(f"__{x}"), (F.col(prediction) if prediction else F.lit(None)).alias(f"__p{x}"))
     d = F.col("__b") - F.col("__a")
-    shared = both.agg(F.count("*").alias("shared"), F.count_if(d < -tie).alias("improved"), F.count_if(d > tie).alias("worsened"), F.count_if(F.abs(d) <= tie).alias("unchanged"))
-    means = a.agg(F.avg(error).alias("mean_a")).crossJoin(F.broadcast(b.agg(F.avg(error).alias("mean_b"))))
-    gap = F.col("mean_b") - F.col("mean_a")
-    verdict = F.when(gap < -margin, "b better").when(gap > margin, "a better").otherwise("similar")
-    return means.crossJoin(F.broadcast(shared)).select("mean_a", "mean_b", "shared", "improved", "worsened", "unchanged", verdict.alias("verdict"))
+    changed = F.count_if(~F.col("__pa").eqNullSafe(F.col("__pb")))
+    shared = side(a, "a").join(side(b, "b"), key).agg(
+        F.count("*").alias("shared"), changed.alias("changed"), F.count_if(d < -tie).alias("improved"), F.count_if(d > tie).alias("worsened"), F.count_if(F.abs(d) <= tie).alias("unchanged")
+    )
+    rates = floored_rate(a, errors, tokens).toDF("rate_a").crossJoin(F.broadcast(floored_rate(b, errors, tokens).toDF("rate_b")))
+    gap = F.col("rate_b") - F.col("rate_a")
+    # The wording of the three verdicts.
+    better = f"{names[1]} improved preview token error vs {names[0]}"
+    worse = f"{names[0]} remained better than {names[1]} on preview token error"
+    neutral = f"{names[0]} and {names[1]} were roughly neutral on preview token error"
+    verdict = F.when(gap < -margin, better).when(gap > margin, worse).when(gap.isNotNull(), neutral).otherwise("comparison unavailable")
+    return rates.crossJoin(F.broadcast(shared)).select("rate_a", "rate_b", "shared", "changed", "improved", "worsened", "unchanged", verdict.alias("verdict"))
 
 
 def real_time_factor(rows: DataFrame, elapsed: str, audio: str) -> DataFrame:

@@ -52,11 +52,13 @@ def overall_class(loss: Column, prev: Column, best: Column, blank: Column) -> Co
 
 
 def sample_comment(ctc_error: Column, ar_error: Column, ctc_ratio: Column, ar_ratio: Column, eos: Column) -> Column:
-    """A note on two decodings of one sample."""
-    d = ctc_error - ar_error
-    closer = F.when(d.isNull(), None).when(d < -1e-9, "CTC is closer").when(d > 1e-9, "AR is closer").otherwise("both are equally close")
+    """A note on two decodings of one sample. The phrases are fixed values."""
+    closer = (
+        F.when(ctc_error.isNull() & ar_error.isNull(), "token error unavailable").when(ar_error.isNull(), "only CTC token error available").when(ctc_error.isNull(), "only AR token error available")
+        .when(ctc_error + 1e-9 < ar_error, "CTC closer on token edit distance").when(ar_error + 1e-9 < ctc_error, "AR closer on token edit distance").otherwise("CTC and AR tie on token edit distance")
+    )
     length = lambda name, r: F.when(r <= 0.5, f"{name} is short").when(r >= 1.5, f"{name} is long")
-    return F.concat_ws("; ", closer, length("CTC", ctc_ratio), length("AR", ar_ratio), F.when(~eos, "AR has no EOS"))
+    return F.concat(F.concat_ws("; ", closer, length("CTC", ctc_ratio), length("AR", ar_ratio), F.when(~eos, "AR did not emit EOS")), F.lit("."))
 
 
 def prune(saved: DataFrame, retained: DataFrame, path: str) -> DataFrame:

@@ -472,20 +472,22 @@ def q_norm_nfkc(spark, d):
 
 
 @query("""WITH e AS (SELECT value / 10 AS s, json_extract_string(props, '$.k')::BIGINT AS t, CASE event_type WHEN 'error' THEN 3 WHEN 'click' THEN 1 ELSE 0 END AS e FROM events),
-    b AS (SELECT *, CASE WHEN s < 5 THEN '0-5s' WHEN s < 10 THEN '5-10s' WHEN s < 15 THEN '10-15s' WHEN s < 20 THEN '15-20s' ELSE '>=20s' END AS bucket FROM e)
+    b AS (SELECT *, CASE WHEN s < 5 THEN '0-5s' WHEN s < 10 THEN '5-10s' WHEN s < 15 THEN '10-15s' WHEN s < 20 THEN '15-20s' ELSE '20+s' END AS bucket FROM e)
     SELECT coalesce(bucket, 'overall') AS bucket, count(*) AS n, sum(e)::BIGINT AS errors, sum(t)::BIGINT AS tokens, round(sum(e) / sum(t), 9) AS rate FROM b GROUP BY GROUPING SETS ((bucket), ())""")
 def q_duration_report(spark, d):
     e = read(spark, d, "events").select(frames.duration_bucket(F.col("value") / 10).alias("bucket"), F.get_json_object("props", "$.k").cast("long").alias("t"), F.when(F.col("event_type") == "error", 3).when(F.col("event_type") == "click", 1).otherwise(0).alias("e"))
     return metrics.two_level(e, "bucket", {"errors": "e", "tokens": "t"}, {"rate": ("errors", "tokens")}).withColumn("rate", F.round("rate", 9))
 
 
-@query("""WITH a AS (SELECT o_custkey, round(avg(o_totalprice) / 100000, 6) AS e FROM orders WHERE o_orderstatus = 'F' GROUP BY 1), b AS (SELECT o_custkey, round(avg(o_totalprice) / 100000, 6) AS e FROM orders WHERE o_orderstatus = 'O' GROUP BY 1),
-    j AS (SELECT b.e - a.e AS d FROM a JOIN b USING (o_custkey)), m AS (SELECT (SELECT avg(e) FROM a) AS ma, (SELECT avg(e) FROM b) AS mb)
-    SELECT round(ma, 6) AS mean_a, round(mb, 6) AS mean_b, count(*) AS shared, count(*) FILTER (d < -1e-9) AS improved, count(*) FILTER (d > 1e-9) AS worsened, count(*) FILTER (abs(d) <= 1e-9) AS unchanged,
-        CASE WHEN mb - ma < -0.01 THEN 'b better' WHEN mb - ma > 0.01 THEN 'a better' ELSE 'similar' END AS verdict FROM j, m GROUP BY ma, mb""")
+@query("""WITH s AS (SELECT o_custkey AS k, o_orderstatus AS s, count(*) FILTER (o_orderpriority LIKE '1%') AS e, count(*) AS t FROM orders GROUP BY 1, 2), a AS (SELECT * FROM s WHERE s = 'F'), b AS (SELECT * FROM s WHERE s = 'O'),
+    j AS (SELECT b.e / b.t - a.e / a.t AS d, a.e <> b.e AS c FROM a JOIN b USING (k)), m AS (SELECT (SELECT sum(e) / sum(t) FROM a) AS ra, (SELECT sum(e) / sum(t) FROM b) AS rb)
+    SELECT round(ra, 9) AS rate_a, round(rb, 9) AS rate_b, count(*) AS shared, count(*) FILTER (c) AS changed, count(*) FILTER (d < -1e-9) AS improved, count(*) FILTER (d > 1e-9) AS worsened, count(*) FILTER (abs(d) <= 1e-9) AS unchanged,
+        CASE WHEN rb - ra < -0.01 THEN 'O improved preview token error vs F' WHEN rb - ra > 0.01 THEN 'F remained better than O on preview token error' ELSE 'F and O were roughly neutral on preview token error' END AS verdict FROM j, m GROUP BY ra, rb""")
 def q_ab_compare(spark, d):
-    side = lambda s: read(spark, d, "orders").where(F.col("o_orderstatus") == s).groupBy("o_custkey").agg(F.round(F.avg("o_totalprice") / 100_000, 6).alias("e"))
-    return metrics.compare(side("F"), side("O"), "o_custkey", "e").withColumns({"mean_a": F.round("mean_a", 6), "mean_b": F.round("mean_b", 6)})
+    urgent = F.count_if(F.col("o_orderpriority").startswith("1"))
+    each = read(spark, d, "orders").groupBy("o_custkey", "o_orderstatus").agg(urgent.alias("e"), F.count("*").alias("t"))
+    out = metrics.compare(each.where("o_orderstatus = 'F'"), each.where("o_orderstatus = 'O'"), "o_custkey", "e", "t", "e", ("F", "O"))
+    return out.withColumns({"rate_a": F.round("rate_a", 9), "rate_b": F.round("rate_b", 9)})
 
 
 @query("""WITH w AS (SELECT conv_id, turn, role, len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')) AS n FROM conversations),
@@ -548,9 +550,10 @@ def q_eos_append(spark, d):
     return rows.select("l_orderkey", ids.alias("i")).select("l_orderkey", joined(F.col("i")).alias("ids"), joined(arrays.decoder_target(F.col("i"), [9], 2)).alias("target"), F.size(arrays.label_mask(F.col("i"), 2, F.lit(3))).cast("long").alias("labels"))
 
 
-@query("""SELECT doc_id, CASE WHEN n_chars >= 1024 THEN format('{:.2f} KiB', n_chars / 1024.0) ELSE n_chars || ' B' END AS size, format('{:02d}:{:02d}:{:02d}', n_chars // 3600, (n_chars // 60) % 60, n_chars % 60) AS eta FROM documents""")
+@query("""SELECT doc_id, CASE WHEN n_chars >= 1024 THEN format('{:.1f}KiB', n_chars / 1024.0) ELSE n_chars || '.0B' END AS size,
+    CASE WHEN l < 60 THEN format('{:.0f}s', l) WHEN l < 3600 THEN format('{:.1f}m', l / 60) ELSE format('{:.1f}h', l / 3600) END AS eta FROM (SELECT doc_id, n_chars, (40000 - n_chars) * (64.0::DOUBLE / n_chars) AS l FROM documents)""")
 def q_format(spark, d):
-    return read(spark, d, "documents").select("doc_id", frames.format_bytes(F.col("n_chars")).alias("size"), frames.format_eta(F.col("n_chars")).alias("eta"))
+    return read(spark, d, "documents").select("doc_id", frames.format_bytes(F.col("n_chars")).alias("size"), frames.format_eta(F.lit(64.0), F.col("n_chars"), F.lit(40_000)).alias("eta"))
 
 
 # Runs
@@ -587,7 +590,7 @@ def q_checkpoint_status(spark, d):
     return t.select("user_id", "event_id", runs.eval_class(v, p, best).alias("eval"), runs.ctc_preview_class(b, r, none).alias("ctc"), runs.ar_preview_class(r, none, b).alias("ar"), runs.overall_class(v, p, best, b).alias("status"))
 
 
-@query("SELECT event_id, concat_ws('; ', CASE WHEN value / 100 - k / 20 < -1e-9 THEN 'CTC is closer' WHEN value / 100 - k / 20 > 1e-9 THEN 'AR is closer' ELSE 'both are equally close' END, CASE WHEN k / 40 <= 0.5 THEN 'CTC is short' WHEN k / 40 >= 1.5 THEN 'CTC is long' END, CASE WHEN k / 60 <= 0.5 THEN 'AR is short' WHEN k / 60 >= 1.5 THEN 'AR is long' END, CASE WHEN event_type = 'view' THEN 'AR has no EOS' END) AS comment FROM (SELECT *, json_extract_string(props, '$.k')::DOUBLE AS k FROM events)")
+@query("SELECT event_id, concat_ws('; ', CASE WHEN value / 100 - k / 20 < -1e-9 THEN 'CTC closer on token edit distance' WHEN value / 100 - k / 20 > 1e-9 THEN 'AR closer on token edit distance' ELSE 'CTC and AR tie on token edit distance' END, CASE WHEN k / 40 <= 0.5 THEN 'CTC is short' WHEN k / 40 >= 1.5 THEN 'CTC is long' END, CASE WHEN k / 60 <= 0.5 THEN 'AR is short' WHEN k / 60 >= 1.5 THEN 'AR is long' END, CASE WHEN event_type = 'view' THEN 'AR did not emit EOS' END) || '.' AS comment FROM (SELECT *, json_extract_string(props, '$.k')::DOUBLE AS k FROM events)")
 def q_sample_comment(spark, d):
     e = read(spark, d, "events").withColumn("k", F.get_json_object("props", "$.k").cast("double"))
     k = F.col("k")

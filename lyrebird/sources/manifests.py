@@ -90,7 +90,7 @@ def utterance_ids(spark: SparkSession, path: str) -> DataFrame:
 def preview_lines(spark: SparkSession, path: str, signed: bool = False) -> DataFrame:
     """(path, values): the key=number pairs of DEBUG lines."""
     rows = spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), "value")
-    return rows.where(F.trim("value").startswith("DEBUG:")).select("path", key_values(F.col("value"), signed).alias("values"))
+    return rows.where(F.col("value").startswith("  DEBUG:")).select("path", key_values(F.col("value"), signed).alias("values"))
 
 
 def corpus(spark: SparkSession, path: str) -> DataFrame:

@@ -195,9 +195,9 @@ def test_union_of_roots_checks_names(spark):
 
 
 def test_compare(spark):
-    a, b = spark.createDataFrame([("x", 0.5), ("y", 0.5)], "u string, e double"), spark.createDataFrame([("x", 0.1), ("y", 0.5), ("z", 0.0)], "u string, e double")
-    r = metrics.compare(a, b, "u", "e").first()
-    assert (r.shared, r.improved, r.worsened, r.unchanged, r.verdict) == (2, 1, 0, 1, "b better")
+    a, b = spark.createDataFrame([("x", 5, 10), ("y", 1, 0)], "u string, e int, t int"), spark.createDataFrame([("x", 1, 10), ("y", 1, 1), ("z", 0, 4)], "u string, e int, t int")
+    r = metrics.compare(a, b, "u", "e", "t").first()
+    assert (r.shared, r.improved, r.worsened, r.unchanged) == (2, 1, 0, 1) and r.rate_a == 6 / 11 and r.verdict.startswith("b improved")
 
 
 def _shard(path, samples):
@@ -244,3 +244,53 @@ def test_batcher_carries_over(spark, tmp_path):
         state, n = b.step(state, f, t)
         out.append(n)
     assert out == [0, 1, 1]
+
+
+def test_archives_and_audio(spark, tmp_path):
+    import gzip
+    import wave
+
+    from lyrebird.sources import archives
+
+    raw = io.BytesIO()
+    with tarfile.open(fileobj=raw, mode="w") as t:
+        for name, text_ in (("f/dev/eng.dev", "one \n\n two"), ("f/devtest/fra.devtest", "trois"), ("f/README", "no"), ("dev/x.dev", "no")):
+            info = tarfile.TarInfo(name)
+            info.size = len(text_.encode())
+            t.addfile(info, io.BytesIO(text_.encode()))
+    (tmp_path / "c.tar.gz").write_bytes(gzip.compress(raw.getvalue()))
+    lines = archives.corpus_lines(spark, str(tmp_path / "c.tar.gz"))
+    assert sorted((r.lang, r.line) for r in lines.collect()) == [("eng", "one"), ("eng", "two"), ("fra", "trois")]
+    assert tuple(archives.corpus_counts(lines).first()) == (3, 2, 2)
+    out = io.BytesIO()
+    with wave.open(out, "wb") as w:
+        w.setnchannels(2), w.setsampwidth(2), w.setframerate(16_000)
+        tone = (np.sin(np.arange(16_000) * 2 * np.pi * 1000 / 16_000) * 8000).astype("<i2")
+        w.writeframes(np.stack([tone, tone], 1).tobytes())
+    frames_ = archives.fbank(archives.samples(out.getvalue()))
+    assert frames_.shape == (98, 80) and (frames_.argmax(1) == frames_[0].argmax()).all()
+
+
+def test_config(tmp_path):
+    from lyrebird.functions import config
+
+    rule = splits.SplitRule(0.1, 7)
+    config.check_index({"split": {"split_by": "shard_name", "eval_ratio": 0.1, "hash_seed": 7}}, rule)
+    with pytest.raises(ValueError, match="split_by"):
+        config.check_index({"split": {"eval_ratio": 0.1, "hash_seed": 7}}, rule)
+    assert config.artefact_path("index", str(tmp_path)).endswith("/webdataset_index.json") and config.artefact_path("lengths", "/a/b.tar") == "/a/b.lengths.jsonl"
+    trie = ByteTrie([f"{i} {bytes([i])!r} 1" for i in range(128)])
+    assert config.vocab_size(trie) == 128 and config.text_extra(*config.prompt_ids(trie, "ab", "", "c")) == 4
+    with pytest.raises(ValueError):
+        config.vocab_size(trie, append_eos=True)
+
+
+def test_examples(spark):
+    from lyrebird.operators import reports
+
+    kind = "utt_id string, pred_token_ids array<int>, ref_token_ids array<int>, ref_text string, pred_text string, debug struct<eos_emitted: boolean>"
+    a = spark.createDataFrame([("u", [1, 2], [1, 2, 3, 4], "r", "x", None), ("v", [1], [1], "s", "y", None)], kind)
+    b = spark.createDataFrame([("u", [1, 2, 3, 4], [1, 2, 3, 4], "r", "z", (False,))], kind)
+    r = reports.examples(a, b, "utt_id", 5).collect()
+    assert len(r) == 1 and (r[0].ctc_error, r[0].ar_error) == (0.5, 0.0)
+    assert r[0].comment == "AR closer on token edit distance; CTC is short; AR did not emit EOS."
