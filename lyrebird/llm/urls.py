@@ -7,13 +7,14 @@ starts with the rule's; the longest wins, then the first given.
 The models. Host and path are spelt in an alphabet of 33 symbols: a-z, 0 for a run of digits, ``.``, ``-``
 (and ``_``), ``/``, ``!`` for anything else, ``^`` before the start and ``$`` at the end. Accepted and
 rejected urls are those that a rule decides, each spelling once for each verdict, and example urls, which
-together weigh as much as the corpus. Each model mixes contexts of 3, 2, 1 and no symbols by Witten-Bell
+together weigh as much as the corpus. What the rule itself matched is cut from a decided url's spelling:
+a model of it would repeat the rule, and carry it over to hosts and paths that no rule names. Each model mixes contexts of 3, 2, 1 and no symbols by Witten-Bell
 smoothing: a context gives way to its shorter form by how many continuations it has shown. A url's score is
 the sum of the log ratios of its symbols over their number.
 
-Calibration. 3 of 16 spellings, by their MD5, are held out of the counts. The threshold is the hundredth at
-which the held-out accepted and rejected spellings are told apart best (share of accepted at or above it
-plus share of rejected below it; ties go to the hundredth nearest 0, then the lower); 0 if none is held out.
+Calibration. 3 of 16 spellings, by their MD5, are held out of the counts. The threshold is the highest hundredth
+below which lie no more than 5 % of the held-out accepted spellings, and no higher than 0, at which a url is
+as like the accepted as the rejected; 0 if none is held out.
 
 Scale. Spellings are scored once each. What is broadcast is the table of log ratios of the 4-symbol strings
 that occur: 33 ** 4 rows of 16 bytes at most, whatever the corpus. Equal urls, however many, are one spelling.
@@ -59,11 +60,11 @@ def path_of(url: Column) -> Column:
 
 
 def rule_for(host: Column, path: Column, rules: Sequence[Rule]) -> Column:
-    """struct(rule, verdict) of the longest rule that fits; nulls if none does. Rules are configuration: some hundreds at most."""
-    found = F.struct(F.lit(None).cast("string").alias("rule"), F.lit(None).cast("string").alias("verdict"))
+    """struct(rule, verdict, h, p) of the longest rule that fits; nulls if none does; h and p are the lengths of its host and path. Rules are configuration: some hundreds at most."""
+    found = F.struct(F.lit(None).cast("string").alias("rule"), F.lit(None).cast("string").alias("verdict"), F.lit(0).alias("h"), F.lit(0).alias("p"))
     for rule_host, rule_path, verdict in sorted(rules, key=lambda r: len(r[0] + r[1]), reverse=True)[::-1]:
         fits = ((host == rule_host) | host.endswith("." + rule_host)) & path.startswith(rule_path)
-        found = F.when(fits, F.struct(F.lit(rule_host + rule_path).alias("rule"), F.lit(verdict).alias("verdict"))).otherwise(found)
+        found = F.when(fits, F.struct(F.lit(rule_host + rule_path).alias("rule"), F.lit(verdict).alias("verdict"), F.lit(len(rule_host)).alias("h"), F.lit(len(rule_path)).alias("p"))).otherwise(found)
     return found
 
 
@@ -107,7 +108,11 @@ def judge(pages: DataFrame, rules: Sequence[Rule], id_col: str = "page_id", url_
     """(id_col, host, path, rule, verdict, score): score is the rounded log ratio per symbol, null without a host and path."""
     spark = pages.sparkSession
     parted = pages.select(F.col(id_col).alias("id"), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
-    ruled = parted.withColumn("found", rule_for(F.col("host"), F.col("path"), rules)).select("id", "host", "path", "found.*", spelling(F.col("host"), F.col("path")).alias("s"))
+    found = parted.withColumn("found", rule_for(F.col("host"), F.col("path"), rules)).select("id", "host", "path", "found.*")
+    left = F.expr("substring(host, 1, greatest(0, length(host) - h - 1))")
+    right = F.concat(F.lit("/"), F.expr("substring(path, p + 1)"))
+    whole = F.col("rule").isNull()
+    ruled = found.select("id", "host", "path", "rule", "verdict", spelling(F.when(whole, F.col("host")).otherwise(left), F.when(whole, F.col("path")).otherwise(right)).alias("s"))
     held_out = F.substring(F.md5("s"), 1, 1).isin("0", "1", "2")
     spelt = (
         ruled.where(F.col("s") != "").groupBy("s")
@@ -127,23 +132,18 @@ def judge(pages: DataFrame, rules: Sequence[Rule], id_col: str = "page_id", url_
     ratios = F.broadcast(settle(_ratios(counts, settle(grams.select("gram").distinct()))))
     scored = settle(grams.join(ratios, "gram").groupBy("s", "a", "r", "held").agg(F.round(F.sum("ratio") / F.count("*"), 6).alias("score")))
     cut = _threshold(scored.where("held"))
-    verdict = F.coalesce("verdict", F.when(F.col("score") >= F.coalesce(cut.scalar(), F.lit(0.0)), "allow").otherwise("block"))
+    verdict = F.coalesce("verdict", F.when(F.col("score") >= F.least(F.lit(0.0), F.coalesce(cut.scalar(), F.lit(0.0))), "allow").otherwise("block"))
     out = ruled.join(scored.select("s", "score"), "s", "left")
     return out.select(F.col("id").alias(id_col), "host", "path", "rule", verdict.alias("verdict"), "score")
 
 
 def _threshold(held: DataFrame) -> DataFrame:
-    """One row with the best hundredth, or none. The number of hundredths is bounded by the smoothing, not by the corpus."""
-    bins = held.groupBy(F.floor(F.col("score") * 100).alias("bin")).agg(F.sum("a").alias("a"), F.sum("r").alias("r"))
-    below = Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
-    every = Window.partitionBy()
-    told = bins.select(
-        "bin",
-        (1 - F.coalesce(F.sum("a").over(below), F.lit(0)) / F.greatest(F.sum("a").over(every), F.lit(1))).alias("kept"),
-        (F.coalesce(F.sum("r").over(below), F.lit(0)) / F.greatest(F.sum("r").over(every), F.lit(1))).alias("cut"),
-        F.sum("a").over(every).alias("na"), F.sum("r").over(every).alias("nr"),
-    ).where((F.col("na") > 0) & (F.col("nr") > 0))
-    return told.orderBy(F.round(F.col("kept") + F.col("cut"), 9).desc(), F.abs("bin"), "bin").limit(1).select((F.col("bin") / 100).alias("cut"))
+    """One row with the highest hundredth below which lies 5 % of the accepted or less, or none. The number of hundredths is
+    bounded by the smoothing, not by the corpus."""
+    bins = held.where("a > 0").groupBy(F.floor(F.col("score") * 100).alias("bin")).agg(F.count("*").alias("n"))
+    below = F.coalesce(F.sum("n").over(Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    told = bins.select("bin", below.alias("below"), F.sum("n").over(Window.partitionBy()).alias("every"))
+    return told.where(F.col("below") * 20 <= F.col("every")).agg((F.max("bin") / 100).alias("cut"))
 
 
 def sql(rules: Sequence[Rule], accepted: Sequence[str] = ACCEPTED, rejected: Sequence[str] = REJECTED) -> str:
@@ -169,9 +169,9 @@ def sql(rules: Sequence[Rule], accepted: Sequence[str] = ACCEPTED, rejected: Seq
     cut AS (SELECT row_number() OVER () AS rid, page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
     parted AS (SELECT rid, page_id, translate(regexp_extract(coalesce(rest, ''), '^[^/?#]*'), '{UPPER[:26]}', '{LOWER[:26]}') AS host,
         regexp_extract(coalesce(rest, ''), '^[^/?#]*([^?#]*)', 1) AS path FROM cut),
-    hits AS (SELECT rid, rh || rp AS rule, rv, row_number() OVER (PARTITION BY rid ORDER BY length(rh || rp) DESC, k) AS n FROM parted, rules
+    hits AS (SELECT rid, rh || rp AS rule, rv, length(rh) AS h, length(rp) AS p, row_number() OVER (PARTITION BY rid ORDER BY length(rh || rp) DESC, k) AS n FROM parted, rules
         WHERE (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp)),
-    ruled AS (SELECT p.*, rule, rv AS verdict, {spelt("host || path")} AS s FROM parted p LEFT JOIN (SELECT * FROM hits WHERE n = 1) USING (rid)),
+    ruled AS (SELECT rid, page_id, host, path, rule, rv AS verdict, {spelt("CASE WHEN rule IS NULL THEN host || path ELSE substr(host, 1, greatest(0, length(host) - h - 1)) || '/' || substr(path, p + 1) END")} AS s FROM parted LEFT JOIN (SELECT * FROM hits WHERE n = 1) USING (rid)),
     spelt AS (SELECT s, max((coalesce(verdict, '') = 'allow')::INT) AS a, max((coalesce(verdict, '') = 'block')::INT) AS r, substr(md5(s), 1, 1) IN ('0', '1', '2') AS held FROM ruled WHERE s <> '' GROUP BY s),
     grams AS ({grams("spelt", "s, a, r, held")}),
     corpus AS (SELECT gram, sum(a)::DOUBLE AS a, sum(r)::DOUBLE AS r FROM grams WHERE NOT held GROUP BY 1),
@@ -180,9 +180,8 @@ def sql(rules: Sequence[Rule], accepted: Sequence[str] = ACCEPTED, rejected: Seq
     share AS (SELECT greatest(1.0, coalesce((SELECT sum(a) FROM corpus), 0) / (SELECT sum(a) FROM shown)) AS fa, greatest(1.0, coalesce((SELECT sum(r) FROM corpus), 0) / (SELECT sum(r) FROM shown)) AS fr),
     counts AS (SELECT gram, sum(a) AS a, sum(r) AS r FROM (SELECT * FROM corpus UNION ALL SELECT gram, a * fa, r * fr FROM shown, share) GROUP BY 1){levels},
     scored AS (SELECT s, a, r, held, round(sum(ln(pa) - ln(pr)) / count(*), 6) AS score FROM grams JOIN p{ORDER} ON g = gram GROUP BY s, a, r, held),
-    bins AS (SELECT floor(score * 100)::BIGINT AS bin, sum(a) AS a, sum(r) AS r FROM scored WHERE held GROUP BY 1),
-    told AS (SELECT bin, 1 - coalesce(sum(a) OVER w, 0)::DOUBLE / greatest(sum(a) OVER (), 1) + coalesce(sum(r) OVER w, 0)::DOUBLE / greatest(sum(r) OVER (), 1) AS j, sum(a) OVER () AS na, sum(r) OVER () AS nr
-        FROM bins WINDOW w AS (ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-    best AS (SELECT bin / 100.0::DOUBLE AS cut FROM told WHERE na > 0 AND nr > 0 ORDER BY round(j, 9) DESC, abs(bin), bin LIMIT 1)
-    SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN score >= coalesce((SELECT cut FROM best), 0) THEN 'allow' ELSE 'block' END) AS verdict, score
+    bins AS (SELECT floor(score * 100)::BIGINT AS bin, count(*) AS n FROM scored WHERE held AND a > 0 GROUP BY 1),
+    told AS (SELECT bin, coalesce(sum(n) OVER (ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below, sum(n) OVER () AS every FROM bins),
+    best AS (SELECT max(bin) / 100.0::DOUBLE AS cut FROM told WHERE below * 20 <= every)
+    SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN score >= least(0, coalesce((SELECT cut FROM best), 0)) THEN 'allow' ELSE 'block' END) AS verdict, score
     FROM ruled LEFT JOIN scored USING (s)"""
