@@ -60,4 +60,4 @@ QUERIES = {
     f.__name__: f
     for f in (op1_license_scan, op2_url_filter, op3_sharding, op4_quality, op5_token_counts, op6_decontamination, op7_html_text, op8_embedding_dedup, op9_simhash, op10_byte_bpe)
 }
-SQL = {"op1_license_scan": licenses.sql(), "op2_url_filter": urls.sql(URL_RULES)}
+SQL = {"op1_license_scan": licenses.sql(), "op2_url_filter": urls.sql(URL_RULES), "op3_sharding": sharding.sql()}

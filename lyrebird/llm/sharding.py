@@ -73,3 +73,20 @@ def place(rows: DataFrame, weights: Sequence[float], key_col: str = "doc_id", te
         .select("*", F.explode(F.sequence("first", F.least(F.col("first") + BLOCK, F.col("n")) - 1)).alias("i"))
         .select(key.alias(key_col), "size", F.col("crc").alias("text_crc32"), "shard", (F.col("base") + F.col("i")).cast("long").alias("slot"), "grown_shard")
     )
+
+
+def sql(shards: int = 40, overhead: int = 16) -> str:
+    """The same placement of table ``documents`` over equal shards in DuckDB's SQL. It has no CRC, so bytes are folded with a table."""
+    crc_of = []
+    for n in range(256):
+        for _ in range(8):
+            n = n >> 1 ^ (0xEDB88320 if n & 1 else 0)
+        crc_of.append(n)
+    folded = f"list_reduce(list_concat([4294967295::BIGINT], list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda x: ('0x' || x)::BIGINT)), lambda a, b: xor(a >> 8, ({crc_of}::BIGINT[])[(xor(a, b) & 255) + 1]))"
+    return f"""WITH d AS (SELECT doc_id, text, row_number() OVER () AS rid, coalesce(doc_id::VARCHAR, 'null') AS k, coalesce(strlen(text), 0)::BIGINT + {overhead} AS size FROM documents),
+    c AS (SELECT rid, xor({folded}, 4294967295) AS crc FROM d),
+    u AS (SELECT rid, s, 1.0 / -ln((('0x' || substr(md5(k || ':' || s), 1, 13))::UBIGINT::DOUBLE + 0.5) / 4503599627370496.0) AS score FROM d, (SELECT unnest(range({shards + 1})) AS s)),
+    p AS (SELECT rid, arg_max(s, score) FILTER (s < {shards}) AS shard, arg_max(s, score) AS grown FROM u GROUP BY rid)
+    SELECT doc_id, size, crc AS text_crc32, 'key' AS law, shard::INT AS shard,
+        row_number() OVER (PARTITION BY shard ORDER BY ('0x' || substr(md5(k || ':slot'), 1, 2))::INT, doc_id NULLS FIRST, size, crc) - 1 AS slot, grown::INT AS grown_shard
+    FROM d JOIN c USING (rid) JOIN p USING (rid)"""
