@@ -266,11 +266,13 @@ def _shards(model: DataFrame) -> Iterator[tuple[int, int, dict]]:
             mine = model.select("lang", "k", "g", value.alias("value"), weight.alias("weight")).where("value is not null or weight is not null")
         tables: dict = {}
         got = mine.select("lang", "k", "g", F.col("value").cast("float").alias("value"), F.col("weight").cast("float").alias("weight")).toArrow()
-        lang = np.array(got.column("lang").to_pylist(), object)
+        # Languages as numbers: a name for each row would weigh more than the row.
+        lang = got.column("lang").combine_chunks().dictionary_encode("encode")
+        names, codes = lang.dictionary.to_pylist(), lang.indices.to_numpy()
         k, g = got.column("k").to_numpy(), got.column("g").to_numpy()
         value, weight = (got.column(c).to_numpy() for c in ("value", "weight"))
-        for name in set(lang.tolist()):
-            here = np.array([x == name for x in lang])
+        for code, name in enumerate(names):
+            here = codes == code
             tables[name] = {}
             for order in range(ORDER + 1):
                 on = here & (k == order)
