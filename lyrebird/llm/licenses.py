@@ -5,6 +5,13 @@ sets of word bigrams by Dice = 2 |A and B| / (|A| + |B|). Segments of a document
 (between blank lines) and the whole text, where the latter differ from the former; so a notice on a line of
 its own, a licence in a paragraph and a file that is a licence are all found.
 
+Runs. A notice of several paragraphs, or one that shares its line with prose, is no segment. So all stretches of
+a text's words are compared too: of those that match, the one of highest score (then the shortest, the first, the
+first template's) is a run; then the best that shares no word with it, and so on. A run inside a segment that
+matched is that segment's finding and is not repeated. The best stretch from a word on is found by counting, up to
+each end, the bigrams that are new since its start; one that ends or starts with a bigram the template lacks is
+never the best, so only a template's own bigrams start one, and only where the text has t / (2 - t) of them at all.
+
 Size bounds. Dice >= t needs t / (2 - t) <= |A| / |B| <= (2 - t) / t. A segment with fewer words than any template
 could match goes before its bigrams are made, and a template outside the bounds of a segment is not compared.
 Anchors. Within the bounds at least t / (2 - t) of a template's bigrams are shared, so the segment has one of any
@@ -15,16 +22,20 @@ One pass of Arrow batches over (id, text): no join, no shuffle and no group; tem
 
 Defined cases: null and empty texts hold no licence; of two templates with equal scores on a segment the
 first listed is given; repeated rows give their findings each; whole texts are scanned; empty tables give
-empty results. Only the id and text columns are read.
+empty results. Only the id and text columns are read. ``sql`` has the segments; runs are tested by brute force.
 """
 
 from __future__ import annotations
 
+import heapq
 import math
 import re
-from collections import Counter
+from bisect import bisect
+from collections import Counter, defaultdict
 from collections.abc import Iterator, Sequence
+from itertools import accumulate
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -102,6 +113,10 @@ class Templates:
         self.sets = [frozenset(bigrams_of(text)) for _, text in templates]
         self.least = math.ceil(min(len(b) for b in self.sets) * self.ratio - _EPS)
         self.most = math.floor(max(len(b) for b in self.sets) / self.ratio + _EPS)
+        self.holders: dict[tuple[str, ...], list[int]] = defaultdict(list)
+        for k, b in enumerate(self.sets):
+            for pair in b:
+                self.holders[tuple(pair.split())].append(k)
         self.anchors: set[str] = set()
         for b in self.sets:
             # Cover more bigrams than a match may lack by as few and as long words as a greedy choice finds.
@@ -129,8 +144,60 @@ class Templates:
                     found = (k, dice)
         return found
 
+    def runs(self, words: list[str]) -> list[tuple[int, int, int, float]]:
+        """(first word, word after the last, template, dice) of the stretches that match, best first, none sharing a word with another."""
+        pairs = list(zip(words, words[1:]))
+        held = Counter(k for pair in self.holders.keys() & set(pairs) for k in self.holders[pair])
+        near = [k for k, c in held.items() if c >= len(self.sets[k]) * self.ratio - _EPS]
+        if not near:
+            return []
+        before, last = np.empty(len(pairs), np.int64), {}
+        spots: dict[int, list[int]] = {k: [] for k in near}
+        for i, pair in enumerate(pairs):
+            before[i] = last.get(pair, -1)
+            last[pair] = i
+            for k in self.holders.get(pair, ()):
+                if k in spots:
+                    spots[k].append(i)
+        own = {k: np.zeros(len(pairs), bool) for k in near}
+        for k in near:
+            own[k][spots[k]] = True
+
+        def best(start: int, stop: int, k: int) -> tuple[float, int, int, int] | None:
+            """The best stretch of pairs from start that ends before stop, as an entry of the heap."""
+            size, most = len(self.sets[k]), len(self.sets[k]) / self.ratio + _EPS
+            end = start
+            while end < stop:
+                end = min(stop, start + 2 * (end - start) if end > start else start + 4 * size)
+                new = before[start:end] < start
+                n, m = np.cumsum(new), np.cumsum(new & own[k][start:end])
+                if n[-1] > most or m[-1] == held[k]:
+                    break
+            if end == start:
+                return None
+            length = int((2 * m / (n + size)).argmax())
+            dice = round(2 * int(m[length]) / (int(n[length]) + size), 6)
+            return (-dice, length + 2, start, k) if dice >= self.threshold else None
+
+        heap = [x for k in near for at in spots[k] if (x := best(at, len(pairs), k))]
+        heapq.heapify(heap)
+        taken: list[tuple[int, int]] = []
+        out = []
+        while heap:
+            dice, length, start, k = heapq.heappop(heap)
+            i = bisect(taken, (start, len(words)))
+            if i and taken[i - 1][1] > start:
+                continue
+            if i < len(taken) and taken[i][0] < start + length:
+                if again := best(start, taken[i][0] - 1, k):
+                    heapq.heappush(heap, again)
+                continue
+            taken.insert(i, (start, start + length))
+            out.append((start, start + length, k, -dice))
+        return out
+
     def findings(self, text: str | None) -> Iterator[tuple[str, int, int, float]]:
-        """(kind, place, template, dice) of a text's segments."""
+        """(kind, place, template, dice) of a text's segments and runs."""
         if not text or not self.anchored(text.lower()):
             return
         clean = re.sub(r"[^a-z0-9\n]+", " ", text.translate(_LOWER))
@@ -140,17 +207,26 @@ class Templates:
             segments.append(("paragraph", paragraphs))
         if len(paragraphs) > 1:
             segments.append(("document", [clean]))
+        given = []
         for kind, parts in segments:
+            found = []
             for place, part in enumerate(parts):
                 if self.anchored(part) and (hit := self.best(part)):
+                    found.append(place)
                     yield kind, place, *hit
+            if found:
+                ends = list(accumulate(len(part.split()) for part in parts))
+                given += [(ends[place - 1] if place else 0, ends[place]) for place in found]
+        for start, end, k, dice in self.runs(clean.split()):
+            if not any(a <= start and end <= b for a, b in given):
+                yield "run", start, k, dice
 
 
 _LOWER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: Sequence[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """(id_col, kind, place, license, template, dice): for each segment that matches, its best template. place counts the segments of a kind from 0."""
+    """(id_col, kind, place, license, template, dice): for each segment that matches, its best template, and for each run. place counts the segments of a kind from 0; a run's is its first word's."""
     ship(docs.sparkSession)
     kept = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = kept.schema["id"].dataType.simpleString()

@@ -219,6 +219,42 @@ def test_licenses(spark):
         assert (hit[1] if hit else 0) == (plain if plain >= 0.8 else 0)
 
 
+def test_license_runs(spark):
+    mit = next(t for n, t in licenses.TEMPLATES if n == "MIT" and len(t) > 100).replace("conditions: ", "conditions:\n\n").replace("Software. THE", "Software.\n\nTHE")
+    gpl = next(t for n, t in licenses.TEMPLATES if n == "GPL-3.0" and len(t) > 100).replace("version. This", "version.\n\nThis").replace("details. You", "details.\n\nYou")
+    code = "\n\n".join(f"step {i} of the work takes value {i * i} to the next" for i in range(300))
+    docs = [(0, f"Copyright A\n\n{mit}\n\n{code}"), (1, f"{code}\n\n{gpl}\n\n{code}"), (2, "All of this is old work and was released under the MIT License. It is given here in full."), (3, code), (4, f"{mit}\n\n{code}\n\n{gpl}"), (5, mit), (6, f"{mit}\n\n" * 40 + code)]
+    got = sorted((r.doc_id, r.kind, r.place, r.license) for r in licenses.scan(spark.createDataFrame(docs, "doc_id long, text string")).collect() if r.doc_id < 6)
+    # The shortest stretch of a score: "this program is" comes again later in the notice.
+    at = [len(licenses.words_of(x)) + 2 for x in (code, f"{mit} {code}")]
+    assert got == [(0, "run", 2, "MIT"), (1, "run", at[0], "GPL-3.0"), (2, "run", 8, "MIT"), (4, "run", 0, "MIT"), (4, "run", at[1], "GPL-3.0"), (5, "document", 0, "MIT")]
+    assert [(x[0], x[3]) for x in licenses.Templates().findings(docs[6][1])] == [("run", 1.0)] * 40
+
+
+def test_license_runs_against_brute_force():
+    templates = [("A", "a b c d e f g a b"), ("B", "d e f h i"), ("C", "a b c d e x y z a c")]
+    known = licenses.Templates(templates)
+    rng = random.Random(3)
+    some = 0
+    for _ in range(300):
+        words = []
+        while len(words) < 45:
+            part = licenses.words_of(rng.choice(templates)[1])[rng.randint(0, 3) :]
+            words += [w if rng.random() > 0.07 else "q" for w in part] + ["q"] * rng.randint(0, 2)
+        every = []
+        for a in range(len(words)):
+            for b in range(a + 2, len(words) + 1):
+                mine = set(licenses.bigrams_of(" ".join(words[a:b])))
+                every += [(-round(2 * len(mine & t) / (len(mine) + len(t)), 6), b - a, a, k) for k, t in enumerate(known.sets)]
+        want = []
+        for score, size, a, k in sorted(x for x in every if x[0] <= -0.8):
+            if all(a + size <= x[0] or x[1] <= a for x in want):
+                want.append((a, a + size, k, -score))
+        some += len(want)
+        assert known.runs(words) == want
+    assert some > 300
+
+
 @needs_data
 @pytest.mark.parametrize("name", sorted(catalogue.SQL))
 def test_sql(spark, name):
