@@ -4,16 +4,20 @@ Tokens. A page is cut into tags and runs of text. A tag's token is its path of o
 classes; a run's token is its path and its words. Elements that HTML closes by itself (a paragraph at the
 next block, list items, table cells) are closed, unknown end tags are ignored.
 
-Classes. Tokens with the same vector of occurrences over the pages form an equivalence class. A class is
-valid if it occurs on ``SUPPORT`` pages or more, equally often on all pages that have it, and its tokens
-always come in the same order. Valid classes nest: a class lies in the gap of the class whose tokens enclose
-all its occurrences. The template is the nest; a slot is a gap, named by the template tokens to either side.
+Classes. Tags with the same vector of occurrences over the distinct pages form an equivalence class. A class
+is valid if it occurs on ``SUPPORT`` pages or more, equally often on all pages that have it. From the classes on
+most pages down, a valid class joins the nest if its tags come in the same order on all its pages, each in the
+same gap of the classes that are on all those pages; a slot is a gap, named by the tags of the nest to either side.
 
-Slots. Runs that belong to a class outside the article are template and go. Each slot's runs are judged
-together over all pages: by the nearest element that has a role (article and main against menus, headers,
-footers, sidebars, notices, adverts, forms, comments, scripts and styles, by element, class, id and role),
-and where no page of the host has an article or main element, by length and share of links of the slot's
-runs. Hosts with fewer than ``SUPPORT`` pages have no template: their runs are judged by roles alone.
+Template text. A block's text (with the links and emphasis in it) is template if ``SUPPORT`` pages have it at the
+same path; inside an article if ``NEARLY`` all pages have it, and only on ``FIRM`` pages or more, as the element speaks for it. Articles that would lose more than ``COPIES`` words for each word
+left are copies of each other and lose none.
+
+Slots. The nearest element with a role (article and main against menus, headers, footers, sidebars, notices,
+adverts, forms, comments, scripts and styles, by element, class, id and role) decides first: pages with an article
+or main element give its runs, others the runs without a role. Where no page of the host has an article or main
+element, slots that over all pages are mostly links, or short and mostly repeated, go too. Hosts with fewer than
+``SUPPORT`` pages have no template: their runs are judged by roles alone.
 
 Scale. Hosts are dealt into chunks of about ``CHUNK`` pages by a hash of the row, so that a host with a
 third of all pages is many groups; a chunk is all that a task holds at a time.
@@ -37,6 +41,10 @@ from .common import settle, ship
 from .urls import host_of
 
 SUPPORT, CHUNK = 3, 256
+#: Share of the pages that have a template's text; words of template to a word of a page's own, at most.
+NEARLY, COPIES = 0.9, 2
+#: Distinct pages that it takes to call text template against an article element that holds it.
+FIRM = 10
 TOKEN = re.compile(
     r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>"']|"[^"]*"|'[^']*')*+)>|<(?P<end2>/?)(?P<name2>[a-zA-Z][^\s/>]*)(?P<attrs2>[^>]*)>""",
     re.S,
@@ -173,46 +181,63 @@ def parse(page: str) -> tuple[list[tuple[str, int]], list[Run]]:
     return tags, runs
 
 
-def _template(pages: list[tuple[list[tuple[str, int]], list[Run]]]) -> tuple[set[str], list[str]]:
-    """Tokens of valid classes, tags and runs alike, and the tag tokens of the outermost class in their order."""
-    vectors: dict[str, dict[int, int]] = defaultdict(dict)
-    orders: list[dict[str, int]] = []
-    for n, (tags, runs) in enumerate(pages):
-        counts: Counter[str] = Counter(t for t, _ in tags)
-        counts.update(f"{r.path}|{' '.join(r.text.split())}" for r in runs if r.text != " ")
-        for token, c in counts.items():
-            vectors[token][n] = c
-        first: dict[str, int] = {}
-        for k, (t, at) in enumerate(tags):
-            first.setdefault(t, at * 1_000_000 + k)
-        orders.append(first)
-    classes: dict[tuple, list[str]] = defaultdict(list)
+def _blocks(runs: list[Run]) -> list[tuple[str, list[int]]]:
+    """(token, places of its runs) of each block with text: the path of its first run and all its words."""
+    at: dict[int, list[int]] = defaultdict(list)
+    for i, r in enumerate(runs):
+        if r.text != " ":
+            at[r.block].append(i)
+    return [(f"{runs[places[0]].path}|{' '.join(' '.join(runs[i].text for i in places).split())}", places) for places in at.values()]
+
+
+def _template(pages: list[tuple[list[tuple[str, int]], list[Run]]], blocks: list[list[tuple[str, list[int]]]]) -> tuple[list[dict[int, str]], set[str], set[str]]:
+    """For each page the names of the tags in the nest by their index; the tokens of text that is template; those on ``SUPPORT`` pages."""
+    counts = [Counter(t for t, _ in tags) for tags, _ in pages]
+    vectors: dict[str, list[tuple[int, int]]] = defaultdict(list)
+    for n, c in enumerate(counts):
+        for token, k in c.items():
+            vectors[token].append((n, k))
+    classes: dict[tuple[tuple[int, int], ...], set[str]] = defaultdict(set)
     for token, v in vectors.items():
-        if len(v) >= SUPPORT and len(set(v.values())) == 1:
-            classes[tuple(sorted(v.items()))].append(token)
-    valid: set[str] = set()
-    root: list[str] = []
-    for vector, tokens in classes.items():
-        tags = [t for t in tokens if "|" not in t]
-        inside = [n for n, _ in vector]
-        ranked = sorted(tags, key=lambda t: orders[inside[0]].get(t, 0))
-        if all(all(orders[n].get(a, 0) <= orders[n].get(b, 0) for a, b in zip(ranked, ranked[1:])) for n in inside[1:]):
-            valid.update(tokens)
-            if len(vector) == len(pages) and vector[0][1] == 1 and len(ranked) > len(root):
-                root = ranked
-    return valid, root
-
-
-def _slots(page: tuple[list[tuple[str, int]], list[Run]], valid: set[str], root: set[str]) -> list[str]:
-    """The slot of each run: the last token of the outermost class before it, and the run's own template path."""
+        if len(v) >= SUPPORT and len({k for _, k in v}) == 1:
+            classes[tuple(v)].add(token)
+    nest: list[dict[int, str]] = [{} for _ in pages]
+    broader: list[tuple[set[int], set[str]]] = []
+    # A class joins the nest if each of its tags lies in one gap of the classes on all its pages or more.
+    for k, (vector, tokens) in enumerate(sorted(classes.items(), key=lambda x: (-len(x[0]), x[0][0][1], -len(x[1])))):
+        inside = {n for n, _ in vector}
+        above = set().union(*(names for on, names in broader if inside <= on))
+        shape, here = None, {}
+        for n in inside:
+            gap, order, mine = "", [], {}
+            for i, (t, _) in enumerate(pages[n][0]):
+                if t in tokens:
+                    order.append((gap, t))
+                    mine[i] = f"{k}.{len(order)}"
+                elif nest[n].get(i) in above:
+                    gap = nest[n][i]
+            shape = shape or order
+            if order != shape:
+                break
+            here[n] = mine
+        else:
+            for n, mine in here.items():
+                nest[n].update(mine)
+            broader.append((inside, set().union(*(m.values() for m in here.values()))))
+    held: Counter[str] = Counter(t for page in blocks for t in {t for t, _ in page})
+    often = {t for t, c in held.items() if c >= SUPPORT}
+    return nest, {t for t in often if held[t] >= NEARLY * len(pages)}, often
+
+
+def _slots(page: tuple[list[tuple[str, int]], list[Run]], nest: dict[int, str]) -> list[tuple[str, str]]:
+    """The slot of each run: the tags of the nest to either side."""
     tags, runs = page
-    out, k, gap = [], 0, ""
-    for i, run in enumerate(runs):
-        while k < len(tags) and tags[k][1] <= i:
-            if tags[k][0] in root:
-                gap = tags[k][0]
+    marks = [(tags[i][1], name) for i, name in sorted(nest.items())]
+    out, k = [], 0
+    for i in range(len(runs)):
+        while k < len(marks) and marks[k][0] <= i:
             k += 1
-        out.append(f"{gap}|{run.path if run.path in valid else ''}")
+        out.append((marks[k - 1][1] if k else "", marks[k][1] if k < len(marks) else ""))
     return out
 
 
@@ -223,42 +248,47 @@ def extract(pages: list[str | None]) -> list[str]:
         if p and p not in parsed:
             parsed[p] = parse(p)
     distinct = list(parsed.values())
-    valid, root = _template(distinct) if len(distinct) >= SUPPORT else (set(), [])
-    rooted = set(root)
-    slots = {p: _slots(x, valid, rooted) for p, x in parsed.items()}
-    # Evidence on each slot over all pages: words, runs and words in links, by role.
-    seen: dict[str, list[int]] = defaultdict(lambda: [0, 0, 0])
-    roles: dict[str, Counter[int]] = defaultdict(Counter)
+    blocks = [_blocks(runs) for _, runs in distinct]
+    known = len(distinct) >= SUPPORT
+    nest, template, often = _template(distinct, blocks) if known else ([{}] * len(distinct), set(), set())
+    slots = [_slots(x, names) for x, names in zip(distinct, nest)]
+    # Evidence on each slot over all pages: words, runs, words in links and words of repeated blocks.
+    seen: dict[tuple[str, str], list[int]] = defaultdict(lambda: [0, 0, 0, 0])
     any_main = any(r.role == 1 and r.text != " " for _, runs in distinct for r in runs)
-    for p, (_, runs) in parsed.items():
-        for slot, r in zip(slots[p], runs):
-            if r.text != " ":
-                words = len(r.text.split())
-                s = seen[slot]
+    for (_, runs), places, mine in zip(distinct, blocks, slots):
+        for token, at in places:
+            for i in at:
+                words = len(runs[i].text.split())
+                s = seen[mine[i]]
                 s[0] += words
                 s[1] += 1
-                s[2] += words * r.link
-                roles[slot][r.role] += words
-    wordy = {s for s, (words, count, linked) in seen.items() if words >= 5 * count and 2 * linked < words}
-    out = []
-    for p in pages:
-        if not p:
-            out.append("")
-            continue
-        runs = parsed[p][1]
+                s[2] += words * runs[i].link
+                s[3] += words * (token in often)
+    poor = {s for s, (words, count, linked, repeated) in seen.items() if 2 * linked >= words or words < 5 * count and 2 * repeated >= words}
+    texts = {}
+    for p, (_, runs), places, mine in zip(parsed, distinct, blocks, slots):
         has_main = any(r.role == 1 and r.text != " " for r in runs)
-        if has_main:
-            kept = [r for r in runs if r.role == 1]
-        else:
-            plain = [(s, r) for s, r in zip(slots[p], runs) if r.role == 0 and (r.text == " " or f"{r.path}|{' '.join(r.text.split())}" not in valid)]
-            # Slots that are short or all links on the whole host hold no article; without a template, every slot may.
-            kept = [r for s, r in plain if not valid or any_main or s in wordy or r.text == " " or re.search(r">h[1-6]\b", r.path)]
-        blocks: dict[int, list[str]] = {}
-        for r in kept:
-            blocks.setdefault(r.block, []).append(_html.unescape(r.text) if "&" in r.text else r.text)
-        texts = (" ".join("".join(b).split()) for b in blocks.values())
-        out.append("\n\n".join(t for t in texts if t))
-    return out
+        kept = {i for i, r in enumerate(runs) if r.role == has_main}
+        if known and not has_main and not any_main:
+            # Slots that are short and repeated or all links on the whole host hold no article.
+            kept = {i for i in kept if runs[i].text == " " or mine[i] not in poor or re.search(r">h[1-6]\b", runs[i].path)}
+        repeated, own = [], 0
+        for token, at in places:
+            at = [i for i in at if i in kept]
+            if token in (template if has_main else often) and (not has_main or len(distinct) >= FIRM):
+                repeated += at
+            else:
+                own += sum(len(runs[i].text.split()) for i in at)
+        # Where little else would be left, the pages are copies of each other, and what they share is their text.
+        if not has_main or sum(len(runs[i].text.split()) for i in repeated) <= COPIES * own:
+            kept.difference_update(repeated)
+        out: dict[int, list[str]] = {}
+        for i in sorted(kept):
+            r = runs[i]
+            out.setdefault(r.block, []).append(_html.unescape(r.text) if "&" in r.text else r.text)
+        joined = (" ".join("".join(b).split()) for b in out.values())
+        texts[p] = "\n\n".join(t for t in joined if t)
+    return [texts[p] if p else "" for p in pages]
 
 
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

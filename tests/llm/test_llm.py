@@ -373,6 +373,24 @@ def test_html_template_without_roles():
     assert html.extract([body(t) for t in texts]) == texts
 
 
+def test_html_template_inside_article():
+    body = lambda k: f"<html><body><nav>Home</nav><article><h1>Title {k}</h1><p><b>Note:</b> text {k} is long enough to be some text {k * k}.</p><div>Sign up <a href=x>here</a> for more</div><p>End of {k}.</p></article></body></html>"
+    want = lambda k: f"Title {k}\n\nNote: text {k} is long enough to be some text {k * k}.\n\nEnd of {k}."
+    assert html.extract([body(k) for k in range(12)]) == [want(k) for k in range(12)]
+    plain = [body(k).replace("article", "div") for k in range(12)]
+    assert html.extract(plain) == [want(k) for k in range(12)]
+
+
+def test_html_nest():
+    page = lambda k: f"<div class=a><p>{k}</p></div>" + "<div class=b><i>x</i></div>" * (k % 2) + f"<div class=c>{k}</div>"
+    pages = [html.parse(page(k)) for k in range(8)]
+    nest, _, _ = html._template(pages, [html._blocks(runs) for _, runs in pages])
+    slots = [html._slots(x, names) for x, names in zip(pages, nest)]
+    # The optional class lies in one gap of the outer one, so its slot has a name of its own and the others keep theirs.
+    assert {len(s) for s in slots[::2]} == {2} and {len(s) for s in slots[1::2]} == {3}
+    assert len({s[0] for s in slots}) == len({s[-1] for s in slots}) == len({s[1] for s in slots[1::2]}) == 1 and len({x for s in slots for x in s}) == 3
+
+
 def test_html_rows(spark):
     pages = spark.createDataFrame([(1, "http://a/1", PAGE.format("A")), (1, "http://a/1", PAGE.format("A")), (2, None, None), (3, "x", "")], "page_id long, url string, html string")
     rows = html.main_text(pages).collect()
