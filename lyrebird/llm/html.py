@@ -9,8 +9,9 @@ is valid if it occurs on ``SUPPORT`` pages or more, equally often on all pages t
 most pages down, a valid class joins the nest if its tags come in the same order on all its pages, each in the
 same gap of the classes that are on all those pages; a slot is a gap, named by the tags of the nest to either side.
 
-Template text. A block's text (with the links and emphasis in it) is template if ``SUPPORT`` pages have it at the
-same path; inside an article if ``NEARLY`` all pages have it, and only on ``FIRM`` pages or more, as the element speaks for it. Articles that would lose more than ``COPIES`` words for each word
+Template text. A block's text (with the links and emphasis in it) is template if ``NEARLY`` all pages of the host
+have it at the same path; inside an article only on ``FIRM`` pages or more, as the element speaks for it. Text that fewer pages share stays: shared passages and copies of
+an article look the same as an optional notice. Pages that would lose more than ``COPIES`` words for each word
 left are copies of each other and lose none.
 
 Slots. The nearest element with a role (article and main against menus, headers, footers, sidebars, notices,
@@ -275,12 +276,12 @@ def extract(pages: list[str | None]) -> list[str]:
         repeated, own = [], 0
         for token, at in places:
             at = [i for i in at if i in kept]
-            if token in (template if has_main else often) and (not has_main or len(distinct) >= FIRM):
+            if token in template and (not has_main or len(distinct) >= FIRM):
                 repeated += at
             else:
                 own += sum(len(runs[i].text.split()) for i in at)
         # Where little else would be left, the pages are copies of each other, and what they share is their text.
-        if not has_main or sum(len(runs[i].text.split()) for i in repeated) <= COPIES * own:
+        if sum(len(runs[i].text.split()) for i in repeated) <= COPIES * own:
             kept.difference_update(repeated)
         out: dict[int, list[str]] = {}
         for i in sorted(kept):

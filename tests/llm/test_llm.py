@@ -381,6 +381,18 @@ def test_html_template_inside_article():
     assert html.extract(plain) == [want(k) for k in range(12)]
 
 
+def test_html_shared_passages():
+    shared = "This passage of some length was taken over by a few of the pages of the host."
+    page = lambda k: f"<html><body><div><a href=1>Home</a> <a href=2>About</a></div><div><p>Page {k} opens with words of its own, {k * k} of them.</p>{f'<p>{shared}</p>' if k < 4 else ''}<p>It ends with other words, number {k}.</p></div></body></html>"
+    got = html.extract([page(k) for k in range(12)])
+    assert [shared in t for t in got] == [k < 4 for k in range(12)] and all(f"number {k}." in t and "Home" not in t for k, t in enumerate(got))
+    long = "\n".join(f"<p>Paragraph {i} of the article that three pages hold has quite a few words.</p>" for i in range(6))
+    copies = html.extract([f"<html><body><div>{long}<p>Only this sentence, number {k}, is the page's own.</p></div></body></html>" for k in "abc"])
+    assert all(t.count("Paragraph") == 6 and f"number {k}," in t for k, t in zip("abc", copies))
+    inline = html.extract([f"<html><body><div><p><b>Note:</b> the page {k} has words of its own here.</p></div></body></html>" for k in range(5)])
+    assert inline == [f"Note: the page {k} has words of its own here." for k in range(5)]
+
+
 def test_html_nest():
     page = lambda k: f"<div class=a><p>{k}</p></div>" + "<div class=b><i>x</i></div>" * (k % 2) + f"<div class=c>{k}</div>"
     pages = [html.parse(page(k)) for k in range(8)]
