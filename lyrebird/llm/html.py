@@ -64,6 +64,7 @@ OUT = {
     "title", "object", "canvas", "audio", "video", "map", "fieldset", "input", "noembed", "noframes", "xmp", "math-hidden",
 }
 MAIN = {"article", "main"}
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 HINTS = {
     "nav", "navbar", "navigation", "menu", "menus", "breadcrumb", "breadcrumbs", "header", "masthead", "footer", "sidebar", "sidebars", "aside", "complementary", "contentinfo",
     "ad", "ads", "advert", "adverts", "advertisement", "advertisements", "advertising", "adsense", "sponsor", "sponsored", "promo", "promos", "promotion", "banner", "cookie", "cookies",
@@ -83,8 +84,8 @@ class Run:
         self.text, self.path, self.role, self.block, self.link = text, path, role, block, link
 
 
-def _role(name: str, attrs: str) -> tuple[int, str]:
-    """What an element says about the text in it, and its classes for the path."""
+def _role(name: str, attrs: str, inside: bool = False) -> tuple[int, str]:
+    """What an element says about the text in it, and its classes for the path; inside says that it is in an article."""
     if not attrs.strip():
         return (1 if name in MAIN else -1 if name in OUT else 0), ""
     words: set[str] = set()
@@ -97,7 +98,10 @@ def _role(name: str, attrs: str) -> tuple[int, str]:
         elif key == "hidden":
             hidden = True
         else:
-            words.update(w.lower() for w in WORD.findall(value))
+            found = [w.lower() for w in WORD.findall(value)]
+            # In an article ids and labels are made from the words of headings.
+            if not (inside and key in ("id", "aria-label") and (len(found) > 1 or name in HEADINGS)):
+                words.update(found)
             if key != "id" and key != "aria-label":
                 shown += "." + value.strip()
     if hidden:
@@ -164,7 +168,7 @@ def parse(page: str) -> tuple[list[tuple[str, int]], list[Run]]:
             if stack[k][0] in closing:
                 pop(k)
                 break
-        own, shown = _role(name, attrs)
+        own, shown = _role(name, attrs, role == 1)
         here = f"{path}>{name}{shown}"
         tags.append((here, len(runs)))
         if name == "br":

@@ -403,6 +403,11 @@ def test_html_nest():
     assert len({s[0] for s in slots}) == len({s[-1] for s in slots}) == len({s[1] for s in slots[1::2]}) == 1 and len({x for s in slots for x in s}) == 3
 
 
+def test_html_anchors_in_article():
+    page = '<main><h2 id="related-work">Related work</h2><p>A</p><h2 id="notice">Notice</h2><section id="search-results-explained" aria-label="Search results"><p>B</p></section><div class="related-posts">C</div><div id="comments">D</div></main><div id="search-box">E</div>'
+    assert html.extract([page]) == ["Related work\n\nA\n\nNotice\n\nB"]
+
+
 def test_html_rows(spark):
     pages = spark.createDataFrame([(1, "http://a/1", PAGE.format("A")), (1, "http://a/1", PAGE.format("A")), (2, None, None), (3, "x", "")], "page_id long, url string, html string")
     rows = html.main_text(pages).collect()
