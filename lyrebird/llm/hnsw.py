@@ -7,8 +7,9 @@ so that each pair of vectors meets in exactly one search and no link can be coun
 
 A search follows beams through the graph, many queries abreast. Its beam widens by rungs: a query goes on to
 the next rung while all of its beam is within the threshold, and all queries of a search go on while a
-recall audit, against an exact scan for evenly spaced queries, stays below ``recall``. On the last rung the
-beam is the whole shard. Links are kept at a cosine, in double precision, of the threshold or more.
+recall audit, against an exact scan for evenly spaced queries, stays below ``recall``. A node that finds itself
+is no evidence, and fewer than 1 / (1 - recall) true links cannot show the recall: without as many in the audit a
+rung is not taken. On the last rung the beam is the whole shard. Links are kept at a cosine, in double precision, of the threshold or more.
 
 A search returns one row for each node that has links in it: how many vectors it links to there and the
 least node connected to it there. So a clique of copies costs a row for each member, not for each pair.
@@ -21,6 +22,7 @@ columns named are read.
 
 from __future__ import annotations
 
+import math
 import pickle
 from collections.abc import Iterator
 
@@ -179,14 +181,19 @@ class Graph:
         return self.beam(q, near, width, 0)
 
 
-def links(graph: Graph, q: np.ndarray, threshold: float, recall: float, rungs: tuple[int, ...] = RUNGS) -> tuple[np.ndarray, np.ndarray]:
-    """(row of q, node): all pairs found with a cosine of the threshold or more."""
+def links(graph: Graph, q: np.ndarray, threshold: float, recall: float, rungs: tuple[int, ...] = RUNGS, own: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """(row of q, node): all pairs found with a cosine of the threshold or more; own says that q are the nodes themselves."""
     n = len(graph.x)
     audit = np.unique(np.linspace(0, len(q) - 1, min(len(q), AUDITED)).astype(int))
-    true = (q[audit] @ graph.x.T >= threshold).sum(1)
+    near = q[audit] @ graph.x.T >= threshold
+    if own:
+        near[np.arange(len(audit)), audit] = False
+    true = near.sum(1)
+    least = math.ceil(1 / (1 - recall) - 1e-9) if recall < 1 else math.inf
     found_a, found_b, todo = [], [], np.arange(len(q))
     for width in rungs:
-        if width * 8 >= n or not len(todo):
+        # No rung can be shown to do where all queries that are left hold too few links.
+        if width * 8 >= n or not len(todo) or true[np.isin(audit, todo)].sum() < least:
             break
         left, hits = [], np.zeros(len(q), int)
         part_a, part_b = [], []
@@ -194,7 +201,7 @@ def links(graph: Graph, q: np.ndarray, threshold: float, recall: float, rungs: t
             rows = todo[at : at + 512]
             ids, sims = graph.nearest(q[rows], width)
             good = (sims >= threshold) & (ids >= 0)
-            hits[rows] = good.sum(1)
+            hits[rows] = (good & (ids != rows[:, None]) if own else good).sum(1)
             full = good.all(1)
             left.append(rows[full])
             r, k = np.nonzero(good & ~full[:, None])
@@ -202,7 +209,7 @@ def links(graph: Graph, q: np.ndarray, threshold: float, recall: float, rungs: t
         wider = np.concatenate(left)
         # The audit is over the audited queries that end on this rung.
         ended = np.isin(audit, np.setdiff1d(todo, wider))
-        if hits[audit[ended]].sum() < recall * true[ended].sum():
+        if hits[audit[ended]].sum() < recall * true[ended].sum() or true[ended].sum() < least:
             continue
         found_a += part_a
         found_b += part_b
@@ -246,7 +253,7 @@ def _search(batches: Iterator[pa.RecordBatch], threshold: float, recall: float)
             graph = Graph.__new__(Graph)
             graph.x = x
             graph.layers, graph.entry = pickle.loads(row["graph"])
-            a, b = links(graph, q, threshold, recall)
+            a, b = links(graph, q, threshold, recall, own=row["own"])
             if row["own"]:
                 # Both directions were searched: take each pair once.
                 a, b = np.divmod(np.unique(np.minimum(a, b)[a != b] * len(x) + np.maximum(a, b)[a != b]), len(x))

@@ -446,6 +446,39 @@ def test_hnsw_graph_recall():
     assert np.mean([len(set(a) & set(b.tolist())) / 5 for a, b in zip(ids.tolist(), true)]) > 0.9
 
 
+def test_hnsw_rare_links_are_not_left_to_a_blind_audit():
+    class Blind:
+        """A graph whose searches find the query itself, if it is a node, and nothing else."""
+
+        def __init__(self, x):
+            self.x = x
+
+        def nearest(self, q, width):
+            sims, ids = np.full((len(q), width), -np.inf), np.full((len(q), width), -1)
+            near = q @ self.x.T
+            own = near.max(1) > 1 - 1e-9
+            ids[own, 0], sims[own, 0] = near[own].argmax(1), 1.0
+            return ids, sims
+
+    rng = np.random.default_rng(8)
+    unit = lambda v: v / np.linalg.norm(v, axis=1, keepdims=True)
+    x, q = unit(rng.normal(size=(1000, 32))), unit(rng.normal(size=(1000, 32)))
+    audited = np.linspace(0, 999, hnsw.AUDITED).astype(int)
+    rare = np.setdiff1d(np.arange(1000), audited)[[3, 400, 800]]
+    q[rare] = unit(x[[5, 6, 7]] + 0.001 * rng.normal(size=(3, 32)))
+    a, b = hnsw.links(Blind(x), q, 0.98, 0.99)
+    assert sorted(zip(a.tolist(), b.tolist())) == sorted(zip(rare.tolist(), [5, 6, 7]))
+    x[rare] = unit(x[audited[:3]] + 0.001 * rng.normal(size=(3, 32)))
+    # In the own shard self matches alone show nothing, and links of three of the audited are too few.
+    a, b = hnsw.links(Blind(x), x, 0.98, 0.99, own=True)
+    assert {(i, j) for i, j in zip(a.tolist(), b.tolist()) if i < j} == {tuple(sorted(p)) for p in zip(rare.tolist(), audited[:3].tolist())}
+    # Many links that the search finds are evidence, and the scan of the whole shard is not needed.
+    centre = unit(np.repeat(rng.normal(size=(100, 32)), 10, 0) + 0.01 * rng.normal(size=(1000, 32)))
+    graph = hnsw.Graph(centre)
+    a, _ = hnsw.links(graph, centre, 0.98, 0.99, own=True)
+    assert len(a) >= 0.99 * (centre @ centre.T >= 0.98).sum()
+
+
 # The pipeline
 
 
