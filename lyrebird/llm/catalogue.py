@@ -27,7 +27,8 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    judged, perplexity, keep = quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    judged, perplexity, keep = quality.classify(docs, table(spark, sf_dir, "labels"))
     return judged.select("doc_id", "lang", F.col(perplexity).alias("perplexity"), F.col(keep).alias("keep"))
 
 

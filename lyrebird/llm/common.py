@@ -47,6 +47,19 @@ def settle(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def settle_bucketed(df: DataFrame, key: str) -> DataFrame:
+    """``settle`` that deals the files into buckets by ``key``, as many as shuffles have partitions: what groups or joins
+    the result by it moves no row of it. The table is in the catalog only until it is read."""
+    spark = df.sparkSession
+    name = f"lyrebird_{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/lyrebird-{spark.sparkContext.applicationId}/{name}"
+    df.write.format("parquet").bucketBy(conf_int(spark, "spark.sql.shuffle.partitions", 200), key).option("path", path).saveAsTable(name)
+    out = spark.table(name)
+    out.schema  # resolved before the name goes; an external table's files stay
+    spark.sql(f"DROP TABLE {name}")
+    return out
+
+
 def sweep(spark: SparkSession) -> None:
     """Delete every settled table of this application; results that still read them become unusable."""
     context = spark.sparkContext

@@ -3,26 +3,28 @@
 Symbols. A text is its code points with every run of white space one space. Code points below 2048 stand for
 themselves, the others for one of 2047 classes by a hash, so a symbol has 12 bits and five fit a long.
 
-Training. Each task counts the 5-grams of its trusted texts in numpy, and the counts are summed by Spark.
-Lower orders count the distinct symbols before an n-gram. Discounts D1, D2 and D3+ come from the counts of
-counts of each language and order. Probabilities follow from joins of n-gram, context and lower-order
-tables, all sharded by (language, n-gram). The model is a table of log probabilities of the n-grams seen and
-of log weights of their contexts. One fifth of the trusted texts, by a checksum, is held out.
-
-Scoring. The model is cut into shards of at most ``SHARD`` rows by the two symbols before the predicted one,
-so that whatever the probability of a symbol needs (its n-grams of order 3 to 5 and their contexts) is in one
-shard; orders 1 and 2 are in all. Documents are joined to one broadcast shard after another, and each adds
-the log probabilities of the symbols it is responsible for: no text is shuffled, and what is broadcast at a
-time is bounded however large the corpus. A document's perplexity is exp of minus the mean log probability,
-where ``PRIOR`` symbols of the language's mean are added so that very short texts are not judged by chance.
-
-Decision. The threshold is a quantile of the held-out perplexities of the language, raised by ``slack`` in the
+Models. There is one for each language of the trusted texts and a pooled one of them all, for documents whose
+language has none. One fifth of the trusted texts, by a checksum, is held out. Each task counts the 5-grams of its
+texts in numpy and Spark sums the counts. They are sharded by the two symbols before the last: an n-gram of order
+3 to 5, its context and all it backs off to down to order 3 lie in one shard, where lower orders count the distinct
+symbols before an n-gram. Orders 1 and 2, and the discounts D1, D2 and D3+ of every order, come from what the
+shards count together: at most 4096 ** 2 pairs for a model.
+
+Scoring by count joins. Documents are read once and packed into blocks of about ``BLOCK`` bytes of text, compressed;
+beside each block stand the distinct 5-grams of its documents, by model and shard. These are joined with the counts
+of their shard, where the probability of each 5-gram is worked out, and come back to their block as log
+probabilities, which the documents of the block add up. A join task holds one shard of at most about ``TRAINED``
+n-grams and ``ASKED`` n-grams to look up; a shard that more is asked of is dealt to several tasks. Packed texts are
+written bucketed by block, so they are not shuffled at all. A document's perplexity is exp of minus the mean log
+probability, where ``PRIOR`` symbols of the model's mean are added so that very short texts are not judged by chance.
+
+Decision. The threshold is a quantile of the held-out perplexities under the model, raised by ``slack`` in the
 logarithm; a document above it is rejected. Perplexities are summed up in steps of a thousandth of their
 logarithm, so quantiles are exact to that and need no list of documents. There is no lower threshold: the
 texts that the model was trained on are more predictable than any others, and are trusted.
 
-Defined cases: a null language is a language of its own; null and empty texts have no perplexity and are
-kept, as are documents of a language without held-out trusted texts (nothing speaks against them); texts
+Defined cases: a null language, or one without held-out trusted texts, is judged by the pooled model; null and
+empty texts have no perplexity and are kept; without any held-out trusted text all is kept; texts
 labelled twice are trusted only if all labels say so; rows with a null id are never trusted; repeated rows
 are judged alike; whole texts are read; empty tables give empty results. All columns of the documents are
 kept as they are; names of the added columns are given extra underscores where they clash.
@@ -35,20 +37,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import parts
-from .common import settle, ship
+from .common import settle, settle_bucketed, ship
 
 ORDER, BITS = 5, 12
 SYMBOLS = 1 << BITS
-#: Model rows that are broadcast at a time.
-SHARD = 4_000_000
-#: Shards whose searches run in one Spark stage; then the documents are written out once.
-ABREAST = 4
+#: The model of all trusted texts; the others are named "=" and their language.
+POOLED = "*"
+#: Distinct n-grams of a model's shard, n-grams looked up in a shard by one task, and bytes of text in a block; about.
+TRAINED, ASKED, BLOCK = 1_000_000, 8_000_000, 32 << 20
 #: Trusted ids (8 bytes each) up to which they are broadcast instead of joined by shuffle.
-IDS = 4_000_000
+IDS = 1_000_000
 PRIOR = 64
 QUANTILE, SLACK = 0.995, 0.05
 FLUSH = 1_500_000
@@ -85,260 +88,323 @@ def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return key[keep], sizes
 
 
-def _bounded(batches: Iterator[pa.RecordBatch], text_at: int) -> Iterator[pa.RecordBatch]:
-    """Slices of about AT_A_TIME bytes of text, one row at least."""
-    for batch in batches:
-        yield from (batch.slice(a, b - a) for a, b in parts(batch.column(text_at)))
+def tail(key: np.ndarray, k: int) -> np.ndarray:
+    """The last k symbols of n-grams."""
+    return key & ((1 << BITS * k) - 1)
+
+
+def _by_model(models: list[str], texts: list[str | None]) -> Iterator[tuple[str, list[int]]]:
+    rows: dict[str, list[int]] = {}
+    for i, (m, t) in enumerate(zip(models, texts)):
+        if t:
+            rows.setdefault(m, []).append(i)
+    yield from rows.items()
 
 
 def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     unique, back = np.unique(keys, return_inverse=True)
-    return unique, np.bincount(back, counts).astype(np.int64)
+    return unique, np.bincount(back, counts, len(unique)).astype(np.int64)
+
+
+# Training
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: dict[str | None, list[tuple[np.ndarray, np.ndarray]]] = {}
+    """(model, g, c) from (model, text): counts of 5-grams, summed while they fit."""
+    held: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
     size = 0
 
+    def merge() -> int:
+        for model, got in held.items():
+            held[model] = [_summed(np.concatenate([p[0] for p in got]), np.concatenate([p[1] for p in got]))]
+        return sum(len(p[0][0]) for p in held.values())
+
     def flush() -> Iterator[pa.RecordBatch]:
-        for lang, parts in held.items():
-            keys, counts = _summed(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))
+        merge()
+        for model, ((keys, counts),) in held.items():
             for i in range(0, len(keys), 100_000):
                 n = len(keys[i : i + 100_000])
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * n, pa.string()), pa.array(keys[i : i + n]), pa.array(counts[i : i + n])], names=["lang", "g", "c"])
+                names = pa.array([model] * n, pa.string())
+                yield pa.RecordBatch.from_arrays([names, pa.array(keys[i : i + n]), pa.array(counts[i : i + n])], names=["model", "g", "c"])
         held.clear()
 
-    for batch in _bounded(batches, 1):
-        langs, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-        for lang in set(langs):
-            keys, _ = grams([t for t, x in zip(texts, langs) if x == lang and t])
-            unique, counts = np.unique(keys, return_counts=True)
-            held.setdefault(lang, []).append((unique, counts))
-            size += len(unique)
-        if size > FLUSH:
-            for lang, parts in held.items():
-                held[lang] = [_summed(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))]
-            size = sum(len(p[0][0]) for p in held.values())
-            if size > FLUSH // 2:
+    for batch in batches:
+        for a, b in parts(batch.column(1)):
+            models, texts = batch.column(0).slice(a, b - a).to_pylist(), batch.column(1).slice(a, b - a).to_pylist()
+            for model, rows in _by_model(models, texts):
+                unique, counts = np.unique(grams([texts[i] for i in rows])[0], return_counts=True)
+                held.setdefault(model, []).append((unique, counts))
+                size += len(unique)
+            if size > FLUSH and (size := merge()) > FLUSH // 2:
                 yield from flush()
                 size = 0
     yield from flush()
 
 
-def train(texts: DataFrame) -> DataFrame:
-    """(lang, k, g, value, weight) from texts (lang, text): log probability of n-gram g of order k if it was seen,
-    and the log weight that g, as a context of order k + 1, leaves to shorter ones. Order 0 has the empty context."""
+def shard_of(key: np.ndarray, shards: int) -> np.ndarray:
+    """Shard of 5-grams by the two symbols before the last."""
+    return ((tail(key >> BITS, 2) * 0x9E3779B1) & 0xFFFFFFFF) * shards >> 32
+
+
+def _shard_column(g: Column, shards: int) -> Column:
+    pair = F.shiftright(g, BITS).bitwiseAND(F.lit((1 << 2 * BITS) - 1))
+    return F.shiftright((pair * F.lit(0x9E3779B1)).bitwiseAND(F.lit(0xFFFFFFFF)) * F.lit(shards), 32).cast("int")
+
+
+def _tally(counts: np.ndarray) -> list[int]:
+    return [int((counts == i).sum()) for i in range(1, 5)]
+
+
+def _levels(g: np.ndarray, c: np.ndarray) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """By order from 5 to 2: the n-grams, sorted, with counts (of occurrences, below of distinct symbols before)."""
+    levels = {ORDER: (g, c)}
+    for k in range(ORDER - 1, 1, -1):
+        levels[k] = np.unique(tail(levels[k + 1][0], k), return_counts=True)
+    return levels
+
+
+SHARD_ROWS = "model string, shard int, g binary, c binary, tallies array<long>, pairs binary, befores binary"
+
+
+def _shard_row(key: tuple, group: pa.Table) -> pa.Table:
+    g, c = group.column("g").to_numpy(), group.column("c").to_numpy()
+    order = np.argsort(g)
+    g, c = g[order], c[order]
+    levels = _levels(g, c)
+    pairs, befores = levels[2]
+    row = {
+        "model": key[0].as_py(), "shard": key[1].as_py(), "g": g.tobytes(), "c": c.tobytes(), "tallies": [x for k in (3, 4, 5) for x in _tally(levels[k][1])],
+        "pairs": pairs.tobytes(), "befores": befores.astype(np.int64).tobytes(),
+    }
+    kinds = [pa.string(), pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.binary(), pa.binary()]
+    return pa.Table.from_pylist([row], schema=pa.schema(list(zip(row, kinds))))
+
+
+def discounts(n: list[int]) -> list[float]:
+    """D1, D2 and D3+ from how many n-grams have a count of 1, 2, 3 and 4."""
+    y = n[0] / (n[0] + 2 * n[1]) if n[0] else 0.0
+    raw = [i - (i + 1) * y * n[i] / n[i - 1] if n[i - 1] else 0.5 * i for i in (1, 2, 3)]
+    return [min(float(i), max(0.01, d)) for i, d in enumerate(raw, 1)]
+
+
+def _left(counts: np.ndarray, d: list[float]) -> np.ndarray:
+    return np.minimum(np.array(d)[np.minimum(counts, 3) - 1], counts)
+
+
+LOWER_ROWS = "model string, cuts array<double>, one binary, weight binary, pairs binary, two binary"
+
+
+def _lower_row(key: tuple, group: pa.Table) -> pa.Table:
+    """Orders 1 and 2 of a model, and the discounts of orders 3 to 5, from what its shards count."""
+    tallies = np.array(group.column("tallies").to_pylist(), np.int64).sum(0).reshape(3, 4).tolist()
+    whole = lambda c: np.concatenate([np.frombuffer(x, np.int64) for x in group.column(c).to_pylist()])
+    pairs, counts = _summed(whole("pairs"), whole("befores"))
+    singles, befores = np.unique(tail(pairs, 1), return_counts=True)
+    d = _left(befores, discounts(_tally(befores)))
+    one = np.full(SYMBOLS, d.sum() / befores.sum() / SYMBOLS)
+    one[singles] += (befores - d) / befores.sum()
+    d = _left(counts, discounts(_tally(counts)))
+    context = pairs >> BITS
+    total, left = np.bincount(context, counts, SYMBOLS), np.bincount(context, d, SYMBOLS)
+    weight = np.divide(left, total, out=np.ones(SYMBOLS), where=total > 0)
+    two = (counts - d) / total[context] + weight[context] * one[tail(pairs, 1)]
+    cuts = [x for n in tallies for x in discounts(n)]
+    row = {"model": key[0].as_py(), "cuts": cuts, "one": one.tobytes(), "weight": weight.tobytes(), "pairs": pairs.tobytes(), "two": two.tobytes()}
+    kinds = [pa.string(), pa.list_(pa.float64()), *[pa.binary()] * 4]
+    return pa.Table.from_pylist([row], schema=pa.schema(list(zip(row, kinds))))
+
+
+def train(texts: DataFrame) -> tuple[DataFrame, int]:
+    """The shards of all models from texts (lang, text), a row each, and the number of shards that a model has."""
     ship(texts.sparkSession)
-    counted = settle(texts.mapInArrow(_count, "lang string, g long, c long").groupBy("lang", "g").agg(F.sum("c").alias("c")))
-    levels = {ORDER: counted}
-    for k in range(ORDER - 1, 0, -1):
-        levels[k] = levels[k + 1].groupBy("lang", (F.col("g").bitwiseAND(F.lit((1 << BITS * k) - 1))).alias("g")).agg(F.count("*").alias("c"))
-    lower, model = None, None
-    for k in range(1, ORDER + 1):
-        n = [F.count_if(F.col("c") == i).cast("double") for i in range(1, 5)]
-        seen = levels[k]
-        tally = seen.groupBy("lang").agg(*[x.alias(f"n{i}") for i, x in enumerate(n, 1)])
-        y = F.col("n1") / (F.col("n1") + 2 * F.col("n2"))
-        cut = lambda i: F.greatest(F.lit(0.0), F.least(F.lit(float(i)), F.coalesce(F.lit(float(i)) - (i + 1) * y * F.try_divide(F.col(f"n{i + 1}"), F.col(f"n{i}")), F.lit(0.5 * i))))
-        discounts = tally.select("lang", *[F.greatest(cut(i), F.lit(0.01)).alias(f"d{i}") for i in (1, 2, 3)])
-        # One row for each language: broadcast by Spark's own size check or joined by shuffle.
-        cutted = seen.join(discounts, seen["lang"].eqNullSafe(discounts["lang"])).drop(discounts["lang"])
-        d = F.when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d3"))
-        rows = cutted.select("lang", "g", F.shiftright("g", BITS).alias("h"), "c", F.least(d, F.col("c").cast("double")).alias("d"))
-        contexts = rows.groupBy("lang", "h").agg(F.sum("c").alias("total"), F.sum("d").alias("left"))
-        contexts = contexts.select("lang", "h", "total", (F.col("left") / F.col("total")).alias("gamma"))
-        joined = rows.alias("r").join(contexts.alias("x"), F.col("r.lang").eqNullSafe(F.col("x.lang")) & (F.col("r.h") == F.col("x.h"))).select("r.lang", "r.g", "r.c", "r.d", "x.total", "x.gamma")
-        if lower is None:
-            probs = joined.select("lang", "g", ((F.col("c") - F.col("d")) / F.col("total") + F.col("gamma") / SYMBOLS).alias("p"))
-        else:
-            shorter = F.col("r.g").bitwiseAND(F.lit((1 << BITS * (k - 1)) - 1))
-            probs = joined.alias("r").join(lower.alias("l"), F.col("r.lang").eqNullSafe(F.col("l.lang")) & (shorter == F.col("l.g"))).select(
-                "r.lang", "r.g", ((F.col("r.c") - F.col("r.d")) / F.col("r.total") + F.col("r.gamma") * F.col("l.p")).alias("p")
-            )
-        lower = settle(probs)
-        none = F.lit(None).cast("double")
-        part = lower.select("lang", F.lit(k).alias("k"), "g", F.log("p").alias("value"), none.alias("weight"))
-        left = contexts.select("lang", F.lit(k - 1).alias("k"), F.col("h").alias("g"), none.alias("value"), F.log("gamma").alias("weight"))
-        model = part.union(left) if model is None else model.union(part).union(left)
-    return settle(model.groupBy("lang", "k", "g").agg(F.max("value").alias("value"), F.max("weight").alias("weight")))
-
-
-class Lookup:
-    """Open addressing from longs to rows of a table."""
-
-    def __init__(self, keys: np.ndarray):
-        self.bits = max(3, int(len(keys) * 2).bit_length())
-        size = 1 << self.bits
-        self.keys, self.rows = np.full(size, -1, np.int64), np.zeros(size, np.int32)
-        left, at = np.arange(len(keys)), self._home(keys)
-        self.probes = 1
-        while len(left):
-            free = np.flatnonzero(self.keys[at] == -1)
-            _, first = np.unique(at[free], return_index=True)
-            put = free[first]
-            self.keys[at[put]], self.rows[at[put]] = keys[left[put]], left[put]
-            rest = np.ones(len(left), bool)
-            rest[put] = False
-            left, at = left[rest], (at[rest] + 1) & (size - 1)
-            self.probes += 1
-
-    def _home(self, keys: np.ndarray) -> np.ndarray:
-        return ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).view(np.int64)
-
-    def __call__(self, keys: np.ndarray) -> np.ndarray:
-        """Row of each key, -1 where it is not held."""
-        at = self._home(keys)
-        held = self.keys[at]
-        out = np.where(held == keys, self.rows[at], np.int32(-1))
-        rest = np.flatnonzero((held != keys) & (held != -1))
-        for _ in range(self.probes):
-            if not len(rest):
-                break
-            at_rest = (at[rest] + 1) & (len(self.keys) - 1)
-            at[rest] = at_rest
-            held = self.keys[at_rest]
-            hit = held == keys[rest]
-            out[rest[hit]] = self.rows[at_rest[hit]]
-            rest = rest[~hit & (held != -1)]
-        return out
-
-
-class Scorer:
-    """One shard of the model. tables: language -> order -> (n-grams, values, weights)."""
-
-    def __init__(self, tables: dict, shard: int, shards: int):
-        self.shard, self.shards = shard, shards
-        self.tables = {lang: {k: (Lookup(g), v, w) for k, (g, v, w) in orders.items()} for lang, orders in tables.items()}
-
-    def __call__(self, lang: str | None, key: np.ndarray) -> np.ndarray:
-        """Log probability of the last symbol of each 5-gram that this shard is responsible for, else 0."""
-        orders = self.tables[lang]
-        out = np.zeros(len(key))
-        rest = np.arange(len(key)) if self.shards == 1 else np.flatnonzero(shard_of(key, self.shards) == self.shard)
-        for k in range(ORDER, 0, -1):
-            if not len(rest):
-                return out
-            lookup, values, _ = orders[k]
-            g = key[rest] & ((1 << BITS * k) - 1)
-            row = lookup(g)
-            seen = row >= 0
-            seen[seen] = ~np.isnan(values[row[seen]])
-            out[rest[seen]] += values[row[seen]]
-            rest, g = rest[~seen], g[~seen]
-            if k > 1:
-                lookup, _, weights = orders[k - 1]
-                row = lookup(g >> BITS)
-                known = row >= 0
-                w = weights[row[known]]
-                out[rest[known]] += np.where(np.isnan(w), 0, w)
-        lookup, _, weights = orders[0]
-        out[rest] += weights[0] - math.log(SYMBOLS)
-        return out
+    named = texts.select(F.concat(F.lit("="), F.coalesce(F.col("lang").cast("string"), F.lit(""))).alias("model"), "text")
+    counted = settle(named.mapInArrow(_count, "model string, g long, c long").groupBy("model", "g").agg(F.sum("c").alias("c")))
+    shards = max(1, -(-counted.count() // TRAINED))
+    pooled = counted.groupBy("g").agg(F.sum("c").alias("c")).select(F.lit(POOLED).alias("model"), "g", "c")
+    dealt = counted.union(pooled).withColumn("shard", _shard_column(F.col("g"), shards))
+    rows = settle(dealt.groupBy("model", "shard").applyInArrow(_shard_row, SHARD_ROWS))
+    lower = settle(rows.select("model", "tallies", "pairs", "befores").groupBy("model").applyInArrow(_lower_row, LOWER_ROWS))
+    # A shard without n-grams of a model still has the model's lower orders.
+    every = lower.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
+    return settle(every.join(rows.drop("tallies", "pairs", "befores"), ["model", "shard"], "left")), shards
+
+
+class Shard:
+    """Probabilities of the 5-grams of one shard of a model."""
+
+    def __init__(self, row: dict):
+        of = lambda c, kind: np.frombuffer(row[c] or b"", kind)
+        self.one, self.weight, self.pairs, self.two = of("one", float), of("weight", float), of("pairs", np.int64), of("two", float)
+        self.orders = []
+        levels = _levels(of("g", np.int64), of("c", np.int64))
+        for k in range(3, ORDER + 1) if row["g"] else ():
+            g, c = levels[k]
+            d = _left(c, row["cuts"][3 * (k - 3) : 3 * (k - 2)])
+            context, first, at = np.unique(g >> BITS, return_index=True, return_inverse=True)
+            total = np.add.reduceat(c, first)
+            self.orders.append((k, g, (c - d) / total[at], context, np.add.reduceat(d, first) / total))
+
+    def __call__(self, key: np.ndarray) -> np.ndarray:
+        """Log probability of the last symbol of each 5-gram."""
+
+        def find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+            return at, keys[at] == wanted
+
+        p = self.weight[tail(key >> BITS, 1)] * self.one[tail(key, 1)]
+        at, seen = find(self.pairs, tail(key, 2))
+        p = np.where(seen, self.two[at], p)
+        for k, g, share, context, weight in self.orders:
+            mine = tail(key, k)
+            at, known = find(context, mine >> BITS)
+            p = np.where(known, weight[at] * p, p)
+            at, seen = find(g, mine)
+            p += np.where(seen, share[at], 0.0)
+        return np.log(p)
+
+
+# Scoring
+
+
+_CODEC = pa.Codec("zstd", compression_level=9)
+_FAST = pa.Codec("zstd", compression_level=1)
+PACKED = "block string, model string, shard int, n long, keys binary, texts array<binary>"
+
+
+def _pack(batches: Iterator[pa.RecordBatch], model_at: int, text_at: int, shards: int) -> Iterator[pa.RecordBatch]:
+    """Blocks of rows: one row with all of a block's rows in compressed pieces, and one for the distinct 5-grams of each model and shard."""
+    schema = pa.schema([("block", pa.string()), ("model", pa.string()), ("shard", pa.int32()), ("n", pa.int64()), ("keys", pa.binary()), ("texts", pa.list_(pa.binary()))])
+    task, number, size = TaskContext.get().partitionId(), 0, 0
+    pieces: list[bytes] = []
+    met: dict[str, list[np.ndarray]] = {}
 
+    def flush() -> Iterator[pa.RecordBatch]:
+        nonlocal number, size
+        name = f"{task}.{number}"
+        rows = [(name, None, None, None, None, list(pieces))]
+        for model, got in met.items():
+            keys = np.unique(np.concatenate(got))
+            shard = shard_of(keys, shards)
+            for s in np.unique(shard).tolist():
+                mine = keys[shard == s]
+                rows.append((name, model, s, len(mine), _FAST.compress(np.diff(mine, prepend=0).tobytes(), asbytes=True), None))
+        number, size = number + 1, 0
+        pieces.clear(), met.clear()
+        yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows), schema)], schema=schema)
 
-def shard_of(key: np.ndarray, shards: int) -> np.ndarray:
-    """Shard by the two symbols before the last of 5-grams."""
-    pair = (key >> BITS) & ((1 << 2 * BITS) - 1)
-    return ((pair * 0x9E3779B1) & 0xFFFFFFFF) * shards >> 32
-
-
-def _shard_column(shards: int) -> Column:
-    """The same for model rows: by the context of an n-gram of order 3 and more, by the n-gram itself if it is a context of order 2 to 4."""
-    def of(pair: Column) -> Column:
-        return F.shiftright((pair * F.lit(0x9E3779B1)).bitwiseAND(F.lit(0xFFFFFFFF)) * F.lit(shards), 32)
-
-    mask = F.lit((1 << 2 * BITS) - 1)
-    by_context = F.when(F.col("k") >= 3, of(F.shiftright("g", BITS).bitwiseAND(mask)))
-    as_context = F.when(F.col("k") >= 2, of(F.col("g").bitwiseAND(mask)))
-    return F.array(by_context, as_context)
-
-
-def _shards(model: DataFrame) -> Iterator[tuple[int, int, dict]]:
-    """The model's shards one at a time; none has more than about SHARD rows."""
-    spark = model.sparkSession
-    shards = max(1, -(-model.count() * 5 // (4 * SHARD)))
-    for s in range(shards):
-        mine = model
-        if shards > 1:
-            pair = _shard_column(shards)
-            value = F.when((F.col("k") <= 2) | (pair[0] == s), F.col("value"))
-            weight = F.when((F.col("k") <= 1) | (pair[1] == s), F.col("weight"))
-            mine = model.select("lang", "k", "g", value.alias("value"), weight.alias("weight")).where("value is not null or weight is not null")
-        tables: dict = {}
-        got = mine.select("lang", "k", "g", F.col("value").cast("float").alias("value"), F.col("weight").cast("float").alias("weight")).toArrow()
-        # Languages as numbers: a name for each row would weigh more than the row.
-        lang = got.column("lang").combine_chunks().dictionary_encode("encode")
-        names, codes = lang.dictionary.to_pylist(), lang.indices.to_numpy()
-        k, g = got.column("k").to_numpy(), got.column("g").to_numpy()
-        value, weight = (got.column(c).to_numpy() for c in ("value", "weight"))
-        for code, name in enumerate(names):
-            here = codes == code
-            tables[name] = {}
-            for order in range(ORDER + 1):
-                on = here & (k == order)
-                tables[name][order] = (g[on].astype(np.int64), value[on].astype(np.float32), weight[on].astype(np.float32))
-        yield s, shards, tables
-
-
-def score(docs: DataFrame, model: DataFrame, lang_col: str, text_col: str, total: str, count: str) -> DataFrame:
-    """docs with two columns more: the sum of log probabilities (null for a language the model lacks) and the number of symbols."""
-    spark = docs.sparkSession
+    for batch in batches:
+        for a, b in parts(batch.column(text_at)):
+            part = batch.slice(a, b - a)
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, part.schema, options=pa.ipc.IpcWriteOptions(compression=_CODEC)) as out:
+                out.write_batch(part)
+            pieces.append(sink.getvalue().to_pybytes())
+            size += part.nbytes
+            models, texts = part.column(model_at).to_pylist(), part.column(text_at).to_pylist()
+            for model, rows in _by_model(models, texts):
+                met.setdefault(model, []).append(np.unique(grams([texts[i] for i in rows])[0]))
+            if size > BLOCK:
+                yield from flush()
+    if pieces:
+        yield from flush()
+
+
+def _keys(row: dict) -> np.ndarray:
+    return np.cumsum(np.frombuffer(_FAST.decompress(row["keys"], 8 * row["n"]), np.int64))
+
+
+ANSWERS = "block string, model string, n long, keys binary, logs binary"
+
+
+def _answer(asked: pa.Table, trained: pa.Table) -> pa.Table:
+    rows = asked.select(["block", "model", "n", "keys"]).to_pylist()
+    if rows:
+        shard = Shard(trained.to_pylist()[0])
+        keys = [_keys(r) for r in rows]
+        distinct, back = np.unique(np.concatenate(keys), return_inverse=True)
+        logs = np.split(shard(distinct).astype(np.float32)[back], np.cumsum([len(k) for k in keys])[:-1])
+        for row, mine in zip(rows, logs):
+            row["logs"] = mine.tobytes()
+    kinds = [("block", pa.string()), ("model", pa.string()), ("n", pa.int64()), ("keys", pa.binary()), ("logs", pa.binary())]
+    return pa.Table.from_pylist(rows, schema=pa.schema(kinds))
+
+
+def _add_up(packed: pa.Table, answers: pa.Table, added: list[tuple[str, pa.DataType]], model_at: int, text_at: int) -> pa.Table:
+    """The rows of a block with the sum of log probabilities of each text and its number of symbols."""
+    got: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
+    for row in answers.to_pylist():
+        got.setdefault(row["model"], []).append((_keys(row), np.frombuffer(row["logs"], np.float32)))
+    tables = {}
+    for model, shares in got.items():
+        keys = np.concatenate([k for k, _ in shares])
+        order = np.argsort(keys)
+        tables[model] = keys[order], np.concatenate([x for _, x in shares])[order].astype(float)
+    done = []
+    for piece in (p for row in packed.column("texts").to_pylist() for p in row or ()):
+        for batch in pa.ipc.open_stream(piece):
+            models, texts = batch.column(model_at).to_pylist(), batch.column(text_at).to_pylist()
+            sums, counts = [0.0] * len(texts), [0] * len(texts)
+            for model, rows in _by_model(models, texts):
+                key, sizes = grams([texts[i] for i in rows])
+                distinct, back = np.unique(key, return_inverse=True)
+                keys, logs = tables[model]
+                run = np.concatenate([[0.0], np.cumsum(logs[np.searchsorted(keys, distinct)][back])])
+                ends = np.cumsum(sizes)
+                for i, a, b in zip(rows, (ends - sizes).tolist(), ends.tolist()):
+                    sums[i], counts[i] = float(run[b] - run[a]), b - a
+            schema = pa.schema([*batch.schema, *map(pa.field, *zip(*added))])
+            done.append(pa.RecordBatch.from_arrays([*batch.columns, pa.array(sums, pa.float64()), pa.array(counts, pa.int64())], schema=schema))
+    return pa.Table.from_batches(done)
+
+
+def score(rows: DataFrame, trained: DataFrame, shards: int, model_col: str, text_col: str, total: str, count: str) -> DataFrame:
+    """rows with two columns more: the sum of log probabilities under the row's model and the number of symbols."""
+    spark = rows.sparkSession
     ship(spark)
-    lang_at, text_at = docs.columns.index(lang_col), docs.columns.index(text_col)
-    out = docs.withColumns({total: F.lit(None).cast("double"), count: F.lit(0).cast("long")})
-    schema = out.schema
-    for s, shards, tables in _shards(model):
-        shared = spark.sparkContext.broadcast(tables)
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared, s=s, shards=shards) -> Iterator[pa.RecordBatch]:
-            scorer = Scorer(shared.value, s, shards)
-            for batch in _bounded(batches, text_at):
-                langs, texts = batch.column(lang_at).to_pylist(), batch.column(text_at).to_pylist()
-                sums = batch.column(batch.num_columns - 2).to_pylist()
-                counts = [0] * len(texts)
-                for lang in set(langs):
-                    if lang not in scorer.tables:
-                        continue
-                    rows = [i for i, x in enumerate(langs) if x == lang]
-                    key, sizes = grams([texts[i] or "" for i in rows])
-                    ends = np.cumsum(sizes)
-                    run_sum = np.concatenate([[0.0], np.cumsum(scorer(lang, key))])
-                    for i, a, b in zip(rows, (ends - sizes).tolist(), ends.tolist()):
-                        sums[i] = (sums[i] or 0.0) + float(run_sum[b] - run_sum[a])
-                        counts[i] = b - a
-                arrays = [batch.column(i) for i in range(batch.num_columns - 2)]
-                yield pa.RecordBatch.from_arrays([*arrays, pa.array(sums, pa.float64()), pa.array(counts, pa.int64())], names=batch.schema.names)
-
-        out = out.mapInArrow(run, schema)
-        if s % ABREAST == ABREAST - 1 and s + 1 < shards:
-            out = settle(out)
-    return out
+    model_at, text_at = rows.columns.index(model_col), rows.columns.index(text_col)
+    out = rows.withColumns({total: F.lit(0.0), count: F.lit(0).cast("long")}).schema
+    packed = settle_bucketed(rows.mapInArrow(lambda batches: _pack(batches, model_at, text_at, shards), PACKED), "block")
+    asked = packed.where("shard is not null").select("block", "model", "shard", "n", "keys")
+    # One row for each shard of each model: Spark broadcasts it by its size or joins by shuffle.
+    tasks = settle(asked.groupBy("model", "shard").agg(F.ceil(F.sum("n") / ASKED).cast("int").alias("tasks")))
+    dealt = asked.join(tasks, ["model", "shard"]).withColumn("task", F.pmod(F.xxhash64("block"), F.col("tasks")).cast("int")).drop("tasks")
+    side = trained.join(tasks, ["model", "shard"]).withColumn("task", F.explode(F.sequence(F.lit(0), F.col("tasks") - 1))).drop("tasks")
+    met = ["model", "shard", "task"]
+    answers = dealt.groupBy(*met).cogroup(side.groupBy(*met)).applyInArrow(_answer, ANSWERS)
+    blocks = packed.where("texts is not null").select("block", "texts")
+    join = lambda a, b: _add_up(a, b, [(total, pa.float64()), (count, pa.int64())], model_at, text_at)
+    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(join, out)
+
+
+# Trusted texts, thresholds, judgement
 
 
 def trusted_texts(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", lang_col: str = "lang", text_col: str = "text") -> DataFrame:
     """(lang, text, held) of documents whose labels all say quality 1 and not toxic."""
-    ids = labels.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("__id")).agg(F.min("quality").alias("q"), F.max(F.coalesce("toxic", F.lit(0))).alias("t")).where("q = 1 and t = 0").select("__id")
-    ids = settle(ids)
-    side = F.broadcast(ids) if ids.count() <= IDS else ids
+    ids = labels.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("__id"))
+    ids = settle(ids.agg(F.min("quality").alias("q"), F.max(F.coalesce("toxic", F.lit(0))).alias("t")).where("q = 1 and t = 0").select("__id"))
+    few = ids.count() <= IDS
     texts = docs.select(F.col(id_col).alias("__id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
-    return texts.join(side, "__id", "left_semi").where(F.length("text") > 0).select("lang", "text", (F.crc32(F.encode("text", "UTF-8")) % 5 == 0).alias("held"))
+    held = (F.crc32(F.encode("text", "UTF-8")) % 5 == 0).alias("held")
+    found = texts.where(F.length("text") > 0).join(F.broadcast(ids) if few else ids, "__id", "left_semi").select("lang", "text", held)
+    return found if few else settle(found)
 
 
 def _log_perplexity(total: str, count: str, mean: Column) -> Column:
     return (-F.col(total) + PRIOR * mean) / (F.col(count) + PRIOR)
 
 
-def thresholds(model: DataFrame, held: DataFrame, quantile: float, slack: float) -> DataFrame:
-    """(lang, mean, high) in log perplexity, from held-out trusted texts (lang, text)."""
-    scored = settle(score(held, model, "lang", "text", "total", "count").where("total is not null and count > 0").select("lang", "total", "count"))
-    means = scored.groupBy("lang").agg((-F.sum("total") / F.sum("count")).alias("mean"))
-    binned = scored.join(means, scored["lang"].eqNullSafe(means["lang"])).drop(means["lang"]).select("lang", "mean", F.floor(_log_perplexity("total", "count", F.col("mean")) * 1000).alias("bin"))
-    counts = binned.groupBy("lang", "mean", "bin").agg(F.count("*").alias("n"))
-    # At most some ten thousand bins for each language, whatever the number of documents.
-    upto = F.sum("n").over(Window.partitionBy("lang").orderBy("bin"))
-    every = F.sum("n").over(Window.partitionBy("lang"))
-    ranked = counts.select("lang", "mean", "bin", (upto / every).alias("share"))
-    return ranked.groupBy("lang", "mean").agg(((F.min(F.when(F.col("share") >= quantile, F.col("bin"))) + 1) / 1000 + slack).alias("high"))
+def thresholds(scored: DataFrame, quantile: float, slack: float) -> DataFrame:
+    """(model, mean, high) in log perplexity, from scored held-out texts (model, total, count)."""
+    scored = scored.where("count > 0")
+    means = scored.groupBy("model").agg((-F.sum("total") / F.sum("count")).alias("mean"))
+    binned = scored.join(means, "model").select("model", "mean", F.floor(_log_perplexity("total", "count", F.col("mean")) * 1000).alias("bin"))
+    counts = binned.groupBy("model", "mean", "bin").agg(F.count("*").alias("n"))
+    # At most some ten thousand bins for each model, whatever the number of documents.
+    upto = F.sum("n").over(Window.partitionBy("model").orderBy("bin"))
+    every = F.sum("n").over(Window.partitionBy("model"))
+    ranked = counts.select("model", "mean", "bin", (upto / every).alias("share"))
+    return ranked.groupBy("model", "mean").agg(((F.min(F.when(F.col("share") >= quantile, F.col("bin"))) + 1) / 1000 + slack).alias("high"))
 
 
 def fresh(docs: DataFrame, name: str) -> str:
@@ -351,25 +417,23 @@ def classify(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", lang_col: str = "lang", text_col: str = "text", quantile: float = QUANTILE, slack: float = SLACK
 ) -> tuple[DataFrame, str, str]:
     """docs with the columns perplexity and keep, and these columns' names (longer where they clash)."""
-    texts = settle(trusted_texts(docs, labels, id_col, lang_col, text_col))
-    model = train(texts.where("not held").select("lang", "text"))
-    limits = thresholds(model, texts.where("held").select("lang", "text"), quantile, slack)
-    spark = docs.sparkSession
-    # One row for each language that has trusted text.
-    known = {r["lang"]: (r["mean"], r["high"]) for r in limits.collect()}
-    total, count = fresh(docs, "__total"), fresh(docs, "__count")
-    scored = score(docs, model, lang_col, text_col, total, count)
+    texts = trusted_texts(docs, labels, id_col, lang_col, text_col)
+    trained, shards = train(texts.where("not held"))
+    # A language takes part if it has both training and held-out texts; the pooled model judges the others.
+    named = F.concat(F.lit("="), F.coalesce(F.col("lang"), F.lit("")))
+    models = trained.select("model").distinct()
+    held = texts.where("held").select(F.explode(F.array(named, F.lit(POOLED))).alias("model"), "text").join(F.broadcast(models), "model", "left_semi")
+    scored = settle(score(held, trained, shards, "model", "text", "total", "count").select("model", "total", "count"))
+    limits = settle(thresholds(scored, quantile, slack))
+    own, mean, high, total, count = (fresh(docs, f"__{c}") for c in ("model", "mean", "high", "total", "count"))
     perplexity, keep = fresh(docs, "perplexity"), fresh(docs, "keep")
-    lang = F.col(lang_col).cast("string")
-    pick = lambda i: _case(lang, {k: v[i] for k, v in known.items()})
-    log_p = F.when(F.col(count) > 0, _log_perplexity(total, count, pick(0)))
-    within = F.coalesce(log_p <= pick(1), F.lit(True))
     kept = [F.col(f"`{c}`") for c in docs.columns]
-    return scored.select(*kept, F.exp(log_p).alias(perplexity), within.alias(keep)), perplexity, keep
-
-
-def _case(lang: Column, values: dict) -> Column:
-    out = F.lit(None).cast("double")
-    for k, v in values.items():
-        out = F.when(lang.eqNullSafe(F.lit(k)), float(v)).otherwise(out)
-    return out
+    # One row for each language of trusted texts: Spark broadcasts it by its size or joins by shuffle.
+    known = limits.select(F.col("model").alias(own))
+    lang = F.concat(F.lit("="), F.col(f"`{lang_col}`").cast("string"))
+    judged = score(docs.join(known, lang == known[own], "left").withColumn(own, F.coalesce(own, F.lit(POOLED))), trained, shards, own, text_col, total, count) if not limits.isEmpty() else None
+    if judged is None:
+        return docs.select(*kept, F.lit(None).cast("double").alias(perplexity), F.lit(True).alias(keep)), perplexity, keep
+    told = judged.join(limits.toDF(own, mean, high), own, "left")
+    log_p = F.when(F.col(count) > 0, _log_perplexity(total, count, F.col(mean)))
+    return told.select(*kept, F.exp(log_p).alias(perplexity), F.coalesce(log_p <= F.col(high), F.lit(True)).alias(keep)), perplexity, keep
