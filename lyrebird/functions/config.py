@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 
-from .splits import SplitRule
+from .splits import BY_SAMPLE, ID_FIELD, HashSplit
 from .tokenizers import Tokenizer, eos_of
 
 #: An artefact's name in a folder of shards, and its suffix beside a single shard.
@@ -29,13 +29,13 @@ def fits_in_memory(path: str, limit: int = IN_MEMORY) -> bool:
     return os.stat(path).st_size <= limit
 
 
-def check_index(document: dict, rule: SplitRule) -> None:
+def check_index(document: dict, rule: HashSplit) -> None:
     """An index is usable only for the rule it was made with. Older ones do not say how they were split: by sample."""
-    split = document.get("split", {})
-    said = {"split_by": split.get("split_by", "sample_id"), "eval_ratio": float(split.get("eval_ratio", 0.0)), "hash_seed": int(split.get("hash_seed", 0)), "utt_id_key": split.get("utt_id_key", "sid")}
-    for name, value in said.items():
-        if value != getattr(rule, name):
-            raise ValueError(f"the index was made with {name}={value!r}, asked for is {getattr(rule, name)!r}")
+    # The fields of an index's split, and what a missing one means.
+    fields = {"split_by": (rule.by, BY_SAMPLE), "eval_ratio": (rule.share, 0.0), "hash_seed": (rule.seed, 0), "utt_id_key": (rule.id_field, ID_FIELD)}
+    for name, (asked, missing) in fields.items():
+        if (made := document.get("split", {}).get(name, missing)) != asked:
+            raise ValueError(f"the index was made with {name}={made!r}, asked for is {asked!r}")
 
 
 def split_count(document: dict, split: str) -> int:
@@ -60,3 +60,25 @@ def prompt_ids(tokenizer: Tokenizer, before: str = "", after: str = "", suffix:
 def text_extra(before: tuple[int, ...], after: tuple[int, ...], suffix: tuple[int, ...]) -> int:
     """Text tokens that a template adds to every sample: prompts, suffix and the end mark."""
     return len(before) + len(after) + len(suffix) + 1
+
+
+def progress_total(document: dict | None, rule: HashSplit, split: str) -> int | None:
+    """Samples of a split, for showing progress; none where there is no index, it was made otherwise or lacks the split."""
+    try:
+        check_index(document, rule)
+        return split_count(document, split)
+    except (AttributeError, KeyError, TypeError, ValueError):
+        return None
+
+
+def loader(root: str, buckets: str | None = None, lengths: str | None = None, limit: int = IN_MEMORY) -> tuple[str, str | None]:
+    """What a folder of shards is read by, and the file it takes: a bucket manifest if there is one, else a length index
+    that fits into memory, else the shards themselves. A file that was named must be there."""
+    for kind, given in (("buckets", buckets), ("lengths", lengths)):
+        path = artefact_path(kind, root, given)
+        if os.path.exists(path):
+            if kind == "buckets" or fits_in_memory(path, limit):
+                return kind, path
+        elif given is not None:
+            raise FileNotFoundError(path)
+    return "shards", None

@@ -110,3 +110,8 @@ def ramp(step: Column, start: int, end: int, low: float, high: float) -> Column:
     if end <= start:
         return F.when(step >= end, high).otherwise(low)
     return low + (high - low) * F.least(F.lit(1.0), F.greatest(F.lit(0.0), (step - start) / float(end - start)))
+
+
+def throughput(step: Column, elapsed: Column, start: int = 0) -> Column:
+    """Steps a second since ``start``; one step at least, and no division by nothing."""
+    return F.greatest(step - start, F.lit(1)) / F.greatest(elapsed, F.lit(1e-6))

@@ -6,6 +6,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 NEVER = float("-inf")
+#: Code points from 256 up to the surrogates.
+MOST_ITEMS = 0xD800 - 256
 
 
 def log_add(a: Column, b: Column) -> Column:
@@ -28,8 +30,9 @@ def argmax(scores: Column) -> Column:
 
 def edit_distance(a: Column, b: Column) -> Column:
     """Edits between two arrays of strings. Each distinct item of the pair becomes a private code point, so that
-    Spark's own levenshtein does the work; for up to 55,000 distinct items."""
+    Spark's own levenshtein does the work. There are ``MOST_ITEMS`` of them below the surrogates; more distinct items are an error."""
     names = F.array_distinct(F.concat(a, b))
+    names = F.when(F.size(names) > MOST_ITEMS, F.raise_error(F.lit("too many distinct items for an edit distance")).cast("array<string>")).otherwise(names)
 
     def spelt(x: Column) -> Column:
         return F.array_join(F.transform(x, lambda t: F.decode(F.unhex(F.lpad(F.hex(F.array_position(names, t) + 255), 4, "0")), "UTF-16BE")), "")

@@ -20,9 +20,13 @@ class Tokenizer(Protocol):
 
 class ByteTrie:
     """Longest-listed-last byte tokens: at each byte, of the tokens that share its first two bytes the last listed that
-    fits; else the single byte; a byte that is no token is an error. Lines are ``id literal length``."""
+    fits; else the single byte; a byte that is no token is an error. Decoding leaves out the end mark and gives nothing
+    for unknown ids. Lines are ``id literal length``."""
 
-    def __init__(self, lines: list[str], eos: int | None = None):
+    #: The least size of the vocabulary, and the end mark.
+    LEAST, EOS = 65_536, 0
+
+    def __init__(self, lines: list[str], eos: int | None = EOS, least: int = LEAST):
         self.tokens: dict[int, bytes] = {}
         for line in lines:
             if line.strip():
@@ -37,7 +41,7 @@ class ByteTrie:
         for value in self.tokens.values():
             if len(value) > 1:
                 self.by_two.setdefault(value[:2], []).insert(0, value)
-        self.vocab_size, self.eos = max(self.tokens, default=-1) + 1, eos
+        self.vocab_size, self.eos = max(least, max(self.tokens, default=-1) + 1), eos
 
     def encode_bytes(self, raw: bytes) -> list[int]:
         out, at = [], 0
@@ -51,7 +55,7 @@ class ByteTrie:
         return self.encode_bytes(text.encode())
 
     def decode(self, ids: list[int]) -> str:
-        return b"".join(self.tokens[i] for i in ids).decode("utf-8", "replace")
+        return b"".join(self.tokens.get(i, b"") for i in ids if i != self.eos).decode("utf-8", "ignore")
 
 
 def _pieces(path: str) -> Tokenizer:
@@ -89,6 +93,7 @@ def _ranks(path: str) -> Tokenizer:
     with open(path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f.read().splitlines())}
     end = max(ranks.values()) + 1
+    # Fixed value: the published pattern of this kind of ranks.
     pattern = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
     model = tiktoken.Encoding("text", pat_str=pattern, mergeable_ranks=ranks, special_tokens={"<|endoftext|>": end})
 
@@ -105,6 +110,7 @@ def _trie(path: str) -> Tokenizer:
         return ByteTrie(f.read().splitlines())
 
 
+#: The names that tokenizers go by.
 REGISTRY: dict[str, Callable[[str], Tokenizer]] = {"sentencepiece": _pieces, "spm": _pieces, "hf": _json, "huggingface": _json, "qwen": _json, "whisper": _ranks, "tiktoken": _ranks, "byte_trie": _trie, "trie": _trie}
 
 

@@ -7,6 +7,9 @@ each sample's batch follows from its place among the samples of its length.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -63,39 +66,52 @@ def greedy_batches(rows: DataFrame, group: list[str], frames: str, tie: list[str
     return rows.withColumn("__own", own).withColumn(frames, F.col(frames).cast("long")).join(named, [*group, frames]).withColumn("batch", batch.cast("long")).drop("__own", "__b", "__room", "__size")
 
 
-def token_split(rows: DataFrame, group: list[str], order: list[str], frames: str, text: str, budget: int, most: int | None = None, skip_oversized: bool = True, padded_text: bool = False, extra: int = 0) -> DataFrame:
-    """(group, order, batch): samples in their given order, cut when rows x longest plus text would pass the budget.
-    Oversized samples are skipped (no row) or stand alone. Each group is folded on its own as one array: groups are
-    candidate batches, which are small by nature."""
-    long = lambda x: F.lit(x).cast("long")
-    item = F.struct(*order, F.col(frames).cast("long").alias("__f"), F.col(text).cast("long").alias("__t"))
-    listed = rows.groupBy(*group).agg(F.array_sort(F.collect_list(item)).alias("__rows"))
-    # Batches are numbered as they open; 0 rows held means the next sample opens one.
-    empty = f"CAST(array() AS array<{listed.schema['__rows'].dataType.elementType.simpleString()[:-1]},batch:bigint>>)"
-    start = F.struct(long(-1).alias("batch"), long(0).alias("n"), long(0).alias("f"), long(0).alias("t"), F.expr(empty).alias("done"))
-
-    def step(s: Column, x: Column) -> Column:
-        own = x["__f"] + x["__t"] + (extra if padded_text else 0)
-        longest = F.greatest(s["f"], x["__f"])
-        words = F.greatest(s["t"], x["__t"]) if padded_text else s["t"] + x["__t"]
-        total = (s["n"] + 1) * longest + ((s["n"] + 1) * (words + extra) if padded_text else words)
-        over = (own > budget) if budget > 0 else F.lit(False)
-        cut = (s["n"] > 0) & ((total > budget) if budget > 0 else F.lit(False)) | ((s["n"] >= most) if most else F.lit(False))
-        opens = cut | (s["n"] == 0)
-        batch = F.when(opens, s["batch"] + 1).otherwise(s["batch"])
-        entry = F.struct(*[x[c].alias(c) for c in order], x["__f"].alias("__f"), x["__t"].alias("__t"), batch.alias("batch"))
-        closed = over  # an oversized sample that is not skipped stands alone
-        taken = F.struct(
-            batch.alias("batch"),
-            F.when(closed, long(0)).when(opens, long(1)).otherwise(s["n"] + 1).alias("n"),
-            F.when(closed, long(0)).when(opens, x["__f"]).otherwise(longest).alias("f"),
-            F.when(closed, long(0)).when(opens, x["__t"]).otherwise(words).alias("t"),
-            F.concat(s["done"], F.array(entry)).alias("done"),
-        )
-        return F.when(over & F.lit(skip_oversized), s).otherwise(taken)
+class Batcher:
+    """The greedy batcher as a fold: its state is (batch, samples held, their longest, their text). ``extra`` text tokens
+    come with each sample; padded text counts as samples times the longest text, else it is summed."""
 
-    folded = listed.select(*group, F.explode(F.aggregate("__rows", start, step)["done"]).alias("__d"))
-    return folded.select(*group, *[F.col(f"__d.{c}").alias(c) for c in order], F.col("__d.__f").alias(frames), F.col("__d.__t").alias(text), F.col("__d.batch").alias("batch"))
+    def __init__(self, budget: int | None, most: int | None, skip_oversized: bool = True, padded_text: bool = False, extra: int = 0):
+        self.budget, self.most, self.skip, self.padded, self.extra = budget or None, most or None, skip_oversized, padded_text, extra
+
+    def step(self, state: tuple[int, int, int, int], frames: int, text: int) -> tuple[tuple[int, int, int, int], int | None]:
+        """The next state, and the sample's batch (none if it is skipped)."""
+        batch, n, longest, words = state
+        over = self.budget is not None and frames + text + (self.extra if self.padded else 0) > self.budget
+        if over and self.skip:
+            return state, None
+        told = (n + 1) * (max(words, text) + self.extra) if self.padded else words + text
+        total = (n + 1) * max(longest, frames) + told
+        if n and (self.most is not None and n >= self.most or self.budget is not None and total > self.budget):
+            batch, n, longest, words = batch + 1, 0, 0, 0
+        if over:
+            return (batch + 1, 0, 0, 0), batch
+        return (batch, n + 1, max(longest, frames), max(words, text) if self.padded else words + text), batch
+
+
+def token_split(rows: DataFrame, group: list[str], order: list[str], frames: str, text: str, budget: int, most: int | None = None, skip_oversized: bool = True, padded_text: bool = False, extra: int = 0) -> DataFrame:
+    """(group, order, frames, text, batch): samples in their given order, cut when rows x longest plus text would pass the
+    budget. Oversized samples are skipped (no row) or stand alone. Where a batch ends depends on all before it, so a
+    group is folded in one task; rows come sorted from the shuffle and pass through one Arrow batch at a time."""
+    batcher = Batcher(budget if budget > 0 else None, most, skip_oversized, padded_text, extra)
+    typed = rows.select(*group, *order, F.col(frames).cast("long").alias(frames), F.col(text).cast("long").alias(text))
+    dealt = typed.repartition(*group) if group else typed.coalesce(1)
+    width = len(group)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, state = None, (0, 0, 0, 0)
+        for part in batches:
+            columns = [part.column(i).to_pylist() for i in (*range(width), part.num_columns - 2, part.num_columns - 1)]
+            kept, numbers = [], []
+            for i, (*key, f, t) in enumerate(zip(*columns)):
+                if key != held:
+                    held, state = key, (0, 0, 0, 0)
+                state, batch = batcher.step(state, f, t)
+                if batch is not None:
+                    kept.append(i), numbers.append(batch)
+            taken = part.take(pa.array(kept, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(numbers, pa.int64())], names=[*part.schema.names, "batch"])
+
+    return dealt.sortWithinPartitions(*group, *order).mapInArrow(run, typed.withColumn("batch", F.lit(0).cast("long")).schema)
 
 
 def budget_prefix(rows: DataFrame, group: list[str], order: list[str], frames: str, text: str, budget: int | None, text_budget: int | None = None, extra: int = 0, padded_text: bool = False, skip_oversized: bool = True) -> DataFrame:
@@ -198,3 +214,30 @@ def truncate_prefix(batches: DataFrame, keep: int) -> DataFrame:
     features = F.slice("feature_lengths", 1, keep)
     total = F.aggregate(lengths, F.lit(0), lambda s, n: s + n)
     return batches.withColumns({"targets": F.slice("targets", 1, total), "utt_ids": F.slice("utt_ids", 1, keep), "padded_to": F.array_max(features), "feature_lengths": features, "target_lengths": lengths})
+
+
+def global_token_budget(ranks: DataFrame, step: str, tokens: str, peak: str, target_gib: float) -> DataFrame:
+    """(step, tokens, peak, budget) from a row for each rank and step: the rank with the most bytes for a token decides."""
+    from ..functions.frames import memory_token_budget
+
+    own = F.greatest(F.lit(1), F.col(tokens))
+    worst = ranks.groupBy(step).agg(F.max(F.col(peak) / own).alias("__ratio"), F.max(own).cast("long").alias("tokens"))
+    told = worst.withColumn("peak", F.floor(F.col("__ratio") * F.col("tokens")).cast("long"))
+    return told.select(step, "tokens", "peak", memory_token_budget(F.col("tokens"), F.col("peak"), target_gib).alias("budget"))
+
+
+def epoch_steps(source: str, batch: int, samples: int | None = None, buckets: DataFrame | None = None, lengths: DataFrame | None = None, budget: int | None = None, width: int = 80) -> int:
+    """Batches of an epoch on one device by what a loader goes by: the rows (split's) of a bucket manifest, the frames of a
+    length index, or the number of samples alone."""
+    from ..functions.frames import local_batch_size
+
+    if source == "buckets":
+        planned = steps(buckets, [], "num_samples", local_batch_size(F.col("bucket_id"), width, batch, budget), 1)
+        return int(planned.first()["steps"] or 1)
+    if source == "lengths":
+        frames = lengths.select(F.col("num_frames").cast("long").alias("num_frames"), F.monotonically_increasing_id().alias("__at"))
+        last = greedy_batches(frames, [], "num_frames", ["__at"], batch, budget).agg(F.max("batch").alias("last")).first()["last"]
+        return 1 if last is None else int(last) + 1
+    if samples is None:
+        raise ValueError("without lengths the number of samples must be known")
+    return max(1, -(-samples // batch))

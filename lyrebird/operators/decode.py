@@ -192,3 +192,22 @@ def rescore(candidates: DataFrame, group: list[str], order: str, ctc: str, lengt
     score = F.col(ctc) / F.greatest(F.lit(1), F.col(length)) + weight * F.col(decoder)
     best = F.row_number().over(Window.partitionBy(*group).orderBy(F.col("combined_score").desc(), "__n"))
     return ranked.withColumn("combined_score", score).withColumn("__b", best).where("__b = 1").drop("__b", "__n")
+
+
+def predictions(rows: DataFrame, scores: str, blank: int = 0, beam: int = 8, top: int | None = None, reference: str | None = None, limit: int | None = None, order: str = "utt_id", eos: int | None = None, **bonus) -> DataFrame:
+    """(utt_id, pred_token_ids, ref_token_ids, score, debug): the best hypothesis of each row, of the first ``limit`` rows in
+    order if one is given. With references their trailing end mark, if any, is left out, and counts stand in debug."""
+    if limit is not None and limit < 1:
+        raise ValueError("limit must be 1 or more")
+    chosen = rows.orderBy(order).limit(limit) if limit is not None else rows
+    best = F.col("__h")[0]
+    ref = F.col(reference) if reference else F.lit(None).cast("array<int>")
+    if eos is not None:
+        ref = F.when(F.element_at(ref, -1) == eos, F.slice(ref, 1, F.size(ref) - 1)).otherwise(ref)
+    top_share, mean = debug_stats(F.col(scores), blank)
+    found = beam_search(chosen, scores, blank, beam, top, "__h", **bonus)
+    debug = F.struct(
+        F.size(scores).alias("logit_length"), F.size(best["token_ids"]).alias("pred_token_count"), F.when(ref.isNotNull(), F.size(ref)).alias("ref_token_count"),
+        top_share.alias("blank_top1_ratio"), mean.alias("avg_blank_prob"),
+    )
+    return found.select("utt_id", best["token_ids"].alias("pred_token_ids"), ref.alias("ref_token_ids"), best["score"].alias("score"), debug.alias("debug"))

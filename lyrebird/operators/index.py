@@ -6,11 +6,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.frames import bucket_id
-from ..functions.splits import SplitRule, assign_split
+from ..functions.splits import HashSplit
 
 
-def with_split(rows: DataFrame, rule: SplitRule, sample: str, shard: str, name: str = "split") -> DataFrame:
-    return rows.withColumn(name, assign_split(F.col(sample if rule.split_by == "sample_id" else shard), rule))
+def with_split(rows: DataFrame, rule: HashSplit, sample: str, shard: str, name: str = "split") -> DataFrame:
+    return rows.withColumn(name, rule.side(rule.key(F.col(sample), F.col(shard))))
 
 
 def pair_members(audio: DataFrame, meta: DataFrame, keys: list[str]) -> DataFrame:
@@ -43,10 +43,10 @@ def pair_in_order(members: DataFrame, shard: str, key: str, kind: str, order: st
     return closed.select(shard, key, F.row_number().over(w).alias("pair"), audio.alias("audio_at"), meta.alias("json_at"))
 
 
-def split_counts(rows: DataFrame, shard: str, rule: SplitRule, split: str = "split") -> DataFrame:
+def split_counts(rows: DataFrame, shard: str, rule: HashSplit, split: str = "split") -> DataFrame:
     """One row for each shard: samples, samples of each split (zeros appear), and the shard's own split."""
-    names = (rule.train_name, rule.eval_name)
-    return rows.groupBy(shard).agg(F.count("*").alias("num_samples"), *[F.count_if(F.col(split) == n).alias(f"num_{n}") for n in names]).withColumn("assigned_split", assign_split(F.col(shard), rule))
+    each = [F.count_if(F.col(split) == side).alias(f"num_{side}") for side in rule.sides]
+    return rows.groupBy(shard).agg(F.count("*").alias("num_samples"), *each).withColumn("assigned_split", rule.side(F.col(shard)))
 
 
 def split_totals(rows: DataFrame, split: str = "split") -> DataFrame:

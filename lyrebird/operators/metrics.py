@@ -14,9 +14,9 @@ def corpus_rate(rows: DataFrame, errors: str, tokens: str, group: list[str] | No
 
 
 def floored_rate(rows: DataFrame, errors: str, tokens: str, group: list[str] | None = None) -> DataFrame:
-    """Every row counts one token at least."""
+    """Every row counts one token at least; 0 without rows."""
     floor = F.greatest(F.lit(1), F.col(tokens))
-    return rows.groupBy(*(group or [])).agg((F.sum(errors) / F.greatest(F.lit(1), F.sum(floor))).alias("rate"))
+    return rows.groupBy(*(group or [])).agg(F.coalesce(F.sum(errors) / F.greatest(F.lit(1), F.sum(floor)), F.lit(0.0)).alias("rate"))
 
 
 def exact_match(rows: DataFrame, reference: Column, hypothesis: Column, group: list[str]) -> DataFrame:
@@ -80,3 +80,10 @@ def preview_stats(lines: DataFrame, values: Column, group: list[str], ratio_at:
         F.count("*").alias("lines"), F.avg(ratio).alias("mean_ratio"), F.avg(F.col("__m")["blank_top1"]).alias("mean_blank_top1"), F.avg(F.col("__m")["avg_blank"]).alias("mean_avg_blank"),
         (F.count_if(ratio <= ratio_at) / F.count("*")).alias("collapsed_ratio"),
     )
+
+
+def mode_report(rows: DataFrame, mode: str, errors: str, tokens: str) -> DataFrame:
+    """(mode, token_error_rate, exact_match, num_utts): one row for each decoding mode, from a row for each utterance with
+    its edits and reference tokens. An utterance without edits is exact."""
+    exact = F.avg((F.col(errors) == 0).cast("double"))
+    return rows.groupBy(mode).agg(rate(F.sum(errors), F.sum(tokens)).alias("token_error_rate"), exact.alias("exact_match"), F.count("*").cast("double").alias("num_utts"))

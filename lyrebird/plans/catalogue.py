@@ -14,8 +14,8 @@ from ..operators import batching, decode, index, metrics, runs, sampling, sinks,
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
-RULE = splits.SplitRule(eval_ratio=0.1, hash_seed=7, split_by="sample_id")
-BY_SHARD = splits.SplitRule(eval_ratio=0.1, hash_seed=7)
+RULE = splits.HashSplit(0.1, 7, by=splits.BY_SAMPLE)
+BY_SHARD = splits.HashSplit(0.1, 7)
 
 
 def query(sql: str | None = None) -> Callable[[Query], Query]:
@@ -41,7 +41,7 @@ def _split_sql(key: str) -> str:
 
 @query(f"SELECT doc_id, {_split_sql('doc_id')} AS split FROM documents")
 def q_split_assign(spark, d):
-    return read(spark, d, "documents").select("doc_id", splits.assign_split(F.col("doc_id"), RULE).alias("split"))
+    return read(spark, d, "documents").select("doc_id", RULE.side(F.col("doc_id")).alias("split"))
 
 
 @query(f"SELECT doc_id, source, {_split_sql('source')} AS split FROM documents")
@@ -460,10 +460,9 @@ def q_floored_rate(spark, d):
     return rate.join(metrics.exact_match(rows, F.col("p_name"), F.col("n_name"), ["p_brand"]).drop("n"), "p_brand")
 
 
-@query("""SELECT doc_id, array_to_string(list_filter(regexp_split_to_array(regexp_replace(lower(text), '\\p{P}', '', 'g'), '\\s+'), lambda w: w <> ''), ' ') AS norm FROM documents WHERE NOT regexp_matches(text, '[^\\x00-\\x7F]')""")
+@query("""SELECT doc_id, array_to_string(list_filter(regexp_split_to_array(regexp_replace(lower(text), '\\p{P}', '', 'g'), '\\s+'), lambda w: w <> ''), ' ') AS norm FROM documents""")
 def q_norm_ascii(spark, d):
-    docs = read(spark, d, "documents").where(~F.col("text").rlike("[^\\x00-\\x7F]"))
-    return docs.select("doc_id", text.normalize_ascii(F.col("text")).alias("norm"))
+    return read(spark, d, "documents").select("doc_id", text.normalize_ascii(F.col("text")).alias("norm"))
 
 
 @query()

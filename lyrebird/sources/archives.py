@@ -1,4 +1,4 @@
-"""Text corpora in gzipped tars, and audio: PCM WAV decoding and log mel features in numpy."""
+"""Text corpora in gzipped tars, and audio: WAV decoding (other formats by a library) and log mel features in numpy."""
 
 from __future__ import annotations
 
@@ -38,18 +38,35 @@ def corpus_counts(lines: DataFrame) -> DataFrame:
     return by_file.agg(F.sum("n").alias("num_lines"), F.count("*").alias("num_files"), F.count_distinct("lang").alias("num_languages"))
 
 
-def samples(payload: bytes, rate: int = 16_000) -> np.ndarray:
-    """Mono samples in [-1, 1) at a rate, from a PCM WAV file."""
+def _wav(payload: bytes) -> tuple[np.ndarray, int]:
     with wave.open(io.BytesIO(payload)) as w:
         n, width, channels, own = w.getnframes(), w.getsampwidth(), w.getnchannels(), w.getframerate()
         raw = w.readframes(n)
     if width == 1:
         x = np.frombuffer(raw, np.uint8).astype(np.float64) / 128 - 1
+    elif width == 3:
+        wide = np.frombuffer(raw, np.uint8).reshape(-1, 3)
+        x = (np.pad(wide, ((0, 0), (1, 0))).copy().view("<i4").ravel() >> 8) / float(1 << 23)
     elif width in (2, 4):
         x = np.frombuffer(raw, f"<i{width}").astype(np.float64) / float(1 << (8 * width - 1))
     else:
         raise ValueError(f"WAV samples of {width} bytes are not read")
-    x = x.reshape(-1, channels).mean(1)
+    return x.reshape(-1, channels).mean(1), own
+
+
+def _compressed(payload: bytes) -> tuple[np.ndarray, int]:
+    """mp3, flac and others need a library that is no part of this one."""
+    try:
+        import soundfile
+    except ModuleNotFoundError as e:
+        raise ValueError("only WAV is read without the soundfile library") from e
+    x, own = soundfile.read(io.BytesIO(payload), always_2d=True, dtype="float64")
+    return x.mean(1), own
+
+
+def samples(payload: bytes, rate: int = 16_000) -> np.ndarray:
+    """Mono samples in [-1, 1) at a rate, from a PCM WAV file; from any other file by an audio library, if one is there."""
+    x, own = _wav(payload) if payload[:4] == b"RIFF" else _compressed(payload)
     if own != rate and len(x):
         at = np.arange(int(len(x) * rate / own)) * own / rate
         x = np.interp(at, np.arange(len(x)), x)

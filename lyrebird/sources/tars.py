@@ -130,10 +130,10 @@ def pair(members: DataFrame) -> DataFrame:
 def length_entries(members: DataFrame, rule, utt_id_key: str | None = None) -> DataFrame:
     """Length entries of a scan with payloads: ids, splits and frames from the members' metadata."""
     from ..functions.frames import infer_frames
-    from ..functions.splits import assign_split, sample_id
+    from ..functions.splits import sample_id
 
     field = lambda n: F.get_json_object("metadata", f"$.{n}")
-    paired = pair(members).withColumn("utt_id", sample_id(field(utt_id_key or rule.utt_id_key), F.col("key")))
+    paired = pair(members).withColumn("utt_id", sample_id(field(utt_id_key or rule.id_field), F.col("key")))
     frames = infer_frames(field("num_frames"), field("begin_time"), field("end_time"), field("duration"), field("num_samples"), field("sample_rate"))
-    by = F.col("utt_id" if rule.split_by == "sample_id" else "shard_name")
-    return paired.select("shard_name", "key", "utt_id", assign_split(by, rule).alias("split"), frames.alias("num_frames"), "audio_member", "audio_format", "json_member", "audio_offset", "audio_size", "json_offset", "json_size")
+    side = rule.side(rule.key(F.col("utt_id"), F.col("shard_name")))
+    return paired.select("shard_name", "key", "utt_id", side.alias("split"), frames.alias("num_frames"), "audio_member", "audio_format", "json_member", "audio_offset", "audio_size", "json_offset", "json_size")

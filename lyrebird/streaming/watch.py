@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..operators.batching import Batcher
+
 
 def watch_json(spark: SparkSession, folder: str, schema: str, handle: Callable[[DataFrame, int], None], checkpoint: str, once: bool = True, every: str = "30 seconds", min_age: str | None = None):
     """Call ``handle(rows, batch)`` for files that appear under a folder. The checkpoint remembers what was handled, so a
@@ -19,21 +21,36 @@ def watch_json(spark: SparkSession, folder: str, schema: str, handle: Callable[[
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=every)).start()
 
 
+def _versions(spark: SparkSession, target: str) -> tuple[Any, Any, list[int]]:
+    """The file system and path of a folder of versions, and the numbers of those that are complete."""
+    context = spark.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path(target)
+    files = path.getFileSystem(context._jsc.hadoopConfiguration())
+    found = files.globStatus(context._jvm.org.apache.hadoop.fs.Path(path, "version=*/_SUCCESS")) or []
+    return files, path, sorted(int(x.getPath().getParent().getName().partition("=")[2]) for x in found)
+
+
+def latest(spark: SparkSession, target: str, before: int | None = None) -> DataFrame | None:
+    """What ``upsert`` has kept, of the newest complete version (below ``before``); none if there is none."""
+    numbers = [n for n in _versions(spark, target)[2] if before is None or n < before]
+    return spark.read.parquet(f"{target}/version={numbers[-1]}").drop("__batch") if numbers else None
+
+
 def upsert(target: str, key: str) -> Callable[[DataFrame, int], None]:
-    """A handler that keeps one row for each key, the newest, in a Parquet folder of small results."""
+    """A handler that keeps one row for each key, the newest, as versions of a Parquet folder of small results. A batch
+    writes a version of its own from the one before it, so one that is cut off or comes again loses nothing."""
 
     def handle(rows: DataFrame, batch: int) -> None:
         spark = rows.sparkSession
+        files, path, numbers = _versions(spark, target)
+        earlier = [n for n in numbers if n < batch]
         new = rows.withColumn("__batch", F.lit(batch))
-        try:
-            old = spark.read.parquet(f"{target}/current")
-            new = old.unionByName(new, allowMissingColumns=True)
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-        latest = new.groupBy(key).agg(F.max_by(F.struct(*new.columns), "__batch").alias("r")).select("r.*")
-        latest.write.mode("overwrite").parquet(f"{target}/next")
-        spark.read.parquet(f"{target}/next").write.mode("overwrite").parquet(f"{target}/current")
+        if earlier:
+            new = spark.read.parquet(f"{target}/version={earlier[-1]}").unionByName(new, allowMissingColumns=True)
+        newest = new.groupBy(key).agg(F.max_by(F.struct(*new.columns), "__batch").alias("r")).select("r.*")
+        newest.write.mode("overwrite").parquet(f"{target}/version={batch}")
+        for old in earlier[:-1]:
+            files.delete(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path, f"version={old}"), True)
 
     return handle
 
@@ -45,26 +62,6 @@ def paired_stream(audio: DataFrame, meta: DataFrame, keys: list[str], time: str,
     return a.join(m, on).select("a.*", *[F.col(f"m.{c}") for c in meta.columns if c not in keys and c != time])
 
 
-class Batcher:
-    """The greedy batcher as a fold: (samples held, their longest, their text) and the batch number."""
-
-    def __init__(self, budget: int | None, most: int, skip_oversized: bool = True):
-        self.budget, self.most, self.skip = budget or None, most, skip_oversized
-
-    def step(self, state: tuple[int, int, int, int], frames: int, text: int) -> tuple[tuple[int, int, int, int], int | None]:
-        """The next state, and the sample's batch (none if it is skipped)."""
-        batch, n, longest, words = state
-        over = self.budget is not None and frames + text > self.budget
-        if over and self.skip:
-            return state, None
-        total = (n + 1) * max(longest, frames) + words + text
-        if n and (n >= self.most or self.budget is not None and total > self.budget):
-            batch, n, longest, words = batch + 1, 0, 0, 0
-        if over:
-            return (batch + 1, 0, 0, 0), batch
-        return (batch, n + 1, max(longest, frames), words + text), batch
-
-
 def batch_stream(rows: DataFrame, key: str, order: str, frames: str, text: str, budget: int | None, most: int, skip_oversized: bool = True) -> DataFrame:
     """(key, order, frames, text, batch): greedy batches over each key's stream, carried over from one micro-batch to the next."""
     batcher = Batcher(budget, most, skip_oversized)

@@ -10,9 +10,12 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from lyrebird import schemas as schemas_
 from lyrebird.functions import arrays, frames, maths, splits, text
 from lyrebird.functions.tokenizers import ByteTrie, build
-from lyrebird.operators import batching, decode, index, metrics, runs, stats
+from lyrebird import schemas as schemas_
+from lyrebird.operators import batching, decode, index, metrics, runs, sinks, stats
+from lyrebird.sources import manifests
 
 
 def one(spark, *columns):
@@ -20,15 +23,19 @@ def one(spark, *columns):
 
 
 def test_split_matches_sha1(spark):
-    rule = splits.SplitRule(0.1, 7)
-    rows = spark.range(500).select("id", splits.assign_split(F.col("id"), rule).alias("s")).collect()
+    rule = splits.HashSplit(0.1, 7)
+    rows = spark.range(500).select("id", rule.side(F.col("id")).alias("s"), rule.on("eval", shard=F.col("id")).alias("e"), rule.on("all").alias("w")).collect()
     for r in rows:
         x = int.from_bytes(hashlib.sha1(f"7:{r.id}".encode()).digest()[:8], "big") / float(1 << 64)
-        assert r.s == ("eval" if x < 0.1 else "train")
-    with pytest.raises(ValueError):
-        splits.SplitRule(1.0)
-    with pytest.raises(ValueError):
-        splits.in_split("dev", rule, shard=F.lit("a"))
+        assert r.s == ("eval" if x < 0.1 else "train") and r.e == (r.s == "eval") and r.w
+    assert one(spark, splits.HashSplit(0.0).side(F.lit("a")).alias("s")).s == "train"
+    for wrong in ({"share": 1.0}, {"sides": ("a", "a")}, {"by": "x"}, {"id_field": ""}):
+        with pytest.raises(ValueError):
+            splits.HashSplit(**wrong)
+    with pytest.raises(ValueError, match="no split"):
+        rule.on("dev", shard=F.lit("a"))
+    with pytest.raises(ValueError, match="shard_name"):
+        rule.on("eval", sample=F.lit("a"))
 
 
 def test_frames(spark):
@@ -105,12 +112,17 @@ def test_pairing_in_order(spark):
 
 def test_quantiles_nearest_rank(spark):
     rng = np.random.default_rng(1)
-    values = {"a": rng.normal(size=2001), "b": np.repeat([1.0, 2.0], 500), "c": np.array([7.0])}
+    values = {"a": rng.normal(size=2001), "b": np.repeat([1.0, 2.0], 500), "c": np.array([7.0]), "d": np.append(rng.normal(size=400), 1e12)}
     rows = spark.createDataFrame([(g, float(v)) for g, vs in values.items() for v in vs], "g string, v double")
-    got = {r.g: r for r in stats.quantiles(rows, ["g"], "v", {"p50": 0.5, "p99": 0.99}, bins=16).collect()}
-    for g, vs in values.items():
-        s = np.sort(vs)
-        assert got[g].p50 == s[round((len(s) - 1) * 0.5)] and got[g].p99 == s[round((len(s) - 1) * 0.99)]
+    for accuracy in (20, 10_000):
+        got = {r.g: r for r in stats.quantiles(rows, ["g"], "v", {"p50": 0.5, "p99": 0.99}, accuracy=accuracy).collect()}
+        for g, vs in values.items():
+            s = np.sort(vs)
+            assert got[g].p50 == s[round((len(s) - 1) * 0.5)] and got[g].p99 == s[round((len(s) - 1) * 0.99)]
+    whole = stats.quantiles(rows, [], "v", {"p50": 0.5}).first()
+    every = np.sort(np.concatenate(list(values.values())))
+    assert whole.n == len(every) and whole.p50 == every[round((len(every) - 1) * 0.5)]
+    assert tuple(stats.quantiles(rows.limit(0), [], "v", {"p50": 0.5, "max": 1.0}).first()) == (0, 0.0, 0.0, 0.0)
 
 
 def test_edit_distance(spark):
@@ -171,8 +183,10 @@ def test_text(spark):
 
 
 def test_byte_trie():
-    t = ByteTrie([f"{i} {bytes([i])!r} 1" for i in range(128)] + ["200 'th' 2", "201 'the' 3", "202 b'\\xe4\\xbd' 2"])
-    assert t.encode("then") == [201, ord("n")] and t.decode(t.encode("the tha")) == "the tha"
+    t = ByteTrie([f"{i + 1} {bytes([i])!r} 1" for i in range(128)] + ["200 'th' 2", "201 'the' 3", "202 b'\\xe4\\xbd' 2"])
+    assert t.encode("then") == [201, ord("n") + 1] and t.decode(t.encode("the tha")) == "the tha"
+    # The end mark and unknown ids decode to nothing, and the vocabulary keeps its published size.
+    assert t.eos == 0 and t.vocab_size == 65_536 and t.decode([0, *t.encode("the"), 65_535]) == "the" and t.decode([202]) == ""
     with pytest.raises(KeyError):
         t.encode("é")
     with pytest.raises(ValueError):
@@ -216,7 +230,7 @@ def test_tar_source(spark, tmp_path):
     _shard(tmp_path / "b.tar", [("ghi", {"sid": "", "duration": 1.0}, b"789")])
     spark.dataSource.register(tars.TarShards)
     for members in (spark.read.format("tarshard").option("payload", "true").load(str(tmp_path)), tars.members_of(spark, str(tmp_path), payload=True)):
-        entries = tars.length_entries(members, splits.SplitRule(0.0))
+        entries = tars.length_entries(members, splits.HashSplit(0.0))
         got = {(r.shard_name, r.utt_id, r.num_frames, r.split) for r in entries.collect()}
         assert got == {("a.tar", "u1", 234, "train"), ("a.tar", "def", 125, "train"), ("b.tar", "ghi", 100, "train")}
     read = tars.read_members(entries, str(tmp_path)).collect()
@@ -237,7 +251,7 @@ def test_manifest(spark, tmp_path):
 
 
 def test_batcher_carries_over(spark, tmp_path):
-    from lyrebird.streaming.watch import Batcher
+    from lyrebird.operators.batching import Batcher
 
     b, state, out = Batcher(18, 10), (0, 0, 0, 0), []
     for f, t in ((8, 3), (5, 2), (3, 1)):
@@ -274,12 +288,12 @@ def test_archives_and_audio(spark, tmp_path):
 def test_config(tmp_path):
     from lyrebird.functions import config
 
-    rule = splits.SplitRule(0.1, 7)
+    rule = splits.HashSplit(0.1, 7)
     config.check_index({"split": {"split_by": "shard_name", "eval_ratio": 0.1, "hash_seed": 7}}, rule)
     with pytest.raises(ValueError, match="split_by"):
         config.check_index({"split": {"eval_ratio": 0.1, "hash_seed": 7}}, rule)
     assert config.artefact_path("index", str(tmp_path)).endswith("/webdataset_index.json") and config.artefact_path("lengths", "/a/b.tar") == "/a/b.lengths.jsonl"
-    trie = ByteTrie([f"{i} {bytes([i])!r} 1" for i in range(128)])
+    trie = ByteTrie([f"{i} {bytes([i])!r} 1" for i in range(128)], eos=None, least=0)
     assert config.vocab_size(trie) == 128 and config.text_extra(*config.prompt_ids(trie, "ab", "", "c")) == 4
     with pytest.raises(ValueError):
         config.vocab_size(trie, append_eos=True)
@@ -294,3 +308,168 @@ def test_examples(spark):
     r = reports.examples(a, b, "utt_id", 5).collect()
     assert len(r) == 1 and (r[0].ctc_error, r[0].ar_error) == (0.5, 0.0)
     assert r[0].comment == "AR closer on token edit distance; CTC is short; AR did not emit EOS."
+
+
+def test_token_split_against_a_loop(spark):
+    rng = random.Random(11)
+    rows = [(rng.choice("abc"), i, rng.randint(1, 60), rng.randint(0, 9)) for i in range(300)]
+    frame = spark.createDataFrame(rows, "g string, i int, f int, t int")
+    for budget, most, skip, padded, extra in ((90, None, True, False, 0), (90, 3, False, False, 0), (120, 4, False, True, 2), (0, 5, True, False, 0)):
+        want = {}
+        for g in "abc":
+            held, batch = [], 0
+            for _, i, f, t in (r for r in rows if r[0] == g):
+                cost = lambda x: len(x) * max(a for a, _ in x) + (len(x) * (max(b for _, b in x) + extra) if padded else sum(b for _, b in x))  # noqa: E731, B023
+                over = budget > 0 and cost([(f, t)]) > budget
+                if over and skip:
+                    continue
+                if held and (most and len(held) >= most or budget > 0 and cost([*held, (f, t)]) > budget):
+                    held, batch = [], batch + 1
+                want[i] = batch
+                held, batch = ([], batch + 1) if over else ([*held, (f, t)], batch)
+        got = {r.i: r.batch for r in batching.token_split(frame, ["g"], ["i"], "f", "t", budget, most, skip, padded, extra).collect()}
+        assert got == want
+
+
+def test_preview_and_parts(spark, tmp_path):
+    from lyrebird import schemas
+
+    prediction = spark.createDataFrame(
+        [
+            ("u1", [1], [1, 2], None, "ref", 0.123456, "ctc", None, None, None, "bi", None, {"feature_length": 9, "logit_length": 3, "pred_token_count": 1, "ref_token_count": 2, "blank_top1_ratio": 0.5, "avg_blank_prob": 0.25}),
+            ("u2", [1], [1], "hyp", None, -1.0, "rescore", 0.5, None, -0.25, "bi", None, None),
+            ("u3", None, None, None, None, 0.0, "ctc", None, None, None, "bi", None, None),
+        ],
+        schemas.PREDICTION,
+    )
+    got = [r.value for r in sinks.preview(prediction, "utt_id", 2).orderBy("place").collect()]
+    assert got == [
+        "[1] utt_id=u1\n  REF : ref\n  PRED: \n  SCORE: 0.1235\n  DEBUG: feat=9 logit=3 pred_tok=1 ref_tok=2 blank_top1=0.500 avg_blank=0.250",
+        "[2] utt_id=u2\n  REF : \n  PRED: hyp\n  SCORE: -1.0000\n  STRATEGY: rescore\n  RESCORE: ctc=0.5 decoder=n/a combined=-0.25",
+    ]
+    sinks.write_preview(prediction, str(tmp_path / "p"), "utt_id", 2)
+    text_ = "".join(p.read_text() for p in (tmp_path / "p").glob("part-*"))
+    assert text_ == "\n".join(got) + "\n"
+    values = manifests.preview_lines(spark, str(tmp_path / "p")).collect()
+    assert [r["values"] for r in values] == [{"feat": 9.0, "logit": 3.0, "pred_tok": 1.0, "ref_tok": 2.0, "blank_top1": 0.5, "avg_blank": 0.25}]
+    sinks.write_predictions(prediction, str(tmp_path / "j"))
+    assert sorted(map(str, manifests.predictions(spark, str(tmp_path / "j")).collect())) == sorted(map(str, prediction.collect()))
+    ids = [f"k{i * 7 % 1000:04}" for i in range(1000)]
+    for order in ("name", "number"):
+        rows = spark.createDataFrame([(x, int(x[1:]), [[0.0, 1.0]] * 2) for x in ids], "name string, number int, scores array<array<double>>")
+        parts, listed = sinks.export_parts(rows, order, 64, "scores")
+        assert {r.name: r.part_index for r in parts.collect()} == {x: i // 64 for i, x in enumerate(sorted(ids))}
+        assert sorted(tuple(r) for r in listed.collect()) == [(i, min(64, 1000 - 64 * i), 2, 2) for i in range(16)]
+
+
+def test_bucket_manifest_round_trip(spark, tmp_path):
+    entries = spark.createDataFrame(
+        [(f"s{i % 3}.tar", f"k{i}", f"u{i}", "train" if i % 4 else "eval", 40 + 30 * (i % 5), f"k{i}.wav", "wav", f"k{i}.json", 512 * i, 100, 0, 1, None) for i in range(40)],
+        schemas_.LENGTH_ENTRY,
+    )
+    sinks.write_buckets(entries, str(tmp_path), "/shards", "lengths.jsonl", entries_per_part=3)
+    listed = manifests.bucket_manifest(spark, str(tmp_path / "manifest.json")).collect()
+    assert sum(r.num_samples for r in listed) == 40 and {r.bucket_id for r in listed} == {0, 1, 2}
+    assert [(r.split, r.bucket_id) for r in listed] == sorted((r.split, r.bucket_id) for r in listed)
+    for r in listed:
+        assert sum(p.num_samples for p in r.parts) == r.num_samples and all(p.num_samples <= 3 for p in r.parts)
+        taken = []
+        for p in r.parts:
+            rows = [json.loads(line) for f in (tmp_path / p.path).glob("part-*") for line in f.read_text().splitlines()]
+            assert len(rows) == p.num_samples and (rows[0]["shard_name"], rows[-1]["shard_name"]) == (p.first_shard, p.last_shard)
+            taken += rows
+        want = sorted((e for e in entries.collect() if e.split == r.split and e.num_frames // 80 == r.bucket_id), key=lambda e: (e.shard_name, e.audio_offset))
+        assert [x["utt_id"] for x in taken] == [e.utt_id for e in want]
+
+
+def test_edit_distance_guard(spark, monkeypatch):
+    monkeypatch.setattr(maths, "MOST_ITEMS", 3)
+    with pytest.raises(Exception, match="too many"):
+        one(spark, maths.edit_distance(F.array(*map(F.lit, "abcd")), F.array(F.lit("a"))))
+
+
+def test_floored_rate_without_rows(spark):
+    assert metrics.floored_rate(spark.createDataFrame([], "e int, t int"), "e", "t").first().rate == 0
+
+
+def test_tensor_files(spark, tmp_path):
+    from lyrebird.sources import tensors
+
+    x = np.arange(24, dtype=np.float32).reshape(2, 4, 3)
+    (tmp_path / "a.safetensors").write_bytes(tensors.to_bytes({"logits": x, "lengths": np.array([4, 2])}))
+    rows = tensors.scores(spark, str(tmp_path / "a.safetensors")).orderBy("place").collect()
+    assert [(r.place, r.length) for r in rows] == [(0, 4), (1, 2)] and rows[1].scores == x[1, :2].tolist()
+    header = b'{"x": {"dtype": "BF16", "shape": [2], "data_offsets": [0, 4]}}'
+    assert tensors.tensors(len(header).to_bytes(8, "little") + header + b"\xc0\x3f\x00\xc0")["x"].tolist() == [1.5, -2.0]
+    for lengths, message in ((np.array([1]), "lengths"), (np.array([5, 1]), "beyond")):
+        (tmp_path / "b.safetensors").write_bytes(tensors.to_bytes({"logits": x, "lengths": lengths}))
+        with pytest.raises(Exception, match=message):
+            tensors.scores(spark, str(tmp_path / "b.safetensors")).collect()
+    (tmp_path / "b.safetensors").write_bytes(tensors.to_bytes({"logits": x}))
+    with pytest.raises(Exception, match="no tensor"):
+        tensors.scores(spark, str(tmp_path / "b.safetensors")).collect()
+
+
+def test_throughput_and_budgets(spark):
+    r = one(spark, frames.throughput(F.lit(30), F.lit(10.0), 10).alias("a"), frames.throughput(F.lit(0), F.lit(0.0)).alias("b"))
+    assert tuple(r) == (2.0, 1e6)
+    ranks = spark.createDataFrame([(1, 100, 1000), (1, 100, 4000), (2, 0, 50)], "step int, tokens long, peak long")
+    got = {r.step: (r.peak, r.budget) for r in batching.global_token_budget(ranks, "step", "tokens", "peak", 1 / 1024).collect()}
+    assert got == {1: (4000, 26214), 2: (50, 20971)}
+
+
+def test_loader_and_steps(spark, tmp_path):
+    from lyrebird.functions import config
+
+    assert config.loader(str(tmp_path)) == ("shards", None)
+    (tmp_path / "webdataset_lengths.jsonl").write_text("{}\n")
+    assert config.loader(str(tmp_path))[0] == "lengths" and config.loader(str(tmp_path), limit=1) == ("shards", None)
+    (tmp_path / "webdataset_buckets").mkdir()
+    (tmp_path / "webdataset_buckets" / "manifest.json").write_text("{}")
+    assert config.loader(str(tmp_path))[0] == "buckets"
+    with pytest.raises(FileNotFoundError):
+        config.loader(str(tmp_path), lengths=str(tmp_path / "none"), buckets=str(tmp_path / "none"))
+    buckets = spark.createDataFrame([(0, 10), (1, 7)], "bucket_id int, num_samples long")
+    lengths = spark.createDataFrame([(n,) for n in (100, 110, 120, 130, 500, 520, 540, 560)], "num_frames int")
+    assert batching.epoch_steps("buckets", 4, buckets=buckets, budget=320) == 10 // 4 + 7 // 2
+    assert batching.epoch_steps("lengths", 4, lengths=lengths, budget=500) == 6 and batching.epoch_steps("lengths", 4, lengths=lengths.limit(0)) == 1
+    assert batching.epoch_steps("shards", 4, samples=9) == 3
+    with pytest.raises(ValueError):
+        batching.epoch_steps("shards", 4)
+    rule = splits.HashSplit(0.1, 7)
+    document = {"split": {"split_by": "shard_name", "eval_ratio": 0.1, "hash_seed": 7}, "num_samples": 9, "splits": {"eval": {"num_samples": 2}}}
+    assert config.progress_total(document, rule, "all") == 9 and config.progress_total(document, rule, "eval") == 2
+    assert config.progress_total(document, rule, "dev") is None and config.progress_total(None, rule, "all") is None and config.progress_total(document, splits.HashSplit(0.2), "all") is None
+
+
+def test_prediction_jobs(spark):
+    scores = [[9.0 if t == k else 1.0 for t in range(3)] for k in (0, 1, 1, 0, 2)]
+    rows = spark.createDataFrame([("b", scores, [1, 2, 0]), ("a", scores[:1], None), ("c", scores, [1])], "utt_id string, scores array<array<double>>, ref array<int>")
+    got = {r.utt_id: r for r in decode.predictions(rows, "scores", reference="ref", eos=0, limit=2).collect()}
+    assert set(got) == {"a", "b"} and got["b"].pred_token_ids == got["b"].ref_token_ids == [1, 2] and got["a"].ref_token_ids is None
+    assert got["b"].debug.logit_length == 5 and got["b"].debug.ref_token_count == 2 and got["b"].debug.blank_top1_ratio == 0.4 and got["a"].pred_token_ids == []
+    with pytest.raises(ValueError):
+        decode.predictions(rows, "scores", limit=0)
+    report = {r["mode"]: tuple(r)[1:] for r in metrics.mode_report(spark.createDataFrame([("bi", 0, 4), ("bi", 2, 4), ("uni", 3, 0)], "mode string, e int, t int"), "mode", "e", "t").collect()}
+    assert report == {"bi": (0.25, 0.5, 2.0), "uni": (0.0, 0.0, 1.0)}
+    a, b = spark.createDataFrame([(0, "x", 1), (1, "y", 2)], "at int, u string, p int"), spark.createDataFrame([(0, "x", 5), (1, "y", 6)], "at int, u string, d int")
+    assert sorted((r.u, r.p, r.d) for r in sinks.paired(a, b, "u", "at").collect()) == [("x", 1, 5), ("y", 2, 6)]
+    for wrong in (b.limit(1), b.withColumn("u", F.lit("x"))):
+        with pytest.raises(Exception, match="fit together"):
+            sinks.paired(a, wrong, "u", "at").collect()
+
+
+def test_audio_formats():
+    import wave
+
+    from lyrebird.sources import archives
+
+    for width, scale in ((1, 1 << 7), (2, 1 << 15), (3, 1 << 23), (4, 1 << 31)):
+        out = io.BytesIO()
+        with wave.open(out, "wb") as w:
+            w.setnchannels(1), w.setsampwidth(width), w.setframerate(16_000)
+            values = [0, scale // 2, -scale // 2, -scale]
+            w.writeframes(b"".join((v + 128 if width == 1 else v).to_bytes(width, "little", signed=width > 1) for v in values))
+        assert archives.samples(out.getvalue()).tolist() == [0, 0.5, -0.5, -1]
+    with pytest.raises(ValueError, match="soundfile"):
+        archives.samples(b"ID3 not a wave file")

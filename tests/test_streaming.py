@@ -23,8 +23,15 @@ def test_watch_handles_each_file_once(spark, tmp_path):
     write(inbox, "b.json", [{"step": 2, "loss": 0.3}, {"step": 3, "loss": 0.2}])
     run()
     run()
-    rows = spark.read.parquet(str(target / "current")).select("step", "loss").collect()
-    assert {(r.step, r.loss) for r in rows} == {(1, 0.5), (2, 0.3), (3, 0.2)}
+    got = lambda: {(r.step, r.loss) for r in watch.latest(spark, str(target)).select("step", "loss").collect()}
+    assert got() == {(1, 0.5), (2, 0.3), (3, 0.2)}
+    # A batch that was cut off leaves no version; when it comes again it starts from the last complete one.
+    newest = max(target.glob("version=*"), key=lambda p: int(p.name.partition("=")[2]))
+    number = int(newest.name.partition("=")[2])
+    (newest / "_SUCCESS").unlink()
+    assert got() == {(1, 0.5), (2, 0.4)}
+    handle(spark.createDataFrame([(2, 0.3), (3, 0.2)], "step long, loss double"), number)
+    assert got() == {(1, 0.5), (2, 0.3), (3, 0.2)} and watch.latest(spark, str(tmp_path / "none")) is None
 
 
 def test_batches_carry_over_micro_batches(spark, tmp_path):
