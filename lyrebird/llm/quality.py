@@ -49,12 +49,12 @@ SYMBOLS = 1 << BITS
 #: The model of all trusted texts; the others are named "=" and their language.
 POOLED = "*"
 #: Distinct n-grams of a model's shard, n-grams looked up in a shard by one task, and bytes of text in a block; about.
-TRAINED, ASKED, BLOCK = 1_000_000, 8_000_000, 32 << 20
+TRAINED, ASKED, BLOCK = 250_000, 2_000_000, 16 << 20
 #: Trusted ids (8 bytes each) up to which they are broadcast instead of joined by shuffle.
 IDS = 1_000_000
 PRIOR = 64
 QUANTILE, SLACK = 0.995, 0.05
-FLUSH = 1_500_000
+FLUSH = 1_000_000
 
 
 def symbols(text: str) -> np.ndarray:
