@@ -5,16 +5,18 @@ Host: after the first ``://`` up to ``/``, ``?``, ``#`` or the end, A-Z lower-ca
 starts with the rule's; the longest wins, then the first given.
 
 The models. Host and path are spelt in an alphabet of 33 symbols: a-z, 0 for a run of digits, ``.``, ``-``
-(and ``_``), ``/``, ``!`` for anything else, ``^`` before the start and ``$`` at the end. Accepted and
-rejected urls are those that a rule decides, each spelling once for each verdict, and example urls, which
-together weigh as much as the corpus. What the rule itself matched is cut from a decided url's spelling:
-a model of it would repeat the rule, and carry it over to hosts and paths that no rule names. Each model mixes contexts of 3, 2, 1 and no symbols by Witten-Bell
-smoothing: a context gives way to its shorter form by how many continuations it has shown. A url's score is
-the sum of the log ratios of its symbols over their number.
-
-Calibration. 3 of 16 spellings, by their MD5, are held out of the counts. The threshold is the highest hundredth
-below which lie no more than 5 % of the held-out accepted spellings, and no higher than 0, at which a url is
-as like the accepted as the rejected; 0 if none is held out.
+(and ``_``), ``/``, ``!`` for anything else, ``^`` before the start and ``$`` at the end. What they learn from is
+urls that a rule for a whole host decides (path ``/``), each spelling once, and example urls made of common host words;
+rules for a path, such as a language's, say nothing about how good a host is. What the rule itself matched is cut from
+a decided url's spelling, or the model would repeat the rule. The model of accepted urls mixes contexts of 3, 2, 1 and
+no symbols by Witten-Bell smoothing: a context gives way to its shorter form by how many continuations it has
+shown. The model of rejected urls is that one, adapted to the rejected: a context of 2 symbols, then of 3, counts
+its rejected continuations and ``PRIOR`` from the model so far. So where nothing rejected has been seen the two agree,
+and a url's score, the sum of the log ratios of its symbols over their number, is moved by what speaks of either.
+
+Calibration. 3 of 16 spellings, by their MD5, are held out of the counts. Of the hundredths below which lie no more than
+5 % of the held-out accepted, those of the least loss are taken (share of accepted below and of rejected not below,
+together); the threshold is the middle of them, and 0 without any.
 
 Scale. Spellings are scored once each. What is broadcast is the table of log ratios of the 4-symbol strings
 that occur: 33 ** 4 rows of 16 bytes at most, whatever the corpus. Equal urls, however many, are one spelling.
@@ -35,18 +37,39 @@ from .common import settle
 
 SYMBOLS = "abcdefghijklmnopqrstuvwxyz0.-/!^$"
 BASE, ORDER = len(SYMBOLS), 4
+#: The shortest gram, in symbols, whose rejected counts are used.
+ADAPTED = 3
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ_", "abcdefghijklmnopqrstuvwxyz-"
 
-#: Example urls that weigh beside the corpus's own.
-ACCEPTED = (
-    "www.university.example/courses/history", "library.example/catalogue/books", "news.example/world/politics", "encyclopedia.example/wiki/mathematics",
-    "blog.example/articles/travel", "docs.example/reference/manual", "museum.example/collections/paintings", "science.example/journal/biology",
-    "recipes.example/vegetables/soup", "forum.example/questions/programming", "health.example/guides/nutrition", "government.example/services/education",
-)
-REJECTED = (
-    "casino-win.example/bonus", "online-casino.example/slots", "free-bets.example/bet", "cheap-pills.example/buy", "spam-farm.example/seo", "ads-track.example/click",
-    "viagra-pills.example/order", "poker-win.example/jackpot", "payday-loans.example/cash", "xxx-porn.example/video", "adult-cams.example/sex", "free-download-crack.example/keygen",
+#: Words of hosts by what lists of unwanted sites are commonly sorted into, and words of hosts that are mostly fine.
+UNWANTED = (
+    "casino poker bet bets betting slots jackpot roulette bingo lottery gamble win", "pills viagra cialis pharmacy meds pharma cheap diet", "adult porn xxx sex cams escort nude erotic",
+    "ads adserver track tracker click clicks popup banner affiliate promo", "spam farm seo backlinks linkfarm traffic bulk mailer", "loan loans payday cash credit money forex",
+    "free download crack keygen warez torrent serial hack",
 )
+WANTED = (
+    "university library news encyclopedia blog docs museum journal recipes forum health government school research science history travel books garden weather city council church music "
+    "theatre film sports football community support developer software hardware engineering physics chemistry biology medicine law economics philosophy language dictionary culture art "
+    "design photography nature environment energy transport railway airport hotel restaurant cooking family children teacher student college institute academy foundation society "
+    "association project archive gallery magazine press radio television"
+)
+FORMS = ("www.{}.example.com/en/0.html", "{}.example.net/0/", "blog.{}.example.com/page/0", "m.{}.example.org/0")
+#: What the context of a rejected url weighs before anything is seen in it.
+PRIOR = 2.0
+
+
+def _formed(hosts: list[str]) -> tuple[str, ...]:
+    return tuple(FORMS[i % len(FORMS)].format(h) for i, h in enumerate(hosts))
+
+
+def _pairs(words: str, *steps: int) -> list[str]:
+    """Each word joined to those ``steps`` places on."""
+    w = words.split()
+    return [f"{a}-{w[(i + k) % len(w)]}" for i, a in enumerate(w) for k in steps]
+
+
+ACCEPTED = _formed(WANTED.split() + _pairs(WANTED, 1))
+REJECTED = _formed([h for words in UNWANTED for h in _pairs(words, 1, 3)])
 
 Rule = tuple[str, str, str]
 
@@ -84,24 +107,30 @@ def _grams(spelt: DataFrame) -> DataFrame:
 
 
 def _ratios(counts: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(gram, ratio) for the wanted grams, from counts(gram, a, r): weights of the gram in accepted and rejected urls."""
-    def level(k: int) -> DataFrame:
-        return counts.groupBy((F.col("gram") % BASE**k).alias("g")).agg(F.sum("a").alias("a"), F.sum("r").alias("r"))
+    """(gram, ratio) for the wanted grams, from counts(gram, a, r): how often the gram is in accepted and rejected urls."""
+    def level(k: int) -> tuple[DataFrame, DataFrame]:
+        seen = counts.groupBy((F.col("gram") % BASE**k).alias("g")).agg(F.sum("a").alias("a"), F.sum("r").alias("r"))
+        held = seen.groupBy(F.floor(F.col("g") / BASE).alias("h")).agg(F.sum("a").alias("na"), F.count_if(F.col("a") > 0).alias("ta"), F.sum("r").alias("nr"))
+        return seen, held
 
-    probs = None
+    shorter, adapted = None, []
     for k in range(1, ORDER + 1):
-        seen = level(k)
-        held = seen.groupBy(F.floor(F.col("g") / BASE).alias("h")).agg(*[e for c in "ar" for e in (F.sum(c).alias(f"n{c}"), F.count_if(F.col(c) > 0).alias(f"t{c}"))])
+        seen, held = level(k)
         need = wanted.select((F.col("gram") % BASE**k).alias("g")).distinct() if k > 1 else counts.sparkSession.range(BASE).select(F.col("id").alias("g"))
         table = need.withColumn("h", F.floor(F.col("g") / BASE)).join(seen, "g", "left").join(held, "h", "left")
-        if probs is not None:
-            shorter = probs.select(F.col("g").alias("low"), F.col("pa").alias("la"), F.col("pr").alias("lr"))
+        if shorter is not None:
             table = table.withColumn("low", F.col("g") % BASE ** (k - 1)).join(shorter, "low")
         else:
-            table = table.withColumns({"la": F.lit(1.0 / BASE), "lr": F.lit(1.0 / BASE)})
-        mixed = lambda c: F.when(F.col(f"n{c}") > 0, (F.coalesce(c, F.lit(0.0)) + F.col(f"t{c}") * F.col(f"l{c}")) / (F.col(f"n{c}") + F.col(f"t{c}"))).otherwise(F.col(f"l{c}"))
-        probs = table.select("g", mixed("a").alias("pa"), mixed("r").alias("pr"))
-    return probs.select(F.col("g").alias("gram"), (F.log("pa") - F.log("pr")).alias("ratio"))
+            table = table.withColumn("p", F.lit(1.0 / BASE))
+        mixed = F.when(F.col("na") > 0, (F.coalesce("a", F.lit(0.0)) + F.col("ta") * F.col("p")) / (F.col("na") + F.col("ta"))).otherwise(F.col("p"))
+        rejected = [F.coalesce("r", F.lit(0.0)).alias(f"r{k}"), F.coalesce("nr", F.lit(0.0)).alias(f"n{k}")] if k >= ADAPTED else []
+        out = table.select("g", mixed.alias("p"), *adapted, *rejected)
+        adapted += [f"r{k}", f"n{k}"] if rejected else []
+        shorter = out.withColumnRenamed("g", "low")
+    bad = F.col("p")
+    for k in range(ADAPTED, ORDER + 1):
+        bad = (F.col(f"r{k}") + PRIOR * bad) / (F.col(f"n{k}") + PRIOR)
+    return out.select(F.col("g").alias("gram"), (F.log("p") - F.log(bad)).alias("ratio"))
 
 
 def judge(pages: DataFrame, rules: Sequence[Rule], id_col: str = "page_id", url_col: str = "url", accepted: Sequence[str] = ACCEPTED, rejected: Sequence[str] = REJECTED) -> DataFrame:
@@ -112,38 +141,36 @@ def judge(pages: DataFrame, rules: Sequence[Rule], id_col: str = "page_id", url_
     left = F.expr("substring(host, 1, greatest(0, length(host) - h - 1))")
     right = F.concat(F.lit("/"), F.expr("substring(path, p + 1)"))
     whole = F.col("rule").isNull()
-    ruled = found.select("id", "host", "path", "rule", "verdict", spelling(F.when(whole, F.col("host")).otherwise(left), F.when(whole, F.col("path")).otherwise(right)).alias("s"))
-    held_out = F.substring(F.md5("s"), 1, 1).isin("0", "1", "2")
-    spelt = (
-        ruled.where(F.col("s") != "").groupBy("s")
-        .agg(F.max((F.coalesce("verdict", F.lit("")) == "allow").cast("int")).alias("a"), F.max((F.coalesce("verdict", F.lit("")) == "block").cast("int")).alias("r"))
-        .withColumn("held", held_out)
-    )
-    spelt = settle(spelt)
-    grams = _grams(spelt)
-    corpus = grams.where(~F.col("held")).groupBy("gram").agg(F.sum("a").cast("double").alias("a"), F.sum("r").cast("double").alias("r"))
+    spelt = spelling(F.when(whole, F.col("host")).otherwise(left), F.when(whole, F.col("path")).otherwise(right))
+    ruled = found.select("id", "host", "path", "rule", "verdict", spelt.alias("s"), (F.coalesce("p", F.lit(0)) == 1).alias("site"))
+    says = lambda v: F.max((F.col("site") & (F.coalesce("verdict", F.lit("")) == v)).cast("int"))
+    corpus = ruled.where(F.col("s") != "").groupBy("s").agg(says("allow").alias("a"), says("block").alias("r"))
     examples = spark.createDataFrame([(u, 1, 0) for u in accepted] + [(u, 0, 1) for u in rejected], "u string, a int, r int").select(spelling(F.col("u"), F.lit("")).alias("s"), "a", "r")
-    shown = _grams(examples).groupBy("gram").agg(F.sum("a").cast("double").alias("a"), F.sum("r").cast("double").alias("r"))
-    sums = lambda df, x: df.agg(F.sum("a").alias(f"{x}a"), F.sum("r").alias(f"{x}r"))
-    share = sums(corpus, "c").crossJoin(F.broadcast(sums(shown, "e"))).select(*[F.greatest(F.lit(1.0), F.coalesce(F.col(f"c{c}"), F.lit(0.0)) / F.col(f"e{c}")).alias(f"f{c}") for c in "ar"])
-    weighed = shown.crossJoin(F.broadcast(share)).select("gram", F.col("a") * F.coalesce("fa", F.lit(1.0)), F.col("r") * F.coalesce("fr", F.lit(1.0)))
-    counts = settle(corpus.union(weighed).groupBy("gram").agg(F.sum("a").alias("a"), F.sum("r").alias("r")))
-    # 33 ** 4 rows at most, so the hint is safe at any size of the corpus.
-    ratios = F.broadcast(settle(_ratios(counts, settle(grams.select("gram").distinct()))))
+    every = corpus.union(examples).groupBy("s").agg(F.max("a").alias("a"), F.max("r").alias("r")).withColumn("held", F.substring(F.md5("s"), 1, 1).isin("0", "1", "2"))
+    every = settle(every)
+    grams = _grams(every)
+    # 33 ** 4 rows at most, whatever the corpus, so the hint below is safe at any size.
+    counts = settle(grams.groupBy("gram").agg(*[F.sum(F.when(F.col("held"), 0).otherwise(F.col(c))).cast("double").alias(c) for c in "ar"]))
+    ratios = F.broadcast(settle(_ratios(counts, counts.select("gram"))))
     scored = settle(grams.join(ratios, "gram").groupBy("s", "a", "r", "held").agg(F.round(F.sum("ratio") / F.count("*"), 6).alias("score")))
     cut = _threshold(scored.where("held"))
-    verdict = F.coalesce("verdict", F.when(F.col("score") >= F.least(F.lit(0.0), F.coalesce(cut.scalar(), F.lit(0.0))), "allow").otherwise("block"))
+    verdict = F.coalesce("verdict", F.when(F.col("score") >= F.coalesce(cut.scalar(), F.lit(0.0)), "allow").otherwise("block"))
     out = ruled.join(scored.select("s", "score"), "s", "left")
     return out.select(F.col("id").alias(id_col), "host", "path", "rule", verdict.alias("verdict"), "score")
 
 
 def _threshold(held: DataFrame) -> DataFrame:
-    """One row with the highest hundredth below which lies 5 % of the accepted or less, or none. The number of hundredths is
-    bounded by the smoothing, not by the corpus."""
-    bins = held.where("a > 0").groupBy(F.floor(F.col("score") * 100).alias("bin")).agg(F.count("*").alias("n"))
-    below = F.coalesce(F.sum("n").over(Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    told = bins.select("bin", below.alias("below"), F.sum("n").over(Window.partitionBy()).alias("every"))
-    return told.where(F.col("below") * 20 <= F.col("every")).agg((F.max("bin") / 100).alias("cut"))
+    """One row with the threshold, or null. The number of hundredths is bounded by the smoothing, not by the corpus."""
+    bins = held.groupBy(F.floor(F.col("score") * 100).alias("bin")).agg(F.count_if(F.col("a") > 0).alias("a"), F.count_if((F.col("r") > 0) & (F.col("a") == 0)).alias("r")).where("a + r > 0")
+    at = bins.agg(F.min("bin").alias("lo"), F.max("bin").alias("hi")).where("lo is not null").select(F.explode(F.expr("sequence(lo, hi + 1)")).alias("bin"))
+    each = at.join(bins, "bin", "left").select("bin", F.coalesce("a", F.lit(0)).alias("a"), F.coalesce("r", F.lit(0)).alias("r"))
+    before, every = Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy()
+    below = lambda c: F.coalesce(F.sum(c).over(before), F.lit(0))
+    told = each.select("bin", below("a").alias("lost"), F.sum("a").over(every).alias("na"), (F.sum("r").over(every) - below("r")).alias("passed"), F.sum("r").over(every).alias("nr"))
+    # Losses as whole numbers, so that equal ones are equal: both shares times both counts.
+    loss = told.where("lost * 20 <= na").withColumn("loss", F.col("lost") * F.greatest("nr", F.lit(1)) + F.col("passed") * F.greatest("na", F.lit(1)))
+    best = loss.groupBy("loss").agg(F.min("bin").alias("lo"), F.max("bin").alias("hi"))
+    return best.agg((F.min_by(F.floor((F.col("lo") + F.col("hi")) / 2), "loss") / 100).alias("cut"))
 
 
 def sql(rules: Sequence[Rule], accepted: Sequence[str] = ACCEPTED, rejected: Sequence[str] = REJECTED) -> str:
@@ -152,36 +179,37 @@ def sql(rules: Sequence[Rule], accepted: Sequence[str] = ACCEPTED, rejected: Seq
     listed = ", ".join(f"({i}, {quote(h)}, {quote(p)}, {quote(v)})" for i, (h, p, v) in enumerate(rules))
     shown = ", ".join([f"({quote(u)}, 1, 0)" for u in accepted] + [f"({quote(u)}, 0, 1)" for u in rejected])
     spelt = lambda x: f"regexp_replace(regexp_replace(translate({x}, '{UPPER}', '{LOWER}'), '[0-9]+', '0', 'g'), '[^a-z0./-]', '!', 'g')"
-    grams = lambda t, cols: (
-        f"SELECT {cols}, list_reduce(list_transform(range(0, 4), lambda k: instr('{SYMBOLS}', substr('^^^' || s || '$', i + k, 1)) - 1), lambda x, y: x * {BASE} + y)::BIGINT AS gram "
-        f"FROM (SELECT *, unnest(range(1, length(s) + 2)) AS i FROM {t})"
-    )
-    levels = ""
+    cut = "CASE WHEN rule IS NULL THEN host || path ELSE substr(host, 1, greatest(0, length(host) - h - 1)) || '/' || substr(path, p + 1) END"
+    number = f"list_reduce(list_transform(range(0, 4), lambda k: instr('{SYMBOLS}', substr('^^^' || s || '$', i + k, 1)) - 1), lambda x, y: x * {BASE} + y)::BIGINT"
+    levels, bad, joins = "", f"p{ORDER}.p", ""
     for k in range(1, ORDER + 1):
-        lower = f"JOIN p{k - 1} l ON l.g = n.g % {BASE ** (k - 1)}" if k > 1 else ""
-        la, lr = ("l.pa", "l.pr") if k > 1 else (f"(1.0::DOUBLE / {BASE})",) * 2
-        need = f"SELECT DISTINCT gram % {BASE**k} AS g FROM grams" if k > 1 else f"SELECT range AS g FROM range({BASE})"
-        mix = lambda c, lo: f"CASE WHEN h.n{c} > 0 THEN (coalesce(v.{c}, 0) + h.t{c} * {lo}) / (h.n{c} + h.t{c}) ELSE {lo} END AS p{c}"
+        low, lower = ("l.p", f"JOIN p{k - 1} l ON l.g = n.g % {BASE ** (k - 1)}") if k > 1 else (f"(1.0::DOUBLE / {BASE})", "")
+        need = f"SELECT DISTINCT gram % {BASE**k} AS g FROM counts" if k > 1 else f"SELECT range AS g FROM range({BASE})"
         levels += f""", v{k} AS (SELECT gram % {BASE**k} AS g, sum(a) AS a, sum(r) AS r FROM counts GROUP BY 1),
-        h{k} AS (SELECT g // {BASE} AS h, sum(a) AS na, count(*) FILTER (a > 0) AS ta, sum(r) AS nr, count(*) FILTER (r > 0) AS tr FROM v{k} GROUP BY 1),
-        p{k} AS (SELECT n.g, {mix("a", la)}, {mix("r", lr)} FROM ({need}) n LEFT JOIN v{k} v ON v.g = n.g LEFT JOIN h{k} h ON h.h = n.g // {BASE} {lower})"""
+        h{k} AS (SELECT g // {BASE} AS h, sum(a) AS na, count(*) FILTER (a > 0) AS ta, sum(r) AS nr FROM v{k} GROUP BY 1),
+        p{k} AS (SELECT n.g, CASE WHEN h.na > 0 THEN (coalesce(v.a, 0) + h.ta * {low}) / (h.na + h.ta) ELSE {low} END AS p FROM ({need}) n LEFT JOIN v{k} v ON v.g = n.g LEFT JOIN h{k} h ON h.h = n.g // {BASE} {lower})"""
+        if k >= ADAPTED:
+            joins += f" LEFT JOIN v{k} ON v{k}.g = p{ORDER}.g % {BASE**k} LEFT JOIN h{k} ON h{k}.h = p{ORDER}.g % {BASE**k} // {BASE}"
+            bad = f"((coalesce(v{k}.r, 0) + {PRIOR}::DOUBLE * {bad}) / (coalesce(h{k}.nr, 0) + {PRIOR}::DOUBLE))"
     return f"""WITH rules(k, rh, rp, rv) AS (VALUES {listed}),
     cut AS (SELECT row_number() OVER () AS rid, page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
     parted AS (SELECT rid, page_id, translate(regexp_extract(coalesce(rest, ''), '^[^/?#]*'), '{UPPER[:26]}', '{LOWER[:26]}') AS host,
         regexp_extract(coalesce(rest, ''), '^[^/?#]*([^?#]*)', 1) AS path FROM cut),
     hits AS (SELECT rid, rh || rp AS rule, rv, length(rh) AS h, length(rp) AS p, row_number() OVER (PARTITION BY rid ORDER BY length(rh || rp) DESC, k) AS n FROM parted, rules
         WHERE (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp)),
-    ruled AS (SELECT rid, page_id, host, path, rule, rv AS verdict, {spelt("CASE WHEN rule IS NULL THEN host || path ELSE substr(host, 1, greatest(0, length(host) - h - 1)) || '/' || substr(path, p + 1) END")} AS s FROM parted LEFT JOIN (SELECT * FROM hits WHERE n = 1) USING (rid)),
-    spelt AS (SELECT s, max((coalesce(verdict, '') = 'allow')::INT) AS a, max((coalesce(verdict, '') = 'block')::INT) AS r, substr(md5(s), 1, 1) IN ('0', '1', '2') AS held FROM ruled WHERE s <> '' GROUP BY s),
-    grams AS ({grams("spelt", "s, a, r, held")}),
-    corpus AS (SELECT gram, sum(a)::DOUBLE AS a, sum(r)::DOUBLE AS r FROM grams WHERE NOT held GROUP BY 1),
-    examples AS (SELECT {spelt("u")} AS s, a, r FROM (VALUES {shown}) t(u, a, r)),
-    shown AS (SELECT gram, sum(a)::DOUBLE AS a, sum(r)::DOUBLE AS r FROM ({grams("examples", "a, r")}) GROUP BY 1),
-    share AS (SELECT greatest(1.0, coalesce((SELECT sum(a) FROM corpus), 0) / (SELECT sum(a) FROM shown)) AS fa, greatest(1.0, coalesce((SELECT sum(r) FROM corpus), 0) / (SELECT sum(r) FROM shown)) AS fr),
-    counts AS (SELECT gram, sum(a) AS a, sum(r) AS r FROM (SELECT * FROM corpus UNION ALL SELECT gram, a * fa, r * fr FROM shown, share) GROUP BY 1){levels},
-    scored AS (SELECT s, a, r, held, round(sum(ln(pa) - ln(pr)) / count(*), 6) AS score FROM grams JOIN p{ORDER} ON g = gram GROUP BY s, a, r, held),
-    bins AS (SELECT floor(score * 100)::BIGINT AS bin, count(*) AS n FROM scored WHERE held AND a > 0 GROUP BY 1),
-    told AS (SELECT bin, coalesce(sum(n) OVER (ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below, sum(n) OVER () AS every FROM bins),
-    best AS (SELECT max(bin) / 100.0::DOUBLE AS cut FROM told WHERE below * 20 <= every)
-    SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN score >= least(0, coalesce((SELECT cut FROM best), 0)) THEN 'allow' ELSE 'block' END) AS verdict, score
+    ruled AS (SELECT rid, page_id, host, path, rule, rv AS verdict, {spelt(cut)} AS s, coalesce(p = 1, false) AS site FROM parted LEFT JOIN (SELECT * FROM hits WHERE n = 1) USING (rid)),
+    shown AS (SELECT {spelt("u")} AS s, a, r FROM (VALUES {shown}) t(u, a, r)),
+    spelt AS (SELECT s, max(a) AS a, max(r) AS r, substr(md5(s), 1, 1) IN ('0', '1', '2') AS held
+        FROM (SELECT s, (site AND verdict = 'allow')::INT AS a, (site AND verdict = 'block')::INT AS r FROM ruled WHERE s <> '' UNION ALL SELECT * FROM shown) GROUP BY s),
+    grams AS (SELECT s, a, r, held, {number} AS gram FROM (SELECT *, unnest(range(1, length(s) + 2)) AS i FROM spelt)),
+    counts AS (SELECT gram, sum(CASE WHEN held THEN 0 ELSE a END)::DOUBLE AS a, sum(CASE WHEN held THEN 0 ELSE r END)::DOUBLE AS r FROM grams GROUP BY 1){levels},
+    ratios AS (SELECT p{ORDER}.g, ln(p{ORDER}.p) - ln({bad}) AS ratio FROM p{ORDER}{joins}),
+    scored AS (SELECT s, a, r, held, round(sum(ratio) / count(*), 6) AS score FROM grams JOIN ratios ON g = gram GROUP BY s, a, r, held),
+    bins AS (SELECT floor(score * 100)::BIGINT AS bin, count(*) FILTER (a > 0) AS a, count(*) FILTER (r > 0 AND a = 0) AS r FROM scored WHERE held GROUP BY 1 HAVING count(*) FILTER (a + r > 0) > 0),
+    every AS (SELECT t.bin, coalesce(a, 0) AS a, coalesce(r, 0) AS r FROM (SELECT unnest(range(min(bin), max(bin) + 2)) AS bin FROM bins) t LEFT JOIN bins USING (bin)),
+    told AS (SELECT bin, coalesce(sum(a) OVER before, 0) AS lost, sum(a) OVER () AS na, sum(r) OVER () - coalesce(sum(r) OVER before, 0) AS passed, sum(r) OVER () AS nr
+        FROM every WINDOW before AS (ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+    loss AS (SELECT bin, lost * greatest(nr, 1) + passed * greatest(na, 1) AS loss FROM told WHERE lost * 20 <= na),
+    best AS (SELECT floor((min(bin) + max(bin)) / 2) / 100.0::DOUBLE AS cut FROM loss WHERE loss = (SELECT min(loss) FROM loss))
+    SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN score >= coalesce((SELECT cut FROM best), 0) THEN 'allow' ELSE 'block' END) AS verdict, score
     FROM ruled LEFT JOIN scored USING (s)"""
