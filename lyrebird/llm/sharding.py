@@ -4,10 +4,11 @@ A row goes to the shard with the largest ``weight / -ln(u)``, u in (0, 1) being
 row's key and the shard's number. The key and the list of shards alone decide, so a shard more takes rows
 only into itself, in proportion to its weight, and moves no row between the others.
 
-Slots number the rows of a shard from 0 without gaps, in the order (bucket of the key, key, size, CRC).
-Rows are first summed up to distinct (key, size, CRC) with their count, then numbered within (shard,
-bucket) and moved by the number of rows in earlier buckets, so no task holds a whole shard, and a key with
-very many equal rows is one row until its slots are written out in blocks.
+Slots number the rows of a shard from 0 without gaps, in the order (bucket, key, size, CRC); the bucket is a hash of
+key and CRC. Draws are made where the rows are read, once for each; rows are summed up to distinct (key, size, CRC) with
+their count and written, then numbered within (shard, bucket) and moved by the number of rows in earlier buckets. So no
+task holds a whole shard, a key with very many different rows (the null key, say) is dealt to all buckets of its
+shard, and one with very many equal rows is one row until its slots are written out in blocks.
 
 Defined cases: a null key hashes as the string ``null``; a null text has no bytes and CRC 0; repeated rows
 go to one shard and get slots of their own; empty tables give empty results. Only the key and text columns
@@ -21,6 +22,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import settle
+
 #: Buckets per shard; (shards x buckets) rows of counts are all that is broadcast.
 BUCKETS = 256
 #: Slots that one row of a repeated record writes out at a time.
@@ -37,29 +40,35 @@ def draw(key: Column, salt: str | int) -> Column:
     return (F.conv(hexed, 16, 10).cast("double") + 0.5) / float(1 << 52)
 
 
-def shard_of(key: Column, weights: Sequence[float]) -> Column:
-    """The shard of a key, as an expression: no shuffle."""
+def winner(key: Column, weights: Sequence[float], first: int = 0) -> Column:
+    """struct(score, s) of the shard of the highest score, s being minus its number; of equal ones the lowest number."""
     if not weights or min(weights) <= 0:
         raise ValueError("weights must be positive")
-    scores = [F.struct((F.lit(float(w)) / -F.log(draw(key, s))).alias("score"), F.lit(-s).alias("s")) for s, w in enumerate(weights)]
-    best = F.greatest(*scores) if len(scores) > 1 else scores[0]
-    return (-best["s"]).cast("int")
+    scores = [F.struct((F.lit(float(w)) / -F.log(draw(key, s))).alias("score"), F.lit(-s).alias("s")) for s, w in enumerate(weights, first)]
+    return F.greatest(*scores) if len(scores) > 1 else scores[0]
+
+
+def shard_of(key: Column, weights: Sequence[float]) -> Column:
+    """The shard of a key, as an expression: no shuffle."""
+    return (-winner(key, weights)["s"]).cast("int")
 
 
-def bucket_of(key: Column) -> Column:
-    return F.conv(F.substring(F.md5(F.concat(_key(key), F.lit(":slot"))), 1, 2), 16, 10).cast("int")
+def bucket_of(key: Column, crc: Column) -> Column:
+    return F.conv(F.substring(F.md5(F.concat(_key(key), F.lit(":slot:"), crc.cast("string"))), 1, 2), 16, 10).cast("int")
 
 
 def place(rows: DataFrame, weights: Sequence[float], key_col: str = "doc_id", text_col: str = "text", overhead: int = 16) -> DataFrame:
     """(key_col, size, text_crc32, shard, slot, grown_shard): one row for each row of ``rows``."""
-    grown = [*weights, sum(weights) / len(weights)]
-    key = F.col("key")
-    each = (
+    key, n = F.col("key"), len(weights)
+    measured = (
         rows.select(F.col(key_col).alias("key"), F.encode(F.col(text_col), "UTF-8").alias("raw"))
         .select("key", (F.coalesce(F.octet_length("raw"), F.lit(0)).cast("long") + overhead).alias("size"), F.coalesce(F.crc32("raw"), F.lit(0)).cast("long").alias("crc"))
-        .groupBy("key", "size", "crc").agg(F.count("*").alias("n"))
-        .select("*", shard_of(key, weights).alias("shard"), shard_of(key, grown).alias("grown_shard"), bucket_of(key).alias("bucket"))
     )
+    # One shard more competes with the winner alone, so its draw is the only one that is added.
+    drawn = measured.select("*", winner(key, weights).alias("own"), winner(key, [sum(weights) / n], n).alias("more"))
+    shard = (-F.col("own.s")).cast("int")
+    placed = drawn.select("key", "size", "crc", shard.alias("shard"), F.when(F.col("more.score") > F.col("own.score"), n).otherwise(shard).alias("grown_shard"), bucket_of(key, F.col("crc")).alias("bucket"))
+    each = settle(placed.groupBy(*placed.columns).agg(F.count("*").alias("n")))
     before = Window.partitionBy("shard", "bucket").orderBy(F.col("key").asc_nulls_first(), "size", "crc").rowsBetween(Window.unboundedPreceding, -1)
     earlier = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = each.groupBy("shard", "bucket").agg(F.sum("n").alias("held")).select("shard", "bucket", F.coalesce(F.sum("held").over(earlier), F.lit(0)).alias("offset"))
@@ -88,5 +97,5 @@ def sql(shards: int = 40, overhead: int = 16) -> str:
     u AS (SELECT rid, s, 1.0 / -ln((('0x' || substr(md5(k || ':' || s), 1, 13))::UBIGINT::DOUBLE + 0.5) / 4503599627370496.0) AS score FROM d, (SELECT unnest(range({shards + 1})) AS s)),
     p AS (SELECT rid, arg_max(s, score) FILTER (s < {shards}) AS shard, arg_max(s, score) AS grown FROM u GROUP BY rid)
     SELECT doc_id, size, crc AS text_crc32, 'key' AS law, shard::INT AS shard,
-        row_number() OVER (PARTITION BY shard ORDER BY ('0x' || substr(md5(k || ':slot'), 1, 2))::INT, doc_id NULLS FIRST, size, crc) - 1 AS slot, grown::INT AS grown_shard
+        row_number() OVER (PARTITION BY shard ORDER BY ('0x' || substr(md5(k || ':slot:' || crc), 1, 2))::INT, doc_id NULLS FIRST, size, crc) - 1 AS slot, grown::INT AS grown_shard
     FROM d JOIN c USING (rid) JOIN p USING (rid)"""
