@@ -14,9 +14,13 @@ alignment within the band, which gives the least number of edits.
 The benchmark is read in blocks of bounded size (``BLOCK`` characters), each broadcast on its own: documents
 are streamed once for each block and need no shuffle. Within a task, memory follows one slice of a batch.
 
-Defined cases: null and empty texts hold nothing, null and empty items are not looked for, nor are items of
-fewer than ``least`` characters, which chance would find; repeated items are found each; repeated documents
-give each their rows; whole texts are read, whatever their length; empty tables give empty results. For
+Short items. Those of fewer than ``least`` characters cannot lose an edit and still share q-grams enough to tell them
+from chance: they are looked for exactly, between word borders, down to ``EXACT`` characters.
+
+Defined cases: null and empty texts hold nothing; null and empty items are not looked for, nor are items of fewer than
+``EXACT`` characters, which any text may hold; repeated items are found each; repeated documents
+give each their rows; whole texts are read, whatever their length, and what repeats itself within a text or an item is
+counted a bounded number of matches at a time; ids may be of any type; empty tables give empty results. For
 ``clean`` all columns of the documents are kept as they are; ``found`` reads the two columns named.
 """
 
@@ -28,11 +32,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .bpe import parts
 from .common import ship
 
 Q, SEGMENT, PER_EDIT, LEAST = 10, 96, 12, 32
+#: Items shorter than LEAST are looked for exactly, if they have so many characters.
+EXACT = 12
+#: Matching q-grams that are counted at a time.
+MATCHES = 1 << 21
 #: Characters of benchmark text that are broadcast at a time.
 BLOCK = 4_000_000
 #: Candidate bands that are aligned at a time.
@@ -70,19 +79,29 @@ def _grams(points: np.ndarray, q: int) -> np.ndarray:
 
 
 class Wanted:
-    """The segments of a block of the benchmark and an index of their q-grams."""
+    """The distinct segments of a block of the benchmark and an index of their q-grams; short items are kept as they are."""
 
     def __init__(self, items: list[tuple[object, str | None]], q: int = Q, segment: int = SEGMENT, per_edit: int = PER_EDIT, least: int = LEAST):
         if least < 2 * q or per_edit <= q or segment < least:
             raise ValueError("a segment of least characters must share a q-gram: least >= 2 * q and per_edit > q")
-        self.q, self.items, texts = q, [], []
+        self.q = q
+        holders: dict[bytes, list[tuple[int, int]]] = {}
+        shorts: dict[str, list[int]] = {}
         for number, (_, text) in enumerate(items):
-            points = _points(normal(text))
+            points = _points(whole := normal(text))
             if len(points) >= least:
                 last = max(0, len(points) - segment)
-                for at in sorted({*range(0, last + 1, segment // 2), last}):
-                    self.items.append(number)
-                    texts.append(points[at : at + segment])
+                for place, at in enumerate(sorted({*range(0, last + 1, segment // 2), last})):
+                    holders.setdefault(points[at : at + segment].tobytes(), []).append((number, place))
+            elif len(points) >= EXACT:
+                shorts.setdefault(whole, []).append(number)
+        # Of equal segments, as repetitive text has many, one is searched for.
+        self.items = list(holders.values())
+        texts = [np.frombuffer(t, np.uint32) for t in holders]
+        self.heads: dict[int, list[tuple[np.ndarray, list[int]]]] = {}
+        for short, numbers in shorts.items():
+            points = _points(short)
+            self.heads.setdefault(int(_grams(points[:q], q)[0]), []).append((points, numbers))
         self.names = [name for name, _ in items]
         self.sizes = np.array([len(t) for t in texts], np.int64)
         self.edits = self.sizes // per_edit
@@ -103,35 +122,59 @@ class Wanted:
         self.bits = max(20, int(len(self.grams) * 64).bit_length())
         self.marks = np.zeros(1 << self.bits, bool)
         self.marks[(self.grams >> np.uint64(64 - self.bits)).astype(np.int64)] = True
+        self.starts = np.array(sorted(self.heads), np.uint64)
+        self.marks[(self.starts >> np.uint64(64 - self.bits)).astype(np.int64)] = True
 
     def search(self, texts: list[str | None]) -> list[tuple[int, int, int, int, int]]:
-        """(text, item, segment, edits, place): every segment found in every text, at the end of its best stretch."""
-        if not len(self.sizes):
-            return []
+        """(text, item, segment of the item, edits, place): every segment found in every text, at the end of its best stretch."""
         # Texts stand one after another with a gap that no q-gram or band can bridge.
-        gap = np.zeros(int(self.sizes.max()) + 4 * self.step, np.uint32)
-        laid, starts, at = [gap], [], len(gap)
+        gap = np.zeros(int(self.sizes.max(initial=0)) + 4 * self.step, np.uint32)
+        laid, begins, at = [gap], [], len(gap)
         for t in texts:
             p = _points(normal(t))
-            starts.append(at)
+            begins.append(at)
             laid += [p, gap]
             at += len(p) + len(gap)
-        text = np.concatenate(laid)
+        text, begins = np.concatenate(laid), np.array(begins)
         hashed = _grams(text, self.q)
         spots = np.flatnonzero(self.marks[(hashed >> np.uint64(64 - self.bits)).astype(np.int64)])
-        if not len(spots):
+        found = {(t, s): (edits, end) for t, s, edits, end in self._segments(text, begins, hashed, spots)}
+        spread = [(t, number, place, edits, end) for (t, s), (edits, end) in found.items() for number, place in self.items[s]]
+        return spread + self._exact(text, begins, hashed, spots)
+
+    def _exact(self, text: np.ndarray, begins: np.ndarray, hashed: np.ndarray, spots: np.ndarray) -> list[tuple[int, int, int, int, int]]:
+        """Items that are too short for edits, between word borders; each is given once for a text, where it ends first."""
+        out: dict[tuple[int, int], int] = {}
+        inside = lambda i: i < len(text) and (chr(text[i]).isalnum() or chr(text[i]) == "_")
+        for at in spots[np.isin(hashed[spots], self.starts)].tolist():
+            for points, numbers in self.heads[int(hashed[at])]:
+                end = at + len(points)
+                if not inside(at - 1) and not inside(end) and np.array_equal(text[at:end], points):
+                    t = int(np.searchsorted(begins, at, "right")) - 1
+                    for number in numbers:
+                        out.setdefault((t, number), end - 1 - int(begins[t]))
+        return [(t, number, 0, 0, end) for (t, number), end in out.items()]
+
+    def _segments(self, text: np.ndarray, begins: np.ndarray, hashed: np.ndarray, spots: np.ndarray) -> list[tuple[int, int, int, int]]:
+        """(text, segment, edits, place) of the distinct segments."""
+        if not len(self.sizes) or not len(spots):
             return []
         slot = np.minimum(np.searchsorted(self.grams, hashed[spots]), len(self.grams) - 1)
         real = self.grams[slot] == hashed[spots]
         spots, slot = spots[real], slot[real]
-        sizes = self.counts[slot]
-        ends = np.cumsum(sizes)
-        entry = np.repeat(self.first[slot] - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0)
-        owner = self.owner[entry]
-        band = (np.repeat(spots, sizes) - self.place[entry]) // self.step
         bands = len(text) // self.step + 2
-        # Steps are counted first; the band from b on holds the steps b and b + 1.
-        key, count = np.unique(owner * bands + band, return_counts=True)
+        # Steps are counted first, a bounded number of matches at a time; the band from b on holds the steps b and b + 1.
+        keys, counts = [], []
+        load = np.cumsum(self.counts[slot])
+        for at in np.split(np.arange(len(slot)), np.flatnonzero(np.diff(load // MATCHES)) + 1):
+            sizes = self.counts[slot[at]]
+            ends = np.cumsum(sizes)
+            entry = np.repeat(self.first[slot[at]] - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0)
+            band = (np.repeat(spots[at], sizes) - self.place[entry]) // self.step
+            some, n = np.unique(self.owner[entry] * bands + band, return_counts=True)
+            keys.append(some), counts.append(n)
+        key, back = np.unique(np.concatenate(keys), return_inverse=True)
+        count = np.bincount(back, np.concatenate(counts), len(key)).astype(np.int64)
         after = np.searchsorted(key, key + 1)
         follows = np.where((after < len(key)) & (key[np.minimum(after, len(key) - 1)] == key + 1), count[np.minimum(after, len(key) - 1)], 0)
         before = np.searchsorted(key, key - 1)
@@ -140,19 +183,15 @@ class Wanted:
         keep = key[count + follows >= bound]
         # A step whose predecessor is empty also ends a band, with the same count as the step alone.
         keep = np.union1d(keep, key[alone & (count >= bound)])
-        out = []
-        starts = np.array(starts)
+        best: dict[tuple[int, int], tuple[int, int, int, int]] = {}
         for i in range(0, len(keep), ALIGNED):
             part = keep[i : i + ALIGNED]
             s = part // bands
             edits, place = self._align(text, s, (part % bands) * self.step)
             for k in np.flatnonzero(edits <= self.edits[s]):
-                t = int(np.searchsorted(starts, place[k], "right")) - 1
-                out.append((t, self.items[s[k]], int(s[k]), int(edits[k]), int(place[k] - starts[t])))
-        best: dict[tuple[int, int], tuple[int, int, int, int, int]] = {}
-        for row in out:
-            if row[3] < best.get((row[0], row[2]), (0, 0, 0, 1 << 30, 0))[3]:
-                best[row[0], row[2]] = row
+                t = int(np.searchsorted(begins, place[k], "right")) - 1
+                if edits[k] < best.get((t, int(s[k])), (0, 0, 1 << 30, 0))[2]:
+                    best[t, int(s[k])] = (t, int(s[k]), int(edits[k]), int(place[k] - begins[t]))
         return list(best.values())
 
     def _align(self, text: np.ndarray, s: np.ndarray, diagonal: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -194,6 +233,7 @@ def found(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     ship(spark)
     kept = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kinds = (kept.schema["id"].dataType.simpleString(), benchmark.schema[item_col].dataType.simpleString())
+    item_kind = to_arrow_type(benchmark.schema[item_col].dataType)
     out = None
     for block in _blocks(benchmark, item_col, item_text_col):
         shared = spark.sparkContext.broadcast(block)
@@ -210,7 +250,7 @@ def found(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
                     yield pa.RecordBatch.from_arrays(
                         [
                             ids.take(pa.array([t for t, _ in rows], pa.int64())),
-                            pa.array([names[i] for _, i in rows], from_kind(kinds[1])),
+                            pa.array([names[i] for _, i in rows], item_kind),
                             pa.array([len(x) for x in rows.values()], pa.int64()),
                             pa.array([min(e for e, _ in x) for x in rows.values()], pa.int32()),
                             pa.array([sorted(p for _, p in x) for x in rows.values()], pa.list_(pa.int64())),
@@ -223,10 +263,6 @@ def found(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     return out.withColumnsRenamed({"id": id_col, "item": item_col})
 
 
-def from_kind(kind: str) -> pa.DataType:
-    return {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
-
-
 def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", **settings: int) -> DataFrame:
     """The rows of ``docs`` that hold no item, with all their columns."""
     spark = docs.sparkSession
