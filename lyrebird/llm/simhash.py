@@ -12,6 +12,11 @@ at most one in the first two, and so on. The join key is a start with its first
 enumerates the one-bit changes of the second. The longer chains and the full distance are then conditions
 of the join. Texts with equal fingerprints count once before anything is paired.
 
+Groups. ``linked`` gives all links. For components fewer are enough: of the fingerprints under a join key the least is a
+centre, and each fingerprint within half the distance of a centre hangs on it. Two that hang on one centre are linked,
+so they need no row of their own; other links are summed up to one row for each two centres. So a large
+group of near copies costs a row for each member, not for each pair.
+
 Defined cases: rows of one fingerprint are one group, so repeated rows and ties share a component; a null
 id is carried through and never chosen as component while another id is there; empty tables give empty
 results. Only the id and text columns are read, so other columns, of whatever name, do not matter.
@@ -27,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle, ship
+from .common import conf_int, settle, ship
 from .components import components
 
 #: Shingles whose bits are unpacked at a time (64 bytes each).
@@ -124,7 +129,8 @@ def _segments(distance: int) -> list[tuple[int, int]]:
 
 
 def linked(fps: DataFrame, distance: int = 4) -> DataFrame:
-    """(a, b), a < b: the pairs of distinct fingerprints of column ``fp`` at ``distance`` bits or fewer.
+    """(a, b), a < b: the pairs of distinct fingerprints of column ``fp`` at ``distance`` bits or fewer. With other
+    columns beside ``fp``, rows must be distinct, and only pairs that differ in those columns are given, with them.
 
     For distances from 2 to 15, so that two segments fit into a key and a segment keeps 4 bits or more.
     """
@@ -135,16 +141,18 @@ def linked(fps: DataFrame, distance: int = 4) -> DataFrame:
     budget = [k * distance // parts for k in range(1, parts + 1)]
     seg = lambda c, i: F.shiftrightunsigned(c, ring[i % parts][0]).bitwiseAND(F.lit((1 << ring[i % parts][1]) - 1))
     differ = lambda x, y, i: F.bit_count(seg(x.bitwiseXOR(y), i))
-    base = fps.select("fp").distinct()
+    extra = [c for c in fps.columns if c != "fp"]
 
     def keys(i: int, change: int) -> F.Column:
         first, second = seg(F.col("fp"), i), seg(F.col("fp"), i + 1)
         wide = ring[(i + 1) % parts][1]
         return F.shiftleft(first, wide).bitwiseOR(second.bitwiseXOR(F.lit(change))) + F.lit(i << 48)
 
-    own = base.select("fp", F.explode(F.array(*[keys(i, 0) for i in range(parts)])).alias("key"))
+    if not extra:
+        fps = _spread(fps.select("fp").distinct())
+    own = fps.select("fp", *extra, F.explode(F.array(*[keys(i, 0) for i in range(parts)])).alias("key"))
     near = [keys(i, e) for i in range(parts) for e in (0, *(1 << j for j in range(ring[(i + 1) % parts][1] if budget[1] else 0)))]
-    probe = base.select("fp", F.explode(F.array(*near)).alias("key"))
+    probe = fps.select("fp", *extra, F.explode(F.array(*near)).alias("key"))
     x, y = F.col("p.fp"), F.col("q.fp")
     start = F.shiftrightunsigned(F.col("p.key"), 48)
     first = F.lit(None).cast("int")
@@ -156,13 +164,34 @@ def linked(fps: DataFrame, distance: int = 4) -> DataFrame:
         first = F.when(ok, i).otherwise(first)
     full = F.bit_count(x.bitwiseXOR(y)) <= distance
     # A pair can hold at several starts; only the first of them gives a row, so nothing is emitted twice.
-    return probe.alias("p").join(own.alias("q"), (F.col("p.key") == F.col("q.key")) & (x < y) & full & (first == start)).select(x.alias("a"), y.alias("b"))
+    on = (F.col("p.key") == F.col("q.key")) & (x < y) & full & (first == start)
+    for c in extra:
+        on = on & (F.col(f"p.{c}") != F.col(f"q.{c}"))
+    return probe.alias("p").join(own.alias("q"), on).select(x.alias("a"), y.alias("b"), *[F.col(f"{side}.{c}").alias(f"{c}_{n}") for c in extra for side, n in (("p", "a"), ("q", "b"))])
+
+
+def _spread(rows: DataFrame) -> DataFrame:
+    """Dealt to as many tasks as shuffles have: few bytes become many rows in what follows."""
+    return rows.repartition(conf_int(rows.sparkSession, "spark.sql.shuffle.partitions", 200), "fp")
+
+
+def _bundled(fps: DataFrame, distance: int) -> DataFrame:
+    """(a, b) that connect the same fingerprints as all links do, without the pairs of a group."""
+    ring = _segments(distance)
+    base = _spread(fps.select("fp").distinct())
+    piece = lambda i: F.struct(F.lit(i).alias("i"), *[F.shiftrightunsigned("fp", s).bitwiseAND(F.lit((1 << w) - 1)).alias(f"s{k}") for k, (s, w) in enumerate((ring[i], ring[(i + 1) % len(ring)]))])
+    keyed = base.select("fp", F.explode(F.array(*[piece(i) for i in range(len(ring))])).alias("key"))
+    least = keyed.groupBy("key").agg(F.min("fp").alias("centre"))
+    close = F.bit_count(F.col("fp").bitwiseXOR(F.col("centre"))) <= distance // 2
+    centred = settle(keyed.join(least, "key").groupBy("fp").agg(F.min(F.when(close, F.col("centre"))).alias("centre")).select("fp", F.coalesce("centre", "fp").alias("centre")))
+    across = linked(_spread(centred), distance).groupBy("centre_a", "centre_b").agg(F.count("*").alias("n"))
+    return centred.select(F.col("fp").alias("a"), F.col("centre").alias("b")).where("a <> b").union(across.select("centre_a", "centre_b"))
 
 
 def _rooted(marked: DataFrame, distance: int) -> DataFrame:
     """(fp, root) for every fingerprint."""
     distinct = marked.select("fp").distinct()
-    roots = settle(components(linked(distinct, distance)))
+    roots = settle(components(_bundled(distinct, distance)))
     return distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"))
 
 
