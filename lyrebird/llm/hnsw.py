@@ -3,46 +3,53 @@
 Vectors are compared within a group: equal label and equal length. Equal vectors of a group are one node
 with a number of copies. The nodes of a group are hashed into shards of about ``shard_size``; each shard
 gets a graph. Every vector is searched for in its own shard's graph and in that of every shard before it,
-so that each pair of vectors meets in exactly one search and no link can be counted twice.
+so that each pair of vectors meets in exactly one search and no link can be counted twice. Shards go to the
+graphs that they are searched in as queries, ``ABREAST`` shards to a task, beside one graph: a graph of n nodes
+moves once for so many shards, and a group of N vectors moves N * N / (2 * n) queries in all.
 
 A search follows beams through the graph, many queries abreast. Its beam widens by rungs: a query goes on to
 the next rung while all of its beam is within the threshold, and all queries of a search go on while a
-recall audit, against an exact scan for evenly spaced queries, stays below ``recall``. A node that finds itself
-is no evidence, and fewer than 1 / (1 - recall) true links cannot show the recall: without as many in the audit a
-rung is not taken. On the last rung the beam is the whole shard. Links are kept at a cosine, in double precision, of the threshold or more.
+recall audit stays below ``recall``. The audit has two parts, and both must pass. Evenly spaced queries are
+compared with the whole shard, and the search must find the links that they have. Links can be rare, so ``PROBES``
+links are planted: nodes turned by just the threshold's angle into a random direction are searched for, and each must
+find its node. Self matches are no evidence. What no rung can answer is compared with the whole shard, which
+is bounded. Links are kept at a cosine, in double precision, of the threshold or more.
 
 A search returns one row for each node that has links in it: how many vectors it links to there and the
 least node connected to it there. So a clique of copies costs a row for each member, not for each pair.
 
 Defined cases: a vector that is null, empty, zero, or holds null or non-finite components, or whose label is
-null, links with nothing; repeated rows are vectors of their own that link with each other; a row with a
-null id takes part and has no component of its own name; empty tables give empty results. Only the three
-columns named are read.
+null, links with nothing; components of any finite size are compared as they are, without overflow; repeated rows are
+vectors of their own that link with each other; a row with a null id takes part and has no component of its own name;
+empty tables give empty results. Only the three columns named are read.
 """
 
 from __future__ import annotations
 
-import math
 import pickle
-from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType
 
 from .common import settle, ship
 from .components import components
 
-SHARD, M, BUILD_BEAM = 2048, 12, 48
+SHARD, M, BUILD_BEAM = 16_384, 12, 48
+#: Shards of queries that meet one graph in a task.
+ABREAST = 8
 #: Beams of the rungs before the last, which is the whole shard.
-RUNGS = (48, 160)
-AUDITED = 96
+RUNGS = (48, 160, 640)
+#: Queries that are compared with the whole shard, and links that are planted, for the audit of a search.
+AUDITED, PROBES = 96, 128
 
 
 def _unit(raw: np.ndarray) -> np.ndarray:
     x = raw.astype(np.float64)
+    # Scaled first, so that squares of very small and very large components neither vanish nor overflow.
+    x = x / np.abs(x).max(1, keepdims=True)
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
@@ -181,20 +188,33 @@ class Graph:
         return self.beam(q, near, width, 0)
 
 
+def _probes(x: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Evenly spaced nodes, and each turned by the threshold's angle into a direction of its own."""
+    nodes = np.unique(np.linspace(0, len(x) - 1, min(len(x), PROBES)).astype(int))
+    if x.shape[1] < 2:
+        return nodes, x[nodes]
+    aside = np.random.default_rng(11).normal(size=(len(nodes), x.shape[1]))
+    aside -= (aside * x[nodes]).sum(1, keepdims=True) * x[nodes]
+    aside /= np.sqrt((aside * aside).sum(1, keepdims=True))
+    cosine = min(1.0, threshold + 1e-9)
+    return nodes, cosine * x[nodes] + np.sqrt(1 - cosine * cosine) * aside
+
+
 def links(graph: Graph, q: np.ndarray, threshold: float, recall: float, rungs: tuple[int, ...] = RUNGS, own: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """(row of q, node): all pairs found with a cosine of the threshold or more; own says that q are the nodes themselves."""
-    n = len(graph.x)
     audit = np.unique(np.linspace(0, len(q) - 1, min(len(q), AUDITED)).astype(int))
     near = q[audit] @ graph.x.T >= threshold
     if own:
         near[np.arange(len(audit)), audit] = False
     true = near.sum(1)
-    least = math.ceil(1 / (1 - recall) - 1e-9) if recall < 1 else math.inf
+    planted, probes = _probes(graph.x, threshold)
     found_a, found_b, todo = [], [], np.arange(len(q))
     for width in rungs:
-        # No rung can be shown to do where all queries that are left hold too few links.
-        if width * 8 >= n or not len(todo) or true[np.isin(audit, todo)].sum() < least:
+        if not len(todo):
             break
+        ids, _ = graph.nearest(probes, width)
+        if (ids == planted[:, None]).any(1).sum() < recall * len(planted):
+            continue
         left, hits = [], np.zeros(len(q), int)
         part_a, part_b = [], []
         for at in range(0, len(todo), 512):
@@ -209,7 +229,7 @@ def links(graph: Graph, q: np.ndarray, threshold: float, recall: float, rungs: t
         wider = np.concatenate(left)
         # The audit is over the audited queries that end on this rung.
         ended = np.isin(audit, np.setdiff1d(todo, wider))
-        if hits[audit[ended]].sum() < recall * true[ended].sum() or true[ended].sum() < least:
+        if hits[audit[ended]].sum() < recall * true[ended].sum():
             continue
         found_a += part_a
         found_b += part_b
@@ -235,37 +255,45 @@ def _least(a: np.ndarray, b: np.ndarray, names: np.ndarray) -> np.ndarray:
         root = new
 
 
-def _build(group: pd.DataFrame) -> pd.DataFrame:
-    raw = np.array(group["v"].tolist(), np.float32)
+SHARDS = "dim int, shard int, shards int, raw binary, nodes binary, copies binary, graph binary"
+
+
+def _build(group: pa.Table, kind: str) -> pa.Table:
+    """One row for a shard: its vectors, their names and copies, and the graph."""
+    raw = np.array(group.column("v").to_pylist(), kind)
     graph = Graph(_unit(raw))
-    first = group.iloc[0]
-    held = pickle.dumps((graph.layers, graph.entry))
-    sides = (raw.tobytes(), group["node"].to_numpy(np.int64).tobytes(), group["n"].to_numpy(np.int64).tobytes())
-    return pd.DataFrame([(first["label"], first["dim"], first["shard"], held, *sides)], columns=["label", "dim", "shard", "graph", "raw", "nodes", "copies"])
-
-
-def _search(batches: Iterator[pa.RecordBatch], threshold: float, recall: float) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for i in range(batch.num_rows):
-            row = batch.slice(i, 1).to_pylist()[0]
-            x, q = (_unit(np.frombuffer(row[c], np.float32).reshape(-1, row["dim"])) for c in ("raw", "raw2"))
-            nodes, copies = (np.frombuffer(row[c], np.int64) for c in ("nodes", "copies"))
-            graph = Graph.__new__(Graph)
-            graph.x = x
-            graph.layers, graph.entry = pickle.loads(row["graph"])
-            a, b = links(graph, q, threshold, recall, own=row["own"])
-            if row["own"]:
-                # Both directions were searched: take each pair once.
-                a, b = np.divmod(np.unique(np.minimum(a, b)[a != b] * len(x) + np.maximum(a, b)[a != b]), len(x))
-                names, weights = nodes, copies
-            else:
-                names, weights = np.concatenate([nodes, np.frombuffer(row["nodes2"], np.int64)]), np.concatenate([copies, np.frombuffer(row["copies2"], np.int64)])
-                a = a + len(x)
-            if not len(a):
-                continue
-            count = np.bincount(a, weights[b], len(names)) + np.bincount(b, weights[a], len(names))
-            on = np.flatnonzero(count)
-            yield pa.RecordBatch.from_arrays([pa.array(names[on]), pa.array(count[on].astype(np.int64)), pa.array(_least(a, b, names)[on])], names=["node", "links", "root"])
+    row = {c: group.column(c)[0].as_py() for c in ("dim", "shard", "shards")}
+    row |= {"raw": raw.tobytes(), "nodes": group.column("node").to_numpy().tobytes(), "copies": group.column("n").to_numpy().tobytes()}
+    row["graph"] = pickle.dumps((graph.layers, graph.entry))
+    kinds = [*[pa.int32()] * 3, *[pa.binary()] * 4]
+    return pa.table({"label": group.column("label").slice(0, 1), **{c: pa.array([v], k) for (c, v), k in zip(row.items(), kinds)}})
+
+
+def _search(held: pa.Table, asked: pa.Table, kind: str, threshold: float, recall: float) -> pa.Table:
+    """Links between the nodes of one graph and those of some shards."""
+    out = []
+    side = held.to_pylist()[0] if held.num_rows else None
+    for i in range(asked.num_rows if side else 0):
+        row = asked.slice(i, 1).to_pylist()[0]
+        read = lambda r, c, k: np.frombuffer(r[c], k)
+        x, q = (_unit(read(r, "raw", kind).reshape(-1, r["dim"])) for r in (side, row))
+        graph = Graph.__new__(Graph)
+        graph.x = x
+        graph.layers, graph.entry = pickle.loads(side["graph"])
+        own = row["from"] == side["shard"]
+        a, b = links(graph, q, threshold, recall, own=own)
+        names, weights = read(side, "nodes", np.int64), read(side, "copies", np.int64)
+        if own:
+            # Both directions were searched: take each pair once.
+            a, b = np.divmod(np.unique(np.minimum(a, b)[a != b] * len(x) + np.maximum(a, b)[a != b]), len(x))
+        else:
+            names, weights = np.concatenate([names, read(row, "nodes", np.int64)]), np.concatenate([weights, read(row, "copies", np.int64)])
+            a = a + len(x)
+        count = np.bincount(a, weights[b], len(names)) + np.bincount(b, weights[a], len(names))
+        on = np.flatnonzero(count)
+        out.append((names[on], count[on].astype(np.int64), _least(a, b, names)[on]))
+    columns = [np.concatenate(c) for c in zip(*out)] if out else [np.zeros(0, np.int64)] * 3
+    return pa.table(dict(zip(("node", "links", "root"), columns)))
 
 
 def near_duplicates(
@@ -274,39 +302,35 @@ def near_duplicates(
     """(id_col, n_links, component_id, kept) for every row."""
     spark = rows.sparkSession
     ship(spark)
-    v = F.col("v")
-    # A null among the components makes the sum null, and so the vector is not good.
-    total = F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
-    given = rows.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<float>").alias("v"), F.col(label_col).alias("label"))
-    given = given.withColumn("good", F.coalesce(F.col("label").isNotNull() & (total > 0) & (total < float("inf")), F.lit(False)))
+    # Floats stay floats on their way and are widened for the arithmetic; all other numbers are doubles.
+    element = rows.schema[vector_col].dataType
+    kind = "float" if isinstance(element, ArrayType) and isinstance(element.elementType, FloatType) else "double"
+    dtype = {"float": "float32", "double": "float64"}[kind]
+    top = float("inf")
+    usable = F.forall("v", lambda x: x.isNotNull() & (x < top) & (x > -top)) & F.exists("v", lambda x: x != 0)
+    given = rows.select(F.col(id_col).alias("id"), F.col(vector_col).cast(f"array<{kind}>").alias("v"), F.col(label_col).alias("label"))
+    given = given.withColumn("good", F.coalesce(F.col("label").isNotNull() & usable, F.lit(False)))
     nodes = settle(
         given.where("good").groupBy("label", "v").agg(F.min("id").alias("least"), F.count("*").alias("n"))
         .select("label", F.size("v").alias("dim"), "v", "least", "n", F.monotonically_increasing_id().alias("node"))
     )
     groups = nodes.groupBy("label", "dim").agg(F.ceil(F.count("*") / shard_size).cast("int").alias("shards"))
-    dealt = nodes.join(groups, ["label", "dim"]).withColumn("shard", F.pmod(F.xxhash64("node"), F.col("shards")).cast("int"))
+    dealt = nodes.drop("least").join(groups, ["label", "dim"]).withColumn("shard", F.pmod(F.xxhash64("node"), F.col("shards")).cast("int"))
     label = nodes.schema["label"].dataType.simpleString()
-    built = dealt.groupBy("label", "dim", "shard").applyInPandas(_build, f"label {label}, dim int, shard int, graph binary, raw binary, nodes binary, copies binary")
-    limits = {"spark.sql.execution.arrow.maxRecordsPerBatch": "4"}
-    old = {k: spark.conf.get(k) for k in limits}
-    graphs = settle(built)
-    other = graphs.select("label", "dim", F.col("shard").alias("shard2"), F.col("raw").alias("raw2"), F.col("nodes").alias("nodes2"), F.col("copies").alias("copies2"))
-    asked = other.withColumn("shard", F.explode(F.sequence(F.lit(0), "shard2")))
-    met = graphs.join(asked, ["label", "dim", "shard"]).withColumn("own", F.col("shard") == F.col("shard2")).drop("label")
-    for k, x in limits.items():
-        spark.conf.set(k, x)
-    try:
-        found = settle(met.mapInArrow(lambda batches: _search(batches, threshold, recall), "node long, links long, root long"))
-    finally:
-        for k, x in old.items():
-            spark.conf.set(k, x)
+    graphs = settle(dealt.groupBy("label", "dim", "shard").applyInArrow(lambda group: _build(group, dtype), f"label {label}, {SHARDS}"))
+    # Shard s is asked about in the graphs 0 to s; so the graph g meets the shards from g on, some at a time.
+    task_of = lambda c: F.floor(c / ABREAST).cast("int")
+    held = graphs.withColumn("task", F.explode(F.sequence(task_of(F.col("shard")), task_of(F.col("shards") - 1))))
+    asked = graphs.drop("graph").withColumnRenamed("shard", "from").withColumns({"shard": F.explode(F.sequence(F.lit(0), "from")), "task": task_of(F.col("from"))})
+    met = ["label", "dim", "shard", "task"]
+    searched = held.groupBy(*met).cogroup(asked.groupBy(*met)).applyInArrow(lambda a, b: _search(a, b, dtype, threshold, recall), "node long, links long, root long")
+    found = settle(searched)
     roots = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
     linked = found.groupBy("node").agg(F.sum("links").alias("links"))
     named = nodes.join(linked, "node", "left").join(roots, "node", "left").select("label", "v", "least", "n", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("root", "node").alias("root"))
     named = settle(named)
     best = named.groupBy("root").agg(F.min("least").alias("component"))
     lookup = named.join(best, "root").select("label", "v", (F.col("links") + F.col("n") - 1).alias("n_links"), "component")
-    key = lambda c: [F.col(c), F.col("v")]
     out = given.where("good").join(lookup, ["label", "v"]).select("id", "n_links", F.col("component").alias("component_id"))
     alone = given.where(~F.col("good")).select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
     return out.union(alone).select(F.col("id").alias(id_col), F.col("n_links").cast("long").alias("n_links"), "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
