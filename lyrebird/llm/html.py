@@ -20,8 +20,8 @@ or main element give its runs, others the runs without a role. Where no page of
 element, slots that over all pages are mostly links, or short and mostly repeated, go too. Hosts with fewer than
 ``SUPPORT`` pages have no template: their runs are judged by roles alone.
 
-Scale. Hosts are dealt into chunks of about ``CHUNK`` pages by a hash of the row, so that a host with a
-third of all pages is many groups; a chunk is all that a task holds at a time.
+Scale. Hosts are dealt into chunks of about ``CHUNK`` pages, and about ``CHUNK_BYTES`` at most, by a hash of the row, so
+that a host with a third of all pages is many groups; a chunk is all that a task holds at a time.
 
 Defined cases: a null or empty page, or one without main text, gives an empty text; a null url is a host of
 its own; repeated pages count as one in deduction and give a row each; pages of any length are read whole;
@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 from .common import settle, ship
 from .urls import host_of
 
-SUPPORT, CHUNK = 3, 256
+SUPPORT, CHUNK, CHUNK_BYTES = 3, 256, 16 << 20
 #: Share of the pages that have a template's text; words of template to a word of a page's own, at most.
 NEARLY, COPIES = 0.9, 2
 #: Distinct pages that it takes to call text template against an article element that holds it.
@@ -300,8 +300,9 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     """(id_col, url_col, text, n_chars) for every page."""
     ship(pages.sparkSession)
     given = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html")).withColumn("host", host_of(F.col("url")))
-    # The counts are read from the url column alone; a row for each host.
-    chunks = settle(given.groupBy("host").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks")))
+    # A row for each host.
+    size = F.sum(F.octet_length("html").cast("long"))
+    chunks = settle(given.groupBy("host").agg(F.greatest(F.ceil(F.count("*") / CHUNK), F.ceil(F.coalesce(size, F.lit(0)) / CHUNK_BYTES)).cast("int").alias("chunks")))
     dealt = given.join(chunks, "host").withColumn("chunk", F.pmod(F.xxhash64("id", "url", "html"), F.col("chunks")))
     kind = given.schema["id"].dataType.simpleString()
 
