@@ -258,7 +258,7 @@ def sql(templates=TEMPLATES, threshold: float = THRESHOLD) -> str:
         UNION ALL SELECT doc_id, rid, 'paragraph', unnest(range(len(p))), unnest(p) FROM cut WHERE len(p) < len(l)
         UNION ALL SELECT doc_id, rid, 'document', 0, c FROM cut WHERE len(p) > 1),
     w AS (SELECT doc_id, rid, kind, place, list_filter(string_split(translate(x, chr(10), ' '), ' '), lambda y: y <> '') AS w FROM s),
-    b AS (SELECT doc_id, rid, kind, place, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS g FROM w WHERE len(w) > 1 AND len(w) < 5000),
+    b AS (SELECT doc_id, rid, kind, place, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS g FROM w WHERE len(w) > 1),
     m AS (SELECT doc_id, rid, kind, place, name, k, round(2.0::DOUBLE * len(list_intersect(g, b)) / (len(g) + len(b)), 6) AS dice FROM b, t WHERE len(g) * 3 > len(b) AND len(b) * 3 > len(g)),
     r AS (SELECT *, row_number() OVER (PARTITION BY rid, kind, place ORDER BY dice DESC, k) AS n FROM m WHERE dice >= {threshold})
     SELECT doc_id, kind, place::INT AS place, name AS license, k AS template, dice FROM r WHERE n = 1"""
