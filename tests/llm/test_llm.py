@@ -4,6 +4,7 @@ import base64
 import hashlib
 import os
 import random
+import re
 import zlib
 from collections import Counter
 
@@ -95,8 +96,16 @@ def test_links_are_all_found(spark, distance):
     signed = [x - (1 << 64) if x >> 63 else x for x in fps]
     distinct = sorted(set(signed))
     want = {(a, b) for i, a in enumerate(distinct) for b in distinct[i + 1 :] if ((a ^ b) & (2**64 - 1)).bit_count() <= distance}
-    rows = simhash.linked(spark.createDataFrame([(x,) for x in signed], "fp long"), distance).collect()
+    frame = spark.createDataFrame([(x,) for x in signed], "fp long")
+    rows = simhash.linked(frame, distance).collect()
     assert len(rows) == len(want) and {(r.a, r.b) for r in rows} == want
+    bundled = [(r.a, r.b) for r in simhash._bundled(frame, distance).collect()]
+    assert components_of(bundled, distinct) == components_of(want, distinct)
+    # A group of near copies takes a row for each member, not for each pair.
+    group = [fps[0] ^ (1 << i) for i in range(64)]
+    copies = spark.createDataFrame([(x - (1 << 64) if x >> 63 else x,) for x in group], "fp long")
+    assert simhash.linked(copies, distance).count() == 64 * 63 // 2
+    assert distance < 4 or simhash._bundled(copies, distance).count() < 64 * 6
 
 
 def test_near_duplicates_edges(spark):
@@ -190,6 +199,11 @@ def test_sharding(spark):
     slots = [r.slot for r in sharding.place(same, [1.0] * 3).collect()]
     assert sorted(slots) == list(range(10_000))
     assert sharding.place(docs.limit(0), [1.0]).count() == 0
+    # Rows of the null key, all different, are dealt to many buckets of its shard.
+    nulls = spark.range(2000).selectExpr("cast(null as bigint) as doc_id", "concat('t', id) as text")
+    got = sharding.place(nulls, [1.0] * 3).collect()
+    assert len({r.shard for r in got}) == 1 and sorted(r.slot for r in got) == list(range(2000))
+    assert spark.range(2000).select(sharding.bucket_of(F.lit(None), F.col("id")).alias("b")).distinct().count() > 200
 
 
 def test_urls(spark):
@@ -201,6 +215,69 @@ def test_urls(spark):
         6: ("", "", None), 7: ("", "", None), 8: ("b.com", "/de/é", "com/de/"), 9: ("org", "", None), 10: ("org", "/", "org/"), 11: ("b:", "//c/d", None),
     }
     assert urls.judge(pages.limit(0), catalogue.URL_RULES).count() == 0
+    twice = pages.union(pages).withColumn("Host", F.lit(1)).withColumn("verdict", F.lit("x"))
+    assert {r.page_id: r.verdict for r in urls.judge(twice, catalogue.URL_RULES).collect()} == {r.page_id: r.verdict for r in urls.judge(pages, catalogue.URL_RULES).collect()}
+    assert urls.judge(twice, catalogue.URL_RULES).count() == 2 * len(cases)
+
+
+def plain_url_scores(rows, rules):
+    """Scores by dictionaries alone, and the threshold. rows: spelling -> (accepted, rejected)."""
+    spelt = {s: list(x) for s, x in rows.items()}
+    for side, urls_ in ((0, urls.ACCEPTED), (1, urls.REJECTED)):
+        for u in urls_:
+            spelt.setdefault(re.sub("[0-9]+", "0", u), [0, 0])[side] = 1
+    held = {s for s in spelt if hashlib.md5(s.encode()).hexdigest()[0] in "012"}
+    cut = lambda s: [f"^^^{s}$"[i : i + 4] for i in range(len(s) + 1)]
+    counts = [Counter(g[k:] for s, x in spelt.items() if x[side] and s not in held for g in cut(s) for k in range(4)) for side in (0, 1)]
+    after = [{}, {}]
+    for side in (0, 1):
+        for g, c in counts[side].items():
+            after[side].setdefault(g[:-1], []).append(c)
+
+    def ratio(g):
+        p = 1 / 33
+        for k in (3, 2, 1, 0):
+            seen = after[0].get(g[k:-1], [])
+            p = (counts[0][g[k:]] + len(seen) * p) / (sum(seen) + len(seen)) if seen else p
+        bad = p
+        for k in (1, 0):
+            bad = (counts[1][g[k:]] + 2 * bad) / (sum(after[1].get(g[k:-1], [])) + 2)
+        return np.log(p) - np.log(bad)
+
+    scores = {s: sum(map(ratio, cut(s))) / (len(s) + 1) for s in spelt}
+    good, bad = ([scores[s] for s in held if spelt[s][0]], [scores[s] for s in held if spelt[s][1] and not spelt[s][0]])
+    loss = {}
+    for t in range(-900, 900):
+        lost, passed = sum(x < t / 100 for x in good), sum(x >= t / 100 for x in bad)
+        if lost * 20 <= len(good):
+            loss.setdefault(lost * len(bad) + passed * len(good), []).append(t)
+    best = loss[min(loss)]
+    return scores, best
+
+
+@needs_data
+def test_url_models_against_brute_force(spark):
+    d = "/root/testdata/sf0.01"
+    got = urls.judge(spark.read.parquet(f"{d}/pages.parquet"), catalogue.URL_RULES).collect()
+    spell = lambda x: re.sub(r"[^a-z0./-]", "!", re.sub("[0-9]+", "0", x.lower().replace("_", "-")))
+    rows, of = {}, {}
+    for r in got:
+        rule = next((x for x in catalogue.URL_RULES if f"{x[0]}{x[1]}" == r.rule), None)
+        s = spell(f"{r.host[: max(0, len(r.host) - len(rule[0]) - 1)]}/{r.path[len(rule[1]) :]}" if rule else r.host + r.path)
+        if s:
+            x = rows.setdefault(s, [0, 0])
+            if rule and rule[1] == "/":
+                x[rule[2] == "block"] = 1
+            of[r.page_id] = s
+    scores, best = plain_url_scores(rows, catalogue.URL_RULES)
+    for r in got:
+        assert r.score == (pytest.approx(scores[of[r.page_id]], abs=2e-6) if r.page_id in of else None)
+        if r.rule is None and r.page_id in of and best[-1] < 800 and abs(r.score - (best[0] + best[-1]) / 200) > 0.02:
+            assert r.verdict == ("allow" if r.score > (best[0] + best[-1]) / 200 else "block")
+    unruled = [r for r in got if r.rule is None]
+    unwanted = [r for r in unruled if any(w in r.host for w in ("casino", "bets", "pills", "spam", "ads", "adult"))]
+    assert len(unwanted) > 5 and all(r.verdict == "block" for r in unwanted)
+    assert sum(r.verdict == "block" for r in unruled) <= len(unwanted) + 0.05 * len(unruled)
 
 
 def test_licenses(spark):
@@ -380,7 +457,7 @@ def test_decontamination_is_complete(spark):
     rng = random.Random(9)
     word = lambda: "".join(rng.choice("aeioutnsr") for _ in range(rng.randint(1, 7)))
     prose = lambda n: " ".join(word() for _ in range(n))
-    items = [(i, prose(rng.randint(6, 60))) for i in range(12)] + [(50, None), (51, "short"), (52, "")]
+    items = [(i, prose(rng.randint(6, 60))) for i in range(12)] + [(50, None), (51, "short"), (52, ""), (53, "Tiny  item here"), (54, "tiny item here too")]
 
     def spoil(t, k):
         t = list(t)
@@ -389,25 +466,43 @@ def test_decontamination_is_complete(spark):
             t[at : at + 1] = rng.choice([[], ["q"], [t[at], "q"]])
         return "".join(t)
 
-    docs = [(i, prose(30) + "  " + spoil(items[i % 12][1], i % 9).upper().replace(" ", " \n", 2) + " " + prose(30)) for i in range(60)] + [(100 + i, prose(80)) for i in range(10)] + [(200, None), (201, "")]
+    docs = [(i, prose(30) + "  " + spoil(items[i % 12][1], i % 9).upper().replace(" ", " \n", 2) + " " + prose(30)) for i in range(60)] + [(100 + i, prose(80)) for i in range(10)] + [(200, None), (201, ""), (202, "x, tiny item\nHere too."), (203, "tiny item heres"), (204, "tiny item here"), (204, "tiny item here")]
     want = decontaminate.Wanted(items)
     rows = decontaminate.found(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
     got = {(r.doc_id, r.item_id) for r in rows}
     brute = set()
     for d, t in docs:
         n = decontaminate.normal(t)
-        for s, item in enumerate(want.items):
+        for s, owners in enumerate(want.items):
             segment = "".join(map(chr, want.text[s, : want.sizes[s]]))
             if n and edits_within(segment, n) <= want.edits[s]:
-                brute.add((d, want.names[item]))
-    assert got == brute and len(got) > 30
+                brute |= {(d, want.names[item]) for item, _ in owners}
+    assert got == brute | {(202, 53), (202, 54), (204, 53)} and len(got) > 30
+    assert sum(r.doc_id == 204 for r in rows) == 2
     frame = spark.createDataFrame([(d, t, "en", None, None) for d, t in docs], DOCS)
     clean = decontaminate.clean(frame, spark.createDataFrame(items, "item_id long, text string"))
     assert clean.columns == frame.columns and {r.doc_id for r in clean.collect()} == {d for d, _ in docs} - {d for d, _ in got}
     assert decontaminate.clean(frame, spark.createDataFrame([], "item_id long, text string")).count() == len(docs)
+    small = spark.createDataFrame([(7, items[0][1]), (7, items[0][1])], "item_id smallint, text string")
+    assert {r.item_id for r in decontaminate.found(frame, small).collect()} == {7}
     assert decontaminate.found(frame.limit(0), spark.createDataFrame(items, "item_id long, text string")).count() == 0
 
 
+def test_decontamination_of_repetitive_text_is_bounded(monkeypatch):
+    """A run of one character in an item and a document: every pair of places matches, and they are counted in pieces."""
+    import tracemalloc
+
+    want = decontaminate.Wanted([(1, "-" * 4000), (2, "ab" * 500)])
+    assert len(want.items) < 10 and sum(map(len, want.items)) > 90
+    tracemalloc.start()
+    found = want.search(["-" * 32_000, "x " + "ab" * 600, "-" * 40])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert {(t, i) for t, i, *_ in found} == {(0, 0), (1, 1)} and peak < 800e6
+    monkeypatch.setattr(decontaminate, "MATCHES", 50)
+    assert sorted(want.search(["-" * 300])) == sorted(decontaminate.Wanted([(1, "-" * 4000), (2, "ab" * 500)]).search(["-" * 300]))
+
+
 # HTML, vectors
 
 
@@ -492,6 +587,35 @@ def test_hnsw_against_brute_force(spark):
     assert all(got[i].n_links == 0 and got[i].component_id == i and got[i].kept for i, _, _ in odd)
 
 
+def test_hnsw_edges(spark):
+    """Doubles of extreme size, null ids, repeated rows, clashing columns, an empty table."""
+    rows = [(0, [1e-200, 1e-200], 1), (1, [1e-200, 1e-200], 1), (2, [1e200, 1e200], 1), (None, [1.0, 1.0], 1), (3, [1.0, -1.0], 1), (3, [1.0, -1.0], 1), (4, [3.0], 1), (5, [-0.0, 2.0], 1), (6, [0.0, 2.0], 1)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").withColumns({"node": F.lit("x"), "KEPT": F.lit(1)})
+    got = sorted(((r.vec_id, r.n_links, r.component_id, r.kept) for r in hnsw.near_duplicates(frame).collect()), key=str)
+    assert got == sorted([(0, 3, 0, True), (1, 3, 0, False), (2, 3, 0, False), (None, 3, 0, False), (3, 1, 3, True), (3, 1, 3, True), (4, 0, 4, True), (5, 1, 5, True), (6, 1, 5, False)], key=str)
+    assert hnsw.near_duplicates(frame.limit(0)).count() == 0
+    near = 1 - 1e-12  # a cosine that floats could not tell from the threshold
+    pair = [(0, [1.0, 0.0], 1), (1, [0.98 + 1e-9, (1 - (0.98 + 1e-9) ** 2) ** 0.5], 1), (2, [-(0.98 - 1e-9), (1 - (0.98 - 1e-9) ** 2) ** 0.5 * near], 2), (3, [-1.0, 0.0], 2)]
+    got = {r.vec_id: r.n_links for r in hnsw.near_duplicates(spark.createDataFrame(pair, "vec_id long, embedding array<double>, label int")).collect()}
+    assert got == {0: 1, 1: 1, 2: 0, 3: 0}
+
+
+def test_hnsw_searches_graphs_of_any_size(monkeypatch):
+    """Small and large shards alike are answered by beams; the product with the whole shard is for what the audit refuses."""
+    rng = np.random.default_rng(17)
+    unit = lambda v: v / np.linalg.norm(v, axis=1, keepdims=True)
+    for n in (60, 300, 3000):
+        x = unit(np.repeat(rng.normal(size=(n // 3, 32)), 3, 0) + 0.02 * rng.normal(size=(n // 3 * 3, 32)))
+        graph = hnsw.Graph(x)
+        widths = []
+        real = graph.nearest
+        graph.nearest = lambda q, width: (widths.append((len(q), width)), real(q, width))[1]
+        a, b = hnsw.links(graph, x, 0.98, 0.99, own=True)
+        want = set(zip(*np.nonzero(x @ x.T >= 0.98)))
+        assert len(want & set(zip(a.tolist(), b.tolist()))) >= 0.99 * len(want) and {w for _, w in widths} == {48}
+        assert sum(k for k, _ in widths) == min(len(x), hnsw.PROBES) + len(x)
+
+
 def test_hnsw_graph_recall():
     rng = np.random.default_rng(5)
     x = rng.normal(size=(1500, 32))
