@@ -131,14 +131,16 @@ def budget_prefix(rows: DataFrame, group: list[str], order: list[str], frames: s
     beyond = (total > limit) if limit else F.lit(False)
     if text_limit:
         beyond = beyond | (n * (most_text + max(0, extra)) > text_limit)
-    cost = marked.select(*group, "__skip", n.alias("__n"), beyond.alias("__beyond"), F.row_number().over(Window.partitionBy(*group).orderBy(*order)).alias("__at"))
-    first = F.min(F.when(~F.col("__skip") & F.col("__beyond"), F.struct("__n", "__at")))
-    agg = cost.groupBy(*group).agg(F.count("*").alias("__all"), F.count_if("__skip").alias("__skips"), first.alias("__first"), F.sum(F.when(F.col("__skip"), 0).otherwise(1)).alias("__kept"), F.sort_array(F.collect_list(F.when(F.col("__skip"), F.col("__at")))).alias("__at_skip"))
+    whole = Window.partitionBy(*group).orderBy(*order)
+    skips = F.count_if("__skip").over(whole.rowsBetween(Window.unboundedPreceding, 0))
+    cost = marked.select(*group, "__skip", n.alias("__n"), beyond.alias("__beyond"), F.row_number().over(whole).alias("__at"), skips.alias("__before"))
+    first = F.min(F.when(~F.col("__skip") & F.col("__beyond"), F.struct("__n", "__at", "__before")))
+    agg = cost.groupBy(*group).agg(F.count("*").alias("__all"), F.count_if("__skip").alias("__skips"), first.alias("__first"), F.count_if(~F.col("__skip")).alias("__kept"))
     # The reader stops at the sample that passes the budget; samples behind it are dropped, not skipped.
     alone = F.col("__first.__n") == 1
     stop = F.col("__first.__at")
     selected = F.when(stop.isNull(), F.col("__kept")).when(alone, F.lit(1)).otherwise(F.col("__first.__n") - 1)
-    skipped = F.when(stop.isNull(), F.col("__skips")).otherwise(F.size(F.filter("__at_skip", lambda i: i < stop)))
+    skipped = F.when(stop.isNull(), F.col("__skips")).otherwise(F.col("__first.__before"))
     dropped = F.when(stop.isNull(), F.lit(0)).when(alone, F.col("__all") - stop).otherwise(F.col("__all") - stop + 1)
     return agg.select(*group, selected.cast("long").alias("selected"), skipped.cast("long").alias("skipped"), dropped.cast("long").alias("dropped"))
 

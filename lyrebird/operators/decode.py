@@ -6,7 +6,6 @@ batches in Python, one utterance at a time; utterances are independent and need
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,13 +35,24 @@ def greedy_runs(frames: DataFrame, group: list[str], order: list[Column], token:
     return starts.withColumn("run", run).groupBy(*group, "run").agg(F.first("token").alias("token"), F.min("__at").alias("start"), F.max("__at").alias("end"))
 
 
-def _log_add(a: float, b: float) -> float:
-    if a == NEVER:
-        return b
-    if b == NEVER:
-        return a
-    high, low = (a, b) if a > b else (b, a)
-    return high + math.log1p(math.exp(low - high))
+class Prefixes:
+    """Token sequences as nodes of a tree: equal ones have one number, and a longer one costs one entry."""
+
+    def __init__(self):
+        self.parent, self.token, self.numbers = [-1], [-1], {}
+
+    def longer(self, node: int, token: int) -> int:
+        number = self.numbers.setdefault((node, token), len(self.parent))
+        if number == len(self.parent):
+            self.parent.append(node), self.token.append(token)
+        return number
+
+    def tokens(self, node: int) -> tuple[int, ...]:
+        out = []
+        while node:
+            out.append(self.token[node])
+            node = self.parent[node]
+        return tuple(reversed(out))
 
 
 class Bonus:
@@ -66,37 +76,47 @@ class Bonus:
 
 
 def prefix_beam(log_p: np.ndarray, blank: int, beam: int, top: int | None = None, bonus: Bonus | None = None) -> list[tuple[tuple[int, ...], float, float, float]]:
-    """(tokens, score, blank score, other score), best first; the score holds the bonuses. Ties stay in the order in which prefixes appeared."""
-    bonus = bonus or Bonus()
-    beams: dict[tuple[int, ...], tuple[float, float]] = {(): (0.0, NEVER)}
-    rank = lambda item: _log_add(*item[1]) + bonus(item[0])
+    """(tokens, score, blank score, other score), best first; the score holds the bonuses. Of equal scores the prefix comes
+    first that is reached first, going through prefixes in the order of the beam and for each through the frame's tokens.
+
+    The beam is arrays: a node of the tree for each prefix and the log probabilities of its paths that end on blank and
+    on a token. A frame makes one matrix of all longer prefixes; one that is in the beam itself is added to it there.
+    """
+    tree, nodes, ends, ranks = Prefixes(), [0], np.array([[0.0, NEVER]]), np.zeros(1)
     for frame in log_p:
+        frame = np.asarray(frame, float)
+        tokens = np.arange(len(frame))
         if top is not None and 0 < top < len(frame):
-            tokens = np.argsort(-frame, kind="stable")[:top].tolist()
-            if blank not in tokens:
-                tokens.append(blank)
-        else:
-            tokens = range(len(frame))
-        scored = [(t, float(frame[t])) for t in tokens]
-        found: dict[tuple[int, ...], list[float]] = {}
-        for prefix, (ends_blank, ends_token) in beams.items():
-            total = _log_add(ends_blank, ends_token)
-            last = prefix[-1] if prefix else None
-            for t, p in scored:
-                if t == blank:
-                    slot = found.setdefault(prefix, [NEVER, NEVER])
-                    slot[0] = _log_add(slot[0], total + p)
-                    continue
-                if t == last:
-                    slot = found.setdefault(prefix, [NEVER, NEVER])
-                    slot[1] = _log_add(slot[1], ends_token + p)
-                    gain = ends_blank + p
-                else:
-                    gain = total + p
-                slot = found.setdefault((*prefix, t), [NEVER, NEVER])
-                slot[1] = _log_add(slot[1], gain)
-        beams = {k: (v[0], v[1]) for k, v in sorted(found.items(), key=rank, reverse=True)[: max(1, beam)]}
-    return [(k, rank((k, v)), v[0], v[1]) for k, v in sorted(beams.items(), key=rank, reverse=True)]
+            tokens = np.argsort(-frame, kind="stable")[:top]
+            tokens = tokens if blank in tokens else np.append(tokens, blank)
+        at = {t: k for k, t in enumerate(tokens.tolist())}
+        last = np.array([tree.token[n] for n in nodes])
+        whole = np.logaddexp(ends[:, 0], ends[:, 1])
+        again = np.array([t in at for t in last.tolist()])
+        held = np.stack([whole + frame[blank], np.where(again, ends[:, 1] + frame[last], NEVER)], 1)
+        grown = np.where(tokens == last[:, None], ends[:, :1], whole[:, None]) + frame[tokens]
+        # When each is reached; a prefix is held before it grows by its last token again.
+        reached = np.arange(len(nodes))[:, None] * len(tokens) + np.arange(len(tokens)) + 0.5 * (tokens == last[:, None])
+        kept = np.array([i * len(tokens) + min(at[blank], at.get(t, len(tokens))) for i, t in enumerate(last.tolist())], float)
+        free = np.ones(grown.shape, bool)
+        free[:, at[blank]] = False
+        row = {n: i for i, n in enumerate(nodes)}
+        for j, n in enumerate(nodes):
+            i = row.get(tree.parent[n])
+            if i is not None and again[j]:
+                k = at[last[j]]
+                held[j, 1] = np.logaddexp(held[j, 1], grown[i, k])
+                kept[j], free[i, k] = min(kept[j], reached[i, k]), False
+        from_, by = np.nonzero(free)
+        ends = np.concatenate([held, np.stack([np.full(len(from_), NEVER), grown[from_, by]], 1)])
+        ranks = np.logaddexp(ends[:, 0], ends[:, 1])
+        if bonus:
+            prefixes = [tree.tokens(n) for n in nodes]
+            ranks = ranks + np.array([bonus(p) for p in prefixes] + [bonus((*prefixes[i], int(tokens[k]))) for i, k in zip(from_, by)])
+        best = np.lexsort((np.concatenate([kept, reached[from_, by]]), -ranks))[: max(1, beam)]
+        new = lambda c: nodes[c] if c < len(nodes) else tree.longer(nodes[from_[c - len(nodes)]], int(tokens[by[c - len(nodes)]]))
+        nodes, ends, ranks = [new(c) for c in best.tolist()], ends[best], ranks[best]
+    return [(tree.tokens(n), float(r), float(b), float(t)) for n, r, (b, t) in zip(nodes, ranks, ends)]
 
 
 def align(log_p: np.ndarray, ids: list[int], blank: int) -> list[tuple[int, int]]:
