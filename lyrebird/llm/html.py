@@ -72,6 +72,13 @@ HINTS = {
     "comments", "commentlist", "respond", "replies", "reply", "disqus", "share", "sharing", "social", "related", "recommended", "widget", "widgets", "toolbar", "pagination", "pager",
     "copyright", "skip", "alert",
 }
+#: In an article these need more than a word of a class of several (``related-work``): the element must be mostly links.
+WEAK = {
+    "header", "masthead", "aside", "complementary", "contentinfo", "banner", "notice", "notices", "disclaimer", "overlay", "search", "form", "related", "recommended", "widget", "widgets",
+    "copyright", "skip", "alert",
+}
+#: With one of these beside them, the first of the weak ones are enough (``related-posts``).
+LISTS = {"posts", "post", "articles", "article", "stories", "links", "items", "topics", "products", "news", "pages", "reading"}
 WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
 
@@ -84,12 +91,22 @@ class Run:
         self.text, self.path, self.role, self.block, self.link = text, path, role, block, link
 
 
-def _role(name: str, attrs: str, inside: bool = False) -> tuple[int, str]:
-    """What an element says about the text in it, and its classes for the path; inside says that it is in an article."""
+def _weak(names: str) -> bool:
+    """Whether the hints in an element's classes are weak ones, each only a word among others."""
+    for token in names.split():
+        found = {w.lower() for w in WORD.findall(token)}
+        if found & HINTS and (len(found) == 1 or found & HINTS - WEAK or found & {"related", "recommended"} and found & LISTS):
+            return False
+    return True
+
+
+def _role(name: str, attrs: str, inside: bool = False) -> tuple[int | None, str]:
+    """What an element says about the text in it, and its classes for the path; inside says that it is in an article. None
+    stands for a weak hint: its share of links is to decide."""
     if not attrs.strip():
         return (1 if name in MAIN else -1 if name in OUT else 0), ""
     words: set[str] = set()
-    shown, hidden = "", False
+    shown, hidden, classes = "", False, ""
     for key, *values in ATTR.findall(attrs):
         value = "".join(values)
         key = key.lower()
@@ -99,6 +116,10 @@ def _role(name: str, attrs: str, inside: bool = False) -> tuple[int, str]:
             hidden = True
         else:
             found = [w.lower() for w in WORD.findall(value)]
+            if key == "class":
+                classes = value
+            elif key == "role":
+                classes += f" {value}"
             # In an article ids and labels are made from the words of headings.
             if not (inside and key in ("id", "aria-label") and (len(found) > 1 or name in HEADINGS)):
                 words.update(found)
@@ -110,14 +131,17 @@ def _role(name: str, attrs: str, inside: bool = False) -> tuple[int, str]:
         return 0, shown
     if name in MAIN:
         return (-1 if words & {"comment", "comments", "reply", "ad", "advert", "sponsored"} else 1), shown
-    if name in OUT or (name not in INLINE or name in ("span", "a")) and words & HINTS:
+    if name in OUT:
         return -1, shown
+    if (name not in INLINE or name in ("span", "a")) and words & HINTS:
+        return (None if inside and _weak(classes) and words & HINTS <= {w.lower() for w in WORD.findall(classes)} else -1), shown
     return (1 if "main" in words and "role" in attrs else 0), shown
 
 
 def parse(page: str) -> tuple[list[tuple[str, int]], list[Run]]:
     """Tags as (token, place among the runs) and runs, in page order."""
-    stack: list[tuple[str, int, str]] = []  # name, role in force, path
+    stack: list[tuple[str, int, str, int, int]] = []  # name, role in force, path, own role, place among the weak
+    weak: list[list[int]] = []  # first run, run after the last
     tags: list[tuple[str, int]] = []
     runs: list[Run] = []
     block, at, links = 0, 0, 0
@@ -132,6 +156,9 @@ def parse(page: str) -> tuple[list[tuple[str, int]], list[Run]]:
     def pop(k: int) -> None:
         nonlocal path, role, links
         links -= sum(x[0] == "a" for x in stack[k:])
+        for x in stack[k:]:
+            if x[4] >= 0:
+                weak[x[4]][1] = len(runs)
         del stack[k:]
         path, role = (stack[-1][2], stack[-1][1]) if stack else ("", 0)
 
@@ -180,9 +207,20 @@ def parse(page: str) -> tuple[list[tuple[str, int]], list[Run]]:
             end = re.compile(rf"</{re.escape(name)}\s*[^>]*>", re.I).search(page, at)
             at = end.end() if end else size
             continue
-        stack.append((name, own or role, here))
+        if own is None:
+            weak.append([len(runs), -1])
+        elif name in HEADINGS and not own and role == -1:
+            # The title of an article may stand in a header of its own.
+            k = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][3]), 0)
+            own = int(stack[k][0] == "header" and k > 0 and stack[k - 1][1] == 1)
+        stack.append((name, own or role, here, own or 0, len(weak) - 1 if own is None else -1))
         path, role = here, own or role
         links += name == "a"
+    for a, b in weak:
+        inside = [r for r in runs[a : b if b >= 0 else len(runs)] if r.role == 1]
+        if 2 * sum(len(r.text.split()) for r in inside if r.link) >= sum(len(r.text.split()) for r in inside):
+            for r in inside:
+                r.role = -1
     return tags, runs
 
 
