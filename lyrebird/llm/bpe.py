@@ -261,9 +261,9 @@ def _codec(raw: bytes, pattern: str) -> Codec:
     return Codec(raw, pattern)
 
 
-def parts(column: pa.Array) -> Iterator[tuple[int, int]]:
-    """Ranges of rows with about AT_A_TIME bytes of text each, one row at least."""
-    sizes = pc.binary_length(column).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+def parts(*columns: pa.Array) -> Iterator[tuple[int, int]]:
+    """Ranges of rows with about AT_A_TIME bytes of text in all columns each, one row at least."""
+    sizes = sum(pc.binary_length(c).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64) for c in columns)
     group = np.cumsum(sizes) // AT_A_TIME
     cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(sizes)]
     return ((a, b) for a, b in zip(cuts, cuts[1:]) if b > a)

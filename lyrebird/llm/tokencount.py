@@ -115,7 +115,7 @@ def attribute(docs: DataFrame, fields: Sequence[str], path: str, pattern: str, i
         codec = _codec(raw.value, pattern)
         labels = pa.array(names, pa.string())
         for batch in batches:
-            for a, b in parts(batch.column(1)):
+            for a, b in parts(*batch.columns[1:]):
                 part = batch.slice(a, b - a)
                 rows = list(zip(*[part.column(i + 1).to_pylist() for i in range(len(names))]))
                 row, field, section, start, end, count = attribute_slice(codec, rows, separator, lines, rule)
