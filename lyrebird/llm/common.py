@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
@@ -35,14 +36,27 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+_swept: set[str] = set()
+
+
+def _place(spark: SparkSession) -> str:
+    """A path of its own in this application's part of the shared folder, which is deleted when the driver's Python ends."""
+    name = spark.sparkContext.applicationId
+    if name not in _swept:
+        _swept.add(name)
+        atexit.register(lambda: sweep(spark) if spark.sparkContext._jsc else None)
+    return f"{shared_folder(spark)}/lyrebird-{name}/{uuid.uuid4().hex}"
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and read it back.
 
     This cuts the lineage: whatever executor is lost later, the table is not computed again. Unlike
-    ``checkpoint()`` it computes its input once, not twice. ``sweep`` deletes what a session has written.
+    ``checkpoint()`` it computes its input once, not twice. ``sweep`` deletes what a session has written, at the
+    latest when the driver's Python ends.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/lyrebird-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    path = _place(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -51,8 +65,8 @@ def settle_bucketed(df: DataFrame, key: str) -> DataFrame:
     """``settle`` that deals the files into buckets by ``key``, as many as shuffles have partitions: what groups or joins
     the result by it moves no row of it. The table is in the catalog only until it is read."""
     spark = df.sparkSession
-    name = f"lyrebird_{uuid.uuid4().hex}"
-    path = f"{shared_folder(spark)}/lyrebird-{spark.sparkContext.applicationId}/{name}"
+    path = _place(spark)
+    name = f"lyrebird_{path[-32:]}"
     df.write.format("parquet").bucketBy(conf_int(spark, "spark.sql.shuffle.partitions", 200), key).option("path", path).saveAsTable(name)
     out = spark.table(name)
     out.schema  # resolved before the name goes; an external table's files stay
