@@ -17,8 +17,10 @@ left are copies of each other and lose none.
 Slots. The nearest element with a role (article and main against menus, headers, footers, sidebars, notices,
 adverts, forms, comments, scripts and styles, by element, class, id and role) decides first: pages with an article
 or main element give its runs, others the runs without a role. Where no page of the host has an article or main
-element, slots that over all pages are mostly links, or short and mostly repeated, go too. Hosts with fewer than
-``SUPPORT`` pages have no template: their runs are judged by roles alone.
+element, slots that over all pages are mostly links, or short and mostly repeated, go too, and the slots that hold
+``MAJOR`` of what is left on the host say where the article is: a page's text is that of the innermost element with nearly
+all of its words in those slots, and of headings right before it. Hosts with fewer than ``SUPPORT`` pages have no
+template: their runs are judged by roles alone.
 
 Scale. Hosts are dealt into chunks of about ``CHUNK`` pages, and about ``CHUNK_BYTES`` at most, by a hash of the row, so
 that a host with a third of all pages is many groups; a chunk is all that a task holds at a time.
@@ -44,6 +46,8 @@ from .urls import host_of
 SUPPORT, CHUNK, CHUNK_BYTES = 3, 256, 16 << 20
 #: Share of the pages that have a template's text; words of template to a word of a page's own, at most.
 NEARLY, COPIES = 0.9, 2
+#: Share of a host's words that makes a slot one of the article.
+MAJOR = 0.1
 #: Distinct pages that it takes to call text template against an article element that holds it.
 FIRM = 10
 TOKEN = re.compile(
@@ -83,12 +87,13 @@ WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
 
 class Run:
-    """A run of text: its path, its role (1 main, -1 out, 0 none), the block it is in, whether it is in a link."""
+    """A run of text: its path, its role (1 main, -1 out, 0 none), the block it is in, whether it is in a link, the number of
+    the element that holds it."""
 
-    __slots__ = ("block", "link", "path", "role", "text")
+    __slots__ = ("block", "element", "link", "path", "role", "text")
 
-    def __init__(self, text: str, path: str, role: int, block: int, link: bool):
-        self.text, self.path, self.role, self.block, self.link = text, path, role, block, link
+    def __init__(self, text: str, path: str, role: int, block: int, link: bool, element: int):
+        self.text, self.path, self.role, self.block, self.link, self.element = text, path, role, block, link, element
 
 
 def _weak(names: str) -> bool:
@@ -138,20 +143,26 @@ def _role(name: str, attrs: str, inside: bool = False) -> tuple[int | None, str]
     return (1 if "main" in words and "role" in attrs else 0), shown
 
 
-def parse(page: str) -> tuple[list[tuple[str, int]], list[Run]]:
-    """Tags as (token, place among the runs) and runs, in page order."""
+#: Elements that are parts of a text, not what holds it.
+PARTS = {"p", "li", "dt", "dd", "td", "th", "tr", "blockquote", "pre", "figcaption", "caption", *HEADINGS}
+#: Tags with their places, runs, and for each element that holds text the one it is in.
+Page = tuple[list[tuple[str, int]], list["Run"], list[int]]
+
+
+def parse(page: str) -> Page:
+    """Tags as (token, place among the runs) and runs, in page order; for each element that holds text the one it is in, -1 for none."""
     stack: list[tuple[str, int, str, int, int]] = []  # name, role in force, path, own role, place among the weak
     weak: list[list[int]] = []  # first run, run after the last
+    parents: list[int] = []
+    holders = [-1]  # of the page, and of the stack's elements
     tags: list[tuple[str, int]] = []
     runs: list[Run] = []
     block, at, links = 0, 0, 0
     path, role = "", 0
 
     def text(part: str) -> None:
-        if part and not part.isspace():
-            runs.append(Run(part, path, role, block, links > 0))
-        elif part:
-            runs.append(Run(" ", path, role, block, links > 0))
+        if part:
+            runs.append(Run(" " if part.isspace() else part, path, role, block, links > 0, holders[-1]))
 
     def pop(k: int) -> None:
         nonlocal path, role, links
@@ -160,6 +171,7 @@ def parse(page: str) -> tuple[list[tuple[str, int]], list[Run]]:
             if x[4] >= 0:
                 weak[x[4]][1] = len(runs)
         del stack[k:]
+        del holders[k + 1 :]
         path, role = (stack[-1][2], stack[-1][1]) if stack else ("", 0)
 
     size = len(page)
@@ -214,6 +226,11 @@ def parse(page: str) -> tuple[list[tuple[str, int]], list[Run]]:
             k = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][3]), 0)
             own = int(stack[k][0] == "header" and k > 0 and stack[k - 1][1] == 1)
         stack.append((name, own or role, here, own or 0, len(weak) - 1 if own is None else -1))
+        if name not in INLINE and name not in PARTS:
+            parents.append(holders[-1])
+            holders.append(len(parents) - 1)
+        else:
+            holders.append(holders[-1])
         path, role = here, own or role
         links += name == "a"
     for a, b in weak:
@@ -221,7 +238,32 @@ def parse(page: str) -> tuple[list[tuple[str, int]], list[Run]]:
         if 2 * sum(len(r.text.split()) for r in inside if r.link) >= sum(len(r.text.split()) for r in inside):
             for r in inside:
                 r.role = -1
-    return tags, runs
+    return tags, runs, parents
+
+
+def _within(runs: list[Run], parents: list[int], kept: set[int], major: set[int]) -> set[int]:
+    """Of the kept runs those in the innermost element with nearly all words of the major ones, and headings right before it."""
+    words: dict[int, int] = defaultdict(int)
+    for i in major:
+        n, e = len(runs[i].text.split()), runs[i].element
+        while e >= 0:
+            words[e] += n
+            e = parents[e]
+    most = sum(len(runs[i].text.split()) for i in major)
+    # Elements are numbered as they open, so of those that hold enough the last is the innermost.
+    holder = max((e for e, n in words.items() if n >= NEARLY * most), default=-1)
+
+    def inside(e: int) -> bool:
+        while e > holder:
+            e = parents[e]
+        return e == holder
+
+    mine = {i for i in kept if holder < 0 or inside(runs[i].element)}
+    before = min((i for i in mine if runs[i].text != " "), default=0) - 1
+    while before >= 0 and (runs[before].text == " " or before in kept and re.search(r">h[1-6]\b", runs[before].path)):
+        mine.add(before)
+        before -= 1
+    return mine
 
 
 def _blocks(runs: list[Run]) -> list[tuple[str, list[int]]]:
@@ -233,9 +275,9 @@ def _blocks(runs: list[Run]) -> list[tuple[str, list[int]]]:
     return [(f"{runs[places[0]].path}|{' '.join(' '.join(runs[i].text for i in places).split())}", places) for places in at.values()]
 
 
-def _template(pages: list[tuple[list[tuple[str, int]], list[Run]]], blocks: list[list[tuple[str, list[int]]]]) -> tuple[list[dict[int, str]], set[str], set[str]]:
+def _template(pages: list[Page], blocks: list[list[tuple[str, list[int]]]]) -> tuple[list[dict[int, str]], set[str], set[str]]:
     """For each page the names of the tags in the nest by their index; the tokens of text that is template; those on ``SUPPORT`` pages."""
-    counts = [Counter(t for t, _ in tags) for tags, _ in pages]
+    counts = [Counter(t for t, _ in tags) for tags, *_ in pages]
     vectors: dict[str, list[tuple[int, int]]] = defaultdict(list)
     for n, c in enumerate(counts):
         for token, k in c.items():
@@ -272,9 +314,9 @@ def _template(pages: list[tuple[list[tuple[str, int]], list[Run]]], blocks: list
     return nest, {t for t in often if held[t] >= NEARLY * len(pages)}, often
 
 
-def _slots(page: tuple[list[tuple[str, int]], list[Run]], nest: dict[int, str]) -> list[tuple[str, str]]:
+def _slots(page: Page, nest: dict[int, str]) -> list[tuple[str, str]]:
     """The slot of each run: the tags of the nest to either side."""
-    tags, runs = page
+    tags, runs, _ = page
     marks = [(tags[i][1], name) for i, name in sorted(nest.items())]
     out, k = [], 0
     for i in range(len(runs)):
@@ -286,19 +328,19 @@ def _slots(page: tuple[list[tuple[str, int]], list[Run]], nest: dict[int, str])
 
 def extract(pages: list[str | None]) -> list[str]:
     """The main texts of pages of one host."""
-    parsed: dict[str, tuple[list[tuple[str, int]], list[Run]]] = {}
+    parsed: dict[str, Page] = {}
     for p in pages:
         if p and p not in parsed:
             parsed[p] = parse(p)
     distinct = list(parsed.values())
-    blocks = [_blocks(runs) for _, runs in distinct]
+    blocks = [_blocks(runs) for _, runs, _ in distinct]
     known = len(distinct) >= SUPPORT
     nest, template, often = _template(distinct, blocks) if known else ([{}] * len(distinct), set(), set())
     slots = [_slots(x, names) for x, names in zip(distinct, nest)]
     # Evidence on each slot over all pages: words, runs, words in links and words of repeated blocks.
     seen: dict[tuple[str, str], list[int]] = defaultdict(lambda: [0, 0, 0, 0])
-    any_main = any(r.role == 1 and r.text != " " for _, runs in distinct for r in runs)
-    for (_, runs), places, mine in zip(distinct, blocks, slots):
+    any_main = any(r.role == 1 and r.text != " " for _, runs, _ in distinct for r in runs)
+    for (_, runs, _), places, mine in zip(distinct, blocks, slots):
         for token, at in places:
             for i in at:
                 words = len(runs[i].text.split())
@@ -308,13 +350,20 @@ def extract(pages: list[str | None]) -> list[str]:
                 s[2] += words * runs[i].link
                 s[3] += words * (token in often)
     poor = {s for s, (words, count, linked, repeated) in seen.items() if 2 * linked >= words or words < 5 * count and 2 * repeated >= words}
+    left: Counter[tuple[str, str]] = Counter()
+    for (_, runs, _), mine in zip(distinct, slots):
+        for r, s in zip(runs, mine):
+            if not r.role and s not in poor:
+                left[s] += len(r.text.split())
+    major = {s for s, n in left.items() if n and n >= MAJOR * left.total()}
     texts = {}
-    for p, (_, runs), places, mine in zip(parsed, distinct, blocks, slots):
+    for p, (_, runs, parents), places, mine in zip(parsed, distinct, blocks, slots):
         has_main = any(r.role == 1 and r.text != " " for r in runs)
         kept = {i for i, r in enumerate(runs) if r.role == has_main}
         if known and not has_main and not any_main:
             # Slots that are short and repeated or all links on the whole host hold no article.
             kept = {i for i in kept if runs[i].text == " " or mine[i] not in poor or re.search(r">h[1-6]\b", runs[i].path)}
+            kept = _within(runs, parents, kept, {i for i in kept if mine[i] in major and runs[i].text != " "})
         repeated, own = [], 0
         for token, at in places:
             at = [i for i in at if i in kept]
