@@ -570,7 +570,7 @@ def test_html_shared_passages():
 def test_html_nest():
     page = lambda k: f"<div class=a><p>{k}</p></div>" + "<div class=b><i>x</i></div>" * (k % 2) + f"<div class=c>{k}</div>"
     pages = [html.parse(page(k)) for k in range(8)]
-    nest, _, _ = html._template(pages, [html._blocks(runs) for _, runs in pages])
+    nest, _, _ = html._template(pages, [html._blocks(runs) for _, runs, _ in pages])
     slots = [html._slots(x, names) for x, names in zip(pages, nest)]
     # The optional class lies in one gap of the outer one, so its slot has a name of its own and the others keep theirs.
     assert {len(s) for s in slots[::2]} == {2} and {len(s) for s in slots[1::2]} == {3}
@@ -582,6 +582,30 @@ def test_html_anchors_in_article():
     assert html.extract([page]) == ["Related work\n\nA\n\nNotice\n\nB"]
 
 
+@needs_data
+def test_html_template_finds_what_roles_say():
+    """Without article, nav, footer and classes the template alone finds the articles that the roles of elements give."""
+    import pyarrow.parquet
+
+    hosts = {}
+    for r in pyarrow.parquet.read_table("/root/testdata/sf0.1/pages.parquet", columns=["url", "html"]).to_pylist():
+        hosts.setdefault(re.sub("^.*?://([^/?#]*).*$", r"\1", r["url"]), []).append(r["html"])
+    large = [pages[:100] for pages in hosts.values() if len(pages) >= 10]
+    plain = lambda h: re.sub(r"<(/?)(article|nav|footer)\b[^>]*>", r"<\1div>", h.replace(' class="ad"', ""))
+    told = [html.extract(pages) for pages in large]
+    found = [html.extract([plain(h) for h in pages]) for pages in large]
+    same = [a == b for x, y in zip(told, found) for a, b in zip(x, y)]
+    assert len(same) > 1000 and sum(same) >= 0.99 * len(same)
+
+
+def test_html_holder_of_the_article():
+    lead = lambda k: f"<p class=lead>Lead {k} of the story.</p>"
+    body = lambda k: "".join(f"<p>Paragraph {i} of page {k} says that {k * 37 + i} things are so and not otherwise.</p>" for i in range(6))
+    page = lambda k: f"<body><div>Weather today {k}</div><h1>Title {k}</h1><div>{lead(k)}{body(k)}<ul><li>Point {k}</ul></div><div>Contact person {k}</div></body>"
+    for k, text in enumerate(html.extract([page(k) for k in range(6)])):
+        assert text.startswith(f"Title {k}\n\nLead {k} of") and text.endswith(f"\n\nPoint {k}") and text.count("Paragraph") == 6
+
+
 def test_html_weak_hints_in_article():
     page = (
         '<article><header><h1>Title</h1><p>By one</p><nav><h2>Menu</h2></nav></header><section class="related-work"><h2>Related work</h2><p>Others did <a href=1>this</a> before.</p></section>'
