@@ -37,7 +37,7 @@ CELLS = 1 << 20
 #: Pieces that a worker remembers; beyond, it forgets them all and starts anew.
 REMEMBERED = 300_000
 #: Characters of text that are cut into pieces at a time, unless one text has more.
-AT_A_TIME = 1 << 20
+AT_A_TIME = 1 << 19
 NEVER = np.iinfo(np.int32).max
 
 

@@ -17,8 +17,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Spark's setting of rows in an Arrow batch, its default, and what is set instead: rows here are whole texts, and a batch
+#: is held several times over by executors and workers.
+BATCH, USUAL, FEWER = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "1000"
+
+
 def ship(spark: SparkSession) -> None:
-    """Let Python workers import this package even when the driver was started in another folder."""
+    """Let Python workers import this package even when the driver was started in another folder, and keep Arrow batches
+    small, unless the session says how large they are to be."""
+    if spark.conf.get(BATCH) == USUAL:
+        spark.conf.set(BATCH, FEWER)
     env = spark.sparkContext.environment
     if ROOT not in env.get("PYTHONPATH", "").split(":"):
         env["PYTHONPATH"] = ":".join(x for x in (ROOT, env.get("PYTHONPATH", "")) if x)

@@ -49,7 +49,7 @@ SYMBOLS = 1 << BITS
 #: The model of all trusted texts; the others are named "=" and their language.
 POOLED = "*"
 #: Distinct n-grams of a model's shard, n-grams looked up in a shard by one task, and bytes of text in a block; about.
-TRAINED, ASKED, BLOCK = 250_000, 2_000_000, 16 << 20
+TRAINED, ASKED, BLOCK = 250_000, 2_000_000, 8 << 20
 #: Trusted ids (8 bytes each) up to which they are broadcast instead of joined by shuffle.
 IDS = 1_000_000
 PRIOR = 64
@@ -268,29 +268,28 @@ class Shard:
 
 _CODEC = pa.Codec("zstd", compression_level=9)
 _FAST = pa.Codec("zstd", compression_level=1)
-PACKED = "block string, model string, shard int, n long, keys binary, texts array<binary>"
+PACKED = "block string, model string, shard int, n long, keys binary, texts binary"
 
 
 def _pack(batches: Iterator[pa.RecordBatch], model_at: int, text_at: int, shards: int) -> Iterator[pa.RecordBatch]:
-    """Blocks of rows: one row with all of a block's rows in compressed pieces, and one for the distinct 5-grams of each model and shard."""
-    schema = pa.schema([("block", pa.string()), ("model", pa.string()), ("shard", pa.int32()), ("n", pa.int64()), ("keys", pa.binary()), ("texts", pa.list_(pa.binary()))])
+    """Blocks of rows: pieces of a block's rows, compressed, a row each, and one row for the distinct 5-grams of each model and shard."""
+    schema = pa.schema([("block", pa.string()), ("model", pa.string()), ("shard", pa.int32()), ("n", pa.int64()), ("keys", pa.binary()), ("texts", pa.binary())])
     task, number, size = TaskContext.get().partitionId(), 0, 0
-    pieces: list[bytes] = []
     met: dict[str, list[np.ndarray]] = {}
 
+    def made(*rows: tuple) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows), schema)], schema=schema)
+
     def flush() -> Iterator[pa.RecordBatch]:
         nonlocal number, size
-        name = f"{task}.{number}"
-        rows = [(name, None, None, None, None, list(pieces))]
         for model, got in met.items():
             keys = np.unique(np.concatenate(got))
             shard = shard_of(keys, shards)
             for s in np.unique(shard).tolist():
                 mine = keys[shard == s]
-                rows.append((name, model, s, len(mine), _FAST.compress(np.diff(mine, prepend=0).tobytes(), asbytes=True), None))
+                yield made((f"{task}.{number}", model, s, len(mine), _FAST.compress(np.diff(mine, prepend=0).tobytes(), asbytes=True), None))
         number, size = number + 1, 0
-        pieces.clear(), met.clear()
-        yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows), schema)], schema=schema)
+        met.clear()
 
     for batch in batches:
         for a, b in parts(batch.column(text_at)):
@@ -298,15 +297,14 @@ def _pack(batches: Iterator[pa.RecordBatch], model_at: int, text_at: int, shards
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, part.schema, options=pa.ipc.IpcWriteOptions(compression=_CODEC)) as out:
                 out.write_batch(part)
-            pieces.append(sink.getvalue().to_pybytes())
+            yield made((f"{task}.{number}", None, None, None, None, sink.getvalue().to_pybytes()))
             size += part.nbytes
             models, texts = part.column(model_at).to_pylist(), part.column(text_at).to_pylist()
             for model, rows in _by_model(models, texts):
                 met.setdefault(model, []).append(np.unique(grams([texts[i] for i in rows])[0]))
             if size > BLOCK:
                 yield from flush()
-    if pieces:
-        yield from flush()
+    yield from flush()
 
 
 def _keys(row: dict) -> np.ndarray:
@@ -340,8 +338,8 @@ def _add_up(packed: pa.Table, answers: pa.Table, added: list[tuple[str, pa.DataT
         order = np.argsort(keys)
         tables[model] = keys[order], np.concatenate([x for _, x in shares])[order].astype(float)
     done = []
-    for piece in (p for row in packed.column("texts").to_pylist() for p in row or ()):
-        for batch in pa.ipc.open_stream(piece):
+    for piece in packed.column("texts"):
+        for batch in pa.ipc.open_stream(piece.as_buffer()):
             models, texts = batch.column(model_at).to_pylist(), batch.column(text_at).to_pylist()
             sums, counts = [0.0] * len(texts), [0] * len(texts)
             for model, rows in _by_model(models, texts):
