@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import os
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -54,11 +53,15 @@ def write_buckets(entries: DataFrame, folder: str, root: str, source: str, frame
 
 
 def write_document(one_row: DataFrame, path: str) -> None:
-    """One row as an indented JSON document, written by the driver."""
+    """One row as an indented JSON document, written by the driver to whatever file system the path is in."""
     text = one_row.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"})).first()[0]
-    os.makedirs(os.path.dirname(os.path.abspath(path)), exist_ok=True)
-    with open(path, "w", encoding="utf-8") as f:
-        json.dump(json.loads(text), f, ensure_ascii=False, indent=2)
+    context = one_row.sparkSession.sparkContext
+    target = context._jvm.org.apache.hadoop.fs.Path(path)
+    out = target.getFileSystem(context._jsc.hadoopConfiguration()).create(target, True)
+    try:
+        out.write(json.dumps(json.loads(text), ensure_ascii=False, indent=2).encode())
+    finally:
+        out.close()
 
 
 def paired(first: DataFrame, second: DataFrame, key: str, place: str) -> DataFrame:

@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from ..functions import arrays, frames, maths, splits, text
 from ..functions.tokenizers import ByteTrie, encode
-from ..operators import batching, decode, index, metrics, runs, sampling, sinks, stats
+from ..operators import batching, decode, index, metrics, reports, runs, sampling, sinks, stats
+from ..session import scratch
+from ..sources import archives, manifests
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -632,3 +634,200 @@ def q_ramp_and_budget(spark, d):
     e = read(spark, d, "events")
     tokens = F.greatest(F.lit(1).cast("long"), frames.memory_token_budget(k, F.lit(6 * 1024**3), 22.0))
     return e.select("event_id", frames.ramp(k, 20, 80, 0.0, 0.5).alias("probability"), tokens.alias("tokens"))
+
+
+# Names, numbers and rows that other queries do not reach
+
+
+@query("""WITH f AS (SELECT doc_id, array_to_string(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> ''), ' ') AS s FROM documents)
+    SELECT doc_id, CASE WHEN length(s) > 60 THEN substr(s, 1, 59) || '…' ELSE s END AS short FROM f""")
+def q_short_text(spark, d):
+    return read(spark, d, "documents").select("doc_id", text.short_text(F.col("text"), 60).alias("short"))
+
+
+@query("SELECT page_id, split_part(regexp_replace(url, '^.*/', ''), '.', 1) AS code FROM pages")
+def q_language_code(spark, d):
+    return read(spark, d, "pages").select("page_id", text.language_code(F.col("url")).alias("code"))
+
+
+@query("SELECT event_id, CASE WHEN event_id % 3 = 0 THEN -1 ELSE event_id END AS step FROM events")
+def q_step_number(spark, d):
+    name = F.when(F.col("event_id") % 3 == 0, "/run.1/best.pt").otherwise(F.concat(F.lit("/run.1/step-"), "event_type", F.lit("-"), "event_id", F.lit(".pt")))
+    return read(spark, d, "events").select("event_id", text.step_number(name).alias("step"))
+
+
+@query("SELECT p_partkey, length(p_name) AS characters, len(list_filter(string_split(p_name, ' '), lambda w: w <> '')) AS words FROM part")
+def q_characters(spark, d):
+    name = F.col("p_name")
+    return read(spark, d, "part").select("p_partkey", F.size(text.characters(name)).cast("long").alias("characters"), F.size(text.tokens(name)).cast("long").alias("words"))
+
+
+@query("SELECT l_returnflag, round(sum(l_discount + l_tax), 4) AS total, round(avg(-l_quantity + 0.75 * l_linenumber), 6) AS score FROM lineitem GROUP BY 1")
+def q_log_add(spark, d):
+    log = lambda c: F.when(F.col(c) > 0, F.log(c)).otherwise(float("-inf"))
+    both = F.exp(maths.log_add(log("l_discount"), log("l_tax")))
+    score = maths.sequence_score(-F.col("l_quantity"), F.col("l_linenumber"), 0.5, 0.25)
+    return read(spark, d, "lineitem").groupBy("l_returnflag").agg(F.round(F.sum(both), 4).alias("total"), F.round(F.avg(score), 6).alias("score"))
+
+
+@query("""WITH p AS (SELECT p.p_partkey, string_split(p.p_name, ' ') AS a, string_split(n.p_name, ' ') AS b FROM part p JOIN part n ON n.p_partkey = p.p_partkey + 1),
+    v AS (SELECT *, list_sort(list_distinct(list_concat(a, b))) AS v FROM p),
+    e AS (SELECT *, levenshtein(array_to_string(list_transform(a, lambda x: chr((32 + list_position(v, x))::INT)), ''), array_to_string(list_transform(b, lambda x: chr((32 + list_position(v, x))::INT)), '')) AS e FROM v)
+    SELECT p_partkey, round(e / greatest(1, len(b)), 9) AS error, round(len(a) / greatest(1, len(b)), 9) AS ratio FROM e""")
+def q_sample_errors(spark, d):
+    a, b = text.tokens(F.col("p_name")), text.tokens(F.col("n_name"))
+    return _pairs(spark, d).select("p_partkey", F.round(reports.token_error(a, b), 9).alias("error"), F.round(reports.token_ratio(a, b), 9).alias("ratio"))
+
+
+_OPEN = "SELECT event_id, user_id FROM events WHERE event_type <> 'error' AND 100 - value >= 30"
+
+
+def _pending(spark, d, newest):
+    e = read(spark, d, "events").select("event_id", "user_id", "event_type", "value")
+    out = runs.pending(e, e.where("event_type = 'error'"), "event_id", "value", 30, F.lit(100.0), newest, "user_id")
+    return out.select("event_id", "user_id")
+
+
+@query(_OPEN)
+def q_pending(spark, d):
+    return _pending(spark, d, False)
+
+
+@query(f"SELECT * FROM ({_OPEN}) ORDER BY user_id DESC, event_id DESC LIMIT 1")
+def q_newest_pending(spark, d):
+    return _pending(spark, d, True)
+
+
+@query("SELECT event_id, user_id FROM events WHERE event_type = 'purchase' OR user_id % 10 = 0")
+def q_retained(spark, d):
+    e = read(spark, d, "events")
+    none = F.lit(None).cast("long")
+    paths = e.where("event_type = 'purchase'").select("event_id", none.alias("user_id"))
+    kept = paths.unionByName(e.where("user_id % 10 = 0").select(none.alias("event_id"), "user_id").distinct())
+    return runs.retained(e.select("event_id", "user_id"), kept, "event_id", "user_id")
+
+
+@query("SELECT o_orderkey, o_totalprice, o_orderstatus FROM orders")
+def q_zip_rows(spark, d):
+    o = read(spark, d, "orders")
+    return sampling.zip_rows(o.select("o_orderkey", "o_totalprice"), o.select("o_orderkey", "o_orderstatus"), "o_orderkey")
+
+
+@query(f"""WITH n AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY {_LINES}) AS i FROM lineitem)
+    SELECT l_orderkey, string_agg(l_partkey::VARCHAR, ',' ORDER BY i) AS targets, string_agg(l_suppkey::VARCHAR, ',' ORDER BY i) AS utt_ids, max(l_linenumber)::INT AS padded_to FROM n WHERE i <= 2 GROUP BY 1""")
+def q_truncate_prefix(spark, d):
+    rows = read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", F.array("l_partkey").alias("y"))
+    short = batching.truncate_prefix(batching.collate(rows, ["l_orderkey"], _LINES.split(", "), "l_suppkey", "l_linenumber", "y"), 2)
+    joined = lambda c: F.array_join(F.col(c).cast("array<string>"), ",").alias(c)
+    return short.select("l_orderkey", joined("targets"), joined("utt_ids"), "padded_to")
+
+
+@query("SELECT count(*) AS num_lines, count(DISTINCT (lang, source)) AS num_files, count(DISTINCT lang) AS num_languages FROM documents")
+def q_corpus_counts(spark, d):
+    return archives.corpus_counts(read(spark, d, "documents").select("lang", F.col("source").alias("file"), F.col("text").alias("line")))
+
+
+@query("SELECT event_id, round(greatest(event_id - 3, 1) / greatest(value, 1e-6), 6) AS rate FROM events")
+def q_throughput(spark, d):
+    return read(spark, d, "events").select("event_id", F.round(frames.throughput(F.col("event_id"), F.col("value"), 3), 6).alias("rate"))
+
+
+@query("""WITH r AS (SELECT l_orderkey, greatest(1, l_quantity::BIGINT) AS t, floor(l_extendedprice * 1000)::BIGINT AS p FROM lineitem),
+    w AS (SELECT l_orderkey, max(t) AS tokens, floor(max(p / t) * max(t))::BIGINT AS peak FROM r GROUP BY 1)
+    SELECT l_orderkey, tokens, peak, greatest(1, tokens * 1048576 // peak) AS budget FROM w""")
+def q_global_budget(spark, d):
+    ranks = read(spark, d, "lineitem").select("l_orderkey", F.col("l_quantity").cast("long").alias("t"), F.floor(F.col("l_extendedprice") * 1000).cast("long").alias("p"))
+    return batching.global_token_budget(ranks, "l_orderkey", "t", "p", 1 / 1024)
+
+
+@query("""WITH e AS (SELECT event_type AS mode, json_extract_string(props, '$.k')::BIGINT % 3 AS e, json_extract_string(props, '$.k')::BIGINT AS t FROM events)
+    SELECT mode, round(sum(e) / sum(t), 9) AS token_error_rate, round(avg((e = 0)::INT::DOUBLE), 9) AS exact_match, count(*)::DOUBLE AS num_utts FROM e GROUP BY 1""")
+def q_mode_report(spark, d):
+    k = F.get_json_object("props", "$.k").cast("long")
+    out = metrics.mode_report(read(spark, d, "events").select(F.col("event_type").alias("mode"), (k % 3).alias("e"), k.alias("t")), "mode", "e", "t")
+    return out.withColumns({c: F.round(c, 9) for c in ("token_error_rate", "exact_match")})
+
+
+# Round trips through files: written by a sink, or as other tools write them, and read by a source
+
+
+@query("""SELECT doc_id::VARCHAR AS utt_id, n_chars AS tokens, '/data/f/' || doc_id || '.pt' AS feature_path, CASE WHEN doc_id % 2 = 0 THEN 's3://a/' || doc_id ELSE '/a/' || doc_id END AS audio_filepath FROM documents""")
+def q_manifest(spark, d):
+    n, path = F.col("doc_id").cast("string"), scratch(spark)
+    ids = [F.when(F.col("doc_id") % 3 == k, n).otherwise("" if k < 2 else None).alias(c) for k, c in enumerate(("utt_id", "id", "audio_id"))]
+    audio = F.concat(F.when(F.col("doc_id") % 2 == 0, "s3://a/").otherwise("/a/"), n)
+    rows = read(spark, d, "documents").select(*ids, F.array("n_chars").alias("token_ids"), F.concat(F.lit("f/"), n, F.lit(".pt")).alias("feature_path"), audio.alias("audio_filepath"))
+    rows.write.json(path)
+    return manifests.manifest(spark, path, "/data").select("utt_id", F.col("token_ids")[0].cast("long").alias("tokens"), "feature_path", "audio_filepath")
+
+
+@query("SELECT doc_id::VARCHAR AS utt_id, CASE WHEN doc_id % 2 = 0 THEN '/data/f' || doc_id END AS feature_path, CASE WHEN doc_id % 2 = 1 THEN '/data/a' || doc_id END AS audio_filepath FROM documents")
+def q_unlabelled_manifest(spark, d):
+    n, path = F.col("doc_id").cast("string"), scratch(spark)
+    rows = read(spark, d, "documents").select(n.alias("id"), F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("f"), n)).alias("feature_path"), F.when(F.col("doc_id") % 2 == 1, F.concat(F.lit("a"), n)).alias("audio_filepath"))
+    rows.write.json(path)
+    return manifests.unlabelled_manifest(spark, path, "/data")
+
+
+def _entries(spark, d):
+    """Length entries, every other one in the older form without a format."""
+    n, old = F.col("doc_id").cast("string"), F.col("doc_id") % 2 == 1
+    rows = index.with_split(read(spark, d, "documents"), RULE, "doc_id", "source")
+    none = F.lit(None).cast("string")
+    return rows.select(
+        F.col("source").alias("shard_name"), n.alias("key"), n.alias("utt_id"), "split", F.col("n_chars").alias("num_frames"), F.when(~old, F.concat(n, F.lit(".wav"))).alias("audio_member"),
+        none.alias("audio_format"), F.concat(n, F.lit(".json")).alias("json_member"), (F.col("doc_id") * 512).alias("audio_offset"), F.col("n_chars").alias("audio_size"), F.lit(0).cast("long").alias("json_offset"),
+        F.lit(1).cast("long").alias("json_size"), F.when(old, F.concat(n, F.lit(".MP3"))).alias("wav_member"),
+    )
+
+
+@query(f"""SELECT source AS shard_name, doc_id::VARCHAR AS utt_id, n_chars AS num_frames, doc_id || CASE WHEN doc_id % 2 = 1 THEN '.MP3' ELSE '.wav' END AS audio_member, CASE WHEN doc_id % 2 = 1 THEN 'mp3' ELSE 'wav' END AS audio_format,
+    doc_id * 512 AS audio_offset FROM documents WHERE {_split_sql('doc_id')} = 'eval'""")
+def q_length_index(spark, d):
+    path = scratch(spark)
+    sinks.write_length_index(_entries(spark, d), path)
+    return manifests.length_index(spark, path, "eval").select("shard_name", "utt_id", "num_frames", "audio_member", "audio_format", "audio_offset")
+
+
+@query(f"""WITH s AS (SELECT {_split_sql('doc_id')} AS split, n_chars // 80 AS bucket_id, source, doc_id FROM documents), n AS (SELECT *, row_number() OVER (PARTITION BY split, bucket_id ORDER BY source, doc_id) - 1 AS o FROM s),
+    p AS (SELECT split, bucket_id, o // 5 AS part, count(*) AS n, min(source) AS f, max(source) AS l FROM n GROUP BY ALL)
+    SELECT split, bucket_id::INT AS bucket_id, sum(n)::BIGINT AS num_samples, string_agg(n || ':' || f || ':' || l, ' ' ORDER BY part) AS parts FROM p GROUP BY 1, 2""")
+def q_bucket_manifest(spark, d):
+    folder = scratch(spark)
+    sinks.write_buckets(_entries(spark, d), folder, "/shards", "lengths.jsonl", entries_per_part=5)
+    parts = F.transform("parts", lambda p: F.concat_ws(":", p["num_samples"].cast("string"), p["first_shard"], p["last_shard"]))
+    return manifests.bucket_manifest(spark, f"{folder}/manifest.json").select("split", "bucket_id", "num_samples", F.array_join(parts, " ").alias("parts"))
+
+
+@query("SELECT event_id::VARCHAR AS utt_id, user_id AS token, value AS score, event_type AS pred_text, event_id % 7 AS feature_length FROM events")
+def q_prediction_file(spark, d):
+    path, none = scratch(spark), F.lit(None).cast("int")
+    debug = F.struct((F.col("event_id") % 7).cast("int").alias("feature_length"), none.alias("logit_length"), none.alias("pred_token_count"), none.alias("ref_token_count"))
+    rows = read(spark, d, "events").select(F.col("event_id").cast("string").alias("utt_id"), F.array(F.col("user_id").cast("int")).alias("pred_token_ids"), F.col("event_type").alias("pred_text"), F.col("value").alias("score"), debug.alias("debug"))
+    sinks.write_predictions(rows, path)
+    got = manifests.predictions(spark, path)
+    return got.select("utt_id", F.col("pred_token_ids")[0].cast("long").alias("token"), "score", "pred_text", F.col("debug.feature_length").cast("long").alias("feature_length"))
+
+
+@query("SELECT event_id::VARCHAR AS utt_id FROM events")
+def q_utterance_ids(spark, d):
+    path, n = scratch(spark), F.col("event_id")
+    as_json = F.concat(F.lit('{"'), F.when(n % 4 == 1, "utt_id").when(n % 4 == 2, "id").otherwise("audio_id"), F.lit('": "'), n, F.lit('"}'))
+    read(spark, d, "events").select(F.when(n % 4 == 0, F.concat(F.lit("  "), n, F.lit("\n"))).otherwise(as_json).alias("value")).write.text(path)
+    return manifests.utterance_ids(spark, path)
+
+
+@query("SELECT event_id::DOUBLE AS feat, (user_id % 90)::DOUBLE AS pred_tok, round_even(value, 3) AS blank_top1 FROM events ORDER BY event_id LIMIT 50")
+def q_preview_file(spark, d):
+    path = scratch(spark)
+    none = F.lit(None).cast("double")
+    debug = F.struct(
+        F.col("event_id").cast("int").alias("feature_length"), F.lit(1).alias("logit_length"), (F.col("user_id") % 90).cast("int").alias("pred_token_count"), F.lit(2).alias("ref_token_count"),
+        F.col("value").alias("blank_top1_ratio"), F.lit(0.5).alias("avg_blank_prob"),
+    )
+    rows = read(spark, d, "events").select(
+        "event_id", F.col("event_id").cast("string").alias("utt_id"), F.col("event_type").alias("ref_text"), F.lit("x").alias("pred_text"), "value", F.lit(0.5).alias("score"), F.lit("ctc").alias("decode_strategy"),
+        none.alias("ctc_score"), none.alias("decoder_score"), none.alias("combined_score"), debug.alias("debug"),
+    )
+    sinks.write_preview(rows, path, "event_id", 50)
+    return manifests.preview_lines(spark, path).select(*[F.col("values")[c].alias(c) for c in ("feat", "pred_tok", "blank_top1")])
