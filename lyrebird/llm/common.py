@@ -74,8 +74,9 @@ def settle_bucketed(df: DataFrame, key: str) -> DataFrame:
     the result by it moves no row of it. The table is in the catalog only until it is read."""
     spark = df.sparkSession
     path = _place(spark)
-    name = f"lyrebird_{path[-32:]}"
-    df.write.format("parquet").bucketBy(conf_int(spark, "spark.sql.shuffle.partitions", 200), key).option("path", path).saveAsTable(name)
+    name = f"spark_catalog.default.lyrebird_{path[-32:]}"
+    buckets = min(conf_int(spark, "spark.sql.shuffle.partitions", 200), conf_int(spark, "spark.sql.sources.bucketing.maxBuckets", 100_000))
+    df.write.format("parquet").bucketBy(buckets, key).option("path", path).saveAsTable(name)
     out = spark.table(name)
     out.schema  # resolved before the name goes; an external table's files stay
     spark.sql(f"DROP TABLE {name}")
