@@ -17,7 +17,7 @@ import tiktoken
 import xxhash
 from pyspark.sql import functions as F
 
-from lyrebird.llm import bpe, catalogue, components, decontaminate, hnsw, html, licenses, quality, sharding, simhash, tokencount, urls
+from lyrebird.llm import bpe, catalogue, common, components, decontaminate, hnsw, html, licenses, quality, sharding, simhash, tokencount, urls
 
 DIR = "/root/testdata/sf0.001"
 needs_data = pytest.mark.skipif(not os.path.isdir(DIR), reason="no test data")
@@ -741,7 +741,8 @@ def test_pipeline_edges(spark, tmp_path):
         for _, stage in corpus_pipeline.STAGES[:-1]:
             out = stage(spark, docs, d)
             assert out.columns == docs.columns
-        ids = sorted((r.doc_id for r in corpus_pipeline.run(spark, d).collect()), key=str)
+            docs = common.settle(out)
+        ids = sorted((r.doc_id for r in corpus_pipeline.STAGES[-1][1](spark, docs, d).collect()), key=str)
         # The null and the empty text are one group of near-duplicates, of which the least id stays; 7 holds the benchmark.
         assert ids == (sorted([None, *(i for i in range(60) if i != 7), 90, 92], key=str) if part else [])
 
