@@ -10,11 +10,15 @@ IGNORED = -100
 
 def append_eos(ids: Column, eos: int) -> Column:
     """ids with the end mark, once."""
-    return F.when((F.size(ids) > 0) & (F.try_element_at(ids, F.lit(-1)) == eos), ids).otherwise(F.concat(ids, F.array(F.lit(eos).cast("int"))))
+    return F.when(
+        (F.size(ids) > 0) & (F.try_element_at(ids, F.lit(-1)) == eos), ids,
+    ).otherwise(F.concat(ids, F.array(F.lit(eos).cast("int"))))
 
 
 def strip_eos(ids: Column, eos: int) -> Column:
-    return F.when((F.size(ids) > 0) & (F.try_element_at(ids, F.lit(-1)) == eos), F.slice(ids, 1, F.size(ids) - 1)).otherwise(ids)
+    return F.when(
+        (F.size(ids) > 0) & (F.try_element_at(ids, F.lit(-1)) == eos), F.slice(ids, 1, F.size(ids) - 1),
+    ).otherwise(ids)
 
 
 def decoder_target(ids: Column, suffix: list[int], eos: int) -> Column:
@@ -33,7 +37,10 @@ def pad(ids: Column, size: Column, value: int = 0) -> Column:
 
 def count_matches(items: Column, pattern: Column) -> Column:
     """Overlapping occurrences of a pattern."""
-    places = F.when((F.size(pattern) > 0) & (F.size(items) >= F.size(pattern)), F.sequence(F.lit(1), F.size(items) - F.size(pattern) + 1)).otherwise(F.array().cast("array<int>"))
+    places = F.when(
+        (F.size(pattern) > 0) & (F.size(items) >= F.size(pattern)),
+        F.sequence(F.lit(1), F.size(items) - F.size(pattern) + 1),
+    ).otherwise(F.array().cast("array<int>"))
     return F.size(F.filter(places, lambda i: F.slice(items, i, F.size(pattern)) == pattern))
 
 
@@ -65,5 +72,9 @@ def top_tokens(scores: Column, k: int, blank: int | None = None) -> Column:
 
 def collapse_runs(ids: Column, blank: Column) -> Column:
     """Greedy decoding: drop blanks and what repeats the item just before it."""
-    kept = F.filter(F.transform(ids, lambda x, i: F.struct(x.alias("x"), (x.eqNullSafe(F.get(ids, i - 1)) & (i > 0)).alias("again"))), lambda s: (s["x"] != blank) & ~s["again"])
+    kept = F.filter(
+        F.transform(
+            ids, lambda x, i: F.struct(x.alias("x"), (x.eqNullSafe(F.get(ids, i - 1)) & (i > 0)).alias("again"))
+        ), lambda s: (s["x"] != blank) & ~s["again"]
+    )
     return F.transform(kept, lambda s: s["x"])

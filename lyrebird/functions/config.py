@@ -32,7 +32,10 @@ def fits_in_memory(path: str, limit: int = IN_MEMORY) -> bool:
 def check_index(document: dict, rule: HashSplit) -> None:
     """An index is usable only for the rule it was made with. Older ones do not say how they were split: by sample."""
     # The fields of an index's split, and what a missing one means.
-    fields = {"split_by": (rule.by, BY_SAMPLE), "eval_ratio": (rule.share, 0.0), "hash_seed": (rule.seed, 0), "utt_id_key": (rule.id_field, ID_FIELD)}
+    fields = {
+        "split_by": (rule.by, BY_SAMPLE), "eval_ratio": (rule.share, 0.0), "hash_seed": (rule.seed, 0),
+        "utt_id_key": (rule.id_field, ID_FIELD),
+    }
     for name, (asked, missing) in fields.items():
         if (made := document.get("split", {}).get(name, missing)) != asked:
             raise ValueError(f"the index was made with {name}={made!r}, asked for is {asked!r}")
@@ -42,7 +45,10 @@ def split_count(document: dict, split: str) -> int:
     return int(document["num_samples"] if split == "all" else document["splits"][split]["num_samples"])
 
 
-def vocab_size(tokenizer: Tokenizer, configured: int | None = None, decoder: int | None = None, append_eos: bool = False, strict: bool = False) -> int:
+def vocab_size(
+    tokenizer: Tokenizer, configured: int | None = None, decoder: int | None = None, append_eos: bool = False,
+    strict: bool = False,
+) -> int:
     """The configured size, checked against the decoder's and, if ``strict``, the tokenizer's; else the decoder's or the tokenizer's."""
     if append_eos and eos_of(tokenizer) is None:
         raise ValueError("the tokenizer has no end mark to append")
@@ -53,7 +59,9 @@ def vocab_size(tokenizer: Tokenizer, configured: int | None = None, decoder: int
     return configured or decoder or tokenizer.vocab_size
 
 
-def prompt_ids(tokenizer: Tokenizer, before: str = "", after: str = "", suffix: str = "") -> tuple[tuple[int, ...], ...]:
+def prompt_ids(
+    tokenizer: Tokenizer, before: str = "", after: str = "", suffix: str = "",
+) -> tuple[tuple[int, ...], ...]:
     return tuple(tuple(tokenizer.encode(x)) if x else () for x in (before, after, suffix))
 
 
@@ -71,7 +79,9 @@ def progress_total(document: dict | None, rule: HashSplit, split: str) -> int |
         return None
 
 
-def loader(root: str, buckets: str | None = None, lengths: str | None = None, limit: int = IN_MEMORY) -> tuple[str, str | None]:
+def loader(
+    root: str, buckets: str | None = None, lengths: str | None = None, limit: int = IN_MEMORY,
+) -> tuple[str, str | None]:
     """What a folder of shards is read by, and the file it takes: a bucket manifest if there is one, else a length index
     that fits into memory, else the shards themselves. A file that was named must be there."""
     for kind, given in (("buckets", buckets), ("lengths", lengths)):

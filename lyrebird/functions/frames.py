@@ -8,16 +8,22 @@ from pyspark.sql import functions as F
 DURATION_BOUNDS = (5.0, 10.0, 15.0, 20.0)
 
 
-def infer_frames(num_frames: Column, begin: Column, end: Column, duration: Column, num_samples: Column, sample_rate: Column) -> Column:
+def infer_frames(
+    num_frames: Column, begin: Column, end: Column, duration: Column, num_samples: Column, sample_rate: Column,
+) -> Column:
     """Frames of 10 ms: a positive num_frames, else of the first time given: begin and end, duration, samples over
     rate. Halves round to even, one frame at least. A time given that is not positive, or none, is an error."""
     seconds = (
         F.when(begin.isNotNull() & end.isNotNull(), end.cast("double") - begin.cast("double"))
         .when(duration.isNotNull(), duration.cast("double"))
-        .when(num_samples.isNotNull() & sample_rate.isNotNull(), num_samples.cast("double") / sample_rate.cast("double"))
+        .when(
+            num_samples.isNotNull() & sample_rate.isNotNull(), num_samples.cast("double") / sample_rate.cast("double"),
+        )
     )
     whole = F.when(num_frames.isNotNull(), num_frames.cast("long"))
-    return F.when(whole > 0, whole).when(seconds > 0, frames_of(seconds)).otherwise(F.raise_error(F.lit("no length can be inferred from the metadata")).cast("long"))
+    return F.when(whole > 0, whole).when(seconds > 0, frames_of(seconds)).otherwise(
+        F.raise_error(F.lit("no length can be inferred from the metadata")).cast("long")
+    )
 
 
 def frames_of(seconds: Column) -> Column:
@@ -77,8 +83,12 @@ def memory_token_budget(tokens: Column, peak_bytes: Column, target_gib: float) -
     if target_gib <= 0:
         return F.lit(0).cast("long")
     target = int(target_gib * 1024**3)
-    scaled = F.floor(tokens.cast("decimal(20,0)") * F.lit(target).cast("decimal(18,0)") / peak_bytes.cast("decimal(20,0)")).cast("long")
-    return F.when((tokens > 0) & (peak_bytes > 0), F.greatest(F.lit(1).cast("long"), scaled)).otherwise(F.lit(0).cast("long"))
+    scaled = F.floor(
+        tokens.cast("decimal(20,0)") * F.lit(target).cast("decimal(18,0)") / peak_bytes.cast("decimal(20,0)")
+    ).cast("long")
+    return F.when(
+        (tokens > 0) & (peak_bytes > 0), F.greatest(F.lit(1).cast("long"), scaled),
+    ).otherwise(F.lit(0).cast("long"))
 
 
 def format_bytes(n: Column) -> Column:
@@ -95,14 +105,18 @@ def format_eta(elapsed: Column, completed: Column, total: Column) -> Column:
     per_second = completed / F.greatest(elapsed, F.lit(1e-6))
     left = (total - completed) / F.greatest(per_second, F.lit(1e-6))
     shown = (
-        F.when(left < 60, F.format_string("%.0fs", F.rint(left))).when(left < 3600, F.format_string("%.1fm", F.bround(left / 60, 1)))
+        F.when(left < 60, F.format_string("%.0fs", F.rint(left))).when(
+            left < 3600, F.format_string("%.1fm", F.bround(left / 60, 1)),
+        )
         .otherwise(F.format_string("%.1fh", F.bround(left / 3600, 1)))
     )
     return F.when(total.isNull() | (completed <= 0) | (completed >= total), "n/a").otherwise(shown)
 
 
 def format_number(x: Column, digits: int = 4) -> Column:
-    return F.coalesce(F.format_string(f"%.{digits}f", F.bround(x, digits)), F.lit("n/a")) if digits else F.coalesce(F.rint(x).cast("long").cast("string"), F.lit("n/a"))
+    return F.coalesce(
+        F.format_string(f"%.{digits}f", F.bround(x, digits)), F.lit("n/a"),
+    ) if digits else F.coalesce(F.rint(x).cast("long").cast("string"), F.lit("n/a"))
 
 
 def ramp(step: Column, start: int, end: int, low: float, high: float) -> Column:

@@ -32,10 +32,18 @@ def edit_distance(a: Column, b: Column) -> Column:
     """Edits between two arrays of strings. Each distinct item of the pair becomes a private code point, so that
     Spark's own levenshtein does the work. There are ``MOST_ITEMS`` of them below the surrogates; more distinct items are an error."""
     names = F.array_distinct(F.concat(a, b))
-    names = F.when(F.size(names) > MOST_ITEMS, F.raise_error(F.lit("too many distinct items for an edit distance")).cast("array<string>")).otherwise(names)
+    names = F.when(
+        F.size(names) > MOST_ITEMS,
+        F.raise_error(F.lit("too many distinct items for an edit distance")).cast("array<string>"),
+    ).otherwise(names)
 
     def spelt(x: Column) -> Column:
-        return F.array_join(F.transform(x, lambda t: F.decode(F.unhex(F.lpad(F.hex(F.array_position(names, t) + 255), 4, "0")), "UTF-16BE")), "")
+        return F.array_join(
+            F.transform(
+                x, lambda t: F.decode(F.unhex(F.lpad(F.hex(F.array_position(names, t) + 255), 4, "0")), "UTF-16BE")
+            ),
+            "",
+        )
 
     return F.levenshtein(spelt(a), spelt(b))
 
@@ -43,7 +51,9 @@ def edit_distance(a: Column, b: Column) -> Column:
 def nearest_rank(values: Column, q: float) -> Column:
     """The value at place round_half_even((n - 1) q) of a sorted array; 0 for an empty one."""
     place = F.rint((F.size(values) - 1) * q).cast("int")
-    return F.when(F.size(values) == 0, F.lit(0.0)).otherwise(F.get(values, F.least(F.greatest(place, F.lit(0)), F.size(values) - 1)).cast("double"))
+    return F.when(F.size(values) == 0, F.lit(0.0)).otherwise(
+        F.get(values, F.least(F.greatest(place, F.lit(0)), F.size(values) - 1)).cast("double")
+    )
 
 
 def rate(errors: Column, total: Column) -> Column:

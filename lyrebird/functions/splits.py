@@ -22,7 +22,10 @@ class HashSplit:
     """``share`` of the keys fall on the second of ``sides``. A key is a sample's id or its shard's name, so that samples of
     a shard stay together. Equal shares, seeds and keys give equal sides on any engine."""
 
-    def __init__(self, share: float = 0.01, seed: int = 0, by: str = BY_SHARD, sides: tuple[str, str] = SIDES, id_field: str = ID_FIELD):
+    def __init__(
+        self, share: float = 0.01, seed: int = 0, by: str = BY_SHARD, sides: tuple[str, str] = SIDES,
+        id_field: str = ID_FIELD,
+    ):
         wrong = {
             f"share {share} is not from 0 to below 1": not 0 <= share < 1,
             f"sides {sides} are not two different names": len(set(filter(None, sides))) != 2,

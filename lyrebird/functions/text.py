@@ -45,7 +45,9 @@ def _english(s: str | None) -> str | None:
 def _chinese(s: str | None) -> str | None:
     if s is None:
         return None
-    return "".join(c for c in "".join(unicodedata.normalize("NFKC", s).split()) if not unicodedata.category(c).startswith("P"))
+    return "".join(
+        c for c in "".join(unicodedata.normalize("NFKC", s).split()) if not unicodedata.category(c).startswith("P")
+    )
 
 
 def _mapped(f: Callable[[str | None], str | None]) -> Callable[[Column], Column]:
@@ -79,7 +81,9 @@ def hotword(line: Column, default_weight: float) -> Column:
     weight = F.regexp_extract(s, "(?s)^(.*)\\t([^\\t]*)$", 2).try_cast("double")
     plain = F.struct(s.alias("text"), F.lit(float(default_weight)).alias("weight"))
     parsed = F.when(weight.isNull(), plain).otherwise(F.struct(name.alias("text"), weight.alias("weight")))
-    return F.when((s == "") | s.startswith("#"), None).when(~s.contains("\t"), plain).when(name == "", None).otherwise(parsed)
+    return F.when(
+        (s == "") | s.startswith("#"), None,
+    ).when(~s.contains("\t"), plain).when(name == "", None).otherwise(parsed)
 
 
 def key_values(text: Column, signed: bool = True) -> Column:
@@ -87,8 +91,14 @@ def key_values(text: Column, signed: bool = True) -> Column:
     pattern = "([a-zA-Z0-9_]+)=(-?[0-9.]+)" if signed else "([a-zA-Z0-9_]+)=([0-9.]+)"
     keys = F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
     values = F.regexp_extract_all(text, F.lit(pattern), F.lit(2))
-    last = F.filter(F.arrays_zip(keys.alias("k"), values.alias("v"), F.sequence(F.lit(1), F.size(keys)).alias("i")), lambda x: F.size(F.filter(F.slice(keys, x["i"] + 1, F.size(keys)), lambda y: y == x["k"])) == 0)
-    return F.when(F.size(keys) > 0, F.map_from_entries(F.transform(last, lambda x: F.struct(x["k"], x["v"].try_cast("double"))))).otherwise(F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<double>")))
+    last = F.filter(
+        F.arrays_zip(
+            keys.alias("k"), values.alias("v"), F.sequence(F.lit(1), F.size(keys)).alias("i"),
+        ), lambda x: F.size(F.filter(F.slice(keys, x["i"] + 1, F.size(keys)), lambda y: y == x["k"])) == 0
+    )
+    return F.when(
+        F.size(keys) > 0, F.map_from_entries(F.transform(last, lambda x: F.struct(x["k"], x["v"].try_cast("double")))),
+    ).otherwise(F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<double>")))
 
 
 def language_code(name: Column) -> Column:
@@ -98,4 +108,6 @@ def language_code(name: Column) -> Column:
 def step_number(path: Column) -> Column:
     """The last number of a file stem step-...-N, -1 if there is none."""
     stem = F.regexp_replace(F.regexp_replace(path, "^.*/", ""), "\\.[^.]*$", "")
-    return F.coalesce(F.nullif(F.regexp_extract(stem, "^step-(?:.*-)?([0-9]+)$", 1), F.lit("")).cast("long"), F.lit(-1).cast("long"))
+    return F.coalesce(
+        F.nullif(F.regexp_extract(stem, "^step-(?:.*-)?([0-9]+)$", 1), F.lit("")).cast("long"), F.lit(-1).cast("long"),
+    )

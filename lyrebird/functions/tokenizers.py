@@ -30,7 +30,9 @@ class ByteTrie:
         self.tokens: dict[int, bytes] = {}
         for line in lines:
             if line.strip():
-                number, literal, size = line[: line.index(" ")], line[line.index(" ") : line.rindex(" ")], line[line.rindex(" ") :]
+                number, literal, size = line[: line.index(" ")], line[
+                    line.index(" ") : line.rindex(" ")
+                ], line[line.rindex(" ") :]
                 value = ast.literal_eval(literal.strip())
                 value = value.encode() if isinstance(value, str) else value
                 if len(value) != int(size):
@@ -111,7 +113,10 @@ def _trie(path: str) -> Tokenizer:
 
 
 #: The names that tokenizers go by.
-REGISTRY: dict[str, Callable[[str], Tokenizer]] = {"sentencepiece": _pieces, "spm": _pieces, "hf": _json, "huggingface": _json, "qwen": _json, "whisper": _ranks, "tiktoken": _ranks, "byte_trie": _trie, "trie": _trie}
+REGISTRY: dict[str, Callable[[str], Tokenizer]] = {
+    "sentencepiece": _pieces, "spm": _pieces, "hf": _json, "huggingface": _json, "qwen": _json, "whisper": _ranks,
+    "tiktoken": _ranks, "byte_trie": _trie, "trie": _trie,
+}
 
 
 def build(kind: str, path: str | None) -> Tokenizer:

@@ -29,10 +29,17 @@ def greedy(scores: Column, blank: int) -> Column:
 def greedy_runs(frames: DataFrame, group: list[str], order: list[Column], token: str) -> DataFrame:
     """(group, run, token, start, end): spans of equal neighbouring tokens, by places from 0."""
     w = Window.partitionBy(*group).orderBy(*order)
-    marked = frames.select(*group, F.col(token).alias("token"), (F.row_number().over(w) - 1).alias("__at"), F.lag(token).over(w).alias("__last"))
-    starts = marked.withColumn("__new", (~F.col("token").eqNullSafe(F.col("__last")) | (F.col("__at") == 0)).cast("int"))
+    marked = frames.select(
+        *group, F.col(token).alias("token"), (F.row_number().over(w) - 1).alias("__at"),
+        F.lag(token).over(w).alias("__last"),
+    )
+    starts = marked.withColumn(
+        "__new", (~F.col("token").eqNullSafe(F.col("__last")) | (F.col("__at") == 0)).cast("int"),
+    )
     run = F.sum("__new").over(Window.partitionBy(*group).orderBy("__at")) - 1
-    return starts.withColumn("run", run).groupBy(*group, "run").agg(F.first("token").alias("token"), F.min("__at").alias("start"), F.max("__at").alias("end"))
+    return starts.withColumn("run", run).groupBy(*group, "run").agg(
+        F.first("token").alias("token"), F.min("__at").alias("start"), F.max("__at").alias("end"),
+    )
 
 
 class Prefixes:
@@ -58,7 +65,10 @@ class Prefixes:
 class Bonus:
     """Length, insertion and hotword bonuses of a prefix."""
 
-    def __init__(self, length: float = 0.0, insertion: float = 0.0, hotwords: list[tuple[tuple[int, ...], float]] = (), scale: float = 0.0):
+    def __init__(
+        self, length: float = 0.0, insertion: float = 0.0, hotwords: list[tuple[tuple[int, ...], float]] = (),
+        scale: float = 0.0,
+    ):
         self.per, self.hotwords, self.scale, self.known = length + insertion, list(hotwords), scale, {}
 
     def __call__(self, prefix: tuple[int, ...]) -> float:
@@ -70,12 +80,23 @@ class Bonus:
                 k = len(words)
                 full += weight * sum(prefix[i : i + k] == words for i in range(len(prefix) - k + 1))
                 if self.scale > 0:
-                    part = max([part, *(weight * self.scale * j / k for j in range(1, min(len(prefix), k - 1) + 1) if prefix[-j:] == words[:j])])
+                    part = max(
+                        [
+                            part,
+                            *(
+                                weight * self.scale * j / k for j in range(
+                                    1, min(len(prefix), k - 1) + 1,
+                                ) if prefix[-j:] == words[:j]
+                            )
+                        ]
+                    )
             self.known[prefix] = full + part
         return self.per * len(prefix) + self.known[prefix]
 
 
-def prefix_beam(log_p: np.ndarray, blank: int, beam: int, top: int | None = None, bonus: Bonus | None = None) -> list[tuple[tuple[int, ...], float, float, float]]:
+def prefix_beam(
+    log_p: np.ndarray, blank: int, beam: int, top: int | None = None, bonus: Bonus | None = None,
+) -> list[tuple[tuple[int, ...], float, float, float]]:
     """(tokens, score, blank score, other score), best first; the score holds the bonuses. Of equal scores the prefix comes
     first that is reached first, going through prefixes in the order of the beam and for each through the frame's tokens.
 
@@ -97,7 +118,9 @@ def prefix_beam(log_p: np.ndarray, blank: int, beam: int, top: int | None = None
         grown = np.where(tokens == last[:, None], ends[:, :1], whole[:, None]) + frame[tokens]
         # When each is reached; a prefix is held before it grows by its last token again.
         reached = np.arange(len(nodes))[:, None] * len(tokens) + np.arange(len(tokens)) + 0.5 * (tokens == last[:, None])
-        kept = np.array([i * len(tokens) + min(at[blank], at.get(t, len(tokens))) for i, t in enumerate(last.tolist())], float)
+        kept = np.array(
+            [i * len(tokens) + min(at[blank], at.get(t, len(tokens))) for i, t in enumerate(last.tolist())], float,
+        )
         free = np.ones(grown.shape, bool)
         free[:, at[blank]] = False
         row = {n: i for i, n in enumerate(nodes)}
@@ -112,9 +135,13 @@ def prefix_beam(log_p: np.ndarray, blank: int, beam: int, top: int | None = None
         ranks = np.logaddexp(ends[:, 0], ends[:, 1])
         if bonus:
             prefixes = [tree.tokens(n) for n in nodes]
-            ranks = ranks + np.array([bonus(p) for p in prefixes] + [bonus((*prefixes[i], int(tokens[k]))) for i, k in zip(from_, by)])
+            ranks = ranks + np.array(
+                [bonus(p) for p in prefixes] + [bonus((*prefixes[i], int(tokens[k]))) for i, k in zip(from_, by)]
+            )
         best = np.lexsort((np.concatenate([kept, reached[from_, by]]), -ranks))[: max(1, beam)]
-        new = lambda c: nodes[c] if c < len(nodes) else tree.longer(nodes[from_[c - len(nodes)]], int(tokens[by[c - len(nodes)]]))
+        new = lambda c: nodes[c] if c < len(nodes) else tree.longer(
+            nodes[from_[c - len(nodes)]], int(tokens[by[c - len(nodes)]]),
+        )
         nodes, ends, ranks = [new(c) for c in best.tolist()], ends[best], ranks[best]
     return [(tree.tokens(n), float(r), float(b), float(t)) for n, r, (b, t) in zip(nodes, ranks, ends)]
 
@@ -165,14 +192,23 @@ def _soft(frames) -> np.ndarray:
     return (x - np.log(np.exp(x).sum(1, keepdims=True))).astype(np.float32).astype(np.float64)
 
 
-def beam_search(rows: DataFrame, scores: str, blank: int = 0, beam: int = 8, top: int | None = None, name: str = "hypotheses", **bonus) -> DataFrame:
+def beam_search(
+    rows: DataFrame, scores: str, blank: int = 0, beam: int = 8, top: int | None = None, name: str = "hypotheses",
+    **bonus
+) -> DataFrame:
     """Rows with their hypotheses, best first, from arrays of frames of raw scores."""
 
     @F.pandas_udf(HYPOTHESES)
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in batches:
             extra = Bonus(**bonus)
-            yield s.map(lambda frames: [{"token_ids": list(k), "score": v, "blank_score": b, "non_blank_score": n} for k, v, b, n in prefix_beam(_soft(frames), blank, beam, top, extra)])
+            yield s.map(
+                lambda frames: [
+                    {
+                        "token_ids": list(k), "score": v, "blank_score": b, "non_blank_score": n,
+                    } for k, v, b, n in prefix_beam(_soft(frames), blank, beam, top, extra)
+                ]
+            )
 
     return rows.withColumn(name, run(F.col(scores)))
 
@@ -182,7 +218,13 @@ def forced_alignment(rows: DataFrame, scores: str, ids: str, blank: int = 0, nam
 
     @F.pandas_udf("array<struct<start:int,end:int>>")
     def run(frames: pd.Series, tokens: pd.Series) -> pd.Series:
-        return pd.Series([[{"start": a, "end": b} for a, b in align(_soft(f), [int(x) for x in t], blank)] for f, t in zip(frames, tokens)])
+        return pd.Series(
+            [
+                [
+                    {"start": a, "end": b} for a, b in align(_soft(f), [int(x) for x in t], blank)
+                ] for f, t in zip(frames, tokens)
+            ]
+        )
 
     return rows.withColumn(name, run(F.col(scores), F.col(ids)))
 
@@ -193,7 +235,11 @@ def token_alignments(spans: Column, ids: Column, frontend: str = "conv2d6", shif
     def entry(s: Column, t: Column) -> Column:
         first, last = frame_span(s["start"], s["end"], frontend)
         start, end = span_ms(first, last, shift)
-        return F.struct(t.cast("int").alias("token_id"), s["start"].alias("start_encoder_t"), s["end"].alias("end_encoder_t"), first.cast("int").alias("start_frame"), last.cast("int").alias("end_frame"), start.cast("double").alias("start_ms"), end.cast("double").alias("end_ms"))
+        return F.struct(
+            t.cast("int").alias("token_id"), s["start"].alias("start_encoder_t"), s["end"].alias("end_encoder_t"),
+            first.cast("int").alias("start_frame"), last.cast("int").alias("end_frame"),
+            start.cast("double").alias("start_ms"), end.cast("double").alias("end_ms"),
+        )
 
     return F.zip_with(spans, ids, entry)
 
@@ -202,19 +248,28 @@ def debug_stats(scores: Column, blank: int) -> tuple[Column, Column]:
     """Share of frames whose best token is blank, and the mean probability of blank; 0 without frames."""
     top = F.transform(scores, lambda f: (argmax(f) == blank).cast("double"))
     prob = F.transform(scores, lambda f: F.exp(log_softmax(f)[blank]))
-    mean = lambda a: F.when(F.size(a) > 0, F.aggregate(a, F.lit(0.0), lambda s, x: s + x) / F.size(a)).otherwise(F.lit(0.0))
+    mean = lambda a: F.when(
+        F.size(a) > 0, F.aggregate(a, F.lit(0.0), lambda s, x: s + x) / F.size(a),
+    ).otherwise(F.lit(0.0))
     return mean(top), mean(prob)
 
 
-def rescore(candidates: DataFrame, group: list[str], order: str, ctc: str, length: str, decoder: str, weight: float, top: int) -> DataFrame:
+def rescore(
+    candidates: DataFrame, group: list[str], order: str, ctc: str, length: str, decoder: str, weight: float, top: int,
+) -> DataFrame:
     """Of each group's first ``top`` candidates the best by ctc / length + weight x decoder; the first of equals."""
-    ranked = candidates.withColumn("__n", F.row_number().over(Window.partitionBy(*group).orderBy(order))).where(F.col("__n") <= max(1, top))
+    ranked = candidates.withColumn(
+        "__n", F.row_number().over(Window.partitionBy(*group).orderBy(order)),
+    ).where(F.col("__n") <= max(1, top))
     score = F.col(ctc) / F.greatest(F.lit(1), F.col(length)) + weight * F.col(decoder)
     best = F.row_number().over(Window.partitionBy(*group).orderBy(F.col("combined_score").desc(), "__n"))
     return ranked.withColumn("combined_score", score).withColumn("__b", best).where("__b = 1").drop("__b", "__n")
 
 
-def predictions(rows: DataFrame, scores: str, blank: int = 0, beam: int = 8, top: int | None = None, reference: str | None = None, limit: int | None = None, order: str = "utt_id", eos: int | None = None, **bonus) -> DataFrame:
+def predictions(
+    rows: DataFrame, scores: str, blank: int = 0, beam: int = 8, top: int | None = None, reference: str | None = None,
+    limit: int | None = None, order: str = "utt_id", eos: int | None = None, **bonus
+) -> DataFrame:
     """(utt_id, pred_token_ids, ref_token_ids, score, debug): the best hypothesis of each row, of the first ``limit`` rows in
     order if one is given. With references their trailing end mark, if any, is left out, and counts stand in debug."""
     if limit is not None and limit < 1:
@@ -230,4 +285,7 @@ def predictions(rows: DataFrame, scores: str, blank: int = 0, beam: int = 8, top
         F.size(scores).alias("logit_length"), F.size(best["token_ids"]).alias("pred_token_count"), F.when(ref.isNotNull(), F.size(ref)).alias("ref_token_count"),
         top_share.alias("blank_top1_ratio"), mean.alias("avg_blank_prob"),
     )
-    return found.select("utt_id", best["token_ids"].alias("pred_token_ids"), ref.alias("ref_token_ids"), best["score"].alias("score"), debug.alias("debug"))
+    return found.select(
+        "utt_id", best["token_ids"].alias("pred_token_ids"), ref.alias("ref_token_ids"), best["score"].alias("score"),
+        debug.alias("debug"),
+    )

@@ -17,7 +17,9 @@ def trend(rows: DataFrame, group: list[str], step: str, loss: str) -> DataFrame:
     w = Window.partitionBy(*group).orderBy(step)
     upto = w.rowsBetween(Window.unboundedPreceding, 0)
     best = F.min(F.struct(F.coalesce(F.col(loss), F.lit(float("inf"))).alias("l"), F.col(step).alias("s"))).over(upto)
-    return rows.withColumns({"prev_step": F.lag(step).over(w), "prev_loss": F.lag(loss).over(w), "__best": best}).withColumns({"best_loss": F.col("__best.l"), "best_step": F.col("__best.s")}).drop("__best")
+    return rows.withColumns(
+        {"prev_step": F.lag(step).over(w), "prev_loss": F.lag(loss).over(w), "__best": best}
+    ).withColumns({"best_loss": F.col("__best.l"), "best_step": F.col("__best.s")}).drop("__best")
 
 
 def eval_class(loss: Column, prev: Column, best: Column) -> Column:
@@ -38,7 +40,9 @@ def ctc_preview_class(blank: Column, ratio: Column, collapsed: Column) -> Column
 
 def ar_preview_class(ratio: Column, collapsed: Column, eos: Column) -> Column:
     return (
-        F.when(ratio.isNull(), "unavailable").when((F.coalesce(collapsed, F.lit(0.0)) >= 0.5) | (ratio <= 0.35), "collapsing")
+        F.when(ratio.isNull(), "unavailable").when(
+            (F.coalesce(collapsed, F.lit(0.0)) >= 0.5) | (ratio <= 0.35), "collapsing",
+        )
         .when(eos < 0.5, "no EOS").when((ratio >= 0.65) & (ratio <= 1.35), "reasonable").otherwise("biased")
     )
 
@@ -47,18 +51,29 @@ def overall_class(loss: Column, prev: Column, best: Column, blank: Column) -> Co
     calm = blank.isNull() | (blank <= 0.9)
     return (
         F.when(loss.isNull(), "comment-only").when((F.abs(loss - best) <= 1e-8) & calm, "reasonable-best")
-        .when(prev.isNotNull() & (loss <= prev + 0.10) & calm, "reasonable").when(prev.isNotNull() & (loss > prev + 0.15), "needs-attention").otherwise("reasonable-with-noise")
+        .when(
+            prev.isNotNull() & (loss <= prev + 0.10) & calm, "reasonable",
+        ).when(prev.isNotNull() & (loss > prev + 0.15), "needs-attention").otherwise("reasonable-with-noise")
     )
 
 
 def sample_comment(ctc_error: Column, ar_error: Column, ctc_ratio: Column, ar_ratio: Column, eos: Column) -> Column:
     """A note on two decodings of one sample. The phrases are fixed values."""
     closer = (
-        F.when(ctc_error.isNull() & ar_error.isNull(), "token error unavailable").when(ar_error.isNull(), "only CTC token error available").when(ctc_error.isNull(), "only AR token error available")
-        .when(ctc_error + 1e-9 < ar_error, "CTC closer on token edit distance").when(ar_error + 1e-9 < ctc_error, "AR closer on token edit distance").otherwise("CTC and AR tie on token edit distance")
+        F.when(
+            ctc_error.isNull() & ar_error.isNull(), "token error unavailable",
+        ).when(ar_error.isNull(), "only CTC token error available").when(ctc_error.isNull(), "only AR token error available")
+        .when(
+            ctc_error + 1e-9 < ar_error, "CTC closer on token edit distance",
+        ).when(ar_error + 1e-9 < ctc_error, "AR closer on token edit distance").otherwise("CTC and AR tie on token edit distance")
     )
     length = lambda name, r: F.when(r <= 0.5, f"{name} is short").when(r >= 1.5, f"{name} is long")
-    return F.concat(F.concat_ws("; ", closer, length("CTC", ctc_ratio), length("AR", ar_ratio), F.when(~eos, "AR did not emit EOS")), F.lit("."))
+    return F.concat(
+        F.concat_ws(
+            "; ", closer, length("CTC", ctc_ratio), length("AR", ar_ratio), F.when(~eos, "AR did not emit EOS"),
+        ),
+        F.lit("."),
+    )
 
 
 def prune(saved: DataFrame, retained: DataFrame, path: str) -> DataFrame:
@@ -74,7 +89,10 @@ def retained(records: DataFrame, kept: DataFrame, path: str, folder: str) -> Dat
     return by_path.select(*records.columns).unionByName(rest.select(*records.columns))
 
 
-def pending(checkpoints: DataFrame, evaluated: DataFrame, path: str, modified: str, stable_seconds: float, now: Column | None = None, newest_only: bool = False, step: str = "step") -> DataFrame:
+def pending(
+    checkpoints: DataFrame, evaluated: DataFrame, path: str, modified: str, stable_seconds: float,
+    now: Column | None = None, newest_only: bool = False, step: str = "step",
+) -> DataFrame:
     """Checkpoints not evaluated yet whose file has been at rest; the newest of them, if asked."""
     age = (now if now is not None else F.current_timestamp()).cast("double") - F.col(modified).cast("double")
     open_ = checkpoints.join(evaluated.select(path), path, "left_anti").where(age >= max(0.0, stable_seconds))
@@ -85,13 +103,17 @@ def best_epoch(epochs: DataFrame, order: str, train: str, evaluation: str) -> Da
     """Epochs with their selection metric (evaluation loss unless NaN or missing, then training loss) and whether they are
     the best so far among epochs with the same kind of metric; earlier ones win ties."""
     missing = F.col(evaluation).isNull() | F.isnan(evaluation)
-    named = epochs.withColumn("selection_metric_name", F.when(missing, "train_loss").otherwise("eval_loss")).withColumn("selection_metric", F.when(missing, F.col(train)).otherwise(F.col(evaluation)))
+    named = epochs.withColumn("selection_metric_name", F.when(missing, "train_loss").otherwise("eval_loss")).withColumn(
+        "selection_metric", F.when(missing, F.col(train)).otherwise(F.col(evaluation)),
+    )
     before = Window.partitionBy("selection_metric_name").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     earlier = F.min("selection_metric").over(before)
     return named.withColumn("is_best", earlier.isNull() | (F.col("selection_metric") < earlier))
 
 
-def resolve_max_steps(max_steps: int | None, epochs: int | None, steps_per_epoch: int | None, default: int = 100) -> int:
+def resolve_max_steps(
+    max_steps: int | None, epochs: int | None, steps_per_epoch: int | None, default: int = 100,
+) -> int:
     if max_steps is not None and epochs is not None:
         raise ValueError("give max_steps or epochs, not both")
     if max_steps is not None:

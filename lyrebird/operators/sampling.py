@@ -27,11 +27,15 @@ def drop_remainder(rows: DataFrame, place: str, total: Column, world: int) -> Da
 
 def first_of(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
     """Of rows with equal keys the first in order."""
-    return rows.withColumn("__n", F.row_number().over(Window.partitionBy(*keys).orderBy(order))).where("__n = 1").drop("__n")
+    return rows.withColumn(
+        "__n", F.row_number().over(Window.partitionBy(*keys).orderBy(order)),
+    ).where("__n = 1").drop("__n")
 
 
 def zip_rows(a: DataFrame, b: DataFrame, order: str) -> DataFrame:
     """Rows of equal place side by side; different numbers of rows are an error, found when the result is computed."""
-    whole = F.when(F.col("__a").isNull() | F.col("__b").isNull(), F.raise_error(F.lit("the two sides differ in length"))).otherwise(F.lit(True))
+    whole = F.when(
+        F.col("__a").isNull() | F.col("__b").isNull(), F.raise_error(F.lit("the two sides differ in length")),
+    ).otherwise(F.lit(True))
     marked = a.withColumn("__a", F.lit(1)).join(b.withColumn("__b", F.lit(1)), order, "full_outer")
     return marked.where(whole).drop("__a", "__b")

@@ -48,7 +48,9 @@ def q_split_assign(spark, d):
 
 @query(f"SELECT doc_id, source, {_split_sql('source')} AS split FROM documents")
 def q_split_by_shard(spark, d):
-    return index.with_split(read(spark, d, "documents"), BY_SHARD, "doc_id", "source").select("doc_id", "source", "split")
+    return index.with_split(
+        read(spark, d, "documents"), BY_SHARD, "doc_id", "source",
+    ).select("doc_id", "source", "split")
 
 
 @query(f"""SELECT source, count(*) AS num_samples, count(*) FILTER (split = 'train') AS num_train, count(*) FILTER (split = 'eval') AS num_eval, {_split_sql('source')} AS assigned_split
@@ -57,21 +59,35 @@ def q_split_index(spark, d):
     return index.split_counts(index.with_split(read(spark, d, "documents"), RULE, "doc_id", "source"), "source", RULE)
 
 
-@query(f"WITH s AS (SELECT {_split_sql('doc_id')} AS split FROM documents) SELECT split, count(*) AS num_samples FROM s GROUP BY 1 UNION ALL SELECT 'all', count(*) FROM s")
+@query(
+    f"WITH s AS (SELECT {_split_sql('doc_id')} AS split FROM documents) SELECT split, count(*) AS num_samples FROM s GROUP BY 1 UNION ALL SELECT 'all', count(*) FROM s"
+)
 def q_index_totals(spark, d):
     return index.split_totals(index.with_split(read(spark, d, "documents"), RULE, "doc_id", "source"))
 
 
-@query("SELECT event_id, CASE WHEN json_extract_string(props, '$.k') NOT IN ('', '0', 'false') THEN json_extract_string(props, '$.k') ELSE event_id::VARCHAR END AS sample_id FROM events")
+@query(
+    "SELECT event_id, CASE WHEN json_extract_string(props, '$.k') NOT IN ('', '0', 'false') THEN json_extract_string(props, '$.k') ELSE event_id::VARCHAR END AS sample_id FROM events"
+)
 def q_truthy_id(spark, d):
-    return read(spark, d, "events").select("event_id", splits.sample_id(F.get_json_object("props", "$.k"), F.col("event_id").cast("string")).alias("sample_id"))
+    return read(spark, d, "events").select(
+        "event_id",
+        splits.sample_id(F.get_json_object("props", "$.k"), F.col("event_id").cast("string")).alias("sample_id"),
+    )
 
 
-@query("SELECT event_id, CASE WHEN json_extract_string(props, '$.k')::BIGINT > 0 THEN json_extract_string(props, '$.k')::BIGINT ELSE greatest(1, round_even(value * 100, 0)::BIGINT) END AS num_frames FROM events")
+@query(
+    "SELECT event_id, CASE WHEN json_extract_string(props, '$.k')::BIGINT > 0 THEN json_extract_string(props, '$.k')::BIGINT ELSE greatest(1, round_even(value * 100, 0)::BIGINT) END AS num_frames FROM events"
+)
 def q_infer_frames(spark, d):
     none = F.lit(None).cast("double")
     e = read(spark, d, "events")
-    return e.select("event_id", frames.infer_frames(F.get_json_object("props", "$.k"), none, none, F.col("value"), none, none).alias("num_frames"))
+    return e.select(
+        "event_id",
+        frames.infer_frames(
+            F.get_json_object("props", "$.k"), none, none, F.col("value"), none, none,
+        ).alias("num_frames"),
+    )
 
 
 @query("SELECT count(*) AS num_samples, min(n_chars) AS min_frames, max(n_chars) AS max_frames FROM documents")
@@ -87,8 +103,13 @@ def q_frame_histogram(spark, d):
 @query(f"""SELECT count(*) AS num_samples, min(n_chars) AS min_frames, max(n_chars) AS max_frames, count(*) FILTER ({_split_sql('doc_id')} = 'train') AS num_train,
     count(DISTINCT n_chars // 80) AS num_buckets, 2 AS version FROM documents""")
 def q_summary_document(spark, d):
-    doc = index.summary_document(index.with_split(read(spark, d, "documents"), RULE, "doc_id", "source"), "n_chars", "split")
-    return doc.select("num_samples", "min_frames", "max_frames", F.col("split_counts")["train"].alias("num_train"), F.size("frame_buckets").cast("long").alias("num_buckets"), "version")
+    doc = index.summary_document(
+        index.with_split(read(spark, d, "documents"), RULE, "doc_id", "source"), "n_chars", "split",
+    )
+    return doc.select(
+        "num_samples", "min_frames", "max_frames", F.col("split_counts")["train"].alias("num_train"),
+        F.size("frame_buckets").cast("long").alias("num_buckets"), "version",
+    )
 
 
 # Pairing
@@ -96,7 +117,9 @@ def q_summary_document(spark, d):
 
 @query("SELECT doc_id, lang, quality, toxic FROM documents JOIN labels USING (doc_id)")
 def q_pair_inner(spark, d):
-    return index.pair_members(read(spark, d, "documents").select("doc_id", "lang"), read(spark, d, "labels"), ["doc_id"])
+    return index.pair_members(
+        read(spark, d, "documents").select("doc_id", "lang"), read(spark, d, "labels"), ["doc_id"],
+    )
 
 
 @query("SELECT doc_id, lang FROM documents ANTI JOIN labels USING (doc_id)")
@@ -109,7 +132,9 @@ def q_unpaired_anti(spark, d):
 def q_pair_turns(spark, d):
     c = read(spark, d, "conversations")
     user = c.where("role = 'user'").select("conv_id", "turn", F.length("text").cast("long").alias("user_chars"))
-    reply = c.where("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.length("text").cast("long").alias("assistant_chars"))
+    reply = c.where("role = 'assistant'").select(
+        "conv_id", (F.col("turn") - 1).alias("turn"), F.length("text").cast("long").alias("assistant_chars"),
+    )
     return index.pair_members(user, reply, ["conv_id", "turn"])
 
 
@@ -119,15 +144,24 @@ def q_pair_turns(spark, d):
         FROM r JOIN m ON m.user_id = r.user_id AND m.n = r.n + 1)
     SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS pair, CASE WHEN audio THEN event_id ELSE mate END AS audio_at, CASE WHEN audio THEN mate ELSE event_id END AS json_at FROM r WHERE pair""")
 def q_pair_in_order(spark, d):
-    members = read(spark, d, "events").where(F.col("event_type").isin("view", "click")).select("user_id", F.lit("sample").alias("key"), F.when(F.col("event_type") == "view", "audio").otherwise("json").alias("kind"), "event_id")
+    members = read(spark, d, "events").where(F.col("event_type").isin("view", "click")).select(
+        "user_id", F.lit("sample").alias("key"),
+        F.when(F.col("event_type") == "view", "audio").otherwise("json").alias("kind"), "event_id",
+    )
     out = index.pair_in_order(members, "user_id", "key", "kind", "event_id")
     return out.select("user_id", F.col("pair").cast("long").alias("pair"), "audio_at", "json_at")
 
 
-@query("SELECT doc_id, source FROM documents WHERE lang = 'en' UNION ALL SELECT doc_id, source || '-other' FROM documents WHERE lang <> 'en'")
+@query(
+    "SELECT doc_id, source FROM documents WHERE lang = 'en' UNION ALL SELECT doc_id, source || '-other' FROM documents WHERE lang <> 'en'"
+)
 def q_union_sources(spark, d):
     docs = read(spark, d, "documents")
-    return index.union_roots(docs.where("lang = 'en'").select("doc_id", "source"), docs.where("lang <> 'en'").select("doc_id", F.concat("source", F.lit("-other")).alias("source")), shard="source")
+    return index.union_roots(
+        docs.where("lang = 'en'").select("doc_id", "source"),
+        docs.where("lang <> 'en'").select("doc_id", F.concat("source", F.lit("-other")).alias("source")),
+        shard="source",
+    )
 
 
 # Buckets and batches
@@ -144,13 +178,19 @@ def _bucketed(spark, d):
 
 @query(_PARTS)
 def q_bucket_parts(spark, d):
-    return index.bucket_parts(_bucketed(spark, d), ["split", "bucket_id"], [F.col("source"), F.col("doc_id")], "source", 5)
+    return index.bucket_parts(
+        _bucketed(spark, d), ["split", "bucket_id"], [F.col("source"), F.col("doc_id")], "source", 5,
+    )
 
 
-@query("SELECT n_chars // 80 AS bucket_id, greatest(1, least(16, 40000 // ((n_chars // 80 + 1) * 80))) AS local_batch, count(*) AS num_samples FROM documents GROUP BY 1, 2")
+@query(
+    "SELECT n_chars // 80 AS bucket_id, greatest(1, least(16, 40000 // ((n_chars // 80 + 1) * 80))) AS local_batch, count(*) AS num_samples FROM documents GROUP BY 1, 2"
+)
 def q_bucket_batch_size(spark, d):
     h = index.frame_histogram(read(spark, d, "documents"), "n_chars")
-    return h.select("bucket_id", frames.local_batch_size(F.col("bucket_id"), 80, 16, 40_000).alias("local_batch"), "num_samples")
+    return h.select(
+        "bucket_id", frames.local_batch_size(F.col("bucket_id"), 80, 16, 40_000).alias("local_batch"), "num_samples",
+    )
 
 
 def _steps_sql(f: str) -> str:
@@ -179,7 +219,9 @@ def q_steps_keep_last(spark, d):
     SELECT split, bucket_id, step, local_batch, row_number() OVER (PARTITION BY split ORDER BY bucket_id, step) - 1 AS place FROM e""")
 def q_bucket_schedule(spark, d):
     b = _bucketed(spark, d).groupBy("split", "bucket_id").agg(F.count("*").alias("n"))
-    return batching.bucket_schedule(b, "split", "bucket_id", "n", 80, 4, 40_000, 1).withColumn("place", F.col("place").cast("long"))
+    return batching.bucket_schedule(
+        b, "split", "bucket_id", "n", 80, 4, 40_000, 1,
+    ).withColumn("place", F.col("place").cast("long"))
 
 
 @query("""WITH n AS (SELECT (row_number() OVER (ORDER BY n_chars, doc_id) - 1) // 16 AS batch, n_chars FROM documents)
@@ -187,7 +229,9 @@ def q_bucket_schedule(spark, d):
 def q_fixed_batches(spark, d):
     b = batching.fixed_batches(read(spark, d, "documents").select("doc_id", "n_chars"), [], "n_chars", ["doc_id"], 16)
     n, top, total = F.count("*"), F.max("n_chars"), F.sum("n_chars")
-    return b.groupBy("batch").agg(n.alias("batch_size"), top.alias("max_frames"), total.alias("total_frames"), (n * top - total).alias("padding"))
+    return b.groupBy("batch").agg(
+        n.alias("batch_size"), top.alias("max_frames"), total.alias("total_frames"), (n * top - total).alias("padding"),
+    )
 
 
 @query("""WITH RECURSIVE n AS (SELECT lang, doc_id, n_chars AS f, row_number() OVER (PARTITION BY lang ORDER BY n_chars, doc_id) AS i FROM documents),
@@ -196,7 +240,9 @@ def q_fixed_batches(spark, d):
         FROM r JOIN n ON n.lang = r.lang AND n.i = r.i + 1)
     SELECT lang, doc_id, batch FROM r""")
 def q_greedy_batches(spark, d):
-    b = batching.greedy_batches(read(spark, d, "documents").select("lang", "doc_id", "n_chars"), ["lang"], "n_chars", ["doc_id"], 16, 40_000)
+    b = batching.greedy_batches(
+        read(spark, d, "documents").select("lang", "doc_id", "n_chars"), ["lang"], "n_chars", ["doc_id"], 16, 40_000,
+    )
     return b.select("lang", "doc_id", "batch")
 
 
@@ -207,7 +253,10 @@ def q_greedy_batches(spark, d):
         FROM r JOIN u ON u.lang = r.lang AND u.i = r.i + 1)
     SELECT p.lang, doc_id, batch FROM p JOIN r ON r.lang = p.lang AND r.i = place // 4""")
 def q_greedy_batches_world(spark, d):
-    b = batching.greedy_batches(read(spark, d, "documents").select("lang", "doc_id", "n_chars"), ["lang"], "n_chars", ["doc_id"], 8, 40_000, world=4)
+    b = batching.greedy_batches(
+        read(spark, d, "documents").select("lang", "doc_id", "n_chars"), ["lang"], "n_chars", ["doc_id"], 8, 40_000,
+        world=4,
+    )
     return b.select("lang", "doc_id", "batch")
 
 
@@ -224,7 +273,10 @@ _LINES = "l_linenumber, l_partkey, l_suppkey, l_extendedprice"
         FROM r JOIN n x ON x.k = r.k AND x.i = r.i + 1)
     SELECT k AS l_orderkey, n AS selected, skipped, CASE WHEN stop IS NULL THEN 0 ELSE c - stop + 1 END::BIGINT AS dropped FROM r WHERE i = c""")
 def q_budget_prefix(spark, d):
-    rows = read(spark, d, "lineitem").select("l_orderkey", F.col("l_quantity").cast("long").alias("f"), F.col("l_linenumber").cast("long").alias("t"), "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+    rows = read(spark, d, "lineitem").select(
+        "l_orderkey", F.col("l_quantity").cast("long").alias("f"), F.col("l_linenumber").cast("long").alias("t"),
+        "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice",
+    )
     return batching.budget_prefix(rows, ["l_orderkey"], _LINES.split(", "), "f", "t", 45)
 
 
@@ -236,8 +288,13 @@ def q_budget_prefix(spark, d):
         FROM r JOIN m x ON x.k = r.k AND x.i = r.i + 1)
     SELECT k AS o_custkey, o AS o_orderkey, batch FROM r""")
 def q_token_split(spark, d):
-    rows = read(spark, d, "orders").select("o_custkey", "o_orderkey", F.floor(F.col("o_totalprice") / 1000).alias("f"), F.length("o_orderpriority").alias("t"))
-    return batching.token_split(rows, ["o_custkey"], ["o_orderkey"], "f", "t", 900).select("o_custkey", "o_orderkey", "batch")
+    rows = read(spark, d, "orders").select(
+        "o_custkey", "o_orderkey", F.floor(F.col("o_totalprice") / 1000).alias("f"),
+        F.length("o_orderpriority").alias("t"),
+    )
+    return batching.token_split(
+        rows, ["o_custkey"], ["o_orderkey"], "f", "t", 900,
+    ).select("o_custkey", "o_orderkey", "batch")
 
 
 @query("""WITH g AS (SELECT l_orderkey, count(*) AS n, max(l_quantity)::BIGINT AS f, sum(l_quantity)::BIGINT AS tf, max(l_linenumber)::BIGINT AS t, sum(l_linenumber)::BIGINT AS tt FROM lineitem GROUP BY 1)
@@ -247,7 +304,9 @@ def q_batch_stats(spark, d):
     return batching.batch_stats(read(spark, d, "lineitem"), ["l_orderkey"], "l_quantity", "l_linenumber", 4)
 
 
-@query("SELECT n_name, ((row_number() OVER (ORDER BY n_name) - 1) % 4)::INT AS rank, (((row_number() OVER (ORDER BY n_name) - 1) // 4) % 2)::INT AS worker FROM nation")
+@query(
+    "SELECT n_name, ((row_number() OVER (ORDER BY n_name) - 1) % 4)::INT AS rank, (((row_number() OVER (ORDER BY n_name) - 1) // 4) % 2)::INT AS worker FROM nation"
+)
 def q_rank_partition(spark, d):
     return batching.rank_partition(read(spark, d, "nation").select("n_name"), [F.col("n_name")], 4, 2)
 
@@ -257,13 +316,19 @@ def q_rank_partition(spark, d):
     SELECT o_orderkey, batch, CASE WHEN i < local * 4 THEN i // local END::INT AS rank, CASE WHEN i < local * 4 THEN i % local END AS slot FROM b JOIN l USING (batch)""")
 def q_rank_slices(spark, d):
     orders = read(spark, d, "orders").select("o_orderkey", F.floor(F.col("o_orderkey") / 4096).alias("range"))
-    return batching.rank_slices(batching.places(orders, [], "range", ["o_orderkey"]), "place", 64, 4).select("o_orderkey", "batch", "rank", "slot")
+    return batching.rank_slices(
+        batching.places(orders, [], "range", ["o_orderkey"]), "place", 64, 4,
+    ).select("o_orderkey", "batch", "rank", "slot")
 
 
-@query("SELECT c_mktsegment, rank::INT AS rank, n // 4 + CASE WHEN rank < n % 4 THEN 1 ELSE 0 END AS quota FROM (SELECT c_mktsegment, count(*) AS n FROM customer GROUP BY 1), (SELECT unnest([0, 1, 2, 3]) AS rank)")
+@query(
+    "SELECT c_mktsegment, rank::INT AS rank, n // 4 + CASE WHEN rank < n % 4 THEN 1 ELSE 0 END AS quota FROM (SELECT c_mktsegment, count(*) AS n FROM customer GROUP BY 1), (SELECT unnest([0, 1, 2, 3]) AS rank)"
+)
 def q_eval_quota(spark, d):
     n = read(spark, d, "customer").groupBy("c_mktsegment").agg(F.count("*").alias("n"))
-    each = F.explode(F.array(*[F.struct(F.lit(r).alias("rank"), sampling.quota(F.col("n"), 4, r).alias("quota")) for r in range(4)]))
+    each = F.explode(
+        F.array(*[F.struct(F.lit(r).alias("rank"), sampling.quota(F.col("n"), 4, r).alias("quota")) for r in range(4)])
+    )
     return n.select("c_mktsegment", each.alias("q")).select("c_mktsegment", "q.rank", "q.quota")
 
 
@@ -272,7 +337,10 @@ def q_eval_quota(spark, d):
 def q_drop_remainder(spark, d):
     c = read(spark, d, "customer").select("c_custkey", "c_mktsegment")
     n = c.groupBy("c_mktsegment").agg(F.count("*").alias("n"))
-    return sampling.drop_remainder(index.numbered(c, ["c_mktsegment"], [F.col("c_custkey")]).join(F.broadcast(n), "c_mktsegment"), "ordinal", F.col("n"), 4).select("c_custkey", "c_mktsegment")
+    return sampling.drop_remainder(
+        index.numbered(c, ["c_mktsegment"], [F.col("c_custkey")]).join(F.broadcast(n), "c_mktsegment"), "ordinal",
+        F.col("n"), 4,
+    ).select("c_custkey", "c_mktsegment")
 
 
 @query("SELECT doc_id FROM documents ORDER BY sha1('7:0:' || doc_id::VARCHAR), doc_id LIMIT 256")
@@ -280,28 +348,50 @@ def q_eval_subset(spark, d):
     return sampling.subset(read(spark, d, "documents").select("doc_id"), "doc_id", 256, 7)
 
 
-@query("""SELECT l_orderkey, string_agg(l_partkey::VARCHAR, ',' ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS targets, sum(l_linenumber)::BIGINT AS total_frames, max(l_linenumber)::INT AS padded_to FROM lineitem GROUP BY 1""")
+@query(
+    """SELECT l_orderkey, string_agg(l_partkey::VARCHAR, ',' ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS targets, sum(l_linenumber)::BIGINT AS total_frames, max(l_linenumber)::INT AS padded_to FROM lineitem GROUP BY 1"""
+)
 def q_collate(spark, d):
-    rows = read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", F.array("l_partkey").alias("y"))
+    rows = read(spark, d, "lineitem").select(
+        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", F.array("l_partkey").alias("y"),
+    )
     c = batching.collate(rows, ["l_orderkey"], _LINES.split(", "), "l_suppkey", "l_linenumber", "y")
     total = F.aggregate("feature_lengths", F.lit(0).cast("long"), lambda s, x: s + x)
-    return c.select("l_orderkey", F.array_join(F.col("targets").cast("array<string>"), ",").alias("targets"), total.alias("total_frames"), "padded_to")
+    return c.select(
+        "l_orderkey", F.array_join(F.col("targets").cast("array<string>"), ",").alias("targets"),
+        total.alias("total_frames"), "padded_to",
+    )
 
 
-@query(f"""SELECT l_orderkey, row_number() OVER w - 1 AS place, (sum(l_linenumber) OVER w - l_linenumber)::BIGINT AS "offset", l_linenumber::BIGINT AS size FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY {_LINES} ROWS UNBOUNDED PRECEDING)""")
+@query(
+    f"""SELECT l_orderkey, row_number() OVER w - 1 AS place, (sum(l_linenumber) OVER w - l_linenumber)::BIGINT AS "offset", l_linenumber::BIGINT AS size FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY {_LINES} ROWS UNBOUNDED PRECEDING)"""
+)
 def q_pack_targets(spark, d):
-    rows = read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", F.array_repeat(F.col("l_linenumber"), F.col("l_linenumber")).alias("y"))
-    out = batching.unpack(batching.collate(rows, ["l_orderkey"], _LINES.split(", "), "l_suppkey", "l_linenumber", "y"), ["l_orderkey"])
-    return out.select("l_orderkey", F.col("place").cast("long").alias("place"), F.col("offset").cast("long").alias("offset"), F.size("ids").cast("long").alias("size"))
+    rows = read(spark, d, "lineitem").select(
+        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice",
+        F.array_repeat(F.col("l_linenumber"), F.col("l_linenumber")).alias("y"),
+    )
+    out = batching.unpack(
+        batching.collate(rows, ["l_orderkey"], _LINES.split(", "), "l_suppkey", "l_linenumber", "y"), ["l_orderkey"],
+    )
+    return out.select(
+        "l_orderkey", F.col("place").cast("long").alias("place"), F.col("offset").cast("long").alias("offset"),
+        F.size("ids").cast("long").alias("size"),
+    )
 
 
 # Statistics
 
 
-@query("SELECT i - 1 AS dim, round(sum(x::DOUBLE), 6) AS mean_stat, round(sum(x::DOUBLE * x::DOUBLE), 6) AS var_stat, count(*) AS frame_num FROM (SELECT unnest(embedding) AS x, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings) GROUP BY 1")
+@query(
+    "SELECT i - 1 AS dim, round(sum(x::DOUBLE), 6) AS mean_stat, round(sum(x::DOUBLE * x::DOUBLE), 6) AS var_stat, count(*) AS frame_num FROM (SELECT unnest(embedding) AS x, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings) GROUP BY 1"
+)
 def q_cmvn_sums(spark, d):
     s = stats.cmvn_sums(read(spark, d, "embeddings"), "embedding")
-    return s.select(F.col("dim").cast("long").alias("dim"), F.round("mean_stat", 6).alias("mean_stat"), F.round("var_stat", 6).alias("var_stat"), "frame_num")
+    return s.select(
+        F.col("dim").cast("long").alias("dim"), F.round("mean_stat", 6).alias("mean_stat"),
+        F.round("var_stat", 6).alias("var_stat"), "frame_num",
+    )
 
 
 _MOMENTS = """WITH s AS (SELECT i - 1 AS dim, sum(x::DOUBLE) AS a, sum(x::DOUBLE * x::DOUBLE) AS b, count(*) AS n FROM (SELECT unnest(embedding) AS x, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings) GROUP BY 1),
@@ -311,23 +401,35 @@ _MOMENTS = """WITH s AS (SELECT i - 1 AS dim, sum(x::DOUBLE) AS a, sum(x::DOUBLE
 @query(_MOMENTS + " SELECT dim, round(mean, 6) AS mean, round(var, 6) AS var, round(1 / sqrt(var), 5) AS istd FROM m")
 def q_cmvn_moments(spark, d):
     m = stats.cmvn_moments(stats.cmvn_sums(read(spark, d, "embeddings"), "embedding"))
-    return m.select(F.col("dim").cast("long").alias("dim"), F.round("mean", 6).alias("mean"), F.round("var", 6).alias("var"), F.round("istd", 5).alias("istd"))
+    return m.select(
+        F.col("dim").cast("long").alias("dim"), F.round("mean", 6).alias("mean"), F.round("var", 6).alias("var"),
+        F.round("istd", 5).alias("istd"),
+    )
 
 
-@query(_MOMENTS + """ SELECT vec_id, round(sqrt(sum(pow((x - mean) / sqrt(var), 2))), 5) AS norm FROM (SELECT vec_id, unnest(embedding)::DOUBLE AS x, unnest(range(len(embedding))) AS dim FROM embeddings) JOIN m USING (dim) GROUP BY vec_id""")
+@query(
+    _MOMENTS + """ SELECT vec_id, round(sqrt(sum(pow((x - mean) / sqrt(var), 2))), 5) AS norm FROM (SELECT vec_id, unnest(embedding)::DOUBLE AS x, unnest(range(len(embedding))) AS dim FROM embeddings) JOIN m USING (dim) GROUP BY vec_id"""
+)
 def q_cmvn_apply(spark, d):
     e = read(spark, d, "embeddings").select("vec_id", "embedding")
     out = stats.cmvn_apply(e, "embedding", stats.cmvn_moments(stats.cmvn_sums(e, "embedding")))
-    return out.select("vec_id", F.round(F.sqrt(F.aggregate("normalized", F.lit(0.0), lambda s, x: s + x * x)), 5).alias("norm"))
+    return out.select(
+        "vec_id", F.round(F.sqrt(F.aggregate("normalized", F.lit(0.0), lambda s, x: s + x * x)), 5).alias("norm"),
+    )
 
 
 def _ranked(q: float) -> str:
     return f"list_sort(list(value))[round_even((count(*) - 1) * {q}, 0)::INT + 1]"
 
 
-@query(f"SELECT event_type, count(*) AS n, round(avg(value), 6) AS mean, {_ranked(0.5)} AS p50, {_ranked(0.9)} AS p90, {_ranked(0.95)} AS p95, {_ranked(0.99)} AS p99, max(value) AS max FROM events GROUP BY 1")
+@query(
+    f"SELECT event_type, count(*) AS n, round(avg(value), 6) AS mean, {_ranked(0.5)} AS p50, {_ranked(0.9)} AS p90, {_ranked(0.95)} AS p95, {_ranked(0.99)} AS p99, max(value) AS max FROM events GROUP BY 1"
+)
 def q_quantiles(spark, d):
-    q = stats.quantiles(read(spark, d, "events"), ["event_type"], "value", {"p50": 0.5, "p90": 0.9, "p95": 0.95, "p99": 0.99, "max": 1.0})
+    q = stats.quantiles(
+        read(spark, d, "events"), ["event_type"], "value",
+        {"p50": 0.5, "p90": 0.9, "p95": 0.95, "p99": 0.99, "max": 1.0},
+    )
     return q.withColumn("mean", F.round("mean", 6))
 
 
@@ -336,13 +438,17 @@ def q_quantiles(spark, d):
 
 def _tokens(spark, d):
     e = read(spark, d, "events")
-    return e.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", "event_type"))).alias("x")).select("user_id", F.transform("x", lambda v: v["event_type"]).alias("tokens"))
+    return e.groupBy("user_id").agg(
+        F.array_sort(F.collect_list(F.struct("ts", "event_id", "event_type"))).alias("x")
+    ).select("user_id", F.transform("x", lambda v: v["event_type"]).alias("tokens"))
 
 
 @query("""WITH m AS (SELECT user_id, ts, event_id, event_type, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS last FROM events)
     SELECT user_id, coalesce(string_agg(event_type, ' ' ORDER BY ts, event_id) FILTER (event_type <> 'view' AND event_type IS DISTINCT FROM last), '') AS tokens FROM m GROUP BY user_id""")
 def q_greedy_ctc(spark, d):
-    return _tokens(spark, d).select("user_id", F.array_join(arrays.collapse_runs(F.col("tokens"), F.lit("view")), " ").alias("tokens"))
+    return _tokens(spark, d).select(
+        "user_id", F.array_join(arrays.collapse_runs(F.col("tokens"), F.lit("view")), " ").alias("tokens"),
+    )
 
 
 _RUNS = """WITH m AS (SELECT user_id, event_type, row_number() OVER w - 1 AS i, CASE WHEN event_type IS DISTINCT FROM lag(event_type) OVER w THEN 1 ELSE 0 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
@@ -352,7 +458,9 @@ _RUNS = """WITH m AS (SELECT user_id, event_type, row_number() OVER w - 1 AS i,
 
 def _runs(spark, d):
     r = decode.greedy_runs(read(spark, d, "events"), ["user_id"], [F.col("ts"), F.col("event_id")], "event_type")
-    return r.select("user_id", "run", "token", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"))
+    return r.select(
+        "user_id", "run", "token", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"),
+    )
 
 
 @query(_RUNS + " SELECT * FROM s")
@@ -360,22 +468,38 @@ def q_run_lengths(spark, d):
     return _runs(spark, d)
 
 
-@query(_RUNS + ' SELECT user_id, run, start * 6 AS start_frame, "end" * 6 + 10 AS end_frame, start * 6 * 10.0::DOUBLE AS start_ms, ("end" * 6 + 11) * 10.0::DOUBLE AS end_ms FROM s WHERE token <> \'view\'')
+@query(
+    _RUNS + ' SELECT user_id, run, start * 6 AS start_frame, "end" * 6 + 10 AS end_frame, start * 6 * 10.0::DOUBLE AS start_ms, ("end" * 6 + 11) * 10.0::DOUBLE AS end_ms FROM s WHERE token <> \'view\''
+)
 def q_span_times(spark, d):
     first, last = frames.frame_span(F.col("start"), F.col("end"))
     start, end = frames.span_ms(first, last)
-    return _runs(spark, d).where("token <> 'view'").select("user_id", "run", first.alias("start_frame"), last.alias("end_frame"), start.alias("start_ms"), end.alias("end_ms"))
+    return _runs(spark, d).where("token <> 'view'").select(
+        "user_id", "run", first.alias("start_frame"), last.alias("end_frame"), start.alias("start_ms"),
+        end.alias("end_ms"),
+    )
 
 
-@query("SELECT doc_id, greatest(0, floor((floor((n_chars - 1) / 2) - 2) / 3))::BIGINT AS out_length, greatest(16, least(1024, ceil(n_chars * 0.3)))::BIGINT AS max_new_tokens FROM documents")
+@query(
+    "SELECT doc_id, greatest(0, floor((floor((n_chars - 1) / 2) - 2) / 3))::BIGINT AS out_length, greatest(16, least(1024, ceil(n_chars * 0.3)))::BIGINT AS max_new_tokens FROM documents"
+)
 def q_subsampled_len(spark, d):
-    return read(spark, d, "documents").select("doc_id", frames.subsampled_length(F.col("n_chars")).alias("out_length"), frames.max_new_tokens(F.col("n_chars"), 0.3).alias("max_new_tokens"))
+    return read(spark, d, "documents").select(
+        "doc_id", frames.subsampled_length(F.col("n_chars")).alias("out_length"),
+        frames.max_new_tokens(F.col("n_chars"), 0.3).alias("max_new_tokens"),
+    )
 
 
-@query("""SELECT vec_id, list_aggregate(list_transform(list_sort(list_transform(list_grade_up(list_transform(embedding, lambda x: -x))[1:8], lambda i: i - 1)), lambda i: i::VARCHAR), 'string_agg', ' ') AS tokens, (list_position(embedding, list_max(embedding)) - 1)::INT AS best FROM embeddings""")
+@query(
+    """SELECT vec_id, list_aggregate(list_transform(list_sort(list_transform(list_grade_up(list_transform(embedding, lambda x: -x))[1:8], lambda i: i - 1)), lambda i: i::VARCHAR), 'string_agg', ' ') AS tokens, (list_position(embedding, list_max(embedding)) - 1)::INT AS best FROM embeddings"""
+)
 def q_topk_tokens(spark, d):
     e = read(spark, d, "embeddings")
-    return e.select("vec_id", F.array_join(F.sort_array(arrays.top_tokens(F.col("embedding"), 8)).cast("array<string>"), " ").alias("tokens"), maths.argmax(F.col("embedding")).alias("best"))
+    return e.select(
+        "vec_id",
+        F.array_join(F.sort_array(arrays.top_tokens(F.col("embedding"), 8)).cast("array<string>"), " ").alias("tokens"),
+        maths.argmax(F.col("embedding")).alias("best"),
+    )
 
 
 def _matrix(c: str = "embedding") -> F.Column:
@@ -387,7 +511,9 @@ def _matrix(c: str = "embedding") -> F.Column:
     SELECT vec_id, avg(CASE WHEN list_position(x, list_max(x)) = 1 THEN 1.0 ELSE 0.0 END) AS blank_top1_ratio, round(avg(exp(x[1] - list_max(x)) / list_sum(list_transform(x, lambda v: exp(v - list_max(x))))), 6) AS avg_blank_prob FROM s GROUP BY 1""")
 def q_log_softmax(spark, d):
     top, prob = decode.debug_stats(_matrix(), 0)
-    return read(spark, d, "embeddings").select("vec_id", top.alias("blank_top1_ratio"), F.round(prob, 6).alias("avg_blank_prob"))
+    return read(spark, d, "embeddings").select(
+        "vec_id", top.alias("blank_top1_ratio"), F.round(prob, 6).alias("avg_blank_prob"),
+    )
 
 
 @query("""WITH c AS (SELECT l_partkey, l_suppkey, -sum(l_tax) AS ctc, count(*) AS n, -avg(l_discount) AS dec FROM lineitem GROUP BY 1, 2),
@@ -395,9 +521,13 @@ def q_log_softmax(spark, d):
     s AS (SELECT l_partkey, l_suppkey, i, round(ctc / greatest(1, n) + 0.5 * dec, 9) AS score FROM r WHERE i <= 3)
     SELECT l_partkey, arg_max(l_suppkey, (score, -i)) AS l_suppkey, round(max(score), 6) AS combined_score FROM s GROUP BY 1""")
 def q_rescore(spark, d):
-    c = read(spark, d, "lineitem").groupBy("l_partkey", "l_suppkey").agg((-F.sum("l_tax")).alias("ctc"), F.count("*").alias("n"), (-F.avg("l_discount")).alias("dec"))
+    c = read(spark, d, "lineitem").groupBy("l_partkey", "l_suppkey").agg(
+        (-F.sum("l_tax")).alias("ctc"), F.count("*").alias("n"), (-F.avg("l_discount")).alias("dec"),
+    )
     # Sums of doubles depend on their order; nine digits make ties ties.
-    c = c.withColumn("ctc", F.round(F.col("ctc") / F.greatest(F.lit(1), F.col("n")) + 0.5 * F.col("dec"), 9)).withColumns({"n": F.lit(1), "dec": F.lit(0.0)})
+    c = c.withColumn(
+        "ctc", F.round(F.col("ctc") / F.greatest(F.lit(1), F.col("n")) + 0.5 * F.col("dec"), 9),
+    ).withColumns({"n": F.lit(1), "dec": F.lit(0.0)})
     best = decode.rescore(c, ["l_partkey"], "l_suppkey", "ctc", "n", "dec", 0.5, 3)
     return best.select("l_partkey", "l_suppkey", F.round("combined_score", 6).alias("combined_score"))
 
@@ -406,31 +536,50 @@ def q_rescore(spark, d):
 def q_beam_search(spark, d):
     out = decode.beam_search(read(spark, d, "embeddings").select("vec_id", _matrix().alias("scores")), "scores", beam=4)
     best = F.col("hypotheses")[0]
-    return out.select("vec_id", F.array_join(best["token_ids"].cast("array<string>"), " ").alias("tokens"), F.round(best["score"], 4).alias("score"), F.size("hypotheses").alias("n"))
+    return out.select(
+        "vec_id", F.array_join(best["token_ids"].cast("array<string>"), " ").alias("tokens"),
+        F.round(best["score"], 4).alias("score"), F.size("hypotheses").alias("n"),
+    )
 
 
 @query()
 def q_forced_align(spark, d):
-    rows = read(spark, d, "embeddings").select("vec_id", _matrix().alias("scores")).withColumn("ids", decode.greedy(F.col("scores"), 0))
-    out = decode.forced_alignment(rows, "scores", "ids").withColumn("a", decode.token_alignments(F.col("spans"), F.col("ids")))
+    rows = read(spark, d, "embeddings").select("vec_id", _matrix().alias("scores")).withColumn(
+        "ids", decode.greedy(F.col("scores"), 0),
+    )
+    out = decode.forced_alignment(rows, "scores", "ids").withColumn(
+        "a", decode.token_alignments(F.col("spans"), F.col("ids")),
+    )
     return out.select("vec_id", F.explode("a").alias("a")).select("vec_id", "a.*")
 
 
-_TOY = [f"{i} {bytes([i])!r} 1" for i in range(256)] + [f"{256 + i} {w!r} {len(w.encode())}" for i, w in enumerate(["th", "the", "an", "and", " t", " th", " the", "ion", "tion"])]
+_TOY = [f"{i} {bytes([i])!r} 1" for i in range(256)] + [
+    f"{256 + i} {w!r} {len(w.encode())}" for i, w in enumerate(
+        ["th", "the", "an", "and", " t", " th", " the", "ion", "tion"]
+    )
+]
 
 
 @query()
 def q_byte_tokens(spark, d):
     docs = read(spark, d, "documents")
-    return docs.select("doc_id", F.size(encode(F.coalesce("text", F.lit("")), lambda: ByteTrie(_TOY))).alias("n_tokens"))
+    return docs.select(
+        "doc_id", F.size(encode(F.coalesce("text", F.lit("")), lambda: ByteTrie(_TOY))).alias("n_tokens"),
+    )
 
 
 # Text and errors
 
 
-@query("SELECT p_partkey, levenshtein(p_name, n_name) AS chars, wa, wb FROM (SELECT p.p_partkey, p.p_name, n.p_name AS n_name, len(string_split(p.p_name, ' ')) AS wa, len(string_split(n.p_name, ' ')) AS wb FROM part p JOIN part n ON n.p_partkey = p.p_partkey + 1)")
+@query(
+    "SELECT p_partkey, levenshtein(p_name, n_name) AS chars, wa, wb FROM (SELECT p.p_partkey, p.p_name, n.p_name AS n_name, len(string_split(p.p_name, ' ')) AS wa, len(string_split(n.p_name, ' ')) AS wb FROM part p JOIN part n ON n.p_partkey = p.p_partkey + 1)"
+)
 def q_edit_distance(spark, d):
-    return _pairs(spark, d).select("p_partkey", F.levenshtein("p_name", "n_name").cast("long").alias("chars"), F.size(text.tokens(F.col("p_name"))).cast("long").alias("wa"), F.size(text.tokens(F.col("n_name"))).cast("long").alias("wb"))
+    return _pairs(spark, d).select(
+        "p_partkey", F.levenshtein("p_name", "n_name").cast("long").alias("chars"),
+        F.size(text.tokens(F.col("p_name"))).cast("long").alias("wa"),
+        F.size(text.tokens(F.col("n_name"))).cast("long").alias("wb"),
+    )
 
 
 def _pairs(spark, d):
@@ -441,8 +590,13 @@ def _pairs(spark, d):
 @query("""WITH e AS (SELECT p.p_brand, levenshtein(p.p_name, n.p_name) AS e, length(p.p_name) AS t FROM part p JOIN part n ON n.p_partkey = p.p_partkey + 1)
     SELECT coalesce(p_brand, 'overall') AS p_brand, count(*) AS n, sum(e)::BIGINT AS errors, sum(t)::BIGINT AS tokens, round(sum(e) / sum(t), 9) AS cer FROM e GROUP BY GROUPING SETS ((p_brand), ())""")
 def q_cer_corpus(spark, d):
-    rows = _pairs(spark, d).select("p_brand", F.levenshtein("p_name", "n_name").cast("long").alias("e"), F.length("p_name").cast("long").alias("t"))
-    return metrics.two_level(rows, "p_brand", {"errors": "e", "tokens": "t"}, {"cer": ("errors", "tokens")}).withColumn("cer", F.round("cer", 9))
+    rows = _pairs(spark, d).select(
+        "p_brand", F.levenshtein("p_name", "n_name").cast("long").alias("e"),
+        F.length("p_name").cast("long").alias("t"),
+    )
+    return metrics.two_level(
+        rows, "p_brand", {"errors": "e", "tokens": "t"}, {"cer": ("errors", "tokens")},
+    ).withColumn("cer", F.round("cer", 9))
 
 
 @query("""WITH p AS (SELECT p.p_brand, string_split(p.p_name, ' ') AS a, string_split(n.p_name, ' ') AS b FROM part p JOIN part n ON n.p_partkey = p.p_partkey + 1),
@@ -455,29 +609,42 @@ def q_wer_corpus(spark, d):
     return metrics.corpus_rate(rows, "e", "t", ["p_brand"]).withColumn("rate", F.round("rate", 9))
 
 
-@query("""SELECT p_brand, round(sum(e) / greatest(1, sum(greatest(1, t))), 9) AS rate, avg((e = 0)::INT::DOUBLE) AS exact_match FROM (SELECT p.p_brand, levenshtein(p.p_name, n.p_name) AS e, length(p.p_name) AS t FROM part p JOIN part n ON n.p_partkey = p.p_partkey + 1) GROUP BY 1""")
+@query(
+    """SELECT p_brand, round(sum(e) / greatest(1, sum(greatest(1, t))), 9) AS rate, avg((e = 0)::INT::DOUBLE) AS exact_match FROM (SELECT p.p_brand, levenshtein(p.p_name, n.p_name) AS e, length(p.p_name) AS t FROM part p JOIN part n ON n.p_partkey = p.p_partkey + 1) GROUP BY 1"""
+)
 def q_floored_rate(spark, d):
     rows = _pairs(spark, d).withColumns({"e": F.levenshtein("p_name", "n_name"), "t": F.length("p_name")})
     rate = metrics.floored_rate(rows, "e", "t", ["p_brand"]).withColumn("rate", F.round("rate", 9))
     return rate.join(metrics.exact_match(rows, F.col("p_name"), F.col("n_name"), ["p_brand"]).drop("n"), "p_brand")
 
 
-@query("""SELECT doc_id, array_to_string(list_filter(regexp_split_to_array(regexp_replace(lower(text), '\\p{P}', '', 'g'), '\\s+'), lambda w: w <> ''), ' ') AS norm FROM documents""")
+@query(
+    """SELECT doc_id, array_to_string(list_filter(regexp_split_to_array(regexp_replace(lower(text), '\\p{P}', '', 'g'), '\\s+'), lambda w: w <> ''), ' ') AS norm FROM documents"""
+)
 def q_norm_ascii(spark, d):
     return read(spark, d, "documents").select("doc_id", text.normalize_ascii(F.col("text")).alias("norm"))
 
 
 @query()
 def q_norm_nfkc(spark, d):
-    return read(spark, d, "documents").select("doc_id", F.md5(text.normalize_english()(F.col("text"))).alias("english"), F.md5(text.normalize_chinese()(F.col("text"))).alias("chinese"))
+    return read(spark, d, "documents").select(
+        "doc_id", F.md5(text.normalize_english()(F.col("text"))).alias("english"),
+        F.md5(text.normalize_chinese()(F.col("text"))).alias("chinese"),
+    )
 
 
 @query("""WITH e AS (SELECT value / 10 AS s, json_extract_string(props, '$.k')::BIGINT AS t, CASE event_type WHEN 'error' THEN 3 WHEN 'click' THEN 1 ELSE 0 END AS e FROM events),
     b AS (SELECT *, CASE WHEN s < 5 THEN '0-5s' WHEN s < 10 THEN '5-10s' WHEN s < 15 THEN '10-15s' WHEN s < 20 THEN '15-20s' ELSE '20+s' END AS bucket FROM e)
     SELECT coalesce(bucket, 'overall') AS bucket, count(*) AS n, sum(e)::BIGINT AS errors, sum(t)::BIGINT AS tokens, round(sum(e) / sum(t), 9) AS rate FROM b GROUP BY GROUPING SETS ((bucket), ())""")
 def q_duration_report(spark, d):
-    e = read(spark, d, "events").select(frames.duration_bucket(F.col("value") / 10).alias("bucket"), F.get_json_object("props", "$.k").cast("long").alias("t"), F.when(F.col("event_type") == "error", 3).when(F.col("event_type") == "click", 1).otherwise(0).alias("e"))
-    return metrics.two_level(e, "bucket", {"errors": "e", "tokens": "t"}, {"rate": ("errors", "tokens")}).withColumn("rate", F.round("rate", 9))
+    e = read(spark, d, "events").select(
+        frames.duration_bucket(F.col("value") / 10).alias("bucket"),
+        F.get_json_object("props", "$.k").cast("long").alias("t"),
+        F.when(F.col("event_type") == "error", 3).when(F.col("event_type") == "click", 1).otherwise(0).alias("e"),
+    )
+    return metrics.two_level(
+        e, "bucket", {"errors": "e", "tokens": "t"}, {"rate": ("errors", "tokens")},
+    ).withColumn("rate", F.round("rate", 9))
 
 
 @query("""WITH s AS (SELECT o_custkey AS k, o_orderstatus AS s, count(*) FILTER (o_orderpriority LIKE '1%') AS e, count(*) AS t FROM orders GROUP BY 1, 2), a AS (SELECT * FROM s WHERE s = 'F'), b AS (SELECT * FROM s WHERE s = 'O'),
@@ -486,8 +653,12 @@ def q_duration_report(spark, d):
         CASE WHEN rb - ra < -0.01 THEN 'O improved preview token error vs F' WHEN rb - ra > 0.01 THEN 'F remained better than O on preview token error' ELSE 'F and O were roughly neutral on preview token error' END AS verdict FROM j, m GROUP BY ra, rb""")
 def q_ab_compare(spark, d):
     urgent = F.count_if(F.col("o_orderpriority").startswith("1"))
-    each = read(spark, d, "orders").groupBy("o_custkey", "o_orderstatus").agg(urgent.alias("e"), F.count("*").alias("t"))
-    out = metrics.compare(each.where("o_orderstatus = 'F'"), each.where("o_orderstatus = 'O'"), "o_custkey", "e", "t", "e", ("F", "O"))
+    each = read(spark, d, "orders").groupBy("o_custkey", "o_orderstatus").agg(
+        urgent.alias("e"), F.count("*").alias("t"),
+    )
+    out = metrics.compare(
+        each.where("o_orderstatus = 'F'"), each.where("o_orderstatus = 'O'"), "o_custkey", "e", "t", "e", ("F", "O"),
+    )
     return out.withColumns({"rate_a": F.round("rate_a", 9), "rate_b": F.round("rate_b", 9)})
 
 
@@ -499,22 +670,39 @@ def q_length_ratio(spark, d):
     user = c.where("role = 'user'").select("conv_id", "turn", F.col("n").alias("u"))
     reply = c.where("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("n").alias("a"))
     out = metrics.length_ratio(user.join(reply, ["conv_id", "turn"]), F.col("a"), F.col("u"))
-    return out.select("n", F.round("mean_ratio", 9).alias("mean_ratio"), F.round("collapsed_ratio", 9).alias("collapsed_ratio"))
+    return out.select(
+        "n", F.round("mean_ratio", 9).alias("mean_ratio"), F.round("collapsed_ratio", 9).alias("collapsed_ratio"),
+    )
 
 
 @query("""WITH s AS (SELECT l_returnflag, regexp_extract_all('qty=' || l_linenumber || ' tax=' || l_suppkey || ' qty=' || l_quantity::BIGINT, '([a-z]+)=([0-9.]+)', 1) AS k, regexp_extract_all('qty=' || l_linenumber || ' tax=' || l_suppkey || ' qty=' || l_quantity::BIGINT, '([a-z]+)=([0-9.]+)', 2) AS v FROM lineitem)
     SELECT l_returnflag, count(*) AS n, sum(v[3]::DOUBLE) AS qty, sum(v[2]::DOUBLE) AS tax FROM s WHERE k[3] = 'qty' AND k[2] = 'tax' GROUP BY 1""")
 def q_kv_parse(spark, d):
-    line = F.concat(F.lit("qty="), "l_linenumber", F.lit(" tax="), "l_suppkey", F.lit(" qty="), F.col("l_quantity").cast("long"))
+    line = F.concat(
+        F.lit("qty="), "l_linenumber", F.lit(" tax="), "l_suppkey", F.lit(" qty="), F.col("l_quantity").cast("long"),
+    )
     kv = read(spark, d, "lineitem").select("l_returnflag", text.key_values(line).alias("m"))
-    return kv.groupBy("l_returnflag").agg(F.count("*").alias("n"), F.sum(F.col("m")["qty"]).alias("qty"), F.sum(F.col("m")["tax"]).alias("tax"))
+    return kv.groupBy("l_returnflag").agg(
+        F.count("*").alias("n"), F.sum(F.col("m")["qty"]).alias("qty"), F.sum(F.col("m")["tax"]).alias("tax"),
+    )
 
 
-@query("""SELECT l_returnflag, count(*) AS lines, round(avg(l_linenumber / l_quantity), 6) AS mean_ratio, round(avg(('0.' || (l_partkey % 1000 + 1000))::DOUBLE), 6) AS mean_blank_top1, NULL::DOUBLE AS mean_avg_blank, round(count(*) FILTER (l_linenumber / l_quantity <= 0.3) / count(*), 6) AS collapsed_ratio FROM lineitem GROUP BY 1""")
+@query(
+    """SELECT l_returnflag, count(*) AS lines, round(avg(l_linenumber / l_quantity), 6) AS mean_ratio, round(avg(('0.' || (l_partkey % 1000 + 1000))::DOUBLE), 6) AS mean_blank_top1, NULL::DOUBLE AS mean_avg_blank, round(count(*) FILTER (l_linenumber / l_quantity <= 0.3) / count(*), 6) AS collapsed_ratio FROM lineitem GROUP BY 1"""
+)
 def q_preview_stats(spark, d):
-    line = F.concat(F.lit("  DEBUG: feat="), "l_suppkey", F.lit(" pred_tok="), "l_linenumber", F.lit(" ref_tok="), F.col("l_quantity").cast("long"), F.lit(" blank_top1=0."), F.col("l_partkey") % 1000 + 1000)
-    out = metrics.preview_stats(read(spark, d, "lineitem").select("l_returnflag", line.alias("line")), text.key_values(F.col("line"), False), ["l_returnflag"])
-    return out.select("l_returnflag", "lines", *[F.round(c, 6).alias(c) for c in ("mean_ratio", "mean_blank_top1", "mean_avg_blank", "collapsed_ratio")])
+    line = F.concat(
+        F.lit("  DEBUG: feat="), "l_suppkey", F.lit(" pred_tok="), "l_linenumber", F.lit(" ref_tok="),
+        F.col("l_quantity").cast("long"), F.lit(" blank_top1=0."), F.col("l_partkey") % 1000 + 1000,
+    )
+    out = metrics.preview_stats(
+        read(spark, d, "lineitem").select("l_returnflag", line.alias("line")), text.key_values(F.col("line"), False),
+        ["l_returnflag"],
+    )
+    return out.select(
+        "l_returnflag", "lines",
+        *[F.round(c, 6).alias(c) for c in ("mean_ratio", "mean_blank_top1", "mean_avg_blank", "collapsed_ratio")]
+    )
 
 
 @query("""WITH h AS (SELECT p_partkey, trim(p_name) AS t, CASE WHEN p_size < 10 THEN 2.0 WHEN p_size < 20 THEN p_size / 4.0 END AS w FROM part), l AS (SELECT p_partkey, t AS text, coalesce(w, 3.0)::DOUBLE AS weight FROM h),
@@ -522,7 +710,9 @@ def q_preview_stats(spark, d):
 def q_hotword_parse(spark, d):
     weight = F.when(F.col("p_size") < 10, F.lit("2.0")).when(F.col("p_size") < 20, (F.col("p_size") / 4).cast("string"))
     line = F.concat(F.lit(" "), "p_name", F.when(weight.isNotNull(), F.concat(F.lit("\t"), weight)).otherwise(""))
-    parsed = read(spark, d, "part").select("p_partkey", text.hotword(line, 3.0).alias("h")).where("h is not null").select("p_partkey", "h.*")
+    parsed = read(spark, d, "part").select(
+        "p_partkey", text.hotword(line, 3.0).alias("h"),
+    ).where("h is not null").select("p_partkey", "h.*")
     return sampling.first_of(parsed, ["text", "weight"], "p_partkey")
 
 
@@ -531,38 +721,58 @@ def q_hotword_parse(spark, d):
     SELECT user_id, round(2.0 * a + 3.0 * b + greatest(CASE WHEN x[-1] = 'click' THEN 2.0 * 0.5 / 2 ELSE 0 END, CASE WHEN x[-2] = 'view' AND x[-1] = 'click' THEN 3.0 * 0.5 * 2 / 3 WHEN x[-1] = 'view' THEN 3.0 * 0.5 / 3 ELSE 0 END), 6)::DOUBLE AS bonus FROM m""")
 def q_hotword_bonus(spark, d):
     words = [(["click", "click"], 2.0), (["view", "click", "purchase"], 3.0)]
-    return _tokens(spark, d).select("user_id", F.round(arrays.hotword_bonus(F.col("tokens"), words, 0.5), 6).alias("bonus"))
+    return _tokens(spark, d).select(
+        "user_id", F.round(arrays.hotword_bonus(F.col("tokens"), words, 0.5), 6).alias("bonus"),
+    )
 
 
 @query("""WITH l AS (SELECT lang, doc_id, unnest(string_split(text, chr(10))) AS line FROM documents)
     SELECT lang, count(*) AS num_lines, count(DISTINCT doc_id) AS num_files FROM l WHERE trim(line, ' ' || chr(9) || chr(13)) <> '' GROUP BY lang""")
 def q_corpus_lines(spark, d):
-    lines = read(spark, d, "documents").select("lang", "doc_id", F.explode(F.split("text", "\n")).alias("line")).where(F.trim("line", F.lit(" \t\r")) != "")
+    lines = read(spark, d, "documents").select(
+        "lang", "doc_id", F.explode(F.split("text", "\n")).alias("line"),
+    ).where(F.trim("line", F.lit(" \t\r")) != "")
     # Lines are counted by document first, so that nothing is deduplicated line by line.
-    return lines.groupBy("lang", "doc_id").agg(F.count("*").alias("n")).groupBy("lang").agg(F.sum("n").alias("num_lines"), F.count("*").alias("num_files"))
+    return lines.groupBy("lang", "doc_id").agg(F.count("*").alias("n")).groupBy("lang").agg(
+        F.sum("n").alias("num_lines"), F.count("*").alias("num_files"),
+    )
 
 
 @query(f"""WITH a AS (SELECT l_orderkey, list(l_linenumber ORDER BY {_LINES}) AS x FROM lineitem GROUP BY 1), e AS (SELECT l_orderkey, CASE WHEN x[-1] = 2 THEN x ELSE list_append(x, 2) END AS x FROM a)
     SELECT l_orderkey, array_to_string(x, ' ') AS ids, array_to_string(list_concat(x[:-2], [9, 2]), ' ') AS target, len(x) + 5 AS labels FROM e""")
 def q_eos_append(spark, d):
-    rows = read(spark, d, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct(*_LINES.split(", ")))).alias("s")).select("l_orderkey", F.transform("s", lambda v: v["l_linenumber"]).alias("x"))
+    rows = read(spark, d, "lineitem").groupBy("l_orderkey").agg(
+        F.array_sort(F.collect_list(F.struct(*_LINES.split(", ")))).alias("s")
+    ).select("l_orderkey", F.transform("s", lambda v: v["l_linenumber"]).alias("x"))
     ids = arrays.append_eos(arrays.append_eos(F.col("x"), 2), 2)
     joined = lambda a: F.array_join(a.cast("array<string>"), " ")
-    return rows.select("l_orderkey", ids.alias("i")).select("l_orderkey", joined(F.col("i")).alias("ids"), joined(arrays.decoder_target(F.col("i"), [9], 2)).alias("target"), F.size(arrays.label_mask(F.col("i"), 2, F.lit(3))).cast("long").alias("labels"))
+    return rows.select("l_orderkey", ids.alias("i")).select(
+        "l_orderkey", joined(F.col("i")).alias("ids"),
+        joined(arrays.decoder_target(F.col("i"), [9], 2)).alias("target"),
+        F.size(arrays.label_mask(F.col("i"), 2, F.lit(3))).cast("long").alias("labels"),
+    )
 
 
 @query("""SELECT doc_id, CASE WHEN n_chars >= 1024 THEN format('{:.1f}KiB', n_chars / 1024.0) ELSE n_chars || '.0B' END AS size,
     CASE WHEN l < 60 THEN format('{:.0f}s', l) WHEN l < 3600 THEN format('{:.1f}m', l / 60) ELSE format('{:.1f}h', l / 3600) END AS eta FROM (SELECT doc_id, n_chars, (40000 - n_chars) * (64.0::DOUBLE / n_chars) AS l FROM documents)""")
 def q_format(spark, d):
-    return read(spark, d, "documents").select("doc_id", frames.format_bytes(F.col("n_chars")).alias("size"), frames.format_eta(F.lit(64.0), F.col("n_chars"), F.lit(40_000)).alias("eta"))
+    return read(spark, d, "documents").select(
+        "doc_id", frames.format_bytes(F.col("n_chars")).alias("size"),
+        frames.format_eta(F.lit(64.0), F.col("n_chars"), F.lit(40_000)).alias("eta"),
+    )
 
 
 # Runs
 
 
-@query("SELECT user_id, event_id, value, place FROM (SELECT user_id, event_id, value, row_number() OVER (PARTITION BY user_id ORDER BY value, event_id)::INT AS place FROM events WHERE event_type = 'error') WHERE place <= 3")
+@query(
+    "SELECT user_id, event_id, value, place FROM (SELECT user_id, event_id, value, row_number() OVER (PARTITION BY user_id ORDER BY value, event_id)::INT AS place FROM events WHERE event_type = 'error') WHERE place <= 3"
+)
 def q_leaderboard(spark, d):
-    return runs.leaderboard(read(spark, d, "events").where("event_type = 'error'").select("user_id", "event_id", "value"), ["user_id"], "value", "event_id", 3)
+    return runs.leaderboard(
+        read(spark, d, "events").where("event_type = 'error'").select("user_id", "event_id", "value"), ["user_id"],
+        "value", "event_id", 3,
+    )
 
 
 _TREND = """WITH w AS (SELECT user_id, event_id, value, lag(event_id) OVER o AS prev_step, lag(value) OVER o AS prev_loss, min(value) OVER (o ROWS UNBOUNDED PRECEDING) AS best_loss FROM events WINDOW o AS (PARTITION BY user_id ORDER BY event_id)),
@@ -584,51 +794,87 @@ def q_checkpoint_trend(spark, d):
         CASE WHEN abs(t.value - best_loss) <= 1e-8 AND b <= 0.9 THEN 'reasonable-best' WHEN t.value <= prev_loss + 0.10 AND b <= 0.9 THEN 'reasonable' WHEN t.value > prev_loss + 0.15 THEN 'needs-attention' ELSE 'reasonable-with-noise' END AS status
     FROM t JOIN (SELECT event_id, json_extract_string(props, '$.k')::DOUBLE / 100 AS b, json_extract_string(props, '$.k')::DOUBLE / 60 AS r FROM events) USING (event_id)""")
 def q_checkpoint_status(spark, d):
-    e = read(spark, d, "events").select("user_id", "event_id", "value", F.get_json_object("props", "$.k").cast("double").alias("k"))
+    e = read(spark, d, "events").select(
+        "user_id", "event_id", "value", F.get_json_object("props", "$.k").cast("double").alias("k"),
+    )
     t = runs.trend(e, ["user_id"], "event_id", "value")
     b, r, none = F.col("k") / 100, F.col("k") / 60, F.lit(None).cast("double")
     v, p, best = F.col("value"), F.col("prev_loss"), F.col("best_loss")
-    return t.select("user_id", "event_id", runs.eval_class(v, p, best).alias("eval"), runs.ctc_preview_class(b, r, none).alias("ctc"), runs.ar_preview_class(r, none, b).alias("ar"), runs.overall_class(v, p, best, b).alias("status"))
+    return t.select(
+        "user_id", "event_id", runs.eval_class(v, p, best).alias("eval"),
+        runs.ctc_preview_class(b, r, none).alias("ctc"), runs.ar_preview_class(r, none, b).alias("ar"),
+        runs.overall_class(v, p, best, b).alias("status"),
+    )
 
 
-@query("SELECT event_id, concat_ws('; ', CASE WHEN value / 100 - k / 20 < -1e-9 THEN 'CTC closer on token edit distance' WHEN value / 100 - k / 20 > 1e-9 THEN 'AR closer on token edit distance' ELSE 'CTC and AR tie on token edit distance' END, CASE WHEN k / 40 <= 0.5 THEN 'CTC is short' WHEN k / 40 >= 1.5 THEN 'CTC is long' END, CASE WHEN k / 60 <= 0.5 THEN 'AR is short' WHEN k / 60 >= 1.5 THEN 'AR is long' END, CASE WHEN event_type = 'view' THEN 'AR did not emit EOS' END) || '.' AS comment FROM (SELECT *, json_extract_string(props, '$.k')::DOUBLE AS k FROM events)")
+@query(
+    "SELECT event_id, concat_ws('; ', CASE WHEN value / 100 - k / 20 < -1e-9 THEN 'CTC closer on token edit distance' WHEN value / 100 - k / 20 > 1e-9 THEN 'AR closer on token edit distance' ELSE 'CTC and AR tie on token edit distance' END, CASE WHEN k / 40 <= 0.5 THEN 'CTC is short' WHEN k / 40 >= 1.5 THEN 'CTC is long' END, CASE WHEN k / 60 <= 0.5 THEN 'AR is short' WHEN k / 60 >= 1.5 THEN 'AR is long' END, CASE WHEN event_type = 'view' THEN 'AR did not emit EOS' END) || '.' AS comment FROM (SELECT *, json_extract_string(props, '$.k')::DOUBLE AS k FROM events)"
+)
 def q_sample_comment(spark, d):
     e = read(spark, d, "events").withColumn("k", F.get_json_object("props", "$.k").cast("double"))
     k = F.col("k")
-    return e.select("event_id", runs.sample_comment(F.col("value") / 100, k / 20, k / 40, k / 60, F.col("event_type") != "view").alias("comment"))
+    return e.select(
+        "event_id",
+        runs.sample_comment(
+            F.col("value") / 100, k / 20, k / 40, k / 60, F.col("event_type") != "view",
+        ).alias("comment"),
+    )
 
 
-@query("""WITH k AS (SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY value, event_id) AS i FROM events) SELECT e.event_id, user_id FROM events e JOIN k USING (event_id) WHERE i > 3""")
+@query(
+    """WITH k AS (SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY value, event_id) AS i FROM events) SELECT e.event_id, user_id FROM events e JOIN k USING (event_id) WHERE i > 3"""
+)
 def q_prune_anti(spark, d):
     e = read(spark, d, "events").select("event_id", "user_id", "value")
-    return runs.prune(e.select("event_id", "user_id"), runs.leaderboard(e, ["user_id"], "value", "event_id", 3), "event_id")
+    return runs.prune(
+        e.select("event_id", "user_id"), runs.leaderboard(e, ["user_id"], "value", "event_id", 3), "event_id",
+    )
 
 
 @query("""WITH n AS (SELECT user_id, event_id, CASE WHEN event_type = 'error' THEN 'train_loss' ELSE 'eval_loss' END AS selection_metric_name, CASE WHEN event_type = 'error' THEN value + 1 ELSE value END AS selection_metric FROM events)
     SELECT *, coalesce(selection_metric < min(selection_metric) OVER (PARTITION BY selection_metric_name ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS is_best FROM n""")
 def q_best_epoch(spark, d):
-    e = read(spark, d, "events").select("user_id", "event_id", (F.col("value") + 1).alias("train"), F.when(F.col("event_type") == "error", F.lit(float("nan"))).otherwise(F.col("value")).alias("evaluation"))
-    return runs.best_epoch(e, "event_id", "train", "evaluation").select("user_id", "event_id", "selection_metric_name", "selection_metric", "is_best")
-
-
-@query("SELECT l_returnflag, round(sum(l_discount * l_quantity) / sum(l_quantity), 9) AS mean, sum(l_quantity) AS weight FROM lineitem GROUP BY 1")
+    e = read(spark, d, "events").select(
+        "user_id", "event_id", (F.col("value") + 1).alias("train"),
+        F.when(F.col("event_type") == "error", F.lit(float("nan"))).otherwise(F.col("value")).alias("evaluation"),
+    )
+    return runs.best_epoch(e, "event_id", "train", "evaluation").select(
+        "user_id", "event_id", "selection_metric_name", "selection_metric", "is_best",
+    )
+
+
+@query(
+    "SELECT l_returnflag, round(sum(l_discount * l_quantity) / sum(l_quantity), 9) AS mean, sum(l_quantity) AS weight FROM lineitem GROUP BY 1"
+)
 def q_weighted_loss(spark, d):
-    return metrics.weighted_mean(read(spark, d, "lineitem"), "l_discount", "l_quantity", ["l_returnflag"]).withColumn("mean", F.round("mean", 9))
+    return metrics.weighted_mean(
+        read(spark, d, "lineitem"), "l_discount", "l_quantity", ["l_returnflag"],
+    ).withColumn("mean", F.round("mean", 9))
 
 
-@query("SELECT round(sum(value / 50) / greatest(1e-6, sum(value / 10)), 9) AS rtf, round(sum(value / 10) / 3600, 6) AS audio_hours FROM events")
+@query(
+    "SELECT round(sum(value / 50) / greatest(1e-6, sum(value / 10)), 9) AS rtf, round(sum(value / 10) / 3600, 6) AS audio_hours FROM events"
+)
 def q_real_time_factor(spark, d):
     e = read(spark, d, "events").select((F.col("value") / 50).alias("elapsed"), (F.col("value") / 10).alias("audio"))
-    return metrics.real_time_factor(e, "elapsed", "audio").select(F.round("rtf", 9).alias("rtf"), F.round("audio_hours", 6).alias("audio_hours"))
+    return metrics.real_time_factor(e, "elapsed", "audio").select(
+        F.round("rtf", 9).alias("rtf"), F.round("audio_hours", 6).alias("audio_hours"),
+    )
 
 
-@query("SELECT ((row_number() OVER (ORDER BY vec_id) - 1) // 64)::INT AS part_index, vec_id, 8 AS max_time FROM embeddings")
+@query(
+    "SELECT ((row_number() OVER (ORDER BY vec_id) - 1) // 64)::INT AS part_index, vec_id, 8 AS max_time FROM embeddings"
+)
 def q_export_parts(spark, d):
-    parts, listed = sinks.export_parts(read(spark, d, "embeddings").select("vec_id", _matrix().alias("scores")), "vec_id", 64, "scores")
+    parts, listed = sinks.export_parts(
+        read(spark, d, "embeddings").select("vec_id", _matrix().alias("scores")), "vec_id", 64, "scores",
+    )
     return parts.join(listed, "part_index").select("part_index", "vec_id", "max_time")
 
 
-@query("SELECT event_id, least(1.0, greatest(0.0, (json_extract_string(props, '$.k')::DOUBLE - 20) / 60.0)) * 0.5 AS probability, CASE WHEN value > 0 THEN greatest(1, floor(json_extract_string(props, '$.k')::DOUBLE * 22 * 1073741824 / 6442450944))::BIGINT END AS tokens FROM events")
+@query(
+    "SELECT event_id, least(1.0, greatest(0.0, (json_extract_string(props, '$.k')::DOUBLE - 20) / 60.0)) * 0.5 AS probability, CASE WHEN value > 0 THEN greatest(1, floor(json_extract_string(props, '$.k')::DOUBLE * 22 * 1073741824 / 6442450944))::BIGINT END AS tokens FROM events"
+)
 def q_ramp_and_budget(spark, d):
     k = F.get_json_object("props", "$.k").cast("long")
     e = read(spark, d, "events")
@@ -652,22 +898,33 @@ def q_language_code(spark, d):
 
 @query("SELECT event_id, CASE WHEN event_id % 3 = 0 THEN -1 ELSE event_id END AS step FROM events")
 def q_step_number(spark, d):
-    name = F.when(F.col("event_id") % 3 == 0, "/run.1/best.pt").otherwise(F.concat(F.lit("/run.1/step-"), "event_type", F.lit("-"), "event_id", F.lit(".pt")))
+    name = F.when(F.col("event_id") % 3 == 0, "/run.1/best.pt").otherwise(
+        F.concat(F.lit("/run.1/step-"), "event_type", F.lit("-"), "event_id", F.lit(".pt"))
+    )
     return read(spark, d, "events").select("event_id", text.step_number(name).alias("step"))
 
 
-@query("SELECT p_partkey, length(p_name) AS characters, len(list_filter(string_split(p_name, ' '), lambda w: w <> '')) AS words FROM part")
+@query(
+    "SELECT p_partkey, length(p_name) AS characters, len(list_filter(string_split(p_name, ' '), lambda w: w <> '')) AS words FROM part"
+)
 def q_characters(spark, d):
     name = F.col("p_name")
-    return read(spark, d, "part").select("p_partkey", F.size(text.characters(name)).cast("long").alias("characters"), F.size(text.tokens(name)).cast("long").alias("words"))
+    return read(spark, d, "part").select(
+        "p_partkey", F.size(text.characters(name)).cast("long").alias("characters"),
+        F.size(text.tokens(name)).cast("long").alias("words"),
+    )
 
 
-@query("SELECT l_returnflag, round(sum(l_discount + l_tax), 4) AS total, round(avg(-l_quantity + 0.75 * l_linenumber), 6) AS score FROM lineitem GROUP BY 1")
+@query(
+    "SELECT l_returnflag, round(sum(l_discount + l_tax), 4) AS total, round(avg(-l_quantity + 0.75 * l_linenumber), 6) AS score FROM lineitem GROUP BY 1"
+)
 def q_log_add(spark, d):
     log = lambda c: F.when(F.col(c) > 0, F.log(c)).otherwise(float("-inf"))
     both = F.exp(maths.log_add(log("l_discount"), log("l_tax")))
     score = maths.sequence_score(-F.col("l_quantity"), F.col("l_linenumber"), 0.5, 0.25)
-    return read(spark, d, "lineitem").groupBy("l_returnflag").agg(F.round(F.sum(both), 4).alias("total"), F.round(F.avg(score), 6).alias("score"))
+    return read(spark, d, "lineitem").groupBy("l_returnflag").agg(
+        F.round(F.sum(both), 4).alias("total"), F.round(F.avg(score), 6).alias("score"),
+    )
 
 
 @query("""WITH p AS (SELECT p.p_partkey, string_split(p.p_name, ' ') AS a, string_split(n.p_name, ' ') AS b FROM part p JOIN part n ON n.p_partkey = p.p_partkey + 1),
@@ -676,7 +933,10 @@ def q_log_add(spark, d):
     SELECT p_partkey, round(e / greatest(1, len(b)), 9) AS error, round(len(a) / greatest(1, len(b)), 9) AS ratio FROM e""")
 def q_sample_errors(spark, d):
     a, b = text.tokens(F.col("p_name")), text.tokens(F.col("n_name"))
-    return _pairs(spark, d).select("p_partkey", F.round(reports.token_error(a, b), 9).alias("error"), F.round(reports.token_ratio(a, b), 9).alias("ratio"))
+    return _pairs(spark, d).select(
+        "p_partkey", F.round(reports.token_error(a, b), 9).alias("error"),
+        F.round(reports.token_ratio(a, b), 9).alias("ratio"),
+    )
 
 
 _OPEN = "SELECT event_id, user_id FROM events WHERE event_type <> 'error' AND 100 - value >= 30"
@@ -710,33 +970,48 @@ def q_retained(spark, d):
 @query("SELECT o_orderkey, o_totalprice, o_orderstatus FROM orders")
 def q_zip_rows(spark, d):
     o = read(spark, d, "orders")
-    return sampling.zip_rows(o.select("o_orderkey", "o_totalprice"), o.select("o_orderkey", "o_orderstatus"), "o_orderkey")
+    return sampling.zip_rows(
+        o.select("o_orderkey", "o_totalprice"), o.select("o_orderkey", "o_orderstatus"), "o_orderkey",
+    )
 
 
 @query(f"""WITH n AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY {_LINES}) AS i FROM lineitem)
     SELECT l_orderkey, string_agg(l_partkey::VARCHAR, ',' ORDER BY i) AS targets, string_agg(l_suppkey::VARCHAR, ',' ORDER BY i) AS utt_ids, max(l_linenumber)::INT AS padded_to FROM n WHERE i <= 2 GROUP BY 1""")
 def q_truncate_prefix(spark, d):
-    rows = read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", F.array("l_partkey").alias("y"))
-    short = batching.truncate_prefix(batching.collate(rows, ["l_orderkey"], _LINES.split(", "), "l_suppkey", "l_linenumber", "y"), 2)
+    rows = read(spark, d, "lineitem").select(
+        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", F.array("l_partkey").alias("y"),
+    )
+    short = batching.truncate_prefix(
+        batching.collate(rows, ["l_orderkey"], _LINES.split(", "), "l_suppkey", "l_linenumber", "y"), 2,
+    )
     joined = lambda c: F.array_join(F.col(c).cast("array<string>"), ",").alias(c)
     return short.select("l_orderkey", joined("targets"), joined("utt_ids"), "padded_to")
 
 
-@query("SELECT count(*) AS num_lines, count(DISTINCT (lang, source)) AS num_files, count(DISTINCT lang) AS num_languages FROM documents")
+@query(
+    "SELECT count(*) AS num_lines, count(DISTINCT (lang, source)) AS num_files, count(DISTINCT lang) AS num_languages FROM documents"
+)
 def q_corpus_counts(spark, d):
-    return archives.corpus_counts(read(spark, d, "documents").select("lang", F.col("source").alias("file"), F.col("text").alias("line")))
+    return archives.corpus_counts(
+        read(spark, d, "documents").select("lang", F.col("source").alias("file"), F.col("text").alias("line"))
+    )
 
 
 @query("SELECT event_id, round(greatest(event_id - 3, 1) / greatest(value, 1e-6), 6) AS rate FROM events")
 def q_throughput(spark, d):
-    return read(spark, d, "events").select("event_id", F.round(frames.throughput(F.col("event_id"), F.col("value"), 3), 6).alias("rate"))
+    return read(spark, d, "events").select(
+        "event_id", F.round(frames.throughput(F.col("event_id"), F.col("value"), 3), 6).alias("rate"),
+    )
 
 
 @query("""WITH r AS (SELECT l_orderkey, greatest(1, l_quantity::BIGINT) AS t, floor(l_extendedprice * 1000)::BIGINT AS p FROM lineitem),
     w AS (SELECT l_orderkey, max(t) AS tokens, floor(max(p / t) * max(t))::BIGINT AS peak FROM r GROUP BY 1)
     SELECT l_orderkey, tokens, peak, greatest(1, tokens * 1048576 // peak) AS budget FROM w""")
 def q_global_budget(spark, d):
-    ranks = read(spark, d, "lineitem").select("l_orderkey", F.col("l_quantity").cast("long").alias("t"), F.floor(F.col("l_extendedprice") * 1000).cast("long").alias("p"))
+    ranks = read(spark, d, "lineitem").select(
+        "l_orderkey", F.col("l_quantity").cast("long").alias("t"),
+        F.floor(F.col("l_extendedprice") * 1000).cast("long").alias("p"),
+    )
     return batching.global_token_budget(ranks, "l_orderkey", "t", "p", 1 / 1024)
 
 
@@ -744,27 +1019,44 @@ def q_global_budget(spark, d):
     SELECT mode, round(sum(e) / sum(t), 9) AS token_error_rate, round(avg((e = 0)::INT::DOUBLE), 9) AS exact_match, count(*)::DOUBLE AS num_utts FROM e GROUP BY 1""")
 def q_mode_report(spark, d):
     k = F.get_json_object("props", "$.k").cast("long")
-    out = metrics.mode_report(read(spark, d, "events").select(F.col("event_type").alias("mode"), (k % 3).alias("e"), k.alias("t")), "mode", "e", "t")
+    out = metrics.mode_report(
+        read(spark, d, "events").select(F.col("event_type").alias("mode"), (k % 3).alias("e"), k.alias("t")), "mode",
+        "e", "t",
+    )
     return out.withColumns({c: F.round(c, 9) for c in ("token_error_rate", "exact_match")})
 
 
 # Round trips through files: written by a sink, or as other tools write them, and read by a source
 
 
-@query("""SELECT doc_id::VARCHAR AS utt_id, n_chars AS tokens, '/data/f/' || doc_id || '.pt' AS feature_path, CASE WHEN doc_id % 2 = 0 THEN 's3://a/' || doc_id ELSE '/a/' || doc_id END AS audio_filepath FROM documents""")
+@query(
+    """SELECT doc_id::VARCHAR AS utt_id, n_chars AS tokens, '/data/f/' || doc_id || '.pt' AS feature_path, CASE WHEN doc_id % 2 = 0 THEN 's3://a/' || doc_id ELSE '/a/' || doc_id END AS audio_filepath FROM documents"""
+)
 def q_manifest(spark, d):
     n, path = F.col("doc_id").cast("string"), scratch(spark)
-    ids = [F.when(F.col("doc_id") % 3 == k, n).otherwise("" if k < 2 else None).alias(c) for k, c in enumerate(("utt_id", "id", "audio_id"))]
+    ids = [
+        F.when(F.col("doc_id") % 3 == k, n).otherwise("" if k < 2 else None).alias(c) for k, c in enumerate(("utt_id", "id", "audio_id"))
+    ]
     audio = F.concat(F.when(F.col("doc_id") % 2 == 0, "s3://a/").otherwise("/a/"), n)
-    rows = read(spark, d, "documents").select(*ids, F.array("n_chars").alias("token_ids"), F.concat(F.lit("f/"), n, F.lit(".pt")).alias("feature_path"), audio.alias("audio_filepath"))
+    rows = read(spark, d, "documents").select(
+        *ids, F.array("n_chars").alias("token_ids"), F.concat(F.lit("f/"), n, F.lit(".pt")).alias("feature_path"),
+        audio.alias("audio_filepath"),
+    )
     rows.write.json(path)
-    return manifests.manifest(spark, path, "/data").select("utt_id", F.col("token_ids")[0].cast("long").alias("tokens"), "feature_path", "audio_filepath")
+    return manifests.manifest(spark, path, "/data").select(
+        "utt_id", F.col("token_ids")[0].cast("long").alias("tokens"), "feature_path", "audio_filepath",
+    )
 
 
-@query("SELECT doc_id::VARCHAR AS utt_id, CASE WHEN doc_id % 2 = 0 THEN '/data/f' || doc_id END AS feature_path, CASE WHEN doc_id % 2 = 1 THEN '/data/a' || doc_id END AS audio_filepath FROM documents")
+@query(
+    "SELECT doc_id::VARCHAR AS utt_id, CASE WHEN doc_id % 2 = 0 THEN '/data/f' || doc_id END AS feature_path, CASE WHEN doc_id % 2 = 1 THEN '/data/a' || doc_id END AS audio_filepath FROM documents"
+)
 def q_unlabelled_manifest(spark, d):
     n, path = F.col("doc_id").cast("string"), scratch(spark)
-    rows = read(spark, d, "documents").select(n.alias("id"), F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("f"), n)).alias("feature_path"), F.when(F.col("doc_id") % 2 == 1, F.concat(F.lit("a"), n)).alias("audio_filepath"))
+    rows = read(spark, d, "documents").select(
+        n.alias("id"), F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("f"), n)).alias("feature_path"),
+        F.when(F.col("doc_id") % 2 == 1, F.concat(F.lit("a"), n)).alias("audio_filepath"),
+    )
     rows.write.json(path)
     return manifests.unlabelled_manifest(spark, path, "/data")
 
@@ -786,7 +1078,9 @@ def _entries(spark, d):
 def q_length_index(spark, d):
     path = scratch(spark)
     sinks.write_length_index(_entries(spark, d), path)
-    return manifests.length_index(spark, path, "eval").select("shard_name", "utt_id", "num_frames", "audio_member", "audio_format", "audio_offset")
+    return manifests.length_index(spark, path, "eval").select(
+        "shard_name", "utt_id", "num_frames", "audio_member", "audio_format", "audio_offset",
+    )
 
 
 @query(f"""WITH s AS (SELECT {_split_sql('doc_id')} AS split, n_chars // 80 AS bucket_id, source, doc_id FROM documents), n AS (SELECT *, row_number() OVER (PARTITION BY split, bucket_id ORDER BY source, doc_id) - 1 AS o FROM s),
@@ -795,29 +1089,51 @@ def q_length_index(spark, d):
 def q_bucket_manifest(spark, d):
     folder = scratch(spark)
     sinks.write_buckets(_entries(spark, d), folder, "/shards", "lengths.jsonl", entries_per_part=5)
-    parts = F.transform("parts", lambda p: F.concat_ws(":", p["num_samples"].cast("string"), p["first_shard"], p["last_shard"]))
-    return manifests.bucket_manifest(spark, f"{folder}/manifest.json").select("split", "bucket_id", "num_samples", F.array_join(parts, " ").alias("parts"))
+    parts = F.transform(
+        "parts", lambda p: F.concat_ws(":", p["num_samples"].cast("string"), p["first_shard"], p["last_shard"])
+    )
+    return manifests.bucket_manifest(spark, f"{folder}/manifest.json").select(
+        "split", "bucket_id", "num_samples", F.array_join(parts, " ").alias("parts"),
+    )
 
 
-@query("SELECT event_id::VARCHAR AS utt_id, user_id AS token, value AS score, event_type AS pred_text, event_id % 7 AS feature_length FROM events")
+@query(
+    "SELECT event_id::VARCHAR AS utt_id, user_id AS token, value AS score, event_type AS pred_text, event_id % 7 AS feature_length FROM events"
+)
 def q_prediction_file(spark, d):
     path, none = scratch(spark), F.lit(None).cast("int")
-    debug = F.struct((F.col("event_id") % 7).cast("int").alias("feature_length"), none.alias("logit_length"), none.alias("pred_token_count"), none.alias("ref_token_count"))
-    rows = read(spark, d, "events").select(F.col("event_id").cast("string").alias("utt_id"), F.array(F.col("user_id").cast("int")).alias("pred_token_ids"), F.col("event_type").alias("pred_text"), F.col("value").alias("score"), debug.alias("debug"))
+    debug = F.struct(
+        (F.col("event_id") % 7).cast("int").alias("feature_length"), none.alias("logit_length"),
+        none.alias("pred_token_count"), none.alias("ref_token_count"),
+    )
+    rows = read(spark, d, "events").select(
+        F.col("event_id").cast("string").alias("utt_id"), F.array(F.col("user_id").cast("int")).alias("pred_token_ids"),
+        F.col("event_type").alias("pred_text"), F.col("value").alias("score"), debug.alias("debug"),
+    )
     sinks.write_predictions(rows, path)
     got = manifests.predictions(spark, path)
-    return got.select("utt_id", F.col("pred_token_ids")[0].cast("long").alias("token"), "score", "pred_text", F.col("debug.feature_length").cast("long").alias("feature_length"))
+    return got.select(
+        "utt_id", F.col("pred_token_ids")[0].cast("long").alias("token"), "score", "pred_text",
+        F.col("debug.feature_length").cast("long").alias("feature_length"),
+    )
 
 
 @query("SELECT event_id::VARCHAR AS utt_id FROM events")
 def q_utterance_ids(spark, d):
     path, n = scratch(spark), F.col("event_id")
-    as_json = F.concat(F.lit('{"'), F.when(n % 4 == 1, "utt_id").when(n % 4 == 2, "id").otherwise("audio_id"), F.lit('": "'), n, F.lit('"}'))
-    read(spark, d, "events").select(F.when(n % 4 == 0, F.concat(F.lit("  "), n, F.lit("\n"))).otherwise(as_json).alias("value")).write.text(path)
+    as_json = F.concat(
+        F.lit('{"'), F.when(n % 4 == 1, "utt_id").when(n % 4 == 2, "id").otherwise("audio_id"), F.lit('": "'), n,
+        F.lit('"}'),
+    )
+    read(spark, d, "events").select(
+        F.when(n % 4 == 0, F.concat(F.lit("  "), n, F.lit("\n"))).otherwise(as_json).alias("value")
+    ).write.text(path)
     return manifests.utterance_ids(spark, path)
 
 
-@query("SELECT event_id::DOUBLE AS feat, (user_id % 90)::DOUBLE AS pred_tok, round_even(value, 3) AS blank_top1 FROM events ORDER BY event_id LIMIT 50")
+@query(
+    "SELECT event_id::DOUBLE AS feat, (user_id % 90)::DOUBLE AS pred_tok, round_even(value, 3) AS blank_top1 FROM events ORDER BY event_id LIMIT 50"
+)
 def q_preview_file(spark, d):
     path = scratch(spark)
     none = F.lit(None).cast("double")
@@ -830,4 +1146,6 @@ def q_preview_file(spark, d):
         none.alias("ctc_score"), none.alias("decoder_score"), none.alias("combined_score"), debug.alias("debug"),
     )
     sinks.write_preview(rows, path, "event_id", 50)
-    return manifests.preview_lines(spark, path).select(*[F.col("values")[c].alias(c) for c in ("feat", "pred_tok", "blank_top1")])
+    return manifests.preview_lines(spark, path).select(
+        *[F.col("values")[c].alias(c) for c in ("feat", "pred_tok", "blank_top1")]
+    )

@@ -30,12 +30,16 @@ def corpus_lines(spark: SparkSession, path: str, splits: tuple[str, ...] = SPLIT
                             lines = [s for raw in archive.extractfile(m) if (s := raw.decode("utf-8").strip())]
                             yield pd.DataFrame({"lang": parts[-1].split(".", 1)[0], "file": m.name, "line": lines})
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, "lang string, file string, line string")
+    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(
+        run, "lang string, file string, line string",
+    )
 
 
 def corpus_counts(lines: DataFrame) -> DataFrame:
     by_file = lines.groupBy("lang", "file").agg(F.count("*").alias("n"))
-    return by_file.agg(F.sum("n").alias("num_lines"), F.count("*").alias("num_files"), F.count_distinct("lang").alias("num_languages"))
+    return by_file.agg(
+        F.sum("n").alias("num_lines"), F.count("*").alias("num_files"), F.count_distinct("lang").alias("num_languages"),
+    )
 
 
 def _wav(payload: bytes) -> tuple[np.ndarray, int]:

@@ -19,7 +19,9 @@ def _required(value: Column, message: str) -> Column:
 
 
 def resolve(path: Column, folder: str) -> Column:
-    return F.when(path.startswith("/") | path.rlike("^[a-z][a-z0-9+.-]*://"), path).otherwise(F.concat(F.lit(folder.rstrip("/") + "/"), path))
+    return F.when(
+        path.startswith("/") | path.rlike("^[a-z][a-z0-9+.-]*://"), path,
+    ).otherwise(F.concat(F.lit(folder.rstrip("/") + "/"), path))
 
 
 def manifest(spark: SparkSession, path: str, folder: str | None = None) -> DataFrame:
@@ -29,8 +31,12 @@ def manifest(spark: SparkSession, path: str, folder: str | None = None) -> DataF
     utt = _required(F.coalesce(_truthy("utt_id"), _truthy("id"), _truthy("audio_id")), "a manifest row has no id")
     has = F.col("token_ids").isNotNull() | F.col("text").isNotNull()
     return raw.select(
-        F.when(has, utt).otherwise(F.raise_error(F.lit("a manifest row has neither token_ids nor text")).cast("string")).alias("utt_id"), "token_ids", "text",
-        resolve(F.col("feature_path"), base).alias("feature_path"), resolve(F.col("audio_filepath"), base).alias("audio_filepath"), "num_frames",
+        F.when(has, utt).otherwise(
+            F.raise_error(F.lit("a manifest row has neither token_ids nor text")).cast("string")
+        ).alias("utt_id"), "token_ids", "text",
+        resolve(F.col("feature_path"), base).alias("feature_path"), resolve(
+            F.col("audio_filepath"), base,
+        ).alias("audio_filepath"), "num_frames",
     )
 
 
@@ -40,8 +46,12 @@ def unlabelled_manifest(spark: SparkSession, path: str, folder: str | None = Non
     utt = _required(F.coalesce(_truthy("utt_id"), _truthy("id"), _truthy("audio_id")), "a manifest row has no id")
     has = F.coalesce(_truthy("feature_path"), _truthy("audio_filepath")).isNotNull()
     return raw.select(
-        F.when(has, utt).otherwise(F.raise_error(F.lit("a manifest row has neither features nor audio")).cast("string")).alias("utt_id"),
-        resolve(F.col("feature_path"), base).alias("feature_path"), resolve(F.col("audio_filepath"), base).alias("audio_filepath"),
+        F.when(has, utt).otherwise(
+            F.raise_error(F.lit("a manifest row has neither features nor audio")).cast("string")
+        ).alias("utt_id"),
+        resolve(F.col("feature_path"), base).alias("feature_path"), resolve(
+            F.col("audio_filepath"), base,
+        ).alias("audio_filepath"),
     )
 
 
@@ -58,7 +68,9 @@ def bucket_manifest(spark: SparkSession, path: str) -> DataFrame:
     """(split, bucket_id, num_samples, parts, ...) by bucket."""
     raw = spark.read.schema(schemas.BUCKET_MANIFEST).option("multiLine", True).json(path)
     each = raw.select("root", "bucket_width", "entries_per_part", F.explode("splits").alias("split", "s"))
-    return each.select("root", "bucket_width", "entries_per_part", "split", F.inline("s.buckets")).orderBy("split", "bucket_id")
+    return each.select(
+        "root", "bucket_width", "entries_per_part", "split", F.inline("s.buckets"),
+    ).orderBy("split", "bucket_id")
 
 
 def json_document(spark: SparkSession, path: str) -> DataFrame:
@@ -90,18 +102,24 @@ def utterance_ids(spark: SparkSession, path: str) -> DataFrame:
 def preview_lines(spark: SparkSession, path: str, signed: bool = False) -> DataFrame:
     """(path, values): the key=number pairs of DEBUG lines."""
     rows = spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), "value")
-    return rows.where(F.col("value").startswith("  DEBUG:")).select("path", key_values(F.col("value"), signed).alias("values"))
+    return rows.where(F.col("value").startswith("  DEBUG:")).select(
+        "path", key_values(F.col("value"), signed).alias("values"),
+    )
 
 
 def corpus(spark: SparkSession, path: str) -> DataFrame:
     """(lang, file, line): stripped, non-empty lines of text files, by the language that a file's name begins with."""
-    rows = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.regexp_replace("value", f"^{SPACE}+|{SPACE}+$", "").alias("line"))
+    rows = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.regexp_replace("value", f"^{SPACE}+|{SPACE}+$", "").alias("line"),
+    )
     return rows.where(F.col("line") != "").select(language_code(F.col("file")).alias("lang"), "file", "line")
 
 
 def checkpoints(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
     """(path, modified, step) by step; names without a step come first with -1. Contents are not read."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder).select("path", F.col("modificationTime").alias("modified"))
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder).select(
+        "path", F.col("modificationTime").alias("modified"),
+    )
     return files.withColumn("step", step_number(F.col("path"))).orderBy("step", "path")
 
 

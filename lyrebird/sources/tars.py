@@ -89,7 +89,10 @@ def members_of(spark: SparkSession, path: str, pattern: str = "*.tar", payload:
     return spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path).select("path", "content").mapInPandas(run, schemas.TAR_MEMBER)
 
 
-def read_members(index: DataFrame, folder: str, shard: str = "shard_name", offset: str = "audio_offset", size: str = "audio_size", member: str = "audio_member", name: str = "payload") -> DataFrame:
+def read_members(
+    index: DataFrame, folder: str, shard: str = "shard_name", offset: str = "audio_offset", size: str = "audio_size",
+    member: str = "audio_member", name: str = "payload",
+) -> DataFrame:
     """Rows of a length index with their members' bytes: shards together and offsets in order, one open file at a time. A
     missing offset is looked up by the member's name; a short read is an error."""
     schema = index.schema.add(name, "binary")
@@ -122,8 +125,14 @@ def read_members(index: DataFrame, folder: str, shard: str = "shard_name", offse
 
 def pair(members: DataFrame) -> DataFrame:
     """Samples with an audio and a JSON member each, where keys are unique in a shard."""
-    audio = members.where("suffix <> 'json'").select("shard_name", "key", F.col("member").alias("audio_member"), F.col("suffix").alias("audio_format"), F.col("offset").alias("audio_offset"), F.col("size").alias("audio_size"))
-    meta = members.where("suffix = 'json'").select("shard_name", "key", F.col("member").alias("json_member"), F.col("offset").alias("json_offset"), F.col("size").alias("json_size"), F.col("payload").cast("string").alias("metadata"))
+    audio = members.where("suffix <> 'json'").select(
+        "shard_name", "key", F.col("member").alias("audio_member"), F.col("suffix").alias("audio_format"),
+        F.col("offset").alias("audio_offset"), F.col("size").alias("audio_size"),
+    )
+    meta = members.where("suffix = 'json'").select(
+        "shard_name", "key", F.col("member").alias("json_member"), F.col("offset").alias("json_offset"),
+        F.col("size").alias("json_size"), F.col("payload").cast("string").alias("metadata"),
+    )
     return audio.join(meta, ["shard_name", "key"])
 
 
@@ -134,6 +143,12 @@ def length_entries(members: DataFrame, rule, utt_id_key: str | None = None) -> D
 
     field = lambda n: F.get_json_object("metadata", f"$.{n}")
     paired = pair(members).withColumn("utt_id", sample_id(field(utt_id_key or rule.id_field), F.col("key")))
-    frames = infer_frames(field("num_frames"), field("begin_time"), field("end_time"), field("duration"), field("num_samples"), field("sample_rate"))
+    frames = infer_frames(
+        field("num_frames"), field("begin_time"), field("end_time"), field("duration"), field("num_samples"),
+        field("sample_rate"),
+    )
     side = rule.side(rule.key(F.col("utt_id"), F.col("shard_name")))
-    return paired.select("shard_name", "key", "utt_id", side.alias("split"), frames.alias("num_frames"), "audio_member", "audio_format", "json_member", "audio_offset", "audio_size", "json_offset", "json_size")
+    return paired.select(
+        "shard_name", "key", "utt_id", side.alias("split"), frames.alias("num_frames"), "audio_member", "audio_format",
+        "json_member", "audio_offset", "audio_size", "json_offset", "json_size",
+    )

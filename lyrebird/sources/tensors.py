@@ -39,7 +39,9 @@ def to_bytes(named: dict[str, np.ndarray]) -> bytes:
     header, body = {}, b""
     for name, x in named.items():
         x = np.ascontiguousarray(x)
-        header[name] = {"dtype": names[x.dtype], "shape": list(x.shape), "data_offsets": [len(body), len(body) + x.nbytes]}
+        header[name] = {
+            "dtype": names[x.dtype], "shape": list(x.shape), "data_offsets": [len(body), len(body) + x.nbytes],
+        }
         body += x.tobytes()
     text = json.dumps(header).encode()
     return struct.pack("<Q", len(text)) + text + body
@@ -63,4 +65,6 @@ def scores(spark: SparkSession, path: str, scores_name: str = "logits", lengths_
                 for i, k in enumerate(n.tolist()):
                     yield pd.DataFrame({"file": [file], "place": [i], "scores": [x[i, :k].tolist()], "length": [k]})
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "file string, place int, scores array<array<float>>, length int")
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(
+        run, "file string, place int, scores array<array<float>>, length int",
+    )

@@ -13,7 +13,10 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from ..operators.batching import Batcher
 
 
-def watch_json(spark: SparkSession, folder: str, schema: str, handle: Callable[[DataFrame, int], None], checkpoint: str, once: bool = True, every: str = "30 seconds", min_age: str | None = None):
+def watch_json(
+    spark: SparkSession, folder: str, schema: str, handle: Callable[[DataFrame, int], None], checkpoint: str,
+    once: bool = True, every: str = "30 seconds", min_age: str | None = None,
+):
     """Call ``handle(rows, batch)`` for files that appear under a folder. The checkpoint remembers what was handled, so a
     restart goes on where it stopped; ``handle`` should overwrite by key, since its last call may come again."""
     stream = spark.readStream.schema(schema).option("recursiveFileLookup", True).json(folder)
@@ -55,14 +58,23 @@ def upsert(target: str, key: str) -> Callable[[DataFrame, int], None]:
     return handle
 
 
-def paired_stream(audio: DataFrame, meta: DataFrame, keys: list[str], time: str, within: str = "10 minutes") -> DataFrame:
+def paired_stream(
+    audio: DataFrame, meta: DataFrame, keys: list[str], time: str, within: str = "10 minutes",
+) -> DataFrame:
     """Stream-stream join of members on their keys; a member waits for its partner no longer than ``within``."""
     a, m = audio.withWatermark(time, within).alias("a"), meta.withWatermark(time, within).alias("m")
-    on = F.expr(" AND ".join(f"a.{k} = m.{k}" for k in keys) + f" AND m.{time} BETWEEN a.{time} - INTERVAL {within} AND a.{time} + INTERVAL {within}")
+    on = F.expr(
+        " AND ".join(
+            f"a.{k} = m.{k}" for k in keys
+        ) + f" AND m.{time} BETWEEN a.{time} - INTERVAL {within} AND a.{time} + INTERVAL {within}"
+    )
     return a.join(m, on).select("a.*", *[F.col(f"m.{c}") for c in meta.columns if c not in keys and c != time])
 
 
-def batch_stream(rows: DataFrame, key: str, order: str, frames: str, text: str, budget: int | None, most: int, skip_oversized: bool = True) -> DataFrame:
+def batch_stream(
+    rows: DataFrame, key: str, order: str, frames: str, text: str, budget: int | None, most: int,
+    skip_oversized: bool = True,
+) -> DataFrame:
     """(key, order, frames, text, batch): greedy batches over each key's stream, carried over from one micro-batch to the next."""
     batcher = Batcher(budget, most, skip_oversized)
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
@@ -79,4 +91,6 @@ def batch_stream(rows: DataFrame, key: str, order: str, frames: str, text: str,
         yield pd.DataFrame(out, columns=[key, order, frames, text, "batch"])
 
     schema = f"{key} {kinds[key]}, {order} {kinds[order]}, {frames} {kinds[frames]}, {text} {kinds[text]}, batch long"
-    return rows.groupBy(key).applyInPandasWithState(run, schema, "batch long, n long, longest long, words long", "append", GroupStateTimeout.NoTimeout)
+    return rows.groupBy(key).applyInPandasWithState(
+        run, schema, "batch long, n long, longest long, words long", "append", GroupStateTimeout.NoTimeout,
+    )
