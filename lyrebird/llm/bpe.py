@@ -99,7 +99,9 @@ class Codec:
     """raw: the lines of a rank file, each a token in base 64 and its rank."""
 
     def __init__(self, raw: bytes, pattern: str):
-        self.ranks = {base64.b64decode(t): int(r) for t, r in (line.split() for line in raw.splitlines() if line.strip())}
+        self.ranks = {
+            base64.b64decode(t): int(r) for t, r in (line.split() for line in raw.splitlines() if line.strip())
+        }
         self.split = regex.compile(pattern).findall
         n = max(self.ranks.values()) + 1
         tokens = [b""] * n
@@ -233,7 +235,11 @@ class Codec:
         """All ids one after another, and where each text's begin and the last ends."""
         if len(self.index) > REMEMBERED:
             self._forget()
-        met = [np.fromiter(map(self.index.__getitem__, self.split(t)), np.int64) if t else np.zeros(0, np.int64) for t in texts]
+        met = [
+            np.fromiter(
+                map(self.index.__getitem__, self.split(t)), np.int64,
+            ) if t else np.zeros(0, np.int64) for t in texts
+        ]
         self._learn()
         pieces = np.concatenate(met) if met else np.zeros(0, np.int64)
         sizes = self.sizes[pieces]
@@ -241,7 +247,9 @@ class Codec:
         bounds = ends[np.concatenate([[0], np.cumsum([len(x) for x in met], dtype=np.int64)])]
         return gather(self.flat, self.starts[pieces], sizes), bounds
 
-    def _render(self, side: tuple[np.ndarray, np.ndarray, np.ndarray], ids: np.ndarray, bounds: np.ndarray, cut: int) -> list[memoryview]:
+    def _render(
+        self, side: tuple[np.ndarray, np.ndarray, np.ndarray], ids: np.ndarray, bounds: np.ndarray, cut: int,
+    ) -> list[memoryview]:
         buffer, starts, sizes = side
         out = memoryview(gather(buffer, starts[ids], sizes[ids]))
         at = np.concatenate([[0], np.cumsum(sizes[ids])])[bounds].tolist()
@@ -286,14 +294,19 @@ def _over(docs: DataFrame, id_col: str, text_col: str, path: str, pattern: str,
                 ids, bounds = codec.encode(part.column(1).to_pylist())
                 yield pa.RecordBatch.from_arrays([part.column(0), *make(codec, ids, bounds)], names=names)
 
-    return kept.mapInArrow(run, f"id {kept.schema['id'].dataType.simpleString()}, {fields}").withColumnRenamed("id", id_col)
+    return kept.mapInArrow(
+        run, f"id {kept.schema['id'].dataType.simpleString()}, {fields}",
+    ).withColumnRenamed("id", id_col)
 
 
 def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, ids array<int>, decoded binary): the ids of each whole text, and the bytes they decode to."""
 
     def make(codec: Codec, ids: np.ndarray, bounds: np.ndarray) -> list[pa.Array]:
-        return [pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids)), pa.array([bytes(x) for x in codec.decode(ids, bounds)], pa.binary())]
+        return [
+            pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids)),
+            pa.array([bytes(x) for x in codec.decode(ids, bounds)], pa.binary()),
+        ]
 
     return _over(docs, id_col, text_col, path, pattern, "ids array<int>, decoded binary", make)
 

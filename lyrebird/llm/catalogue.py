@@ -9,7 +9,10 @@ from pyspark.sql import functions as F
 from . import bpe, decontaminate, hnsw, html, licenses, quality, sharding, simhash, tokencount, urls
 from .common import table
 
-URL_RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"))
+URL_RULES = (
+    ("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"),
+    ("com", "/fr/", "allow"), ("com", "/de/", "block"),
+)
 MULTILINGUAL = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
@@ -59,6 +62,9 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_license_scan, op2_url_filter, op3_sharding, op4_quality, op5_token_counts, op6_decontamination, op7_html_text, op8_embedding_dedup, op9_simhash, op10_byte_bpe)
+    for f in (
+        op1_license_scan, op2_url_filter, op3_sharding, op4_quality, op5_token_counts, op6_decontamination,
+        op7_html_text, op8_embedding_dedup, op9_simhash, op10_byte_bpe,
+    )
 }
 SQL = {"op1_license_scan": licenses.sql(), "op2_url_filter": urls.sql(URL_RULES), "op3_sharding": sharding.sql()}

@@ -75,7 +75,10 @@ def settle_bucketed(df: DataFrame, key: str) -> DataFrame:
     spark = df.sparkSession
     path = _place(spark)
     name = f"spark_catalog.default.lyrebird_{path[-32:]}"
-    buckets = min(conf_int(spark, "spark.sql.shuffle.partitions", 200), conf_int(spark, "spark.sql.sources.bucketing.maxBuckets", 100_000))
+    buckets = min(
+        conf_int(spark, "spark.sql.shuffle.partitions", 200),
+        conf_int(spark, "spark.sql.sources.bucketing.maxBuckets", 100_000),
+    )
     df.write.format("parquet").bucketBy(buckets, key).option("path", path).saveAsTable(name)
     out = spark.table(name)
     out.schema  # resolved before the name goes; an external table's files stay

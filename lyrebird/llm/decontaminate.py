@@ -81,7 +81,10 @@ def _grams(points: np.ndarray, q: int) -> np.ndarray:
 class Wanted:
     """The distinct segments of a block of the benchmark and an index of their q-grams; short items are kept as they are."""
 
-    def __init__(self, items: list[tuple[object, str | None]], q: int = Q, segment: int = SEGMENT, per_edit: int = PER_EDIT, least: int = LEAST):
+    def __init__(
+        self, items: list[tuple[object, str | None]], q: int = Q, segment: int = SEGMENT, per_edit: int = PER_EDIT,
+        least: int = LEAST,
+    ):
         if least < 2 * q or per_edit <= q or segment < least:
             raise ValueError("a segment of least characters must share a q-gram: least >= 2 * q and per_edit > q")
         self.q = q
@@ -139,10 +142,14 @@ class Wanted:
         hashed = _grams(text, self.q)
         spots = np.flatnonzero(self.marks[(hashed >> np.uint64(64 - self.bits)).astype(np.int64)])
         found = {(t, s): (edits, end) for t, s, edits, end in self._segments(text, begins, hashed, spots)}
-        spread = [(t, number, place, edits, end) for (t, s), (edits, end) in found.items() for number, place in self.items[s]]
+        spread = [
+            (t, number, place, edits, end) for (t, s), (edits, end) in found.items() for number, place in self.items[s]
+        ]
         return spread + self._exact(text, begins, hashed, spots)
 
-    def _exact(self, text: np.ndarray, begins: np.ndarray, hashed: np.ndarray, spots: np.ndarray) -> list[tuple[int, int, int, int, int]]:
+    def _exact(
+        self, text: np.ndarray, begins: np.ndarray, hashed: np.ndarray, spots: np.ndarray,
+    ) -> list[tuple[int, int, int, int, int]]:
         """Items that are too short for edits, between word borders; each is given once for a text, where it ends first."""
         out: dict[tuple[int, int], int] = {}
         inside = lambda i: i < len(text) and (chr(text[i]).isalnum() or chr(text[i]) == "_")
@@ -155,7 +162,9 @@ class Wanted:
                         out.setdefault((t, number), end - 1 - int(begins[t]))
         return [(t, number, 0, 0, end) for (t, number), end in out.items()]
 
-    def _segments(self, text: np.ndarray, begins: np.ndarray, hashed: np.ndarray, spots: np.ndarray) -> list[tuple[int, int, int, int]]:
+    def _segments(
+        self, text: np.ndarray, begins: np.ndarray, hashed: np.ndarray, spots: np.ndarray,
+    ) -> list[tuple[int, int, int, int]]:
         """(text, segment, edits, place) of the distinct segments."""
         if not len(self.sizes) or not len(spots):
             return []
@@ -169,14 +178,19 @@ class Wanted:
         for at in np.split(np.arange(len(slot)), np.flatnonzero(np.diff(load // MATCHES)) + 1):
             sizes = self.counts[slot[at]]
             ends = np.cumsum(sizes)
-            entry = np.repeat(self.first[slot[at]] - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0)
+            entry = np.repeat(
+                self.first[slot[at]] - (ends - sizes), sizes,
+            ) + np.arange(int(ends[-1]) if len(ends) else 0)
             band = (np.repeat(spots[at], sizes) - self.place[entry]) // self.step
             some, n = np.unique(self.owner[entry] * bands + band, return_counts=True)
             keys.append(some), counts.append(n)
         key, back = np.unique(np.concatenate(keys), return_inverse=True)
         count = np.bincount(back, np.concatenate(counts), len(key)).astype(np.int64)
         after = np.searchsorted(key, key + 1)
-        follows = np.where((after < len(key)) & (key[np.minimum(after, len(key) - 1)] == key + 1), count[np.minimum(after, len(key) - 1)], 0)
+        follows = np.where(
+            (after < len(key)) & (key[np.minimum(after, len(key) - 1)] == key + 1),
+            count[np.minimum(after, len(key) - 1)], 0,
+        )
         before = np.searchsorted(key, key - 1)
         alone = ~((before < len(key)) & (key[np.minimum(before, len(key) - 1)] == key - 1))
         bound = self.bounds[key // bands]
@@ -227,7 +241,10 @@ def _blocks(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[list[t
     yield held
 
 
-def found(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", **settings: int) -> DataFrame:
+def found(
+    docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
+    item_text_col: str = "text", **settings: int
+) -> DataFrame:
     """(id_col, item_col, segments, edits, ends): for each document and item, how many segments were found, the least edits, and where the found stretches end in the normalised text."""
     spark = docs.sparkSession
     ship(spark)
@@ -263,7 +280,10 @@ def found(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     return out.withColumnsRenamed({"id": id_col, "item": item_col})
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", **settings: int) -> DataFrame:
+def clean(
+    docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id",
+    item_text_col: str = "text", **settings: int
+) -> DataFrame:
     """The rows of ``docs`` that hold no item, with all their columns."""
     spark = docs.sparkSession
     ship(spark)

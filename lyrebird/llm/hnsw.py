@@ -154,7 +154,9 @@ class Graph:
             ids[fresh, k] = start[fresh, k]
             seen[rows, start[:, k]] = True
         held = ids[:, : start.shape[1]]
-        sims[:, : start.shape[1]] = np.where(held < n, np.einsum("nkd,nd->nk", self.x[np.minimum(held, n - 1)], q), -np.inf)
+        sims[:, : start.shape[1]] = np.where(
+            held < n, np.einsum("nkd,nd->nk", self.x[np.minimum(held, n - 1)], q), -np.inf,
+        )
         opened = np.zeros(ids.shape, bool)
         live = rows
         while len(live):
@@ -200,7 +202,9 @@ def _probes(x: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
     return nodes, cosine * x[nodes] + np.sqrt(1 - cosine * cosine) * aside
 
 
-def links(graph: Graph, q: np.ndarray, threshold: float, recall: float, rungs: tuple[int, ...] = RUNGS, own: bool = False) -> tuple[np.ndarray, np.ndarray]:
+def links(
+    graph: Graph, q: np.ndarray, threshold: float, recall: float, rungs: tuple[int, ...] = RUNGS, own: bool = False,
+) -> tuple[np.ndarray, np.ndarray]:
     """(row of q, node): all pairs found with a cosine of the threshold or more; own says that q are the nodes themselves."""
     audit = np.unique(np.linspace(0, len(q) - 1, min(len(q), AUDITED)).astype(int))
     near = q[audit] @ graph.x.T >= threshold
@@ -263,10 +267,15 @@ def _build(group: pa.Table, kind: str) -> pa.Table:
     raw = np.array(group.column("v").to_pylist(), kind)
     graph = Graph(_unit(raw))
     row = {c: group.column(c)[0].as_py() for c in ("dim", "shard", "shards")}
-    row |= {"raw": raw.tobytes(), "nodes": group.column("node").to_numpy().tobytes(), "copies": group.column("n").to_numpy().tobytes()}
+    row |= {
+        "raw": raw.tobytes(), "nodes": group.column("node").to_numpy().tobytes(),
+        "copies": group.column("n").to_numpy().tobytes(),
+    }
     row["graph"] = pickle.dumps((graph.layers, graph.entry))
     kinds = [*[pa.int32()] * 3, *[pa.binary()] * 4]
-    return pa.table({"label": group.column("label").slice(0, 1), **{c: pa.array([v], k) for (c, v), k in zip(row.items(), kinds)}})
+    return pa.table(
+        {"label": group.column("label").slice(0, 1), **{c: pa.array([v], k) for (c, v), k in zip(row.items(), kinds)}}
+    )
 
 
 def _search(held: pa.Table, asked: pa.Table, kind: str, threshold: float, recall: float) -> pa.Table:
@@ -287,7 +296,9 @@ def _search(held: pa.Table, asked: pa.Table, kind: str, threshold: float, recall
             # Both directions were searched: take each pair once.
             a, b = np.divmod(np.unique(np.minimum(a, b)[a != b] * len(x) + np.maximum(a, b)[a != b]), len(x))
         else:
-            names, weights = np.concatenate([names, read(row, "nodes", np.int64)]), np.concatenate([weights, read(row, "copies", np.int64)])
+            names, weights = np.concatenate([names, read(row, "nodes", np.int64)]), np.concatenate(
+                [weights, read(row, "copies", np.int64)]
+            )
             a = a + len(x)
         count = np.bincount(a, weights[b], len(names)) + np.bincount(b, weights[a], len(names))
         on = np.flatnonzero(count)
@@ -308,29 +319,53 @@ def near_duplicates(
     dtype = {"float": "float32", "double": "float64"}[kind]
     top = float("inf")
     usable = F.forall("v", lambda x: x.isNotNull() & (x < top) & (x > -top)) & F.exists("v", lambda x: x != 0)
-    given = rows.select(F.col(id_col).alias("id"), F.col(vector_col).cast(f"array<{kind}>").alias("v"), F.col(label_col).alias("label"))
+    given = rows.select(
+        F.col(id_col).alias("id"), F.col(vector_col).cast(f"array<{kind}>").alias("v"), F.col(label_col).alias("label"),
+    )
     given = given.withColumn("good", F.coalesce(F.col("label").isNotNull() & usable, F.lit(False)))
     nodes = settle(
         given.where("good").groupBy("label", "v").agg(F.min("id").alias("least"), F.count("*").alias("n"))
         .select("label", F.size("v").alias("dim"), "v", "least", "n", F.monotonically_increasing_id().alias("node"))
     )
     groups = nodes.groupBy("label", "dim").agg(F.ceil(F.count("*") / shard_size).cast("int").alias("shards"))
-    dealt = nodes.drop("least").join(groups, ["label", "dim"]).withColumn("shard", F.pmod(F.xxhash64("node"), F.col("shards")).cast("int"))
+    dealt = nodes.drop("least").join(groups, ["label", "dim"]).withColumn(
+        "shard", F.pmod(F.xxhash64("node"), F.col("shards")).cast("int"),
+    )
     label = nodes.schema["label"].dataType.simpleString()
-    graphs = settle(dealt.groupBy("label", "dim", "shard").applyInArrow(lambda group: _build(group, dtype), f"label {label}, {SHARDS}"))
+    graphs = settle(
+        dealt.groupBy("label", "dim", "shard").applyInArrow(
+            lambda group: _build(group, dtype), f"label {label}, {SHARDS}"
+        )
+    )
     # Shard s is asked about in the graphs 0 to s; so the graph g meets the shards from g on, some at a time.
     task_of = lambda c: F.floor(c / ABREAST).cast("int")
     held = graphs.withColumn("task", F.explode(F.sequence(task_of(F.col("shard")), task_of(F.col("shards") - 1))))
-    asked = graphs.drop("graph").withColumnRenamed("shard", "from").withColumns({"shard": F.explode(F.sequence(F.lit(0), "from")), "task": task_of(F.col("from"))})
+    asked = graphs.drop("graph").withColumnRenamed("shard", "from").withColumns(
+        {"shard": F.explode(F.sequence(F.lit(0), "from")), "task": task_of(F.col("from"))}
+    )
     met = ["label", "dim", "shard", "task"]
-    searched = held.groupBy(*met).cogroup(asked.groupBy(*met)).applyInArrow(lambda a, b: _search(a, b, dtype, threshold, recall), "node long, links long, root long")
+    searched = held.groupBy(*met).cogroup(asked.groupBy(*met)).applyInArrow(
+        lambda a, b: _search(a, b, dtype, threshold, recall), "node long, links long, root long"
+    )
     found = settle(searched)
     roots = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
     linked = found.groupBy("node").agg(F.sum("links").alias("links"))
-    named = nodes.join(linked, "node", "left").join(roots, "node", "left").select("label", "v", "least", "n", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("root", "node").alias("root"))
+    named = nodes.join(linked, "node", "left").join(roots, "node", "left").select(
+        "label", "v", "least", "n", F.coalesce("links", F.lit(0)).alias("links"),
+        F.coalesce("root", "node").alias("root"),
+    )
     named = settle(named)
     best = named.groupBy("root").agg(F.min("least").alias("component"))
-    lookup = named.join(best, "root").select("label", "v", (F.col("links") + F.col("n") - 1).alias("n_links"), "component")
-    out = given.where("good").join(lookup, ["label", "v"]).select("id", "n_links", F.col("component").alias("component_id"))
-    alone = given.where(~F.col("good")).select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
-    return out.union(alone).select(F.col("id").alias(id_col), F.col("n_links").cast("long").alias("n_links"), "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
+    lookup = named.join(best, "root").select(
+        "label", "v", (F.col("links") + F.col("n") - 1).alias("n_links"), "component",
+    )
+    out = given.where("good").join(lookup, ["label", "v"]).select(
+        "id", "n_links", F.col("component").alias("component_id"),
+    )
+    alone = given.where(~F.col("good")).select(
+        "id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"),
+    )
+    return out.union(alone).select(
+        F.col("id").alias(id_col), F.col("n_links").cast("long").alias("n_links"), "component_id",
+        F.col("id").eqNullSafe(F.col("component_id")).alias("kept"),
+    )

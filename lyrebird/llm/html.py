@@ -62,7 +62,11 @@ INLINE = {
     "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "img", "br", "label", "nobr", "center-inline",
 }
 #: What an opening tag closes, if it is open and nothing of the second set stands between.
-CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
+CLOSES = {
+    "li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}),
+    "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}),
+    "option": ({"option"}, {"select"}),
+}
 OUT = {
     "nav", "header", "footer", "aside", "form", "script", "style", "noscript", "template", "iframe", "svg", "button", "select", "option", "textarea", "dialog", "menu", "head",
     "title", "object", "canvas", "audio", "video", "map", "fieldset", "input", "noembed", "noframes", "xmp", "math-hidden",
@@ -82,7 +86,10 @@ WEAK = {
     "copyright", "skip", "alert",
 }
 #: With one of these beside them, the first of the weak ones are enough (``related-posts``).
-LISTS = {"posts", "post", "articles", "article", "stories", "links", "items", "topics", "products", "news", "pages", "reading"}
+LISTS = {
+    "posts", "post", "articles", "article", "stories", "links", "items", "topics", "products", "news", "pages",
+    "reading",
+}
 WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
 
@@ -100,7 +107,9 @@ def _weak(names: str) -> bool:
     """Whether the hints in an element's classes are weak ones, each only a word among others."""
     for token in names.split():
         found = {w.lower() for w in WORD.findall(token)}
-        if found & HINTS and (len(found) == 1 or found & HINTS - WEAK or found & {"related", "recommended"} and found & LISTS):
+        if found & HINTS and (
+            len(found) == 1 or found & HINTS - WEAK or found & {"related", "recommended"} and found & LISTS
+        ):
             return False
     return True
 
@@ -139,7 +148,9 @@ def _role(name: str, attrs: str, inside: bool = False) -> tuple[int | None, str]
     if name in OUT:
         return -1, shown
     if (name not in INLINE or name in ("span", "a")) and words & HINTS:
-        return (None if inside and _weak(classes) and words & HINTS <= {w.lower() for w in WORD.findall(classes)} else -1), shown
+        return (
+            None if inside and _weak(classes) and words & HINTS <= {w.lower() for w in WORD.findall(classes)} else -1
+        ), shown
     return (1 if "main" in words and "role" in attrs else 0), shown
 
 
@@ -212,7 +223,9 @@ def parse(page: str) -> Page:
         tags.append((here, len(runs)))
         if name == "br":
             text(" ")
-        if name in VOID or attrs.rstrip().endswith("/") and name not in RAW and name not in ("p", "div", "span", "a", "li", "article", "main", "section", "b", "i", "em", "strong"):
+        if name in VOID or attrs.rstrip().endswith("/") and name not in RAW and name not in (
+            "p", "div", "span", "a", "li", "article", "main", "section", "b", "i", "em", "strong",
+        ):
             continue
         if name in RAW:
             # The content is not markup; it ends at the element's own end tag.
@@ -272,10 +285,16 @@ def _blocks(runs: list[Run]) -> list[tuple[str, list[int]]]:
     for i, r in enumerate(runs):
         if r.text != " ":
             at[r.block].append(i)
-    return [(f"{runs[places[0]].path}|{' '.join(' '.join(runs[i].text for i in places).split())}", places) for places in at.values()]
+    return [
+        (
+            f"{runs[places[0]].path}|{' '.join(' '.join(runs[i].text for i in places).split())}", places,
+        ) for places in at.values()
+    ]
 
 
-def _template(pages: list[Page], blocks: list[list[tuple[str, list[int]]]]) -> tuple[list[dict[int, str]], set[str], set[str]]:
+def _template(
+    pages: list[Page], blocks: list[list[tuple[str, list[int]]]],
+) -> tuple[list[dict[int, str]], set[str], set[str]]:
     """For each page the names of the tags in the nest by their index; the tokens of text that is template; those on ``SUPPORT`` pages."""
     counts = [Counter(t for t, _ in tags) for tags, *_ in pages]
     vectors: dict[str, list[tuple[int, int]]] = defaultdict(list)
@@ -349,7 +368,11 @@ def extract(pages: list[str | None]) -> list[str]:
                 s[1] += 1
                 s[2] += words * runs[i].link
                 s[3] += words * (token in often)
-    poor = {s for s, (words, count, linked, repeated) in seen.items() if 2 * linked >= words or words < 5 * count and 2 * repeated >= words}
+    poor = {
+        s for s, (
+            words, count, linked, repeated,
+        ) in seen.items() if 2 * linked >= words or words < 5 * count and 2 * repeated >= words
+    }
     left: Counter[tuple[str, str]] = Counter()
     for (_, runs, _), mine in zip(distinct, slots):
         for r, s in zip(runs, mine):
@@ -362,7 +385,9 @@ def extract(pages: list[str | None]) -> list[str]:
         kept = {i for i, r in enumerate(runs) if r.role == has_main}
         if known and not has_main and not any_main:
             # Slots that are short and repeated or all links on the whole host hold no article.
-            kept = {i for i in kept if runs[i].text == " " or mine[i] not in poor or re.search(r">h[1-6]\b", runs[i].path)}
+            kept = {
+                i for i in kept if runs[i].text == " " or mine[i] not in poor or re.search(r">h[1-6]\b", runs[i].path)
+            }
             kept = _within(runs, parents, kept, {i for i in kept if mine[i] in major and runs[i].text != " "})
         repeated, own = [], 0
         for token, at in places:
@@ -386,10 +411,18 @@ def extract(pages: list[str | None]) -> list[str]:
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(id_col, url_col, text, n_chars) for every page."""
     ship(pages.sparkSession)
-    given = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html")).withColumn("host", host_of(F.col("url")))
+    given = pages.select(
+        F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"),
+    ).withColumn("host", host_of(F.col("url")))
     # A row for each host.
     size = F.sum(F.octet_length("html").cast("long"))
-    chunks = settle(given.groupBy("host").agg(F.greatest(F.ceil(F.count("*") / CHUNK), F.ceil(F.coalesce(size, F.lit(0)) / CHUNK_BYTES)).cast("int").alias("chunks")))
+    chunks = settle(
+        given.groupBy("host").agg(
+            F.greatest(
+                F.ceil(F.count("*") / CHUNK), F.ceil(F.coalesce(size, F.lit(0)) / CHUNK_BYTES),
+            ).cast("int").alias("chunks")
+        )
+    )
     dealt = given.join(chunks, "host").withColumn("chunk", F.pmod(F.xxhash64("id", "url", "html"), F.col("chunks")))
     kind = given.schema["id"].dataType.simpleString()
 

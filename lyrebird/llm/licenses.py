@@ -105,7 +105,10 @@ _UNLICENSE = (
 )
 #: (licence, text): one-line notices, headers and short licences as their authors publish them.
 TEMPLATES = (
-    ("0BSD", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted. " + _WARRANTY),
+    (
+        "0BSD",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted. " + _WARRANTY,
+    ),
     ("AGPL-3.0", _GNU.format("Affero General Public License")),
     ("AGPL-3.0", "This work is licensed under the GNU Affero General Public License, version 3."),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
@@ -124,18 +127,33 @@ TEMPLATES = (
     ("CC-BY-4.0", "Licensed under CC BY 4.0."),
     ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
-    ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
+    (
+        "CC-BY-NC-4.0",
+        "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
+    ),
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
-    ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
-    ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."),
+    (
+        "CC-BY-SA-4.0",
+        "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+    ),
+    (
+        "CC0-1.0",
+        "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",
+    ),
     ("GPL-3.0", _GNU.format("General Public License")),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
-    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. " + _WARRANTY),
+    (
+        "ISC",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. " + _WARRANTY,
+    ),
     ("LGPL-3.0", _GNU.format("Lesser General Public License")),
     ("LGPL-3.0", "This work is licensed under the GNU Lesser General Public License, version 3."),
     ("MIT", _MIT),
     ("MIT", "Released under the MIT License."),
-    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
+    (
+        "MPL-2.0",
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
+    ),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
     ("Unlicense", _UNLICENSE),
     ("Zlib", _ZLIB),
@@ -270,7 +288,10 @@ class Templates:
 _LOWER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: Sequence[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
+def scan(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: Sequence[tuple[str, str]] = TEMPLATES,
+    threshold: float = THRESHOLD,
+) -> DataFrame:
     """(id_col, kind, place, license, template, dice): for each segment that matches, its best template, and for each run. place counts the segments of a kind from 0; a run's is its first word's."""
     ship(docs.sparkSession)
     kept = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
@@ -279,23 +300,35 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templa
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Templates(templates, threshold)
         for batch in batches:
-            rows = [(i, *hit) for a, b in parts(batch.column(1)) for i, text in enumerate(batch.column(1).slice(a, b - a).to_pylist(), a) for hit in known.findings(text)]
+            rows = [
+                (i, *hit) for a, b in parts(batch.column(1)) for i, text in enumerate(
+                    batch.column(1).slice(a, b - a).to_pylist(), a,
+                ) for hit in known.findings(text)
+            ]
             columns = list(zip(*rows)) or [()] * 5
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column(0).take(pa.array(columns[0], pa.int64())), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.int32()),
-                    pa.array([known.names[k] for k in columns[3]], pa.string()), pa.array(columns[3], pa.int32()), pa.array(columns[4], pa.float64()),
+                    batch.column(0).take(
+                        pa.array(columns[0], pa.int64())
+                    ), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.int32()),
+                    pa.array(
+                        [known.names[k] for k in columns[3]], pa.string(),
+                    ), pa.array(columns[3], pa.int32()), pa.array(columns[4], pa.float64()),
                 ],
                 names=["id", "kind", "place", "license", "template", "dice"],
             )
 
-    return kept.mapInArrow(run, f"id {kind}, kind string, place int, license string, template int, dice double").withColumnRenamed("id", id_col)
+    return kept.mapInArrow(
+        run, f"id {kind}, kind string, place int, license string, template int, dice double",
+    ).withColumnRenamed("id", id_col)
 
 
 def sql(templates=TEMPLATES, threshold: float = THRESHOLD) -> str:
     """The same scan of table ``documents`` in DuckDB's SQL, without the pruning."""
     quote = lambda x: "'" + x.replace("'", "''") + "'"
-    rows = ", ".join(f"({k}, {quote(n)}, [{', '.join(quote(b) for b in bigrams_of(t))}])" for k, (n, t) in enumerate(templates))
+    rows = ", ".join(
+        f"({k}, {quote(n)}, [{', '.join(quote(b) for b in bigrams_of(t))}])" for k, (n, t) in enumerate(templates)
+    )
     return f"""WITH t(k, name, b) AS (VALUES {rows}),
     d AS (SELECT doc_id, row_number() OVER () AS rid, regexp_replace(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9\\n]+', ' ', 'g') AS c FROM documents),
     cut AS (SELECT *, string_split(c, chr(10)) AS l, regexp_split_to_array(c, '\\n *\\n[ \\n]*') AS p FROM d),

@@ -125,7 +125,9 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for i in range(0, len(keys), 100_000):
                 n = len(keys[i : i + 100_000])
                 names = pa.array([model] * n, pa.string())
-                yield pa.RecordBatch.from_arrays([names, pa.array(keys[i : i + n]), pa.array(counts[i : i + n])], names=["model", "g", "c"])
+                yield pa.RecordBatch.from_arrays(
+                    [names, pa.array(keys[i : i + n]), pa.array(counts[i : i + n])], names=["model", "g", "c"],
+                )
         held.clear()
 
     for batch in batches:
@@ -173,7 +175,9 @@ def _shard_row(key: tuple, group: pa.Table) -> pa.Table:
     levels = _levels(g, c)
     pairs, befores = levels[2]
     row = {
-        "model": key[0].as_py(), "shard": key[1].as_py(), "g": g.tobytes(), "c": c.tobytes(), "tallies": [x for k in (3, 4, 5) for x in _tally(levels[k][1])],
+        "model": key[0].as_py(), "shard": key[1].as_py(), "g": g.tobytes(), "c": c.tobytes(), "tallies": [
+            x for k in (3, 4, 5) for x in _tally(levels[k][1])
+        ],
         "pairs": pairs.tobytes(), "befores": befores.astype(np.int64).tobytes(),
     }
     kinds = [pa.string(), pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.binary(), pa.binary()]
@@ -209,7 +213,10 @@ def _lower_row(key: tuple, group: pa.Table) -> pa.Table:
     weight = np.divide(left, total, out=np.ones(SYMBOLS), where=total > 0)
     two = (counts - d) / total[context] + weight[context] * one[tail(pairs, 1)]
     cuts = [x for n in tallies for x in discounts(n)]
-    row = {"model": key[0].as_py(), "cuts": cuts, "one": one.tobytes(), "weight": weight.tobytes(), "pairs": pairs.tobytes(), "two": two.tobytes()}
+    row = {
+        "model": key[0].as_py(), "cuts": cuts, "one": one.tobytes(), "weight": weight.tobytes(),
+        "pairs": pairs.tobytes(), "two": two.tobytes(),
+    }
     kinds = [pa.string(), pa.list_(pa.float64()), *[pa.binary()] * 4]
     return pa.Table.from_pylist([row], schema=pa.schema(list(zip(row, kinds))))
 
@@ -217,13 +224,19 @@ def _lower_row(key: tuple, group: pa.Table) -> pa.Table:
 def train(texts: DataFrame) -> tuple[DataFrame, int]:
     """The shards of all models from texts (lang, text), a row each, and the number of shards that a model has."""
     ship(texts.sparkSession)
-    named = texts.select(F.concat(F.lit("="), F.coalesce(F.col("lang").cast("string"), F.lit(""))).alias("model"), "text")
-    counted = settle(named.mapInArrow(_count, "model string, g long, c long").groupBy("model", "g").agg(F.sum("c").alias("c")))
+    named = texts.select(
+        F.concat(F.lit("="), F.coalesce(F.col("lang").cast("string"), F.lit(""))).alias("model"), "text",
+    )
+    counted = settle(
+        named.mapInArrow(_count, "model string, g long, c long").groupBy("model", "g").agg(F.sum("c").alias("c"))
+    )
     shards = max(1, -(-counted.count() // TRAINED))
     pooled = counted.groupBy("g").agg(F.sum("c").alias("c")).select(F.lit(POOLED).alias("model"), "g", "c")
     dealt = counted.union(pooled).withColumn("shard", _shard_column(F.col("g"), shards))
     rows = settle(dealt.groupBy("model", "shard").applyInArrow(_shard_row, SHARD_ROWS))
-    lower = settle(rows.select("model", "tallies", "pairs", "befores").groupBy("model").applyInArrow(_lower_row, LOWER_ROWS))
+    lower = settle(
+        rows.select("model", "tallies", "pairs", "befores").groupBy("model").applyInArrow(_lower_row, LOWER_ROWS)
+    )
     # A shard without n-grams of a model still has the model's lower orders.
     every = lower.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
     return settle(every.join(rows.drop("tallies", "pairs", "befores"), ["model", "shard"], "left")), shards
@@ -273,7 +286,12 @@ PACKED = "block string, model string, shard int, n long, keys binary, texts bina
 
 def _pack(batches: Iterator[pa.RecordBatch], model_at: int, text_at: int, shards: int) -> Iterator[pa.RecordBatch]:
     """Blocks of rows: pieces of a block's rows, compressed, a row each, and one row for the distinct 5-grams of each model and shard."""
-    schema = pa.schema([("block", pa.string()), ("model", pa.string()), ("shard", pa.int32()), ("n", pa.int64()), ("keys", pa.binary()), ("texts", pa.binary())])
+    schema = pa.schema(
+        [
+            ("block", pa.string()), ("model", pa.string()), ("shard", pa.int32()), ("n", pa.int64()),
+            ("keys", pa.binary()), ("texts", pa.binary()),
+        ]
+    )
     task, number, size = TaskContext.get().partitionId(), 0, 0
     met: dict[str, list[np.ndarray]] = {}
 
@@ -287,7 +305,12 @@ def _pack(batches: Iterator[pa.RecordBatch], model_at: int, text_at: int, shards
             shard = shard_of(keys, shards)
             for s in np.unique(shard).tolist():
                 mine = keys[shard == s]
-                yield made((f"{task}.{number}", model, s, len(mine), _FAST.compress(np.diff(mine, prepend=0).tobytes(), asbytes=True), None))
+                yield made(
+                    (
+                        f"{task}.{number}", model, s, len(mine),
+                        _FAST.compress(np.diff(mine, prepend=0).tobytes(), asbytes=True), None,
+                    )
+                )
         number, size = number + 1, 0
         met.clear()
 
@@ -323,11 +346,15 @@ def _answer(asked: pa.Table, trained: pa.Table) -> pa.Table:
         logs = np.split(shard(distinct).astype(np.float32)[back], np.cumsum([len(k) for k in keys])[:-1])
         for row, mine in zip(rows, logs):
             row["logs"] = mine.tobytes()
-    kinds = [("block", pa.string()), ("model", pa.string()), ("n", pa.int64()), ("keys", pa.binary()), ("logs", pa.binary())]
+    kinds = [
+        ("block", pa.string()), ("model", pa.string()), ("n", pa.int64()), ("keys", pa.binary()), ("logs", pa.binary()),
+    ]
     return pa.Table.from_pylist(rows, schema=pa.schema(kinds))
 
 
-def _add_up(packed: pa.Table, answers: pa.Table, added: list[tuple[str, pa.DataType]], model_at: int, text_at: int) -> pa.Table:
+def _add_up(
+    packed: pa.Table, answers: pa.Table, added: list[tuple[str, pa.DataType]], model_at: int, text_at: int,
+) -> pa.Table:
     """The rows of a block with the sum of log probabilities of each text and its number of symbols."""
     got: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
     for row in answers.to_pylist():
@@ -351,22 +378,34 @@ def _add_up(packed: pa.Table, answers: pa.Table, added: list[tuple[str, pa.DataT
                 for i, a, b in zip(rows, (ends - sizes).tolist(), ends.tolist()):
                     sums[i], counts[i] = float(run[b] - run[a]), b - a
             schema = pa.schema([*batch.schema, *map(pa.field, *zip(*added))])
-            done.append(pa.RecordBatch.from_arrays([*batch.columns, pa.array(sums, pa.float64()), pa.array(counts, pa.int64())], schema=schema))
+            done.append(
+                pa.RecordBatch.from_arrays(
+                    [*batch.columns, pa.array(sums, pa.float64()), pa.array(counts, pa.int64())], schema=schema,
+                )
+            )
     return pa.Table.from_batches(done)
 
 
-def score(rows: DataFrame, trained: DataFrame, shards: int, model_col: str, text_col: str, total: str, count: str) -> DataFrame:
+def score(
+    rows: DataFrame, trained: DataFrame, shards: int, model_col: str, text_col: str, total: str, count: str,
+) -> DataFrame:
     """rows with two columns more: the sum of log probabilities under the row's model and the number of symbols."""
     spark = rows.sparkSession
     ship(spark)
     model_at, text_at = rows.columns.index(model_col), rows.columns.index(text_col)
     out = rows.withColumns({total: F.lit(0.0), count: F.lit(0).cast("long")}).schema
-    packed = settle_bucketed(rows.mapInArrow(lambda batches: _pack(batches, model_at, text_at, shards), PACKED), "block")
+    packed = settle_bucketed(
+        rows.mapInArrow(lambda batches: _pack(batches, model_at, text_at, shards), PACKED), "block",
+    )
     asked = packed.where("shard is not null").select("block", "model", "shard", "n", "keys")
     # One row for each shard of each model: Spark broadcasts it by its size or joins by shuffle.
     tasks = settle(asked.groupBy("model", "shard").agg(F.ceil(F.sum("n") / ASKED).cast("int").alias("tasks")))
-    dealt = asked.join(tasks, ["model", "shard"]).withColumn("task", F.pmod(F.xxhash64("block"), F.col("tasks")).cast("int")).drop("tasks")
-    side = trained.join(tasks, ["model", "shard"]).withColumn("task", F.explode(F.sequence(F.lit(0), F.col("tasks") - 1))).drop("tasks")
+    dealt = asked.join(tasks, ["model", "shard"]).withColumn(
+        "task", F.pmod(F.xxhash64("block"), F.col("tasks")).cast("int"),
+    ).drop("tasks")
+    side = trained.join(tasks, ["model", "shard"]).withColumn(
+        "task", F.explode(F.sequence(F.lit(0), F.col("tasks") - 1)),
+    ).drop("tasks")
     met = ["model", "shard", "task"]
     answers = dealt.groupBy(*met).cogroup(side.groupBy(*met)).applyInArrow(_answer, ANSWERS)
     blocks = packed.where("texts is not null").select("block", "texts")
@@ -377,14 +416,24 @@ def score(rows: DataFrame, trained: DataFrame, shards: int, model_col: str, text
 # Trusted texts, thresholds, judgement
 
 
-def trusted_texts(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", lang_col: str = "lang", text_col: str = "text") -> DataFrame:
+def trusted_texts(
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", lang_col: str = "lang", text_col: str = "text",
+) -> DataFrame:
     """(lang, text, held) of documents whose labels all say quality 1 and not toxic."""
     ids = labels.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("__id"))
-    ids = settle(ids.agg(F.min("quality").alias("q"), F.max(F.coalesce("toxic", F.lit(0))).alias("t")).where("q = 1 and t = 0").select("__id"))
+    ids = settle(
+        ids.agg(
+            F.min("quality").alias("q"), F.max(F.coalesce("toxic", F.lit(0))).alias("t"),
+        ).where("q = 1 and t = 0").select("__id")
+    )
     few = ids.count() <= IDS
-    texts = docs.select(F.col(id_col).alias("__id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
+    texts = docs.select(
+        F.col(id_col).alias("__id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"),
+    )
     held = (F.crc32(F.encode("text", "UTF-8")) % 5 == 0).alias("held")
-    found = texts.where(F.length("text") > 0).join(F.broadcast(ids) if few else ids, "__id", "left_semi").select("lang", "text", held)
+    found = texts.where(F.length("text") > 0).join(
+        F.broadcast(ids) if few else ids, "__id", "left_semi",
+    ).select("lang", "text", held)
     return found if few else settle(found)
 
 
@@ -396,13 +445,17 @@ def thresholds(scored: DataFrame, quantile: float, slack: float) -> DataFrame:
     """(model, mean, high) in log perplexity, from scored held-out texts (model, total, count)."""
     scored = scored.where("count > 0")
     means = scored.groupBy("model").agg((-F.sum("total") / F.sum("count")).alias("mean"))
-    binned = scored.join(means, "model").select("model", "mean", F.floor(_log_perplexity("total", "count", F.col("mean")) * 1000).alias("bin"))
+    binned = scored.join(means, "model").select(
+        "model", "mean", F.floor(_log_perplexity("total", "count", F.col("mean")) * 1000).alias("bin"),
+    )
     counts = binned.groupBy("model", "mean", "bin").agg(F.count("*").alias("n"))
     # At most some ten thousand bins for each model, whatever the number of documents.
     upto = F.sum("n").over(Window.partitionBy("model").orderBy("bin"))
     every = F.sum("n").over(Window.partitionBy("model"))
     ranked = counts.select("model", "mean", "bin", (upto / every).alias("share"))
-    return ranked.groupBy("model", "mean").agg(((F.min(F.when(F.col("share") >= quantile, F.col("bin"))) + 1) / 1000 + slack).alias("high"))
+    return ranked.groupBy("model", "mean").agg(
+        ((F.min(F.when(F.col("share") >= quantile, F.col("bin"))) + 1) / 1000 + slack).alias("high")
+    )
 
 
 def fresh(docs: DataFrame, name: str) -> str:
@@ -420,7 +473,9 @@ def classify(
     # A language takes part if it has both training and held-out texts; the pooled model judges the others.
     named = F.concat(F.lit("="), F.coalesce(F.col("lang"), F.lit("")))
     models = trained.select("model").distinct()
-    held = texts.where("held").select(F.explode(F.array(named, F.lit(POOLED))).alias("model"), "text").join(F.broadcast(models), "model", "left_semi")
+    held = texts.where("held").select(
+        F.explode(F.array(named, F.lit(POOLED))).alias("model"), "text",
+    ).join(F.broadcast(models), "model", "left_semi")
     scored = settle(score(held, trained, shards, "model", "text", "total", "count").select("model", "total", "count"))
     limits = settle(thresholds(scored, quantile, slack))
     own, mean, high, total, count = (fresh(docs, f"__{c}") for c in ("model", "mean", "high", "total", "count"))
@@ -429,9 +484,16 @@ def classify(
     # One row for each language of trusted texts: Spark broadcasts it by its size or joins by shuffle.
     known = limits.select(F.col("model").alias(own))
     lang = F.concat(F.lit("="), F.col(f"`{lang_col}`").cast("string"))
-    judged = score(docs.join(known, lang == known[own], "left").withColumn(own, F.coalesce(own, F.lit(POOLED))), trained, shards, own, text_col, total, count) if not limits.isEmpty() else None
+    judged = score(
+        docs.join(known, lang == known[own], "left").withColumn(own, F.coalesce(own, F.lit(POOLED))), trained, shards,
+        own, text_col, total, count,
+    ) if not limits.isEmpty() else None
     if judged is None:
-        return docs.select(*kept, F.lit(None).cast("double").alias(perplexity), F.lit(True).alias(keep)), perplexity, keep
+        return docs.select(
+            *kept, F.lit(None).cast("double").alias(perplexity), F.lit(True).alias(keep),
+        ), perplexity, keep
     told = judged.join(limits.toDF(own, mean, high), own, "left")
     log_p = F.when(F.col(count) > 0, _log_perplexity(total, count, F.col(mean)))
-    return told.select(*kept, F.exp(log_p).alias(perplexity), F.coalesce(log_p <= F.col(high), F.lit(True)).alias(keep)), perplexity, keep
+    return told.select(
+        *kept, F.exp(log_p).alias(perplexity), F.coalesce(log_p <= F.col(high), F.lit(True)).alias(keep),
+    ), perplexity, keep

@@ -44,7 +44,11 @@ def winner(key: Column, weights: Sequence[float], first: int = 0) -> Column:
     """struct(score, s) of the shard of the highest score, s being minus its number; of equal ones the lowest number."""
     if not weights or min(weights) <= 0:
         raise ValueError("weights must be positive")
-    scores = [F.struct((F.lit(float(w)) / -F.log(draw(key, s))).alias("score"), F.lit(-s).alias("s")) for s, w in enumerate(weights, first)]
+    scores = [
+        F.struct(
+            (F.lit(float(w)) / -F.log(draw(key, s))).alias("score"), F.lit(-s).alias("s"),
+        ) for s, w in enumerate(weights, first)
+    ]
     return F.greatest(*scores) if len(scores) > 1 else scores[0]
 
 
@@ -54,33 +58,54 @@ def shard_of(key: Column, weights: Sequence[float]) -> Column:
 
 
 def bucket_of(key: Column, crc: Column) -> Column:
-    return F.conv(F.substring(F.md5(F.concat(_key(key), F.lit(":slot:"), crc.cast("string"))), 1, 2), 16, 10).cast("int")
+    return F.conv(
+        F.substring(F.md5(F.concat(_key(key), F.lit(":slot:"), crc.cast("string"))), 1, 2), 16, 10,
+    ).cast("int")
 
 
-def place(rows: DataFrame, weights: Sequence[float], key_col: str = "doc_id", text_col: str = "text", overhead: int = 16) -> DataFrame:
+def place(
+    rows: DataFrame, weights: Sequence[float], key_col: str = "doc_id", text_col: str = "text", overhead: int = 16,
+) -> DataFrame:
     """(key_col, size, text_crc32, shard, slot, grown_shard): one row for each row of ``rows``."""
     key, n = F.col("key"), len(weights)
     measured = (
         rows.select(F.col(key_col).alias("key"), F.encode(F.col(text_col), "UTF-8").alias("raw"))
-        .select("key", (F.coalesce(F.octet_length("raw"), F.lit(0)).cast("long") + overhead).alias("size"), F.coalesce(F.crc32("raw"), F.lit(0)).cast("long").alias("crc"))
+        .select(
+            "key", (F.coalesce(F.octet_length("raw"), F.lit(0)).cast("long") + overhead).alias("size"),
+            F.coalesce(F.crc32("raw"), F.lit(0)).cast("long").alias("crc"),
+        )
     )
     # One shard more competes with the winner alone, so its draw is the only one that is added.
     drawn = measured.select("*", winner(key, weights).alias("own"), winner(key, [sum(weights) / n], n).alias("more"))
     shard = (-F.col("own.s")).cast("int")
-    placed = drawn.select("key", "size", "crc", shard.alias("shard"), F.when(F.col("more.score") > F.col("own.score"), n).otherwise(shard).alias("grown_shard"), bucket_of(key, F.col("crc")).alias("bucket"))
+    placed = drawn.select(
+        "key", "size", "crc", shard.alias("shard"),
+        F.when(F.col("more.score") > F.col("own.score"), n).otherwise(shard).alias("grown_shard"),
+        bucket_of(key, F.col("crc")).alias("bucket"),
+    )
     each = settle(placed.groupBy(*placed.columns).agg(F.count("*").alias("n")))
-    before = Window.partitionBy("shard", "bucket").orderBy(F.col("key").asc_nulls_first(), "size", "crc").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy("shard", "bucket").orderBy(
+        F.col("key").asc_nulls_first(), "size", "crc",
+    ).rowsBetween(Window.unboundedPreceding, -1)
     earlier = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = each.groupBy("shard", "bucket").agg(F.sum("n").alias("held")).select("shard", "bucket", F.coalesce(F.sum("held").over(earlier), F.lit(0)).alias("offset"))
+    offsets = each.groupBy("shard", "bucket").agg(F.sum("n").alias("held")).select(
+        "shard", "bucket", F.coalesce(F.sum("held").over(earlier), F.lit(0)).alias("offset"),
+    )
     numbered = each.select("*", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("within"))
     # At most len(weights) * BUCKETS rows of three numbers: broadcast up to 40,000 shards, else joined by shuffle.
     side = F.broadcast(offsets) if len(weights) <= 40_000 else offsets
     blocks = F.explode(F.sequence(F.lit(0), F.col("n") - 1, F.lit(BLOCK))).alias("first")
     return (
         numbered.join(side, ["shard", "bucket"])
-        .select("key", "size", "crc", "shard", "grown_shard", "n", (F.col("offset") + F.col("within")).alias("base"), blocks)
+        .select(
+            "key", "size", "crc", "shard", "grown_shard", "n", (F.col("offset") + F.col("within")).alias("base"),
+            blocks,
+        )
         .select("*", F.explode(F.sequence("first", F.least(F.col("first") + BLOCK, F.col("n")) - 1)).alias("i"))
-        .select(key.alias(key_col), "size", F.col("crc").alias("text_crc32"), "shard", (F.col("base") + F.col("i")).cast("long").alias("slot"), "grown_shard")
+        .select(
+            key.alias(key_col), "size", F.col("crc").alias("text_crc32"), "shard",
+            (F.col("base") + F.col("i")).cast("long").alias("slot"), "grown_shard",
+        )
     )
 
 

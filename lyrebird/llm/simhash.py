@@ -76,7 +76,9 @@ def _many(texts: list[bytes | None], width: int) -> np.ndarray:
     def flush() -> None:
         if rows:
             sizes = np.array([len(x) for x in held])
-            bits = np.unpackbits(np.concatenate(held).astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            bits = np.unpackbits(
+                np.concatenate(held).astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little",
+            )
             counts = np.add.reduceat(bits, np.concatenate([[0], np.cumsum(sizes)[:-1]]), axis=0, dtype=np.int32)
             out[rows] = ((2 * counts > sizes[:, None]) * _WEIGHTS).sum(1, dtype=np.uint64)
             rows.clear(), held.clear()
@@ -108,14 +110,18 @@ def _many(texts: list[bytes | None], width: int) -> np.ndarray:
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4) -> DataFrame:
     """(id, h, fp): fp is the fingerprint as a signed 64-bit integer, h is Spark's xxhash64 of the text."""
     ship(docs.sparkSession)
-    kept = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h"), F.encode(F.col(text_col), "UTF-8").alias("raw"))
+    kept = docs.select(
+        F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h"), F.encode(F.col(text_col), "UTF-8").alias("raw"),
+    )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
                 fp = _many(part.column(2).to_pylist(), width).view(np.int64)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(fp)], names=["id", "h", "fp"])
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), part.column(1), pa.array(fp)], names=["id", "h", "fp"],
+                )
 
     kind = kept.schema["id"].dataType.simpleString()
     return kept.mapInArrow(run, f"id {kind}, h long, fp long")
@@ -139,7 +145,9 @@ def linked(fps: DataFrame, distance: int = 4) -> DataFrame:
     ring = _segments(distance)
     parts = len(ring)
     budget = [k * distance // parts for k in range(1, parts + 1)]
-    seg = lambda c, i: F.shiftrightunsigned(c, ring[i % parts][0]).bitwiseAND(F.lit((1 << ring[i % parts][1]) - 1))
+    seg = lambda c, i: F.shiftrightunsigned(c, ring[i % parts][0]).bitwiseAND(
+        F.lit((1 << ring[i % parts][1]) - 1)
+    )
     differ = lambda x, y, i: F.bit_count(seg(x.bitwiseXOR(y), i))
     extra = [c for c in fps.columns if c != "fp"]
 
@@ -151,7 +159,11 @@ def linked(fps: DataFrame, distance: int = 4) -> DataFrame:
     if not extra:
         fps = _spread(fps.select("fp").distinct())
     own = fps.select("fp", *extra, F.explode(F.array(*[keys(i, 0) for i in range(parts)])).alias("key"))
-    near = [keys(i, e) for i in range(parts) for e in (0, *(1 << j for j in range(ring[(i + 1) % parts][1] if budget[1] else 0)))]
+    near = [
+        keys(i, e) for i in range(parts) for e in (
+            0, *(1 << j for j in range(ring[(i + 1) % parts][1] if budget[1] else 0))
+        )
+    ]
     probe = fps.select("fp", *extra, F.explode(F.array(*near)).alias("key"))
     x, y = F.col("p.fp"), F.col("q.fp")
     start = F.shiftrightunsigned(F.col("p.key"), 48)
@@ -167,7 +179,10 @@ def linked(fps: DataFrame, distance: int = 4) -> DataFrame:
     on = (F.col("p.key") == F.col("q.key")) & (x < y) & full & (first == start)
     for c in extra:
         on = on & (F.col(f"p.{c}") != F.col(f"q.{c}"))
-    return probe.alias("p").join(own.alias("q"), on).select(x.alias("a"), y.alias("b"), *[F.col(f"{side}.{c}").alias(f"{c}_{n}") for c in extra for side, n in (("p", "a"), ("q", "b"))])
+    return probe.alias("p").join(own.alias("q"), on).select(
+        x.alias("a"), y.alias("b"),
+        *[F.col(f"{side}.{c}").alias(f"{c}_{n}") for c in extra for side, n in (("p", "a"), ("q", "b"))]
+    )
 
 
 def _spread(rows: DataFrame) -> DataFrame:
@@ -179,23 +194,40 @@ def _bundled(fps: DataFrame, distance: int) -> DataFrame:
     """(a, b) that connect the same fingerprints as all links do, without the pairs of a group."""
     ring = _segments(distance)
     base = _spread(fps.select("fp").distinct())
-    piece = lambda i: F.struct(F.lit(i).alias("i"), *[F.shiftrightunsigned("fp", s).bitwiseAND(F.lit((1 << w) - 1)).alias(f"s{k}") for k, (s, w) in enumerate((ring[i], ring[(i + 1) % len(ring)]))])
+    piece = lambda i: F.struct(
+        F.lit(i).alias("i"),
+        *[
+            F.shiftrightunsigned("fp", s).bitwiseAND(F.lit((1 << w) - 1)).alias(f"s{k}") for k, (s, w) in enumerate(
+                (ring[i], ring[(i + 1) % len(ring)])
+            )
+        ]
+    )
     keyed = base.select("fp", F.explode(F.array(*[piece(i) for i in range(len(ring))])).alias("key"))
     least = keyed.groupBy("key").agg(F.min("fp").alias("centre"))
     close = F.bit_count(F.col("fp").bitwiseXOR(F.col("centre"))) <= distance // 2
-    centred = settle(keyed.join(least, "key").groupBy("fp").agg(F.min(F.when(close, F.col("centre"))).alias("centre")).select("fp", F.coalesce("centre", "fp").alias("centre")))
+    centred = settle(
+        keyed.join(least, "key").groupBy("fp").agg(
+            F.min(F.when(close, F.col("centre"))).alias("centre")
+        ).select("fp", F.coalesce("centre", "fp").alias("centre"))
+    )
     across = linked(_spread(centred), distance).groupBy("centre_a", "centre_b").agg(F.count("*").alias("n"))
-    return centred.select(F.col("fp").alias("a"), F.col("centre").alias("b")).where("a <> b").union(across.select("centre_a", "centre_b"))
+    return centred.select(
+        F.col("fp").alias("a"), F.col("centre").alias("b"),
+    ).where("a <> b").union(across.select("centre_a", "centre_b"))
 
 
 def _rooted(marked: DataFrame, distance: int) -> DataFrame:
     """(fp, root) for every fingerprint."""
     distinct = marked.select("fp").distinct()
     roots = settle(components(_bundled(distinct, distance)))
-    return distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"))
+    return distinct.join(
+        roots.withColumnRenamed("node", "fp"), "fp", "left",
+    ).select("fp", F.coalesce("root", "fp").alias("root"))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, distance: int = 4) -> DataFrame:
+def near_duplicates(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, distance: int = 4,
+) -> DataFrame:
     """(id_col, fp, component_id): component_id is the least id whose text is reachable over links."""
     marked = settle(fingerprints(docs, id_col, text_col, width))
     tied = marked.groupBy("fp").agg(F.min("id").alias("least")).join(_rooted(marked, distance), "fp")
@@ -208,7 +240,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 KEYS = 2_000_000
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, distance: int = 4) -> DataFrame:
+def one_of_each(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, distance: int = 4,
+) -> DataFrame:
     """The rows of ``docs``, all columns, of which each stands for its group: that of the least id that is not null, then of the least hash of the text.
 
     Only ids, hashes and fingerprints are grouped. The texts are read once more, past the keys of the rows that
@@ -219,10 +253,16 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     first = F.min(F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col("h"), F.col("n"))).alias("x")
     keys = settle(counted.join(_rooted(marked, distance), "fp").groupBy("root").agg(first).select("x.id", "x.h", "x.n"))
     names = {c.lower() for c in docs.columns}
-    i, h, n, own = (next(x for x in (f"__{c}{'_' * k}" for k in range(len(names) + 1)) if x not in names) for c in ("i", "h", "n", "own"))
+    i, h, n, own = (
+        next(
+            x for x in (f"__{c}{'_' * k}" for k in range(len(names) + 1)) if x not in names
+        ) for c in ("i", "h", "n", "own")
+    )
     keys = keys.toDF(i, h, n)
     side = F.broadcast(keys) if keys.count() <= KEYS else keys
-    hit = docs.withColumn(own, F.xxhash64(text_col)).join(side, F.col(id_col).eqNullSafe(F.col(i)) & (F.col(own) == F.col(h)))
+    hit = docs.withColumn(own, F.xxhash64(text_col)).join(
+        side, F.col(id_col).eqNullSafe(F.col(i)) & (F.col(own) == F.col(h)),
+    )
     out = hit.where(F.col(n) == 1)
     if not keys.where(F.col(n) > 1).isEmpty():
         out = out.union(hit.where(F.col(n) > 1).dropDuplicates([i, h]))

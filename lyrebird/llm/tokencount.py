@@ -40,7 +40,9 @@ def shares(ends: np.ndarray, cuts: np.ndarray, rule: str) -> np.ndarray:
     else:
         # A token is behind a cut if less than half of it, or none, lies before the cut.
         at = np.searchsorted(starts + ends, 2 * inner, "left")
-        return _most(starts, ends, cuts) if (np.diff(cuts) < (ends - starts).max(initial=0)).any() else np.diff(np.concatenate([[0], _no_less_before(starts, ends, inner), [len(ends)]]))
+        return _most(starts, ends, cuts) if (np.diff(cuts) < (ends - starts).max(initial=0)).any() else np.diff(
+            np.concatenate([[0], _no_less_before(starts, ends, inner), [len(ends)]])
+        )
     return np.diff(np.concatenate([[0], at, [len(ends)]]))
 
 
@@ -65,7 +67,9 @@ def _most(starts: np.ndarray, ends: np.ndarray, cuts: np.ndarray) -> np.ndarray:
     return np.bincount(best, minlength=len(cuts) - 1)
 
 
-def attribute_slice(codec: Codec, rows: list[list[str]], separator: str, lines: bool, rule: str) -> tuple[np.ndarray, ...]:
+def attribute_slice(
+    codec: Codec, rows: list[list[str]], separator: str, lines: bool, rule: str,
+) -> tuple[np.ndarray, ...]:
     """(row, field, section, start, end, n_tokens) arrays; start and end are characters of the joined document."""
     texts = [separator.join(fields) for fields in rows]
     ids, bounds = codec.encode(texts)
@@ -99,7 +103,10 @@ def attribute_slice(codec: Codec, rows: list[list[str]], separator: str, lines:
     return row, np.array(field, np.int32), np.array(section, np.int32), characters[cuts[:-1]] - offset, characters[cuts[1:]] - offset, counts
 
 
-def attribute(docs: DataFrame, fields: Sequence[str], path: str, pattern: str, id_col: str = "doc_id", separator: str = "\n\n", lines: bool = True, rule: str = "start") -> DataFrame:
+def attribute(
+    docs: DataFrame, fields: Sequence[str], path: str, pattern: str, id_col: str = "doc_id", separator: str = "\n\n",
+    lines: bool = True, rule: str = "start",
+) -> DataFrame:
     """(id_col, field, section, start, end, n_tokens): one row for each section of each row of docs."""
     if rule not in RULES:
         raise ValueError(f"rule must be one of {RULES}")
@@ -108,7 +115,9 @@ def attribute(docs: DataFrame, fields: Sequence[str], path: str, pattern: str, i
     with open(path, "rb") as f:
         raw = spark.sparkContext.broadcast(f.read())
     names = list(fields)
-    kept = docs.select(F.col(id_col).alias("id"), *[F.coalesce(F.col(c), F.lit("")).alias(f"f{i}") for i, c in enumerate(names)])
+    kept = docs.select(
+        F.col(id_col).alias("id"), *[F.coalesce(F.col(c), F.lit("")).alias(f"f{i}") for i, c in enumerate(names)]
+    )
     kind = kept.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,8 +129,14 @@ def attribute(docs: DataFrame, fields: Sequence[str], path: str, pattern: str, i
                 rows = list(zip(*[part.column(i + 1).to_pylist() for i in range(len(names))]))
                 row, field, section, start, end, count = attribute_slice(codec, rows, separator, lines, rule)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0).take(pa.array(row)), labels.take(pa.array(field)), pa.array(section), pa.array(start.astype(np.int64)), pa.array(end.astype(np.int64)), pa.array(count.astype(np.int64))],
+                    [
+                        part.column(0).take(pa.array(row)), labels.take(pa.array(field)), pa.array(section),
+                        pa.array(start.astype(np.int64)), pa.array(end.astype(np.int64)),
+                        pa.array(count.astype(np.int64)),
+                    ],
                     names=["id", "field", "section", "start", "end", "n_tokens"],
                 )
 
-    return kept.mapInArrow(run, f"id {kind}, field string, section int, start long, end long, n_tokens long").withColumnRenamed("id", id_col)
+    return kept.mapInArrow(
+        run, f"id {kind}, field string, section int, start long, end long, n_tokens long",
+    ).withColumnRenamed("id", id_col)

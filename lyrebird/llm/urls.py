@@ -75,7 +75,9 @@ Rule = tuple[str, str, str]
 
 
 def host_of(url: Column) -> Column:
-    return F.coalesce(F.translate(F.regexp_extract(url, r"^(?s:.*?)://([^/?#]*)", 1), UPPER[:26], LOWER[:26]), F.lit(""))
+    return F.coalesce(
+        F.translate(F.regexp_extract(url, r"^(?s:.*?)://([^/?#]*)", 1), UPPER[:26], LOWER[:26]), F.lit(""),
+    )
 
 
 def path_of(url: Column) -> Column:
@@ -84,10 +86,19 @@ def path_of(url: Column) -> Column:
 
 def rule_for(host: Column, path: Column, rules: Sequence[Rule]) -> Column:
     """struct(rule, verdict, h, p) of the longest rule that fits; nulls if none does; h and p are the lengths of its host and path. Rules are configuration: some hundreds at most."""
-    found = F.struct(F.lit(None).cast("string").alias("rule"), F.lit(None).cast("string").alias("verdict"), F.lit(0).alias("h"), F.lit(0).alias("p"))
+    found = F.struct(
+        F.lit(None).cast("string").alias("rule"), F.lit(None).cast("string").alias("verdict"), F.lit(0).alias("h"),
+        F.lit(0).alias("p"),
+    )
     for rule_host, rule_path, verdict in sorted(rules, key=lambda r: len(r[0] + r[1]), reverse=True)[::-1]:
         fits = ((host == rule_host) | host.endswith("." + rule_host)) & path.startswith(rule_path)
-        found = F.when(fits, F.struct(F.lit(rule_host + rule_path).alias("rule"), F.lit(verdict).alias("verdict"), F.lit(len(rule_host)).alias("h"), F.lit(len(rule_path)).alias("p"))).otherwise(found)
+        found = F.when(
+            fits,
+            F.struct(
+                F.lit(rule_host + rule_path).alias("rule"), F.lit(verdict).alias("verdict"),
+                F.lit(len(rule_host)).alias("h"), F.lit(len(rule_path)).alias("p"),
+            ),
+        ).otherwise(found)
     return found
 
 
@@ -110,20 +121,28 @@ def _ratios(counts: DataFrame, wanted: DataFrame) -> DataFrame:
     """(gram, ratio) for the wanted grams, from counts(gram, a, r): how often the gram is in accepted and rejected urls."""
     def level(k: int) -> tuple[DataFrame, DataFrame]:
         seen = counts.groupBy((F.col("gram") % BASE**k).alias("g")).agg(F.sum("a").alias("a"), F.sum("r").alias("r"))
-        held = seen.groupBy(F.floor(F.col("g") / BASE).alias("h")).agg(F.sum("a").alias("na"), F.count_if(F.col("a") > 0).alias("ta"), F.sum("r").alias("nr"))
+        held = seen.groupBy(F.floor(F.col("g") / BASE).alias("h")).agg(
+            F.sum("a").alias("na"), F.count_if(F.col("a") > 0).alias("ta"), F.sum("r").alias("nr"),
+        )
         return seen, held
 
     shorter, adapted = None, []
     for k in range(1, ORDER + 1):
         seen, held = level(k)
-        need = wanted.select((F.col("gram") % BASE**k).alias("g")).distinct() if k > 1 else counts.sparkSession.range(BASE).select(F.col("id").alias("g"))
+        need = wanted.select(
+            (F.col("gram") % BASE**k).alias("g")
+        ).distinct() if k > 1 else counts.sparkSession.range(BASE).select(F.col("id").alias("g"))
         table = need.withColumn("h", F.floor(F.col("g") / BASE)).join(seen, "g", "left").join(held, "h", "left")
         if shorter is not None:
             table = table.withColumn("low", F.col("g") % BASE ** (k - 1)).join(shorter, "low")
         else:
             table = table.withColumn("p", F.lit(1.0 / BASE))
-        mixed = F.when(F.col("na") > 0, (F.coalesce("a", F.lit(0.0)) + F.col("ta") * F.col("p")) / (F.col("na") + F.col("ta"))).otherwise(F.col("p"))
-        rejected = [F.coalesce("r", F.lit(0.0)).alias(f"r{k}"), F.coalesce("nr", F.lit(0.0)).alias(f"n{k}")] if k >= ADAPTED else []
+        mixed = F.when(
+            F.col("na") > 0, (F.coalesce("a", F.lit(0.0)) + F.col("ta") * F.col("p")) / (F.col("na") + F.col("ta")),
+        ).otherwise(F.col("p"))
+        rejected = [
+            F.coalesce("r", F.lit(0.0)).alias(f"r{k}"), F.coalesce("nr", F.lit(0.0)).alias(f"n{k}"),
+        ] if k >= ADAPTED else []
         out = table.select("g", mixed.alias("p"), *adapted, *rejected)
         adapted += [f"r{k}", f"n{k}"] if rejected else []
         shorter = out.withColumnRenamed("g", "low")
@@ -133,42 +152,76 @@ def _ratios(counts: DataFrame, wanted: DataFrame) -> DataFrame:
     return out.select(F.col("g").alias("gram"), (F.log("p") - F.log(bad)).alias("ratio"))
 
 
-def judge(pages: DataFrame, rules: Sequence[Rule], id_col: str = "page_id", url_col: str = "url", accepted: Sequence[str] = ACCEPTED, rejected: Sequence[str] = REJECTED) -> DataFrame:
+def judge(
+    pages: DataFrame, rules: Sequence[Rule], id_col: str = "page_id", url_col: str = "url",
+    accepted: Sequence[str] = ACCEPTED, rejected: Sequence[str] = REJECTED,
+) -> DataFrame:
     """(id_col, host, path, rule, verdict, score): score is the rounded log ratio per symbol, null without a host and path."""
     spark = pages.sparkSession
-    parted = pages.select(F.col(id_col).alias("id"), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
-    found = parted.withColumn("found", rule_for(F.col("host"), F.col("path"), rules)).select("id", "host", "path", "found.*")
+    parted = pages.select(
+        F.col(id_col).alias("id"), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"),
+    )
+    found = parted.withColumn(
+        "found", rule_for(F.col("host"), F.col("path"), rules),
+    ).select("id", "host", "path", "found.*")
     left = F.expr("substring(host, 1, greatest(0, length(host) - h - 1))")
     right = F.concat(F.lit("/"), F.expr("substring(path, p + 1)"))
     whole = F.col("rule").isNull()
     spelt = spelling(F.when(whole, F.col("host")).otherwise(left), F.when(whole, F.col("path")).otherwise(right))
-    ruled = found.select("id", "host", "path", "rule", "verdict", spelt.alias("s"), (F.coalesce("p", F.lit(0)) == 1).alias("site"))
+    ruled = found.select(
+        "id", "host", "path", "rule", "verdict", spelt.alias("s"), (F.coalesce("p", F.lit(0)) == 1).alias("site"),
+    )
     says = lambda v: F.max((F.col("site") & (F.coalesce("verdict", F.lit("")) == v)).cast("int"))
     corpus = ruled.where(F.col("s") != "").groupBy("s").agg(says("allow").alias("a"), says("block").alias("r"))
-    examples = spark.createDataFrame([(u, 1, 0) for u in accepted] + [(u, 0, 1) for u in rejected], "u string, a int, r int").select(spelling(F.col("u"), F.lit("")).alias("s"), "a", "r")
-    every = corpus.union(examples).groupBy("s").agg(F.max("a").alias("a"), F.max("r").alias("r")).withColumn("held", F.substring(F.md5("s"), 1, 1).isin("0", "1", "2"))
+    examples = spark.createDataFrame(
+        [(u, 1, 0) for u in accepted] + [(u, 0, 1) for u in rejected], "u string, a int, r int",
+    ).select(spelling(F.col("u"), F.lit("")).alias("s"), "a", "r")
+    every = corpus.union(examples).groupBy("s").agg(F.max("a").alias("a"), F.max("r").alias("r")).withColumn(
+        "held", F.substring(F.md5("s"), 1, 1).isin("0", "1", "2"),
+    )
     every = settle(every)
     grams = _grams(every)
     # 33 ** 4 rows at most, whatever the corpus, so the hint below is safe at any size.
-    counts = settle(grams.groupBy("gram").agg(*[F.sum(F.when(F.col("held"), 0).otherwise(F.col(c))).cast("double").alias(c) for c in "ar"]))
+    counts = settle(
+        grams.groupBy("gram").agg(
+            *[F.sum(F.when(F.col("held"), 0).otherwise(F.col(c))).cast("double").alias(c) for c in "ar"]
+        )
+    )
     ratios = F.broadcast(settle(_ratios(counts, counts.select("gram"))))
-    scored = settle(grams.join(ratios, "gram").groupBy("s", "a", "r", "held").agg(F.round(F.sum("ratio") / F.count("*"), 6).alias("score")))
+    scored = settle(
+        grams.join(ratios, "gram").groupBy("s", "a", "r", "held").agg(
+            F.round(F.sum("ratio") / F.count("*"), 6).alias("score")
+        )
+    )
     cut = _threshold(scored.where("held"))
-    verdict = F.coalesce("verdict", F.when(F.col("score") >= F.coalesce(cut.scalar(), F.lit(0.0)), "allow").otherwise("block"))
+    verdict = F.coalesce(
+        "verdict", F.when(F.col("score") >= F.coalesce(cut.scalar(), F.lit(0.0)), "allow").otherwise("block"),
+    )
     out = ruled.join(scored.select("s", "score"), "s", "left")
     return out.select(F.col("id").alias(id_col), "host", "path", "rule", verdict.alias("verdict"), "score")
 
 
 def _threshold(held: DataFrame) -> DataFrame:
     """One row with the threshold, or null. The number of hundredths is bounded by the smoothing, not by the corpus."""
-    bins = held.groupBy(F.floor(F.col("score") * 100).alias("bin")).agg(F.count_if(F.col("a") > 0).alias("a"), F.count_if((F.col("r") > 0) & (F.col("a") == 0)).alias("r")).where("a + r > 0")
-    at = bins.agg(F.min("bin").alias("lo"), F.max("bin").alias("hi")).where("lo is not null").select(F.explode(F.expr("sequence(lo, hi + 1)")).alias("bin"))
-    each = at.join(bins, "bin", "left").select("bin", F.coalesce("a", F.lit(0)).alias("a"), F.coalesce("r", F.lit(0)).alias("r"))
+    bins = held.groupBy(F.floor(F.col("score") * 100).alias("bin")).agg(
+        F.count_if(F.col("a") > 0).alias("a"), F.count_if((F.col("r") > 0) & (F.col("a") == 0)).alias("r"),
+    ).where("a + r > 0")
+    at = bins.agg(F.min("bin").alias("lo"), F.max("bin").alias("hi")).where("lo is not null").select(
+        F.explode(F.expr("sequence(lo, hi + 1)")).alias("bin")
+    )
+    each = at.join(bins, "bin", "left").select(
+        "bin", F.coalesce("a", F.lit(0)).alias("a"), F.coalesce("r", F.lit(0)).alias("r"),
+    )
     before, every = Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy()
     below = lambda c: F.coalesce(F.sum(c).over(before), F.lit(0))
-    told = each.select("bin", below("a").alias("lost"), F.sum("a").over(every).alias("na"), (F.sum("r").over(every) - below("r")).alias("passed"), F.sum("r").over(every).alias("nr"))
+    told = each.select(
+        "bin", below("a").alias("lost"), F.sum("a").over(every).alias("na"),
+        (F.sum("r").over(every) - below("r")).alias("passed"), F.sum("r").over(every).alias("nr"),
+    )
     # Losses as whole numbers, so that equal ones are equal: both shares times both counts.
-    loss = told.where("lost * 20 <= na").withColumn("loss", F.col("lost") * F.greatest("nr", F.lit(1)) + F.col("passed") * F.greatest("na", F.lit(1)))
+    loss = told.where("lost * 20 <= na").withColumn(
+        "loss", F.col("lost") * F.greatest("nr", F.lit(1)) + F.col("passed") * F.greatest("na", F.lit(1)),
+    )
     best = loss.groupBy("loss").agg(F.min("bin").alias("lo"), F.max("bin").alias("hi"))
     return best.agg((F.min_by(F.floor((F.col("lo") + F.col("hi")) / 2), "loss") / 100).alias("cut"))
 
@@ -183,7 +236,9 @@ def sql(rules: Sequence[Rule], accepted: Sequence[str] = ACCEPTED, rejected: Seq
     number = f"list_reduce(list_transform(range(0, 4), lambda k: instr('{SYMBOLS}', substr('^^^' || s || '$', i + k, 1)) - 1), lambda x, y: x * {BASE} + y)::BIGINT"
     levels, bad, joins = "", f"p{ORDER}.p", ""
     for k in range(1, ORDER + 1):
-        low, lower = ("l.p", f"JOIN p{k - 1} l ON l.g = n.g % {BASE ** (k - 1)}") if k > 1 else (f"(1.0::DOUBLE / {BASE})", "")
+        low, lower = (
+            "l.p", f"JOIN p{k - 1} l ON l.g = n.g % {BASE ** (k - 1)}",
+        ) if k > 1 else (f"(1.0::DOUBLE / {BASE})", "")
         need = f"SELECT DISTINCT gram % {BASE**k} AS g FROM counts" if k > 1 else f"SELECT range AS g FROM range({BASE})"
         levels += f""", v{k} AS (SELECT gram % {BASE**k} AS g, sum(a) AS a, sum(r) AS r FROM counts GROUP BY 1),
         h{k} AS (SELECT g // {BASE} AS h, sum(a) AS na, count(*) FILTER (a > 0) AS ta, sum(r) AS nr FROM v{k} GROUP BY 1),

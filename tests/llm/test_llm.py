@@ -34,7 +34,9 @@ def encoding():
 
 def odd_docs(spark, texts):
     """Texts with ids, a null id, repeated rows, and a column whose name differs by case from one that operators add."""
-    rows = [(i, t, "en", "s", 0, 1) for i, t in enumerate(texts)] + [(None, "null id text here now", None, None, None, None), (0, texts[0], "en", "s", 0, 1)]
+    rows = [(i, t, "en", "s", 0, 1) for i, t in enumerate(texts)] + [
+        (None, "null id text here now", None, None, None, None), (0, texts[0], "en", "s", 0, 1),
+    ]
     return spark.createDataFrame(rows, DOCS + ", Keep int")
 
 
@@ -60,7 +62,9 @@ def components_of(pairs, nodes):
 
 def test_components(spark):
     rng = random.Random(1)
-    pairs = [(rng.randint(0, 80), rng.randint(0, 80)) for _ in range(60)] + [(200 + i, 201 + i) for i in range(40)] + [(7, 7), (None, 3)]
+    pairs = [
+        (rng.randint(0, 80), rng.randint(0, 80)) for _ in range(60)
+    ] + [(200 + i, 201 + i) for i in range(40)] + [(7, 7), (None, 3)]
     real = [(a, b) for a, b in pairs if a is not None and a != b]
     want = components_of(real, {x for p in real for x in p})
     got = {r.node: r.root for r in components.components(spark.createDataFrame(pairs, "a long, b long")).collect()}
@@ -96,7 +100,9 @@ def test_links_are_all_found(spark, distance):
             fps.append(x)
     signed = [x - (1 << 64) if x >> 63 else x for x in fps]
     distinct = sorted(set(signed))
-    want = {(a, b) for i, a in enumerate(distinct) for b in distinct[i + 1 :] if ((a ^ b) & (2**64 - 1)).bit_count() <= distance}
+    want = {
+        (a, b) for i, a in enumerate(distinct) for b in distinct[i + 1 :] if ((a ^ b) & (2**64 - 1)).bit_count() <= distance
+    }
     frame = spark.createDataFrame([(x,) for x in signed], "fp long")
     rows = simhash.linked(frame, distance).collect()
     assert len(rows) == len(want) and {(r.a, r.b) for r in rows} == want
@@ -131,7 +137,9 @@ def test_bpe_equals_tiktoken(encoding):
     codec = bpe.Codec(raw, public_tokenizers.PATTERN)
     rng = random.Random(1)
     letters = list("ab cdeth\n\t\x0b\x1c\x85\xa0 é日本語🙂'sreLL9²½٣_!?.,-  aaaa\u200d\ufeffİ")
-    texts = TEXTS + ["".join(rng.choice(letters) for _ in range(rng.randint(0, 60))) for _ in range(2000)] + ["a" * 1000, "the" * 700, "é" * 900, "!" * 513, " " * 2000, "ab" * 400 + " x"]
+    texts = TEXTS + [
+        "".join(rng.choice(letters) for _ in range(rng.randint(0, 60))) for _ in range(2000)
+    ] + ["a" * 1000, "the" * 700, "é" * 900, "!" * 513, " " * 2000, "ab" * 400 + " x"]
     ids, bounds = codec.encode(texts)
     for t, a, b, back, digits in zip(texts, bounds, bounds[1:], codec.decode(ids, bounds), codec.decimals(ids, bounds)):
         want = enc.encode_ordinary(t or "")
@@ -155,10 +163,17 @@ def test_bpe_rows(spark, encoding):
 def test_token_counts(spark, encoding, rule):
     _, enc = encoding
     rng = random.Random(8)
-    rows = [(i, "".join(rng.choice("ab é\n語 .") for _ in range(rng.randint(0, 80))), "".join(rng.choice("xy\n") for _ in range(rng.randint(0, 9)))) for i in range(60)] + [(99, None, None)]
+    rows = [
+        (
+            i, "".join(rng.choice("ab é\n語 .") for _ in range(rng.randint(0, 80))),
+            "".join(rng.choice("xy\n") for _ in range(rng.randint(0, 9))),
+        ) for i in range(60)
+    ] + [(99, None, None)]
     docs = spark.createDataFrame(rows, "doc_id long, a string, b string")
     got = {}
-    for r in tokencount.attribute(docs, ["a", "b"], catalogue.MULTILINGUAL, public_tokenizers.PATTERN, rule=rule).collect():
+    for r in tokencount.attribute(
+        docs, ["a", "b"], catalogue.MULTILINGUAL, public_tokenizers.PATTERN, rule=rule,
+    ).collect():
         got.setdefault(r.doc_id, []).append((r.field, r.section, r.start, r.end, r.n_tokens))
     for i, a, b in rows:
         a, b = a or "", b or ""
@@ -182,7 +197,10 @@ def test_token_counts(spark, encoding, rule):
 
 
 def test_token_count_edges(spark):
-    docs = spark.createDataFrame([(1, "a b", None, "x"), (1, "a b", None, "x"), (None, "", "c", "y"), (2, "z " * 50_000, "", "w")], "doc_id long, text string, n_tokens string, Field string")
+    docs = spark.createDataFrame(
+        [(1, "a b", None, "x"), (1, "a b", None, "x"), (None, "", "c", "y"), (2, "z " * 50_000, "", "w")],
+        "doc_id long, text string, n_tokens string, Field string",
+    )
     rows = tokencount.attribute(docs, ["text", "n_tokens"], catalogue.MULTILINGUAL, public_tokenizers.PATTERN).collect()
     assert len(rows) == 8 and sum(r.doc_id == 1 for r in rows) == 4 and {r.field for r in rows} == {"text", "n_tokens"}
     assert sum(r.n_tokens for r in rows if r.doc_id == 2) >= 50_000
@@ -219,16 +237,23 @@ def test_sharding(spark):
 
 
 def test_urls(spark):
-    cases = ["http://A.Org/x?q#f", "https://x.example.org/es/1", "http://example.org/en/12", "http://notorg/x", "ftp://b.com?x/fr/", None, "nothing", "", "http://b.com/de/é", "http://org", "http://org/", "a://b://c/d"]
+    cases = [
+        "http://A.Org/x?q#f", "https://x.example.org/es/1", "http://example.org/en/12", "http://notorg/x",
+        "ftp://b.com?x/fr/", None, "nothing", "", "http://b.com/de/é", "http://org", "http://org/", "a://b://c/d",
+    ]
     pages = spark.createDataFrame(list(enumerate(cases)), "page_id long, url string")
     got = {r.page_id: (r.host, r.path, r.rule) for r in urls.judge(pages, catalogue.URL_RULES).collect()}
     assert got == {
-        0: ("a.org", "/x", "org/"), 1: ("x.example.org", "/es/1", "example.org/es/"), 2: ("example.org", "/en/12", "example.org/en/1"), 3: ("notorg", "/x", None), 4: ("b.com", "", None), 5: ("", "", None),
+        0: ("a.org", "/x", "org/"), 1: (
+            "x.example.org", "/es/1", "example.org/es/",
+        ), 2: ("example.org", "/en/12", "example.org/en/1"), 3: ("notorg", "/x", None), 4: ("b.com", "", None), 5: ("", "", None),
         6: ("", "", None), 7: ("", "", None), 8: ("b.com", "/de/é", "com/de/"), 9: ("org", "", None), 10: ("org", "/", "org/"), 11: ("b:", "//c/d", None),
     }
     assert urls.judge(pages.limit(0), catalogue.URL_RULES).count() == 0
     twice = pages.union(pages).withColumn("Host", F.lit(1)).withColumn("verdict", F.lit("x"))
-    assert {r.page_id: r.verdict for r in urls.judge(twice, catalogue.URL_RULES).collect()} == {r.page_id: r.verdict for r in urls.judge(pages, catalogue.URL_RULES).collect()}
+    assert {
+        r.page_id: r.verdict for r in urls.judge(twice, catalogue.URL_RULES).collect()
+    } == {r.page_id: r.verdict for r in urls.judge(pages, catalogue.URL_RULES).collect()}
     assert urls.judge(twice, catalogue.URL_RULES).count() == 2 * len(cases)
 
 
@@ -240,7 +265,11 @@ def plain_url_scores(rows, rules):
             spelt.setdefault(re.sub("[0-9]+", "0", u), [0, 0])[side] = 1
     held = {s for s in spelt if hashlib.md5(s.encode()).hexdigest()[0] in "012"}
     cut = lambda s: [f"^^^{s}$"[i : i + 4] for i in range(len(s) + 1)]
-    counts = [Counter(g[k:] for s, x in spelt.items() if x[side] and s not in held for g in cut(s) for k in range(4)) for side in (0, 1)]
+    counts = [
+        Counter(
+            g[k:] for s, x in spelt.items() if x[side] and s not in held for g in cut(s) for k in range(4)
+        ) for side in (0, 1)
+    ]
     after = [{}, {}]
     for side in (0, 1):
         for g, c in counts[side].items():
@@ -275,7 +304,9 @@ def test_url_models_against_brute_force(spark):
     rows, of = {}, {}
     for r in got:
         rule = next((x for x in catalogue.URL_RULES if f"{x[0]}{x[1]}" == r.rule), None)
-        s = spell(f"{r.host[: max(0, len(r.host) - len(rule[0]) - 1)]}/{r.path[len(rule[1]) :]}" if rule else r.host + r.path)
+        s = spell(
+            f"{r.host[: max(0, len(r.host) - len(rule[0]) - 1)]}/{r.path[len(rule[1]) :]}" if rule else r.host + r.path
+        )
         if s:
             x = rows.setdefault(s, [0, 0])
             if rule and rule[1] == "/":
@@ -295,7 +326,13 @@ def test_url_models_against_brute_force(spark):
 def test_licenses(spark):
     mit = next(t for n, t in licenses.TEMPLATES if n == "MIT" and len(t) > 100)
     wrapped = mit.replace(". ", ".\n")
-    docs = spark.createDataFrame([(0, "Hello.\nReleased under the MIT License.\nBye."), (1, "intro\n\n" + wrapped + "\n\nend"), (2, None), (3, "this software and that version of the license are unrelated words " * 50), (4, mit)], "doc_id long, text string")
+    docs = spark.createDataFrame(
+        [
+            (0, "Hello.\nReleased under the MIT License.\nBye."), (1, "intro\n\n" + wrapped + "\n\nend"), (2, None),
+            (3, "this software and that version of the license are unrelated words " * 50), (4, mit),
+        ],
+        "doc_id long, text string",
+    )
     got = {(r.doc_id, r.kind, r.license) for r in licenses.scan(docs).collect()}
     assert (0, "line", "MIT") in got and (1, "paragraph", "MIT") in got and (4, "line", "MIT") in got and not {2, 3} & {d for d, _, _ in got}
     known = licenses.Templates()
@@ -313,22 +350,47 @@ def test_licenses(spark):
 def test_license_edges(spark):
     """Repeated rows, null ids, extra columns of clashing names, an empty table; a licence of two clauses is not that of three."""
     two, three = (max((t for n, t in licenses.TEMPLATES if n == f"BSD-{k}-Clause"), key=len) for k in (2, 3))
-    rows = [(1, two), (1, two), (None, three), (2, ""), (3, None), (4, " ".join(f"w{i}" for i in range(20_000)) + "\n" + two)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"Kind": F.lit("x"), "dice": F.lit(1), "license": F.lit("y")})
+    rows = [
+        (1, two), (1, two), (None, three), (2, ""), (3, None),
+        (4, " ".join(f"w{i}" for i in range(20_000)) + "\n" + two),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns(
+        {"Kind": F.lit("x"), "dice": F.lit(1), "license": F.lit("y")}
+    )
     got = sorted(((r.doc_id, r.kind, r.license, r.dice) for r in licenses.scan(docs).collect()), key=str)
-    assert got == sorted([(1, "line", "BSD-2-Clause", 1.0)] * 2 + [(None, "line", "BSD-3-Clause", 1.0), (4, "line", "BSD-2-Clause", 1.0)], key=str)
+    assert got == sorted(
+        [(1, "line", "BSD-2-Clause", 1.0)] * 2 + [
+            (None, "line", "BSD-3-Clause", 1.0), (4, "line", "BSD-2-Clause", 1.0),
+        ],
+        key=str,
+    )
     assert licenses.scan(docs.limit(0)).count() == 0
 
 
 def test_license_runs(spark):
-    mit = next(t for n, t in licenses.TEMPLATES if n == "MIT" and len(t) > 100).replace("conditions: ", "conditions:\n\n").replace("Software. THE", "Software.\n\nTHE")
-    gpl = next(t for n, t in licenses.TEMPLATES if n == "GPL-3.0" and len(t) > 100).replace("version. This", "version.\n\nThis").replace("details. You", "details.\n\nYou")
+    mit = next(
+        t for n, t in licenses.TEMPLATES if n == "MIT" and len(t) > 100
+    ).replace("conditions: ", "conditions:\n\n").replace("Software. THE", "Software.\n\nTHE")
+    gpl = next(
+        t for n, t in licenses.TEMPLATES if n == "GPL-3.0" and len(t) > 100
+    ).replace("version. This", "version.\n\nThis").replace("details. You", "details.\n\nYou")
     code = "\n\n".join(f"step {i} of the work takes value {i * i} to the next" for i in range(300))
-    docs = [(0, f"Copyright A\n\n{mit}\n\n{code}"), (1, f"{code}\n\n{gpl}\n\n{code}"), (2, "All of this is old work and was released under the MIT License. It is given here in full."), (3, code), (4, f"{mit}\n\n{code}\n\n{gpl}"), (5, mit), (6, f"{mit}\n\n" * 40 + code)]
-    got = sorted((r.doc_id, r.kind, r.place, r.license) for r in licenses.scan(spark.createDataFrame(docs, "doc_id long, text string")).collect() if r.doc_id < 6)
+    docs = [
+        (0, f"Copyright A\n\n{mit}\n\n{code}"), (1, f"{code}\n\n{gpl}\n\n{code}"),
+        (2, "All of this is old work and was released under the MIT License. It is given here in full."), (3, code),
+        (4, f"{mit}\n\n{code}\n\n{gpl}"), (5, mit), (6, f"{mit}\n\n" * 40 + code),
+    ]
+    got = sorted(
+        (r.doc_id, r.kind, r.place, r.license) for r in licenses.scan(
+            spark.createDataFrame(docs, "doc_id long, text string")
+        ).collect() if r.doc_id < 6
+    )
     # The shortest stretch of a score: "this program is" comes again later in the notice.
     at = [len(licenses.words_of(x)) + 2 for x in (code, f"{mit} {code}")]
-    assert got == [(0, "run", 2, "MIT"), (1, "run", at[0], "GPL-3.0"), (2, "run", 8, "MIT"), (4, "run", 0, "MIT"), (4, "run", at[1], "GPL-3.0"), (5, "document", 0, "MIT")]
+    assert got == [
+        (0, "run", 2, "MIT"), (1, "run", at[0], "GPL-3.0"), (2, "run", 8, "MIT"), (4, "run", 0, "MIT"),
+        (4, "run", at[1], "GPL-3.0"), (5, "document", 0, "MIT"),
+    ]
     assert [(x[0], x[3]) for x in licenses.Templates().findings(docs[6][1])] == [("run", 1.0)] * 40
 
 
@@ -346,7 +408,9 @@ def test_license_runs_against_brute_force():
         for a in range(len(words)):
             for b in range(a + 2, len(words) + 1):
                 mine = set(licenses.bigrams_of(" ".join(words[a:b])))
-                every += [(-round(2 * len(mine & t) / (len(mine) + len(t)), 6), b - a, a, k) for k, t in enumerate(known.sets)]
+                every += [
+                    (-round(2 * len(mine & t) / (len(mine) + len(t)), 6), b - a, a, k) for k, t in enumerate(known.sets)
+                ]
         want = []
         for score, size, a, k in sorted(x for x in every if x[0] <= -0.8):
             if all(a + size <= x[0] or x[1] <= a for x in want):
@@ -407,13 +471,21 @@ def plain_score(p, text):
 
 def test_kneser_ney_against_brute_force(spark, monkeypatch):
     rng = random.Random(12)
-    prose = lambda letters, n: " ".join("".join(rng.choice(letters) for _ in range(rng.randint(1, 5))) for _ in range(n))
-    trusted = [("en", prose("abcde", 40)) for _ in range(4)] + [("fr", prose("efgé日本", 30)) for _ in range(3)] + [(None, prose("xyz", 30))]
+    prose = lambda letters, n: " ".join(
+        "".join(rng.choice(letters) for _ in range(rng.randint(1, 5))) for _ in range(n)
+    )
+    trusted = [("en", prose("abcde", 40)) for _ in range(4)] + [
+        ("fr", prose("efgé日本", 30)) for _ in range(3)
+    ] + [(None, prose("xyz", 30))]
     trained, shards = quality.train(spark.createDataFrame(trusted, "lang string, text string"))
     assert shards == 1
-    plain = {m: plain_kneser_ney([t for x, t in trusted if m in ("*", f"={x or ''}")]) for m in ("=en", "=fr", "=", "*")}
+    plain = {
+        m: plain_kneser_ney([t for x, t in trusted if m in ("*", f"={x or ''}")]) for m in ("=en", "=fr", "=", "*")
+    }
     asked = [(m, prose("abcdexé日q", n)) for m in plain for n in (1, 7, 30)] + [("=en", None), ("=fr", ""), ("*", " \n")]
-    frame = spark.createDataFrame([(i, m, t) for i, (m, t) in enumerate(asked)], "i int, m string, t string").repartition(2)
+    frame = spark.createDataFrame(
+        [(i, m, t) for i, (m, t) in enumerate(asked)], "i int, m string, t string",
+    ).repartition(2)
     got = {r.i: r for r in quality.score(frame, trained, shards, "m", "t", "total", "count").collect()}
     for i, (m, t) in enumerate(asked):
         assert got[i].t == t and got[i]["count"] == len(quality.symbols(t or ""))
@@ -436,7 +508,9 @@ def test_kneser_ney_against_brute_force(spark, monkeypatch):
 def test_quality_held_out(spark):
     """Error rates on documents that no model was trained on: the held-out fifth of the trusted, and all labelled bad."""
     d = "/root/testdata/sf0.01"
-    texts = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", F.crc32(F.encode("text", "UTF-8")).alias("crc"))
+    texts = spark.read.parquet(f"{d}/documents.parquet").select(
+        "doc_id", F.crc32(F.encode("text", "UTF-8")).alias("crc"),
+    )
     labels = spark.read.parquet(f"{d}/labels.parquet").join(texts, "doc_id").where("quality = 0 or crc % 5 = 0")
     judged = catalogue.op4_quality(spark, d).join(labels, "doc_id").groupBy("quality", "keep").count().collect()
     n = {(r.quality, r.keep): r["count"] for r in judged}
@@ -445,7 +519,9 @@ def test_quality_held_out(spark):
 
 
 def test_quality_edges(spark):
-    docs, labels = odd_docs(spark, TEXTS), spark.createDataFrame([(3, 1, 0), (3, 0, 0), (None, 1, 0)], "doc_id long, quality int, toxic int")
+    docs, labels = odd_docs(spark, TEXTS), spark.createDataFrame(
+        [(3, 1, 0), (3, 0, 0), (None, 1, 0)], "doc_id long, quality int, toxic int",
+    )
     judged, perplexity, keep = quality.classify(docs, labels)
     assert judged.count() == docs.count() and keep != "keep" and perplexity == "perplexity"
     assert all(r[keep] for r in judged.collect())
@@ -455,14 +531,23 @@ def test_quality_edges(spark):
 def test_quality_pooled(spark):
     """Texts of no known language are judged by the pooled model."""
     rng = random.Random(5)
-    prose = lambda n: " ".join(rng.choice(["alpha", "beta", "gamma", "delta", "epsilon", "zeta"]) for _ in range(n))
-    rows = [(i, prose(60), "en" if i % 2 else "fr") for i in range(80)] + [(100, prose(60), None), (101, prose(60), "xx"), (102, "#$%&@! QZX" * 60, None), (103, "#$%&@! QZX" * 60, "xx"), (104, None, None), (105, "", "xx")]
+    prose = lambda n: " ".join(
+        rng.choice(["alpha", "beta", "gamma", "delta", "epsilon", "zeta"]) for _ in range(n)
+    )
+    rows = [(i, prose(60), "en" if i % 2 else "fr") for i in range(80)] + [
+        (100, prose(60), None), (101, prose(60), "xx"), (102, "#$%&@! QZX" * 60, None), (103, "#$%&@! QZX" * 60, "xx"),
+        (104, None, None), (105, "", "xx"),
+    ]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
-    judged, perplexity, keep = quality.classify(docs, spark.createDataFrame([(i, 1, 0) for i in range(80)], "doc_id long, quality int, toxic int"))
+    judged, perplexity, keep = quality.classify(
+        docs, spark.createDataFrame([(i, 1, 0) for i in range(80)], "doc_id long, quality int, toxic int"),
+    )
     got = {r.doc_id: r for r in judged.collect()}
     assert [got[i][keep] for i in range(100, 106)] == [True, True, False, False, True, True]
     assert got[104][perplexity] is None and got[105][perplexity] is None and got[100][perplexity] < 2 < got[102][perplexity]
-    again = quality.classify(docs.union(docs), spark.createDataFrame([(i, 1, 0) for i in range(80)], "doc_id long, quality int, toxic int"))[0]
+    again = quality.classify(
+        docs.union(docs), spark.createDataFrame([(i, 1, 0) for i in range(80)], "doc_id long, quality int, toxic int"),
+    )[0]
     assert again.count() == 2 * len(rows)
 
 
@@ -479,7 +564,9 @@ def test_decontamination_is_complete(spark):
     rng = random.Random(9)
     word = lambda: "".join(rng.choice("aeioutnsr") for _ in range(rng.randint(1, 7)))
     prose = lambda n: " ".join(word() for _ in range(n))
-    items = [(i, prose(rng.randint(6, 60))) for i in range(12)] + [(50, None), (51, "short"), (52, ""), (53, "Tiny  item here"), (54, "tiny item here too")]
+    items = [(i, prose(rng.randint(6, 60))) for i in range(12)] + [
+        (50, None), (51, "short"), (52, ""), (53, "Tiny  item here"), (54, "tiny item here too"),
+    ]
 
     def spoil(t, k):
         t = list(t)
@@ -490,7 +577,10 @@ def test_decontamination_is_complete(spark):
 
     docs = [(i, prose(30) + "  " + spoil(items[i % 12][1], i % 9).upper().replace(" ", " \n", 2) + " " + prose(30)) for i in range(60)] + [(100 + i, prose(80)) for i in range(10)] + [(200, None), (201, ""), (202, "x, tiny item\nHere too."), (203, "tiny item heres"), (204, "tiny item here"), (204, "tiny item here")]
     want = decontaminate.Wanted(items)
-    rows = decontaminate.found(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    rows = decontaminate.found(
+        spark.createDataFrame(docs, "doc_id long, text string"),
+        spark.createDataFrame(items, "item_id long, text string"),
+    ).collect()
     got = {(r.doc_id, r.item_id) for r in rows}
     brute = set()
     for d, t in docs:
@@ -503,7 +593,9 @@ def test_decontamination_is_complete(spark):
     assert sum(r.doc_id == 204 for r in rows) == 2
     frame = spark.createDataFrame([(d, t, "en", None, None) for d, t in docs], DOCS)
     clean = decontaminate.clean(frame, spark.createDataFrame(items, "item_id long, text string"))
-    assert clean.columns == frame.columns and {r.doc_id for r in clean.collect()} == {d for d, _ in docs} - {d for d, _ in got}
+    assert clean.columns == frame.columns and {
+        r.doc_id for r in clean.collect()
+    } == {d for d, _ in docs} - {d for d, _ in got}
     assert decontaminate.clean(frame, spark.createDataFrame([], "item_id long, text string")).count() == len(docs)
     small = spark.createDataFrame([(7, items[0][1]), (7, items[0][1])], "item_id smallint, text string")
     assert {r.item_id for r in decontaminate.found(frame, small).collect()} == {7}
@@ -522,7 +614,9 @@ def test_decontamination_of_repetitive_text_is_bounded(monkeypatch):
     tracemalloc.stop()
     assert {(t, i) for t, i, *_ in found} == {(0, 0), (1, 1)} and peak < 800e6
     monkeypatch.setattr(decontaminate, "MATCHES", 50)
-    assert sorted(want.search(["-" * 300])) == sorted(decontaminate.Wanted([(1, "-" * 4000), (2, "ab" * 500)]).search(["-" * 300]))
+    assert sorted(want.search(["-" * 300])) == sorted(
+        decontaminate.Wanted([(1, "-" * 4000), (2, "ab" * 500)]).search(["-" * 300])
+    )
 
 
 # HTML, vectors
@@ -538,12 +632,16 @@ def test_html():
     names = ["Alpha", "Beta", "Gamma", "Delta"]
     assert html.extract([PAGE.format(n) for n in names]) == [want.format(n) for n in names]
     assert html.extract([PAGE.format("One"), None, ""]) == [want.format("One"), "", ""]
-    assert html.extract(["<p>just <i>some</i> text", "<div>x &lt; y</div><p>", "<", "a<b"]) == ["just some text", "x < y", "<", "a<b"]
+    assert html.extract(
+        ["<p>just <i>some</i> text", "<div>x &lt; y</div><p>", "<", "a<b"]
+    ) == ["just some text", "x < y", "<", "a<b"]
 
 
 def test_html_template_without_roles():
     body = lambda t: f"<html><body><div><a href=1>Home</a> <a href=2>About us</a></div><div>Welcome to our site</div><div><p>{t}</p></div><div>All rights belong to someone here now</div></body></html>"
-    texts = [f"Page number {w} says quite a lot of words about the matter {w}." for w in ("one", "two", "three", "four")]
+    texts = [
+        f"Page number {w} says quite a lot of words about the matter {w}." for w in ("one", "two", "three", "four")
+    ]
     assert html.extract([body(t) for t in texts]) == texts
 
 
@@ -559,11 +657,23 @@ def test_html_shared_passages():
     shared = "This passage of some length was taken over by a few of the pages of the host."
     page = lambda k: f"<html><body><div><a href=1>Home</a> <a href=2>About</a></div><div><p>Page {k} opens with words of its own, {k * k} of them.</p>{f'<p>{shared}</p>' if k < 4 else ''}<p>It ends with other words, number {k}.</p></div></body></html>"
     got = html.extract([page(k) for k in range(12)])
-    assert [shared in t for t in got] == [k < 4 for k in range(12)] and all(f"number {k}." in t and "Home" not in t for k, t in enumerate(got))
-    long = "\n".join(f"<p>Paragraph {i} of the article that three pages hold has quite a few words.</p>" for i in range(6))
-    copies = html.extract([f"<html><body><div>{long}<p>Only this sentence, number {k}, is the page's own.</p></div></body></html>" for k in "abc"])
+    assert [shared in t for t in got] == [k < 4 for k in range(12)] and all(
+        f"number {k}." in t and "Home" not in t for k, t in enumerate(got)
+    )
+    long = "\n".join(
+        f"<p>Paragraph {i} of the article that three pages hold has quite a few words.</p>" for i in range(6)
+    )
+    copies = html.extract(
+        [
+            f"<html><body><div>{long}<p>Only this sentence, number {k}, is the page's own.</p></div></body></html>" for k in "abc"
+        ]
+    )
     assert all(t.count("Paragraph") == 6 and f"number {k}," in t for k, t in zip("abc", copies))
-    inline = html.extract([f"<html><body><div><p><b>Note:</b> the page {k} has words of its own here.</p></div></body></html>" for k in range(5)])
+    inline = html.extract(
+        [
+            f"<html><body><div><p><b>Note:</b> the page {k} has words of its own here.</p></div></body></html>" for k in range(5)
+        ]
+    )
     assert inline == [f"Note: the page {k} has words of its own here." for k in range(5)]
 
 
@@ -574,7 +684,9 @@ def test_html_nest():
     slots = [html._slots(x, names) for x, names in zip(pages, nest)]
     # The optional class lies in one gap of the outer one, so its slot has a name of its own and the others keep theirs.
     assert {len(s) for s in slots[::2]} == {2} and {len(s) for s in slots[1::2]} == {3}
-    assert len({s[0] for s in slots}) == len({s[-1] for s in slots}) == len({s[1] for s in slots[1::2]}) == 1 and len({x for s in slots for x in s}) == 3
+    assert len({s[0] for s in slots}) == len({s[-1] for s in slots}) == len({s[1] for s in slots[1::2]}) == 1 and len(
+        {x for s in slots for x in s}
+    ) == 3
 
 
 def test_html_anchors_in_article():
@@ -591,7 +703,9 @@ def test_html_template_finds_what_roles_say():
     for r in pyarrow.parquet.read_table("/root/testdata/sf0.1/pages.parquet", columns=["url", "html"]).to_pylist():
         hosts.setdefault(re.sub("^.*?://([^/?#]*).*$", r"\1", r["url"]), []).append(r["html"])
     large = [pages[:100] for pages in hosts.values() if len(pages) >= 10]
-    plain = lambda h: re.sub(r"<(/?)(article|nav|footer)\b[^>]*>", r"<\1div>", h.replace(' class="ad"', ""))
+    plain = lambda h: re.sub(
+        r"<(/?)(article|nav|footer)\b[^>]*>", r"<\1div>", h.replace(' class="ad"', ""),
+    )
     told = [html.extract(pages) for pages in large]
     found = [html.extract([plain(h) for h in pages]) for pages in large]
     same = [a == b for x, y in zip(told, found) for a, b in zip(x, y)]
@@ -600,7 +714,9 @@ def test_html_template_finds_what_roles_say():
 
 def test_html_holder_of_the_article():
     lead = lambda k: f"<p class=lead>Lead {k} of the story.</p>"
-    body = lambda k: "".join(f"<p>Paragraph {i} of page {k} says that {k * 37 + i} things are so and not otherwise.</p>" for i in range(6))
+    body = lambda k: "".join(
+        f"<p>Paragraph {i} of page {k} says that {k * 37 + i} things are so and not otherwise.</p>" for i in range(6)
+    )
     page = lambda k: f"<body><div>Weather today {k}</div><h1>Title {k}</h1><div>{lead(k)}{body(k)}<ul><li>Point {k}</ul></div><div>Contact person {k}</div></body>"
     for k, text in enumerate(html.extract([page(k) for k in range(6)])):
         assert text.startswith(f"Title {k}\n\nLead {k} of") and text.endswith(f"\n\nPoint {k}") and text.count("Paragraph") == 6
@@ -615,12 +731,17 @@ def test_html_weak_hints_in_article():
 
 
 def test_html_rows(spark):
-    pages = spark.createDataFrame([(1, "http://a/1", PAGE.format("A")), (1, "http://a/1", PAGE.format("A")), (2, None, None), (3, "x", "")], "page_id long, url string, html string")
+    pages = spark.createDataFrame(
+        [(1, "http://a/1", PAGE.format("A")), (1, "http://a/1", PAGE.format("A")), (2, None, None), (3, "x", "")],
+        "page_id long, url string, html string",
+    )
     rows = html.main_text(pages).collect()
     assert len(rows) == 4 and all(r.n_chars == len(r.text) for r in rows) and sum(r.n_chars > 0 for r in rows) == 2
     assert html.main_text(pages.limit(0)).count() == 0
     long = f"<article>{'<p>A paragraph of the page.</p>' * 30_000}</article>"
-    odd = spark.createDataFrame([(1, "http://a/1", long, "x"), (None, None, "<p>T", "y")], "page_id long, url string, html string, Host string").withColumn("chunk", F.lit(0)).withColumn("text", F.lit(1))
+    odd = spark.createDataFrame(
+        [(1, "http://a/1", long, "x"), (None, None, "<p>T", "y")], "page_id long, url string, html string, Host string",
+    ).withColumn("chunk", F.lit(0)).withColumn("text", F.lit(1))
     got = {r.page_id: r.n_chars for r in html.main_text(odd).collect()}
     assert got == {1: 30_000 * 24 + 29_999 * 2, None: 1}
 
@@ -628,11 +749,23 @@ def test_html_rows(spark):
 def test_hnsw_against_brute_force(spark):
     rng = np.random.default_rng(3)
     centres = rng.normal(size=(40, 16))
-    x = np.concatenate([centres[rng.integers(0, 40, 500)] + 0.08 * rng.normal(size=(500, 16)), rng.normal(size=(300, 16)), np.repeat(centres[:1], 50, 0), centres[1] + 0.02 * rng.normal(size=(150, 16))]).astype(np.float32)
+    x = np.concatenate(
+        [
+            centres[rng.integers(0, 40, 500)] + 0.08 * rng.normal(size=(500, 16)), rng.normal(size=(300, 16)),
+            np.repeat(centres[:1], 50, 0), centres[1] + 0.02 * rng.normal(size=(150, 16)),
+        ]
+    ).astype(np.float32)
     label = rng.integers(0, 2, len(x))
     rows = [(i, v.tolist(), int(c)) for i, (v, c) in enumerate(zip(x, label))]
-    odd = [(2000, None, 1), (2001, [0.0] * 16, 1), (2002, [float("nan")] * 16, 1), (2003, x[0].tolist(), None), (2004, [], 1), (2005, [1.0, None], 1), (2006, [float("inf")] * 16, 0), (2007, [1.0, 0.0], 0)]
-    got = {r.vec_id: r for r in hnsw.near_duplicates(spark.createDataFrame(rows + odd, "vec_id long, embedding array<float>, label int"), shard_size=150).collect()}
+    odd = [
+        (2000, None, 1), (2001, [0.0] * 16, 1), (2002, [float("nan")] * 16, 1), (2003, x[0].tolist(), None),
+        (2004, [], 1), (2005, [1.0, None], 1), (2006, [float("inf")] * 16, 0), (2007, [1.0, 0.0], 0),
+    ]
+    got = {
+        r.vec_id: r for r in hnsw.near_duplicates(
+            spark.createDataFrame(rows + odd, "vec_id long, embedding array<float>, label int"), shard_size=150,
+        ).collect()
+    }
     u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
     near = (u @ u.T >= 0.98) & (label[:, None] == label[None])
     np.fill_diagonal(near, False)
@@ -647,14 +780,34 @@ def test_hnsw_against_brute_force(spark):
 
 def test_hnsw_edges(spark):
     """Doubles of extreme size, null ids, repeated rows, clashing columns, an empty table."""
-    rows = [(0, [1e-200, 1e-200], 1), (1, [1e-200, 1e-200], 1), (2, [1e200, 1e200], 1), (None, [1.0, 1.0], 1), (3, [1.0, -1.0], 1), (3, [1.0, -1.0], 1), (4, [3.0], 1), (5, [-0.0, 2.0], 1), (6, [0.0, 2.0], 1)]
-    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").withColumns({"node": F.lit("x"), "KEPT": F.lit(1)})
-    got = sorted(((r.vec_id, r.n_links, r.component_id, r.kept) for r in hnsw.near_duplicates(frame).collect()), key=str)
-    assert got == sorted([(0, 3, 0, True), (1, 3, 0, False), (2, 3, 0, False), (None, 3, 0, False), (3, 1, 3, True), (3, 1, 3, True), (4, 0, 4, True), (5, 1, 5, True), (6, 1, 5, False)], key=str)
+    rows = [
+        (0, [1e-200, 1e-200], 1), (1, [1e-200, 1e-200], 1), (2, [1e200, 1e200], 1), (None, [1.0, 1.0], 1),
+        (3, [1.0, -1.0], 1), (3, [1.0, -1.0], 1), (4, [3.0], 1), (5, [-0.0, 2.0], 1), (6, [0.0, 2.0], 1),
+    ]
+    frame = spark.createDataFrame(
+        rows, "vec_id long, embedding array<double>, label int",
+    ).withColumns({"node": F.lit("x"), "KEPT": F.lit(1)})
+    got = sorted(
+        ((r.vec_id, r.n_links, r.component_id, r.kept) for r in hnsw.near_duplicates(frame).collect()), key=str,
+    )
+    assert got == sorted(
+        [
+            (0, 3, 0, True), (1, 3, 0, False), (2, 3, 0, False), (None, 3, 0, False), (3, 1, 3, True), (3, 1, 3, True),
+            (4, 0, 4, True), (5, 1, 5, True), (6, 1, 5, False),
+        ],
+        key=str,
+    )
     assert hnsw.near_duplicates(frame.limit(0)).count() == 0
     near = 1 - 1e-12  # a cosine that floats could not tell from the threshold
-    pair = [(0, [1.0, 0.0], 1), (1, [0.98 + 1e-9, (1 - (0.98 + 1e-9) ** 2) ** 0.5], 1), (2, [-(0.98 - 1e-9), (1 - (0.98 - 1e-9) ** 2) ** 0.5 * near], 2), (3, [-1.0, 0.0], 2)]
-    got = {r.vec_id: r.n_links for r in hnsw.near_duplicates(spark.createDataFrame(pair, "vec_id long, embedding array<double>, label int")).collect()}
+    pair = [
+        (0, [1.0, 0.0], 1), (1, [0.98 + 1e-9, (1 - (0.98 + 1e-9) ** 2) ** 0.5], 1),
+        (2, [-(0.98 - 1e-9), (1 - (0.98 - 1e-9) ** 2) ** 0.5 * near], 2), (3, [-1.0, 0.0], 2),
+    ]
+    got = {
+        r.vec_id: r.n_links for r in hnsw.near_duplicates(
+            spark.createDataFrame(pair, "vec_id long, embedding array<double>, label int")
+        ).collect()
+    }
     assert got == {0: 1, 1: 1, 2: 0, 3: 0}
 
 
@@ -710,7 +863,9 @@ def test_hnsw_rare_links_are_not_left_to_a_blind_audit():
     x[rare] = unit(x[audited[:3]] + 0.001 * rng.normal(size=(3, 32)))
     # In the own shard self matches alone show nothing, and links of three of the audited are too few.
     a, b = hnsw.links(Blind(x), x, 0.98, 0.99, own=True)
-    assert {(i, j) for i, j in zip(a.tolist(), b.tolist()) if i < j} == {tuple(sorted(p)) for p in zip(rare.tolist(), audited[:3].tolist())}
+    assert {(i, j) for i, j in zip(a.tolist(), b.tolist()) if i < j} == {
+        tuple(sorted(p)) for p in zip(rare.tolist(), audited[:3].tolist())
+    }
     # Many links that the search finds are evidence, and the scan of the whole shard is not needed.
     centre = unit(np.repeat(rng.normal(size=(100, 32)), 10, 0) + 0.01 * rng.normal(size=(1000, 32)))
     graph = hnsw.Graph(centre)
@@ -726,17 +881,26 @@ def test_pipeline_edges(spark, tmp_path):
     import corpus_pipeline
 
     rng = random.Random(21)
-    prose = lambda n: " ".join(rng.choice(["alpha", "beta", "gamma", "delta", "epsilon", "zeta", "eta", "theta"]) for _ in range(n))
+    prose = lambda n: " ".join(
+        rng.choice(["alpha", "beta", "gamma", "delta", "epsilon", "zeta", "eta", "theta"]) for _ in range(n)
+    )
     rows = [(i, prose(50), "en", "s", 1, 0) for i in range(60)]
-    rows += [(None, prose(50), None, None, None, None), (90, None, "en", "s", 0, 1), (91, "", None, None, 0, 1), (5, rows[5][1], "en", "s", 1, 0), (92, prose(60_000), "xx", "s", 9, 9)]
+    rows += [
+        (None, prose(50), None, None, None, None), (90, None, "en", "s", 0, 1), (91, "", None, None, 0, 1),
+        (5, rows[5][1], "en", "s", 1, 0), (92, prose(60_000), "xx", "s", 9, 9),
+    ]
     kind = DOCS + ", Perplexity int"
     labels = [(i, 1, 0) for i in range(60)] + [(None, 1, 0), (3, None, None)]
     bench = [(1, " ".join(rows[7][1].split()[5:30])), (None, None), (2, "")]
     for part in (1, 0):
         d = str(tmp_path / str(part))
         spark.createDataFrame(rows[: len(rows) * part], kind).write.parquet(f"{d}/documents.parquet")
-        spark.createDataFrame(labels[: len(labels) * part], "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
-        spark.createDataFrame(bench[: len(bench) * part], "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
+        spark.createDataFrame(
+            labels[: len(labels) * part], "doc_id long, quality int, toxic int",
+        ).write.parquet(f"{d}/labels.parquet")
+        spark.createDataFrame(
+            bench[: len(bench) * part], "item_id long, text string",
+        ).write.parquet(f"{d}/benchmark.parquet")
         docs = spark.read.parquet(f"{d}/documents.parquet")
         for _, stage in corpus_pipeline.STAGES[:-1]:
             out = stage(spark, docs, d)
@@ -758,11 +922,17 @@ def test_pipeline_against_brute_force(spark, encoding):
     assert one.columns == docs.columns and set(kept) <= {r.doc_id for r in docs.collect()}
     fp = {i: plain_fingerprint(t) for i, t in kept.items()}
     ids = sorted(fp)
-    root = components_of([(a, b) for k, a in enumerate(ids) for b in ids[k + 1 :] if (fp[a] ^ fp[b]).bit_count() <= 4], ids)
+    root = components_of(
+        [(a, b) for k, a in enumerate(ids) for b in ids[k + 1 :] if (fp[a] ^ fp[b]).bit_count() <= 4], ids,
+    )
     firsts = {i for i in ids if root[i] == i}
-    two = corpus_pipeline.without_near_duplicates(spark, spark.createDataFrame([r for r in one.collect()], docs.schema), DIR)
+    two = corpus_pipeline.without_near_duplicates(
+        spark, spark.createDataFrame([r for r in one.collect()], docs.schema), DIR,
+    )
     assert {r.doc_id for r in two.collect()} == firsts
-    bench = decontaminate.Wanted([(r.item_id, r.text) for r in spark.read.parquet(f"{DIR}/benchmark.parquet").collect()])
+    bench = decontaminate.Wanted(
+        [(r.item_id, r.text) for r in spark.read.parquet(f"{DIR}/benchmark.parquet").collect()]
+    )
     clean = {i for i in firsts if not bench.search([kept[i]])}
     rows = corpus_pipeline.run(spark, DIR).collect()
     assert {r.doc_id for r in rows} == clean
