@@ -44,6 +44,8 @@ ABREAST = 8
 RUNGS = (48, 160, 640)
 #: Queries that are compared with the whole shard, and links that are planted, for the audit of a search.
 AUDITED, PROBES = 96, 128
+#: Width of a beam for each node that is opened at a time; queries that are searched for abreast.
+STRIDE, QUERIES = 80, 512
 
 
 def _unit(raw: np.ndarray) -> np.ndarray:
@@ -141,12 +143,14 @@ class Graph:
         return np.where(np.isfinite(np.take_along_axis(sims, best, 1)), np.take_along_axis(ids, best, 1), -1)
 
     def beam(self, q: np.ndarray, start: np.ndarray, width: int, h: int) -> tuple[np.ndarray, np.ndarray]:
-        """The ``width`` nearest nodes that a beam from ``start`` meets for each row of q, nearest first; -1 for none."""
+        """The ``width`` nearest nodes that a beam from ``start`` meets for each row of q, nearest first; -1 for none. Of a
+        wide beam several nodes are opened at a time."""
         n, rows = len(self.x), np.arange(len(q))
         width = max(1, min(width, n))
+        at_once = max(1, width // STRIDE)
         seen = np.zeros((len(q), n + 1), bool)  # the last column stands for no node
         seen[:, n] = True
-        ids = np.full((len(q), width + self.layers[h].shape[1]), n)
+        ids = np.full((len(q), width + at_once * self.layers[h].shape[1]), n)
         sims = np.full(ids.shape, -np.inf)
         start = np.where(start < 0, n, start)[:, :width]
         for k in range(start.shape[1]):
@@ -161,14 +165,24 @@ class Graph:
         live = rows
         while len(live):
             top = np.where(opened[live, :width], -np.inf, sims[live, :width])
-            pick = top.argmax(1)
-            on = np.isfinite(top[np.arange(len(live)), pick])
-            live, pick = live[on], pick[on]
+            if at_once == 1:
+                pick = top.argmax(1)[:, None]
+            else:
+                pick = np.argpartition(-top, at_once - 1, axis=1)[:, :at_once]
+            real = np.isfinite(np.take_along_axis(top, pick, 1))
+            on = real.any(1)
+            live, pick, real = live[on], pick[on], real[on]
             if not len(live):
                 break
-            opened[live, pick] = True
-            nb = self.layers[h][ids[live, pick]].astype(np.int64)
+            # Where fewer than that are left, nodes that were opened before come again and bring nothing fresh.
+            opened[live[:, None], pick] = True
+            nb = self.layers[h][np.where(real, ids[live[:, None], pick], 0)].astype(np.int64)
+            nb[~real | (nb < 0).all(2)] = n
+            nb = nb.reshape(len(live), -1)
             nb[nb < 0] = n
+            if at_once > 1:
+                nb.sort(axis=1)
+                nb[:, 1:][nb[:, 1:] == nb[:, :-1]] = n
             fresh = ~seen[live[:, None], nb]
             seen[live[:, None], nb] = True
             nb = np.where(fresh, nb, n)
@@ -221,8 +235,9 @@ def links(
             continue
         left, hits = [], np.zeros(len(q), int)
         part_a, part_b = [], []
-        for at in range(0, len(todo), 512):
-            rows = todo[at : at + 512]
+        abreast = max(32, QUERIES // max(1, width // STRIDE))
+        for at in range(0, len(todo), abreast):
+            rows = todo[at : at + abreast]
             ids, sims = graph.nearest(q[rows], width)
             good = (sims >= threshold) & (ids >= 0)
             hits[rows] = (good & (ids != rows[:, None]) if own else good).sum(1)
