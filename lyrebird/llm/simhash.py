@@ -237,7 +237,7 @@ def near_duplicates(
 
 
 #: Kept rows (three numbers each) up to which their keys are broadcast instead of joined by shuffle.
-KEYS = 2_000_000
+KEYS = 500_000
 
 
 def one_of_each(
@@ -250,8 +250,10 @@ def one_of_each(
     """
     marked = settle(fingerprints(docs, id_col, text_col, width))
     counted = marked.groupBy("fp", "id", "h").agg(F.count("*").alias("n"))
+    # One row for each fingerprint first: copies of a text are as many rows of one fingerprint.
     first = F.min(F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col("h"), F.col("n"))).alias("x")
-    keys = settle(counted.join(_rooted(marked, distance), "fp").groupBy("root").agg(first).select("x.id", "x.h", "x.n"))
+    tied = counted.groupBy("fp").agg(first).join(_rooted(marked, distance), "fp")
+    keys = settle(tied.groupBy("root").agg(F.min("x").alias("x")).select("x.id", "x.h", "x.n"))
     names = {c.lower() for c in docs.columns}
     i, h, n, own = (
         next(
