@@ -40,10 +40,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle, ship
+from .common import conf_int, settle, ship
 from .urls import host_of
 
 SUPPORT, CHUNK, CHUNK_BYTES = 3, 256, 16 << 20
+#: Bytes of pages for each task, about, up to so many tasks.
+TASK_BYTES, MOST_TASKS = 8 << 20, 100_000
 #: Share of the pages that have a template's text; words of template to a word of a page's own, at most.
 NEARLY, COPIES = 0.9, 2
 #: Share of a host's words that makes a slot one of the article.
@@ -415,15 +417,14 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
         F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"),
     ).withColumn("host", host_of(F.col("url")))
     # A row for each host.
-    size = F.sum(F.octet_length("html").cast("long"))
-    chunks = settle(
-        given.groupBy("host").agg(
-            F.greatest(
-                F.ceil(F.count("*") / CHUNK), F.ceil(F.coalesce(size, F.lit(0)) / CHUNK_BYTES),
-            ).cast("int").alias("chunks")
-        )
-    )
-    dealt = given.join(chunks, "host").withColumn("chunk", F.pmod(F.xxhash64("id", "url", "html"), F.col("chunks")))
+    size = F.coalesce(F.sum(F.octet_length("html").cast("long")), F.lit(0))
+    parts = F.greatest(F.ceil(F.count("*") / CHUNK), F.ceil(size / CHUNK_BYTES)).cast("int")
+    chunks = settle(given.groupBy("host").agg(parts.alias("chunks"), size.alias("size")))
+    # As many tasks as the pages have bytes for, so that the largest does not grow with them.
+    whole = chunks.agg(F.sum("size")).first()[0] or 0
+    tasks = min(MOST_TASKS, max(conf_int(pages.sparkSession, "spark.sql.shuffle.partitions", 200), -(-whole // TASK_BYTES)))
+    dealt = given.join(chunks.drop("size"), "host")
+    dealt = dealt.withColumn("chunk", F.pmod(F.xxhash64("id", "url", "html"), F.col("chunks"))).repartition(tasks, "host", "chunk")
     kind = given.schema["id"].dataType.simpleString()
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
