@@ -10,9 +10,11 @@ DURATION_BOUNDS = (5.0, 10.0, 15.0, 20.0)
 
 def infer_frames(
     num_frames: Column, begin: Column, end: Column, duration: Column, num_samples: Column, sample_rate: Column,
+    unknown: Column | None = None,
 ) -> Column:
     """Frames of 10 ms: a positive num_frames, else of the first time given: begin and end, duration, samples over
-    rate. Halves round to even, one frame at least. A time given that is not positive, or none, is an error."""
+    rate. Halves round to even, one frame at least. A time given that is not positive, or none, is an error, or
+    has the frames in ``unknown``."""
     seconds = (
         F.when(begin.isNotNull() & end.isNotNull(), end.cast("double") - begin.cast("double"))
         .when(duration.isNotNull(), duration.cast("double"))
@@ -21,9 +23,9 @@ def infer_frames(
         )
     )
     whole = F.when(num_frames.isNotNull(), num_frames.cast("long"))
-    return F.when(whole > 0, whole).when(seconds > 0, frames_of(seconds)).otherwise(
-        F.raise_error(F.lit("no length can be inferred from the metadata")).cast("long")
-    )
+    if unknown is None:
+        unknown = F.raise_error(F.lit("no length can be inferred from the metadata"))
+    return F.when(whole > 0, whole).when(seconds > 0, frames_of(seconds)).otherwise(unknown.cast("long"))
 
 
 def frames_of(seconds: Column) -> Column:
