@@ -93,26 +93,46 @@ def memory_token_budget(tokens: Column, peak_bytes: Column, target_gib: float) -
     ).otherwise(F.lit(0).cast("long"))
 
 
-def format_bytes(n: Column) -> Column:
+def tenths(x: Column) -> Column:
+    """x with one decimal as Python prints it: rounded by its binary value, halves to even. Spark rounds the shortest
+    decimal that stands for a double: 9.35 to 9.4, though the double lies below."""
+    whole = F.floor(F.abs(x))
+    # What is lost beyond 59 binary places belongs to numbers under 1/128.
+    part = ((F.abs(x) - whole) * float(1 << 59)).cast("long") * 10
+    digit, rest = F.shiftright(part, 59), part.bitwiseAND((1 << 59) - 1)
+    up = (rest > 1 << 58) | ((rest == 1 << 58) & (digit % 2 == 1))
+    return F.when(
+        x.isNotNull(), F.format_string("%.1f", F.signum(x) * (whole * 10 + digit + up.cast("long")) / 10.0),
+    )
+
+
+def format_bytes(n: Column, largest: str = "TiB") -> Column:
     """1536 -> 1.5KiB."""
-    fixed = lambda k, unit: F.format_string(f"%.1f{unit}", F.bround(n / float(1024**k), 1))
+    fixed = lambda k, unit: F.concat(tenths(n / float(1024**k)), F.lit(unit))
+    units = ("B", "KiB", "MiB", "GiB", "TiB")
     out = fixed(0, "B")
-    for k, unit in enumerate(("KiB", "MiB", "GiB", "TiB"), 1):
+    for k, unit in enumerate(units[1 : units.index(largest) + 1], 1):
         out = F.when(n >= 1024**k, fixed(k, unit)).otherwise(out)
     return out
 
 
+def format_seconds(left: Column) -> Column:
+    """42s, 3.5m, 1.2h; what is under a minute, times past among it, in whole seconds."""
+    return (
+        F.when(left < 60, F.format_string("%.0fs", F.rint(left)))
+        .when(left < 3600, F.concat(tenths(left / 60), F.lit("m")))
+        .when(left == float("inf"), "infh")
+        .otherwise(F.concat(tenths(left / 3600), F.lit("h")))
+    )
+
+
 def format_eta(elapsed: Column, completed: Column, total: Column) -> Column:
-    """Time left at the rate so far: 42s, 3.5m, 1.2h; n/a where nothing or everything is done."""
+    """Time left at the rate so far; n/a where nothing or everything is done."""
     per_second = completed / F.greatest(elapsed, F.lit(1e-6))
     left = (total - completed) / F.greatest(per_second, F.lit(1e-6))
-    shown = (
-        F.when(left < 60, F.format_string("%.0fs", F.rint(left))).when(
-            left < 3600, F.format_string("%.1fm", F.bround(left / 60, 1)),
-        )
-        .otherwise(F.format_string("%.1fh", F.bround(left / 3600, 1)))
-    )
-    return F.when(total.isNull() | (completed <= 0) | (completed >= total), "n/a").otherwise(shown)
+    return F.when(
+        total.isNull() | (completed <= 0) | (completed >= total), "n/a",
+    ).otherwise(format_seconds(left))
 
 
 def format_number(x: Column, digits: int = 4) -> Column:
