@@ -64,8 +64,11 @@ def hotword_bonus(items: Column, hotwords: list[tuple[list, float]], scale: floa
 
 
 def top_tokens(scores: Column, k: int, blank: int | None = None) -> Column:
-    """Places of the k largest scores, largest first and earlier ones first among equals; blank always among them."""
-    ranked = F.array_sort(F.transform(scores, lambda x, i: F.struct((-x).alias("s"), i.alias("i"))))
+    """Places of the k largest scores, largest first, NaN and null last, and earlier ones first among equals; blank
+    always among them."""
+    ranked = F.sort_array(
+        F.transform(scores, lambda x, i: F.struct(x.isNull().alias("n"), (-x).alias("s"), i.alias("i")))
+    )
     best = F.transform(F.slice(ranked, 1, k), lambda x: x["i"])
     return best if blank is None else F.array_union(best, F.array(F.lit(blank)))
 
